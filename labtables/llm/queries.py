@@ -11,6 +11,7 @@ from .common import table
 from .mixing import ORACLE as MIX_SQL
 from .mixing import mix_plan
 from .packing import packed_digests, scratch_folder
+from .secret_scan import secret_report
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +26,10 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_digests(table(spark, sf_dir, "documents", "doc_id", "text"), scratch_folder(spark, "ids"))
 
 
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_report(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {name: f for name, f in globals().items() if name.startswith("op")}
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
