@@ -8,12 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import bpe_round_trip
 from .common import table
+from .media import media_features, text_media
 from .mixing import ORACLE as MIX_SQL
 from .mixing import mix_plan
 from .packing import packed_digests, scratch_folder
 from .secret_scan import secret_report
 
 
+def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_features(text_media(table(spark, sf_dir, "documents", "doc_id", "text")))
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_plan(table(spark, sf_dir, "documents", "doc_id", "text", "source"))
 
