@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import bpe_round_trip
 from .common import table
+from .langid import language_report
 from .media import media_features, text_media
 from .mixing import ORACLE as MIX_SQL
 from .mixing import mix_plan
@@ -27,6 +28,10 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_report(table(spark, sf_dir, "documents", "doc_id", "text", "lang"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_digests(table(spark, sf_dir, "documents", "doc_id", "text"), scratch_folder(spark, "ids"))
 
