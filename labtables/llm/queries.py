@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import bpe_round_trip
 from .common import table
+from .fingerprint import edited_report
 from .langid import language_report
 from .media import media_features, text_media
 from .mixing import ORACLE as MIX_SQL
@@ -32,6 +33,10 @@ def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_report(table(spark, sf_dir, "documents", "doc_id", "text", "lang"))
 
 
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_report(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_digests(table(spark, sf_dir, "documents", "doc_id", "text"), scratch_folder(spark, "ids"))
 
