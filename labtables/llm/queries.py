@@ -13,6 +13,7 @@ from .langid import language_report
 from .media import media_features, text_media
 from .mixing import ORACLE as MIX_SQL
 from .mixing import mix_plan
+from .ngram_join import ngram_components
 from .packing import packed_digests, scratch_folder
 from .secret_scan import secret_report
 
@@ -45,6 +46,10 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_report(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_components(table(spark, sf_dir, "documents", "doc_id", "text")).drop("set_key")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {name: f for name, f in globals().items() if name.startswith("op")}
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
