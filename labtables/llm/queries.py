@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import bpe_round_trip
 from .common import table
 from .fingerprint import edited_report
+from .html_wrapper import extract_main_text
 from .langid import language_report
 from .media import media_features, text_media
 from .mixing import ORACLE as MIX_SQL
@@ -38,6 +39,10 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_report(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_digests(table(spark, sf_dir, "documents", "doc_id", "text"), scratch_folder(spark, "ids"))
 
