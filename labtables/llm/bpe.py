@@ -34,7 +34,7 @@ LONG_WORD = 400
 SHORT_WORD = 48
 MATRIX_ROWS = 4096
 #: Runs between white space whose ids a Python worker keeps; beyond it the older half is dropped.
-KEPT_RUNS = 400_000
+KEPT_RUNS = 700_000
 DEFAULT_FILE = "word_bpe_49k.json"
 
 
@@ -183,16 +183,22 @@ class WordBpe:
         return out + self.pattern.findall(normalized(run[at:]))
 
     def _split_runs(self, runs: list[bytes]) -> list[list[str | int]]:
-        """The words of each run; runs hold no ASCII white space, so all are split in one pass."""
+        """The words of each run. Runs hold no ASCII white space, so all are normalised at once; those
+        of letters alone are words, and the others are split in one pass."""
         text = b" ".join(runs).decode()
         if self.special_pattern and self.special_pattern.search(text):
             return [self.words_of(r.decode()) for r in runs]
-        out: list[list[str | int]] = [[]]
-        for word in self.separated.findall(normalized(text)):
+        whole = normalized(text).split(" ")
+        out: list[list[str | int]] = [[w] for w in whole]
+        mixed = [i for i, w in enumerate(whole) if not w.isalpha()]
+        parts: list[list[str | int]] = [[]]
+        for word in self.separated.findall(" ".join([whole[i] for i in mixed])):
             if word == " ":
-                out.append([])
+                parts.append([])
             else:
-                out[-1].append(word)
+                parts[-1].append(word)
+        for i, words in zip(mixed, parts):
+            out[i] = words
         return out
 
     def learn(self, runs: list[bytes]) -> dict[bytes, bytes]:
