@@ -17,6 +17,7 @@ from .mixing import mix_plan
 from .ngram_join import ngram_components
 from .packing import packed_digests, scratch_folder
 from .secret_scan import secret_report
+from .wordpiece import token_counts
 
 
 def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,6 +40,10 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_report(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(table(spark, sf_dir, "pages", "page_id", "url", "html"))
 
