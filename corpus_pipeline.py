@@ -1,10 +1,66 @@
-"""The corpus pipeline: each stage's result is written as Parquet and reread as the next one's documents."""
+"""The corpus pipeline: language identification, near-duplicate removal, secret redaction, source
+mixing and tokenization. Each stage's result is written as Parquet in the cluster's shared folder and
+reread as the next one's documents; every stage works on all rows that its predecessor kept.
+"""
 
 from __future__ import annotations
 
-STAGES = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from labtables.llm.bpe import bpe_round_trip
+from labtables.llm.common import table, written
+from labtables.llm.langid import fit_language_model, predict_language
+from labtables.llm.mixing import mix_documents
+from labtables.llm.ngram_join import near_duplicates_removed
+from labtables.llm.secret_scan import redact_secrets
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is undetermined (null, no letters) or scored below the calibrated
+    bound go; all others stay as they are."""
+    model = fit_language_model(docs)
+    return predict_language(docs, model, keep=COLUMNS).filter(~F.col("rejected")).select(*COLUMNS)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group linked by a Jaccard similarity of 0.8 or more on five-word shingles, the document
+    of the smallest id stays."""
+    return near_duplicates_removed(docs).select(*COLUMNS)
+
+
+def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document stays; its secrets are replaced and n_chars follows."""
+    return redact_secrets(docs).withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them: none, once or twice."""
+    return mix_documents(docs).select(*COLUMNS)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of the encoded and decoded texts."""
+    return bpe_round_trip(docs)
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("near_duplicates", drop_near_duplicates),
+    ("secrets", redact),
+    ("mixing", mix_sources),
+    ("bpe", encode),
+]
+
+#: The language model and the merges have no SQL form; tests/llm holds the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages on the documents of `sf_dir`."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
