@@ -128,7 +128,8 @@ def write_csv(df: DataFrame, path: str, headings: dict[str, str], clean: bool =
 
     def headed(batches):
         yield pa.RecordBatch.from_pydict({"line": [",".join(titles)]})
-        yield from batches
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0)], ["line"])
 
     out.select(csv_line(names).alias("line")).mapInArrow(headed, "line string").write.option("lineSep", "\r\n").text(path)
 
