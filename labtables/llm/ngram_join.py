@@ -3,15 +3,17 @@
 Documents with equal sets are one node. Two sets of similarity s or more share a token among the
 first n - ceil(s n) + 1 tokens of each, whatever the order of tokens; the order here puts rare ones
 first, by a count sketch of fixed size (it decides cost, never results). All nodes that share such a
-token go to one block, that of the token's least node, so every candidate pair meets in a block.
+token go to the block of the token's least node, so every pair that can link meets in a block.
 
-Within a block each node is searched for in inverted lists of the others with DivideSkip: a node
-links with those that occur in T or more of its lists, so short lists are heap-merged, skipping what
-cannot get there, and long lists are only probed for what came out of the merge. Nodes that are
-linked leave the lists: a block yields links that span its components, not all pairs of a group.
+The search in inverted lists is DivideSkip: a node links with those that occur in T or more of its
+lists, so short lists are heap-merged, skipping what cannot get there, and long lists are only probed
+for what came out of the merge. Nodes that are reached leave the lists, so that a search yields links
+that span its components, not all pairs of a group. It runs twice. In the blocks it runs on the shared
+prefix tokens alone, with the overlap that a prefix must have; what that connects are candidate
+groups, and each node is in one at most. In the groups it runs on whole sets and is exact.
 
-Blocks too heavy for one task are cut into chunks; what a chunk leaves unconnected to the rest of its
-block is then searched for in the other chunks. Components grow from the links by star contraction.
+Groups too heavy for one task are cut into chunks; what a chunk leaves unconnected to the rest of its
+group is then searched for in the other chunks. Components grow from the links by star contraction.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import slices, utf8, written
@@ -37,6 +39,8 @@ PERCENT = 80
 SLOTS = 1 << 20
 #: Shingles of a chunk of a block (8 bytes each), unless one node has more.
 CHUNK_SHINGLES = 2_000_000
+#: Tokens whose slot counts this binary logarithm or more may be too many for one task's window.
+HEAVY_CLASS = 17
 #: Bytes of ids up to which they are broadcast to filter the documents; more are joined by a shuffle.
 BROADCAST_BYTES = 64 << 20
 #: Weight of a probe against a merge step in choosing how many lists are long.
@@ -108,9 +112,12 @@ def least_overlap(n: int, m: int, percent: int = PERCENT) -> int:
 class TOccurrence:
     """Inverted lists of some sets, searched by required overlap; nodes can be taken out."""
 
-    def __init__(self, sets: list[np.ndarray], percent: int = PERCENT):
-        self.sizes, self.percent = [len(s) for s in sets], percent
-        tokens, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), self.sizes)
+    def __init__(self, sets: list[np.ndarray], percent: int = PERCENT, sizes: list[int] | None = None, ends: list[int] | None = None):
+        """`sizes` says that the sets are prefixes (or what is shared of them) of sets of these sizes,
+        `ends` where in the order of tokens the prefixes end."""
+        self.ends = ends
+        self.sizes, self.percent = sizes or [len(s) for s in sets], percent
+        tokens, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
         order = np.argsort(tokens, kind="stable")
         tokens, owner = tokens[order], owner[order]
         begins = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
@@ -131,11 +138,21 @@ class TOccurrence:
             if at < len(entries) and entries[at] == node:
                 del entries[at]
 
+    def needed(self, i: int, k: int) -> int:
+        """The overlap of two sets; of their prefixes, what the rest of the prefix that ends first, in
+        which all other shared tokens stand, leaves of it."""
+        n, m = self.sizes[i], self.sizes[k]
+        whole = least_overlap(n, m, self.percent)
+        if self.ends is None:
+            return whole
+        rest = [x - prefix_length(x, self.percent) for x, end in ((n, self.ends[i]), (m, self.ends[k])) if end <= min(self.ends[i], self.ends[k])]
+        return max(1, whole - max(rest))
+
     def search(self, node: int) -> list[int]:
         """The nodes still in the lists, other than `node`, that reach the overlap with it."""
         n = self.sizes[node]
         lists = [x for i in self.lists_of[node] if (x := self.lists[i])]
-        least = least_overlap(n, -(-self.percent * n // 100), self.percent)
+        least = least_overlap(n, -(-self.percent * n // 100), self.percent) if self.ends is None else 1
         if len(lists) < least:
             return []
         lists.sort(key=len)
@@ -146,9 +163,10 @@ class TOccurrence:
         for other, count in merge_skip(short, least - long):
             if other == node:
                 continue
-            need = least_overlap(n, self.sizes[other], self.percent)
-            if need > min(n, self.sizes[other]):
+            m = self.sizes[other]
+            if 100 * min(n, m) < self.percent * max(n, m):
                 continue
+            need = self.needed(node, other)
             left = len(probed)
             for entries in probed:
                 if count >= need or count + left < need:
@@ -189,10 +207,10 @@ def merge_skip(lists: list[list[int]], least: int) -> Iterator[tuple[int, int]]:
                 heapq.heappush(heap, (entries[p], i))
 
 
-def spanning_links(sets: list[np.ndarray], percent: int = PERCENT) -> list[tuple[int, int]]:
+def spanning_links(sets: list[np.ndarray], percent: int = PERCENT, sizes: list[int] | None = None, ends: list[int] | None = None) -> list[tuple[int, int]]:
     """Links that span each component of the sets: from each reached node, those not yet reached are
     searched for and taken out of the lists."""
-    index, links, reached = TOccurrence(sets, percent), [], [False] * len(sets)
+    index, links, reached = TOccurrence(sets, percent, sizes, ends), [], [False] * len(sets)
     for start in range(len(sets)):
         if reached[start]:
             continue
@@ -263,39 +281,64 @@ def rarity_classes(nodes: DataFrame) -> np.ndarray:
 
 
 def prefix_tokens(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int, classes: np.ndarray) -> DataFrame:
-    """Rows (token, key, n): the rarest tokens of each set, as many as similar sets must share one of."""
+    """Rows (token, key, n, stop, heavy): the rarest tokens of each set, as many as similar sets must
+    share one of. stop grows with the place of the last of them in the order of tokens; heavy ones may
+    be in too many sets for one task."""
     shared = docs.sparkSession.sparkContext.broadcast(classes)
 
     def run(batches):
         seen: set[int] = set()
         for batch in slices(batches, "text", 1_000_000):
-            tokens, keys, sizes = [], [], []
+            tokens, keys, sizes, stops, heavy = [], [], [], [], []
             for s in shingle_sets(utf8(batch.column("text")), words):
                 if not len(s) or (key := set_key(s)) in seen:
                     continue
                 if len(seen) < 500_000:
                     seen.add(key)
-                order = np.lexsort((s, shared.value[s & np.uint64(SLOTS - 1)]))[: prefix_length(len(s), percent)]
+                rarity = shared.value[s & np.uint64(SLOTS - 1)]
+                order = np.lexsort((s, rarity))[: prefix_length(len(s), percent)]
                 tokens.append(s[order])
+                heavy.append(rarity[order] >= HEAVY_CLASS)
+                stop = int(rarity[order[-1]]) << 24 | int(s[order[-1]] >> np.uint64(40))
+                stops.append(np.full(len(order), stop, np.int32))
                 keys.append(np.full(len(order), key, np.int64))
                 sizes.append(np.full(len(order), len(s), np.int32))
             if tokens:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(keys)), pa.array(np.concatenate(sizes))], ["token", "key", "n"])
-
-    return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "token long, key long, n int")
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(keys)), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(stops)), pa.array(np.concatenate(heavy))], ["token", "key", "n", "stop", "heavy"])
+
+    return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "token long, key long, n int, stop int, heavy boolean")
+
+
+def shared_tokens(prefix: DataFrame, any_heavy: bool) -> DataFrame:
+    """Rows (token, key, n, stop, hub) of the tokens that several nodes have; hub is the least of them. A
+    window per token, but for heavy tokens aggregates and a join, which Spark splits where they are
+    skewed."""
+    window = Window.partitionBy("token")
+    light = prefix.filter(~F.col("heavy")).select("token", "key", "n", "stop").withColumns({"hub": F.min("key").over(window), "last": F.max("key").over(window)})
+    out = light.filter("hub != last").drop("last")
+    if any_heavy:
+        heavy = prefix.filter("heavy").select("token", "key", "n", "stop")
+        hubs = heavy.groupBy("token").agg(F.min("key").alias("hub"), F.max("key").alias("last")).filter("hub != last").drop("last")
+        out = out.unionByName(heavy.join(hubs, "token"))
+    return out
 
 
 def node_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """Rows (key, tokens) of the nodes of the documents with `wanted`'s ids k."""
+    """Rows (key, tokens): the sets of the wanted nodes, each from the document k that `wanted` (key, k)
+    names. Rows that repeat a document repeat its set."""
     rows = wanted.count()
-    some = docs.select(_id(id_col).alias("k"), F.col(text_col).alias("text")).join(F.broadcast(wanted) if 8 * rows <= BROADCAST_BYTES else wanted, "k", "left_semi")
+    some = docs.select(_id(id_col).alias("k"), F.col(text_col).alias("text")).join(F.broadcast(wanted) if 16 * rows <= BROADCAST_BYTES else wanted, "k")
 
     def run(batches):
         for batch in slices(batches, "text", 1_000_000):
-            sets = [s for s in shingle_sets(utf8(batch.column("text")), words) if len(s)]
-            yield pa.RecordBatch.from_arrays([pa.array(map(set_key, sets), pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["key", "tokens"])
+            keys, sets = [], []
+            for s, key in zip(shingle_sets(utf8(batch.column("text")), words), batch.column("key").to_pylist()):
+                if len(s) and set_key(s) == key:
+                    keys.append(key)
+                    sets.append(s.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sets, pa.binary())], ["key", "tokens"])
 
-    return some.select("text").mapInArrow(run, "key long, tokens binary").dropDuplicates(["key"])
+    return some.select("text", "key").mapInArrow(run, "key long, tokens binary")
 
 
 def _groups(batches: Iterable[pa.RecordBatch], by: list[str]) -> Iterator[list[dict]]:
@@ -314,21 +357,25 @@ def _groups(batches: Iterable[pa.RecordBatch], by: list[str]) -> Iterator[list[d
         yield held
 
 
-def _search_blocks(rows: DataFrame, by: list[str], crossing: bool, percent: int) -> DataFrame:
-    """Links (a, b), a > b, from each group of rows (key, tokens, and for crossing component, asked)."""
+def _search(rows: DataFrame, by: list[str], how: str, percent: int) -> DataFrame:
+    """Links (a, b), a > b, from each group of rows: key and tokens (a set's bytes, or for "prefixes" an
+    array beside n and stop), for "crossing" also component and asked."""
+
+    def links_of(group: list[dict]) -> list[tuple[int, int]]:
+        if how == "prefixes":
+            return spanning_links([np.array(r["tokens"], np.int64) for r in group], percent, [r["n"] for r in group], [r["stop"] for r in group])
+        sets = [np.frombuffer(r["tokens"], np.uint64) for r in group]
+        if how == "crossing":
+            return crossing_links(sets, [r["component"] for r in group], [r["asked"] for r in group], percent)
+        return spanning_links(sets, percent)
 
     def run(batches):
         a, b = [], []
         for group in _groups(batches, by):
-            if len(group) > 1:
-                group.sort(key=lambda r: len(r["tokens"]))
-                sets = [np.frombuffer(r["tokens"], np.uint64) for r in group]
-                if crossing:
-                    links = crossing_links(sets, [r["component"] for r in group], [r["asked"] for r in group], percent)
-                else:
-                    links = spanning_links(sets, percent)
-                a += [max(group[x]["key"], group[y]["key"]) for x, y in links]
-                b += [min(group[x]["key"], group[y]["key"]) for x, y in links]
+            group = sorted({r["key"]: r for r in group}.values(), key=lambda r: (len(r["tokens"]), r["key"]))
+            for x, y in links_of(group) if len(group) > 1 else ():
+                a.append(max(group[x]["key"], group[y]["key"]))
+                b.append(min(group[x]["key"], group[y]["key"]))
             if len(a) > 10_000:
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
                 a, b = [], []
@@ -355,36 +402,48 @@ def components(links: DataFrame) -> DataFrame:
         before = now
 
 
+def candidate_groups(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int, chunk: int, classes: np.ndarray) -> DataFrame:
+    """Rows (key, n, root): the nodes that may link, by group. A block's nodes are searched by their
+    shared prefix tokens; the nodes of a block too heavy for that are one group."""
+    prefix = prefix_tokens(docs, id_col, text_col, words, percent, classes)
+    shared = shared_tokens(prefix, bool((classes >= HEAVY_CLASS).any()))
+    nodes = written(shared.groupBy("key").agg(F.max("n").alias("n"), F.max("stop").alias("stop"), F.collect_list("token").alias("tokens"), F.collect_set("hub").alias("hubs")), "shared")
+    blocks = nodes.select("key", "n", "stop", "tokens", F.explode("hubs").alias("hub"))
+    heavy = written(blocks.groupBy("hub").agg(F.sum(F.size("tokens")).alias("weight")).filter(F.col("weight") > chunk).select("hub"), "heavy")
+    links = _search(blocks.join(heavy, "hub", "left_anti") if not heavy.isEmpty() else blocks, ["hub"], "prefixes", percent)
+    if not heavy.isEmpty():
+        links = links.union(blocks.join(heavy, "hub", "left_semi").filter("key != hub").select(F.col("key").alias("a"), F.col("hub").alias("b")))
+    roots = components(written(links, "candidates"))
+    roots = roots.union(roots.select("root", "root").distinct())
+    return written(roots.join(nodes.select("key", "n"), "key"), "groups")
+
+
 def similarity_links(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, words: int, percent: int, chunk: int) -> DataFrame:
     """Links (a, b) between nodes that span every component of the similarity graph."""
-    spark = docs.sparkSession
-    classes = rarity_classes(nodes)
-    prefix = written(prefix_tokens(docs, id_col, text_col, words, percent, classes), "prefix")
-    shared = prefix.groupBy("token").agg(F.min("key").alias("hub"), F.max("key").alias("last")).filter("hub != last").select("token", "hub")
-    blocks = written(prefix.join(shared, "token").select("hub", "key", "n").distinct(), "blocks")
-    cuts = blocks.groupBy("hub").agg(F.ceil(F.sum("n") / chunk).cast("int").alias("chunks"))
-    # the hub stands in every chunk, so that chunks of one group of near copies are connected
-    place = F.when(F.col("key") == F.col("hub"), F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("key"), F.col("chunks")).cast("int")))
-    placed = written(blocks.join(cuts, "hub").withColumn("chunk", F.explode(place)), "placed")
-    wanted = written(nodes.filter("key is not null").groupBy("key").agg(F.min("k").alias("k")).join(blocks.select("key").distinct(), "key", "left_semi").select("k").distinct(), "wanted")
-    sets = written(node_sets(docs, wanted, id_col, text_col, words), "sets")
-    links = written(_search_blocks(placed.join(sets, "key").select("hub", "chunk", "key", "tokens"), ["hub", "chunk"], False, percent), "links")
+    groups = candidate_groups(docs, id_col, text_col, words, percent, chunk, rarity_classes(nodes))
+    cuts = groups.groupBy("root").agg(F.ceil(F.sum("n") / chunk).cast("int").alias("chunks"))
+    # the root stands in every chunk, so that chunks of one group of near copies are connected
+    place = F.when(F.col("key") == F.col("root"), F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("key"), F.col("chunks")).cast("int")))
+    placed = written(groups.join(cuts, "root").withColumn("chunk", F.explode(place)), "placed")
+    wanted = written(nodes.filter("key is not null").groupBy("key").agg(F.min("k").alias("k")).join(groups.select("key"), "key", "left_semi"), "wanted")
+    sets = node_sets(docs, wanted, id_col, text_col, words)
+    small = 32 * placed.count() <= BROADCAST_BYTES
+    where = placed.select("root", "chunk", "key")
+    links = written(_search(sets.join(F.broadcast(where) if small else where, "key"), ["root", "chunk"], "sets", percent), "links")
     several = placed.filter("chunks > 1")
     if several.isEmpty():
         return links
-    roots = components(links)
-    several = written(several.join(roots, "key", "left").withColumn("component", F.coalesce("root", "key")).drop("root"), "several")
-    main = several.filter("key = hub").select("hub", F.col("component").alias("main")).distinct()
-    rest = several.join(main, "hub").filter("component != main").select("hub", "key", "n", "component").distinct()
-    # the nodes apart from their hub's component, dealt into groups of about a chunk, meet every chunk
-    groups = rest.groupBy("hub").agg(F.ceil(F.sum("n") / chunk).cast("int").alias("groups"))
-    rest = rest.join(groups, "hub").withColumn("part", F.pmod(F.xxhash64("key", F.lit(1)), F.col("groups")).cast("int"))
-    pairs = several.select("hub", "chunk").distinct().join(rest.select("hub", "part").distinct(), "hub")
-    own = several.select("hub", "chunk", "key", "component").join(pairs, ["hub", "chunk"]).withColumn("asked", F.lit(False))
-    asked = pairs.join(rest.select("hub", "part", "key", "component"), ["hub", "part"]).withColumn("asked", F.lit(True))
-    met = own.unionByName(asked).groupBy("hub", "chunk", "part", "key").agg(F.max("component").alias("component"), F.max("asked").alias("asked"))
-    more = _search_blocks(met.join(sets, "key"), ["hub", "chunk", "part"], True, percent)
-    return written(spark.read.schema("a long, b long").parquet(*links.inputFiles()).union(more), "links")
+    several = written(several.join(components(links).withColumnRenamed("root", "__c"), "key", "left").withColumn("component", F.coalesce("__c", "key")).drop("__c"), "several")
+    main = several.filter("key = root").select("root", F.col("component").alias("main")).distinct()
+    rest = several.join(main, "root").filter("component != main").select("root", "key", "n", "component").distinct()
+    # the nodes apart from their root's component, dealt into parts of about a chunk, meet every chunk
+    parts = rest.groupBy("root").agg(F.ceil(F.sum("n") / chunk).cast("int").alias("parts"))
+    rest = rest.join(parts, "root").withColumn("part", F.pmod(F.xxhash64("key", F.lit(1)), F.col("parts")).cast("int"))
+    pairs = several.select("root", "chunk").distinct().join(rest.select("root", "part").distinct(), "root")
+    own = several.select("root", "chunk", "key", "component").join(pairs, ["root", "chunk"]).withColumn("asked", F.lit(False))
+    asked = pairs.join(rest.select("root", "part", "key", "component"), ["root", "part"]).withColumn("asked", F.lit(True))
+    met = own.unionByName(asked).groupBy("root", "chunk", "part", "key").agg(F.max("component").alias("component"), F.max("asked").alias("asked"))
+    return links.union(written(_search(sets.join(met, "key"), ["root", "chunk", "part"], "crossing", percent), "crossing"))
 
 
 def ngram_components(
@@ -422,8 +481,6 @@ def near_duplicates_removed(docs: DataFrame, id_col: str = "doc_id", text_col: s
 
 def _of_repeated_ids(keyed: DataFrame, repeated: DataFrame, columns: list[str], id_col: str, text_col: str, options: dict) -> DataFrame:
     """The rows to keep of ids that several rows have: sets decide there, so each row's is named again."""
-    from pyspark.sql import Window
-
     rows = keyed.join(repeated, "__k", "left_semi").withColumn("__text", F.coalesce(F.col(text_col), F.lit("")))
     words = options.get("words", WORDS)
 

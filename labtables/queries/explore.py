@@ -77,12 +77,14 @@ def visible_projection(spark, sf):
     return x.table_view(t(spark, sf, "part"), {"p_size": [1, 2, 3]}, "a", ["p_name"], ["p_name", "nope", "p_partkey", "p_name", "p_size"], "p_brand", True, "p_partkey")
 
 
-RAW_PART = F.when(F.col("p_partkey") % 7 == 0, "n/a").when(F.col("p_partkey") % 7 == 1, "  None ").when(F.col("p_partkey") % 7 == 2, "1e3x").when(F.col("p_partkey") % 7 == 3, F.concat(F.lit("+"), F.col("p_size").cast("string"), F.lit("e1"))).otherwise(F.concat(F.lit(" "), F.col("p_size").cast("string")))
+def raw_part():
+    """Cells with sentinels, junk and numbers planted by key."""
+    return F.when(F.col("p_partkey") % 7 == 0, "n/a").when(F.col("p_partkey") % 7 == 1, "  None ").when(F.col("p_partkey") % 7 == 2, "1e3x").when(F.col("p_partkey") % 7 == 3, F.concat(F.lit("+"), F.col("p_size").cast("string"), F.lit("e1"))).otherwise(F.concat(F.lit(" "), F.col("p_size").cast("string")))
 
 
 @query("""SELECT p_partkey, CASE WHEN p_partkey % 7 = 3 THEN p_size * 10.0::DOUBLE WHEN p_partkey % 7 > 3 THEN p_size::DOUBLE END AS number, p_partkey % 7 = 2 AS junk FROM part""")
 def parse_numeric(spark, sf):
-    return t(spark, sf, "part").withColumn("raw", RAW_PART).select("p_partkey", c.parse_number("raw").alias("number"), c.is_junk_number("raw").alias("junk"))
+    return t(spark, sf, "part").withColumn("raw", raw_part()).select("p_partkey", c.parse_number("raw").alias("number"), c.is_junk_number("raw").alias("junk"))
 
 
 @query("""SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN NULL WHEN p_partkey % 5 = 1 THEN 'na' ELSE trim(regexp_replace(p_name, '\\s+', ' ', 'g')) END AS cell FROM part""")
@@ -98,14 +100,15 @@ def melt_measures(spark, sf):
     return x.melt(df, ["l_orderkey", "l_linenumber", "l_partkey"], ["l_quantity", "l_discount", "l_tax"]).withColumn("value", r6("value"))
 
 
-TG = F.when(F.col("p_partkey") % 3 != 0, (F.col("p_partkey") % 60 - 30).cast("double"))
+def planted_tg():
+    return F.when(F.col("p_partkey") % 3 != 0, (F.col("p_partkey") % 60 - 30).cast("double"))
 
 
 @query("""WITH p AS (SELECT p_partkey, p_size, CASE WHEN p_partkey % 3 <> 0 THEN (p_partkey % 60 - 30)::DOUBLE END AS tg FROM part)
 SELECT p_partkey, round(1000.0::DOUBLE / (p_size + 273.15::DOUBLE), 6) AS arrhenius, round((p_size + 273.15::DOUBLE) / (tg + 273.15::DOUBLE), 6) AS tg_ratio,
 CASE WHEN p_size - tg + 50 <> 0 THEN round(1000.0::DOUBLE / (p_size - tg + 50), 6) END AS tg_shifted FROM p""")
 def axis_transforms(spark, sf):
-    df = t(spark, sf, "part").withColumn("tg", TG)
+    df = t(spark, sf, "part").withColumn("tg", planted_tg())
     return df.select("p_partkey", *[r6(c.axis_transform(m, "p_size", "tg")).alias(m) for m in ("arrhenius", "tg_ratio", "tg_shifted")])
 
 
@@ -162,7 +165,7 @@ count(*) FILTER (WHERE tg IS NOT NULL AND y > 0 AND t - tg + 50 <> 0) AS good FR
 SELECT CAST(count(*) FILTER (WHERE NOT lacking) AS BIGINT) AS considered, CAST(count(*) FILTER (WHERE lacking) AS BIGINT) AS without_tg, CAST(sum(low) AS BIGINT) AS non_positive,
 CAST(sum(nox) AS BIGINT) AS undefined_x, CAST(count(*) FILTER (WHERE good > 0) AS BIGINT) AS drawn FROM p""")
 def series_report(spark, sf):
-    df = t(spark, sf, "part").select("p_partkey", TG.alias("tg"), (F.col("p_retailprice") - 1000).alias("at25"), F.col("p_size").cast("double").alias("at60"))
+    df = t(spark, sf, "part").select("p_partkey", planted_tg().alias("tg"), (F.col("p_retailprice") - 1000).alias("at25"), F.col("p_size").cast("double").alias("at60"))
     return s.series_report(df, "p_partkey", {"at25": 25, "at60": 60}, "tg_shifted", "tg")
 
 
