@@ -77,6 +77,25 @@ def test_spanning_links_give_the_components(seed):
     assert sorted(((False, k, len(sets[i]), low[find(i)]) for i, (k, _) in enumerate(rows)), key=str) == brute(rows)
 
 
+@pytest.mark.parametrize("seed", range(12))
+def test_prefixes_connect_what_links(seed):
+    """Sets that link are connected by their prefixes too, whatever the order of tokens."""
+    sets = [s for s in j.shingle_sets([(t or "").encode() for _, t in corpus(seed)]) if len(s)]
+    sizes = [len(s) for s in sets]
+    prefixes = [s[: j.prefix_length(len(s))] for s in sets]
+    links = j.spanning_links(prefixes, sizes=sizes, ends=[int(p[-1] >> 40) for p in prefixes])
+    root = list(range(len(sets)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        root[find(a)] = find(b)
+    assert all(find(a) == find(b) for a, b in j.spanning_links(sets))
+
+
 def test_search_and_merge():
     assert list(j.merge_skip([[1, 3, 5], [1, 5, 9], [2, 5]], 2)) == [(1, 2), (5, 3)]
     assert list(j.merge_skip([[1], [1]], 3)) == []
@@ -88,8 +107,9 @@ def test_search_and_merge():
         assert list(j.merge_skip(lists, least)) == want
 
 
-@pytest.mark.parametrize("seed,chunk", [(4, 2_000_000), (5, 150)])
-def test_components_as_all_pairs(spark, seed, chunk):
+@pytest.mark.parametrize("seed,chunk,heavy", [(4, 2_000_000, 17), (5, 150, 17), (6, 2_000_000, 1), (7, 400, 17)])
+def test_components_as_all_pairs(spark, monkeypatch, seed, chunk, heavy):
+    monkeypatch.setattr(j, "HEAVY_CLASS", heavy)
     rows = corpus(seed)
     df = spark.createDataFrame([(k, t, "x") for k, t in rows], "doc_id long, text string, component_id string").repartition(5)
     got = sorted(((r.doc_id is None, r.doc_id, r.n_shingles, r.component_id) for r in j.ngram_components(df, chunk=chunk).collect()), key=str)
