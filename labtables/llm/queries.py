@@ -16,6 +16,7 @@ from .mixing import ORACLE as MIX_SQL
 from .mixing import mix_plan
 from .ngram_join import ngram_components
 from .packing import packed_digests, scratch_folder
+from .secret_scan import oracle as secret_sql
 from .secret_scan import secret_report
 from .wordpiece import token_counts
 
@@ -66,4 +67,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": MIX_SQL}
+    return {"op2_mixing": MIX_SQL, "op3_secrets": secret_sql()}

@@ -193,3 +193,29 @@ def redact_secrets(docs: DataFrame, text_col: str = "text", mark: str = "[secret
         F.when(i > 0, F.get(m, i - 1)["end"]).otherwise(0), lambda a: F.substring(text, a + 1, F.coalesce(F.get(m, i)["start"], F.char_length(text)) - a)))
     clean = F.when(F.size(spans) > 0, F.array_join(let(merged, pieces), mark)).otherwise(text)
     return found.withColumn(text_col, clean).drop("__spans")
+
+
+def oracle() -> str:
+    """secret_report of documents in DuckDB's SQL: positions from pieces between matches, and each
+    window's entropy from a histogram of its own."""
+    rules = "|".join(f"(?:{a})" for a in ALLOWED)
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    runs, parts = r"[0-9A-Za-z+/_=-]{20,}", []
+    for i, (_, pattern, group, least) in enumerate(BASE_KINDS):
+        parts.append(f"SELECT doc_id, {i} AS kind, {least} AS least, regexp_extract_all(t, {quoted(pattern)}, 0) AS hits, regexp_extract_all(t, {quoted(pattern)}, {group}) AS sized, string_split_regex(t, {quoted(pattern)}) AS gaps FROM d WHERE regexp_matches(t, {quoted(pattern)})")
+    parts.append(f"SELECT doc_id, {len(BASE_KINDS)}, 0, regexp_extract_all(t, {quoted(runs)}, 0), NULL, string_split_regex(t, {quoted(runs)}) FROM d WHERE regexp_matches(t, {quoted(runs)})")
+    hot = []
+    for i, c in enumerate(ENTROPY_CLASSES):
+        most = math.floor((math.log2(c.window) - c.bits) * c.window * SCALE)
+        own = "regexp_full_match(hit, '[0-9A-Fa-f]{24,}')" if c.name == "entropy_hex" else "true"
+        hot.append(f"""SELECT doc_id, {len(BASE_KINDS) + i} AS kind, {quoted(c.name)} AS name, start + min(w) AS start, start + max(w) + {c.window} AS stop FROM (
+SELECT doc_id, nth, start, hit, unnest(range(length(hit) - {c.window} + 1)) AS w FROM s WHERE kind = {len(BASE_KINDS)} AND {own} AND length(hit) >= {c.window} AND NOT regexp_matches(hit, {quoted(rules)}))
+WHERE list_sum([{entropy_terms(c.window)}[CAST(n AS BIGINT) + 1] for n in map_values(list_aggregate(string_split(substring(hit, w + 1, {c.window}), ''), 'histogram'))]) <= {most} GROUP BY doc_id, nth, start""")
+    names = "[" + ", ".join(quoted(k) for k, *_ in BASE_KINDS) + "]"
+    line = lambda where: f"coalesce(string_agg(name || ':' || start || ':' || stop, ',' ORDER BY start, kind){where}, '')"
+    counts = ", ".join(f"CAST(count(*) FILTER (WHERE kind = {i}) AS BIGINT) AS n_{k}" for i, (k, *_) in enumerate(BASE_KINDS))
+    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), m AS ({" UNION ALL ".join(parts)}),
+x AS (SELECT doc_id, kind, least, hits, sized, gaps, unnest(range(len(hits))) AS nth FROM m),
+s AS (SELECT doc_id, kind, nth, hits[nth + 1] AS hit, CAST(list_sum([length(g) for g in gaps[1:nth + 1]]) + coalesce(list_sum([length(h) for h in hits[1:nth]]), 0) AS BIGINT) AS start, sized IS NULL OR length(sized[nth + 1]) >= least AS ok FROM x),
+a AS (SELECT doc_id, kind, {names}[kind + 1] AS name, start, start + length(hit) AS stop FROM s WHERE ok AND kind < {len(BASE_KINDS)} UNION ALL {" UNION ALL ".join(hot)})
+SELECT d.doc_id, {counts}, sha256({line(f" FILTER (WHERE kind < {len(BASE_KINDS)})")}) AS base_sha256, {line(" FILTER (WHERE kind IS NOT NULL)")} AS spans FROM d LEFT JOIN a ON a.doc_id = d.doc_id GROUP BY d.doc_id"""
