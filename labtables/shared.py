@@ -1,10 +1,12 @@
-"""Cutting a plan's lineage in the folder that the driver and all executors share."""
+"""What a cluster's machines share: checkpoints in the common folder, and this package."""
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -19,3 +21,24 @@ def cut(df: DataFrame) -> DataFrame:
             at = tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")
         context.setCheckpointDir(at)
     return df.checkpoint()
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once per application, so that tasks can import it wherever
+    the driver found it."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="spark-package-"), "labtables.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for folder, _, names in os.walk(package):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    z.write(path, os.path.relpath(path, os.path.dirname(package)))
+    context.addPyFile(archive)
+    _SHIPPED.add(context.applicationId)
