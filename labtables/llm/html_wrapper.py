@@ -190,6 +190,10 @@ def shape(element: Element) -> list:
     return folded(out)
 
 
+#: Elements that hold text rather than blocks; share of an element's text that one below must hold to
+#: take its place.
+TEXT_LEVEL = frozenset("p pre blockquote li dt dd td th h1 h2 h3 h4 h5 h6".split())
+SHARE_BELOW = 0.7
 #: The first element of a page's wrapper, whose slot counts pages.
 COUNTER = "^"
 
@@ -282,17 +286,35 @@ class Wrapper:
         open_ = [(path, children) for path, children in every if not any(_is_dropped(p) for p in path)]
         named = lambda test: {path for path, _ in open_ if path and test(path[-1])}
         self.roots = named(lambda p: _name(p) == "article") or named(lambda p: p.endswith(":m") or _name(p) == "main")
+        self.skipped: set[tuple] = set()
         if not self.roots:
-            scores: dict[tuple, float] = {}
-            for path, children in open_:
-                for slot in children:
-                    same = slot[4] >= 0 and pages >= 3 and slot[1] >= pages
-                    if slot[0] == "#" and not same:
-                        weight = slot[2] - 2 * slot[3]
-                        holder = path[:-1] if path and _name(path[-1]) in ("p", "pre", "blockquote", "li", "h1", "h2", "h3", "h4", "h5", "h6") else path
-                        scores[holder] = scores.get(holder, 0) + weight
-            best = max(sorted(scores), key=lambda p: scores[p], default=None)
-            self.roots = {best} if best is not None and scores[best] > 0 else set()
+            self._find_root(open_, pages)
+
+    def _find_root(self, open_: list[tuple[tuple, list]], pages: int) -> None:
+        """Without article elements: the deepest element that still holds most of the text that varies
+        and isn't linked, a heading beside it included. Slots that are the same on all pages, or mostly
+        links, are left out."""
+        own: dict[tuple, int] = {}
+        for path, children in open_:
+            chars, linked = sum(s[2] for s in children), sum(s[3] for s in children)
+            same = pages >= 3 and any(children) and all(s[4] >= 0 and s[1] >= pages for s in children)
+            if same or 2 * linked > chars:
+                self.skipped.add(path)
+            else:
+                own[path] = own.get(path, 0) + chars
+        total: dict[tuple, int] = {}
+        for path, chars in own.items():
+            for k in range(len(path) + 1):
+                total[path[:k]] = total.get(path[:k], 0) + chars
+        at: tuple = ()
+        while True:
+            below = sorted((p for p in total if len(p) == len(at) + 1 and p[: len(at)] == at), key=lambda p: (-total[p], p))
+            if not below or _name(below[0][-1]) in TEXT_LEVEL or total[below[0]] < SHARE_BELOW * total.get(at, 0):
+                break
+            if any(_name(p[-1]) in ("h1", "h2", "h3") and own.get(p) for p in below[1:]):
+                break
+            at = below[0]
+        self.roots = {at} if total.get(at) else set()
 
     def _walk(self, nodes: list, path: tuple) -> Iterator[tuple[tuple, list]]:
         flat = list(_flat(nodes))
@@ -324,16 +346,16 @@ def wrapper_of(text: str) -> Wrapper:
     return Wrapper(json.loads(text))
 
 
-def blocks_of(element: Element, out: list[str], inside: bool = False) -> None:
-    """The element's blocks of text, in order."""
+def blocks_of(element: Element, out: list[str], path: tuple = (), skipped: frozenset | set = frozenset()) -> None:
+    """The element's blocks of text, in order, but for the slots at skipped paths."""
     run: list[str] = []
 
     def block():
-        if run:
+        if run and path not in skipped:
             words = " ".join(html.unescape("".join(run)).split())
             if words:
                 out.append(words)
-            run.clear()
+        run.clear()
 
     for child in element.children:
         if not isinstance(child, Element):
@@ -343,7 +365,7 @@ def blocks_of(element: Element, out: list[str], inside: bool = False) -> None:
         else:
             block()
             if not child.dropped or (child.name == "header" and child.label == "header" and element.name in ("article", "main")):
-                blocks_of(child, out)
+                blocks_of(child, out, (*path, child.label), skipped)
     block()
 
 
@@ -359,13 +381,13 @@ def article_text(page: Element, wrapper: Wrapper) -> str | None:
                 at = (*path, child.label)
                 if at in wrapper.roots:
                     found = True
-                    blocks_of(child, out)
+                    blocks_of(child, out, at, wrapper.skipped)
                 else:
                     visit(child, at)
 
     if () in wrapper.roots:
         found = True
-        blocks_of(page, out)
+        blocks_of(page, out, (), wrapper.skipped)
     else:
         visit(page, ())
     return "\n".join(out) if found else None

@@ -48,6 +48,21 @@ def test_wrapper_without_article():
     assert w.main_text(pages[2], wrapper) == "Title 3\nStory 3 0\nStory 3 1\nStory 3 2"
 
 
+def test_wrapper_of_plain_containers():
+    """No article element: headings, bodies in several parts, a list of links and a fixed greeting."""
+    import json
+
+    def make(i):
+        body = "".join(f"<div class='para'>Paragraph {i} {k} with quite some words in it</div>" for k in range(1, i + 2))
+        menu = "".join(f"<li><a href='/{k}'>Link {i} {k}</a></li>" for k in range(8))
+        return f"<body><div id='top'>Example site, a fixed greeting</div><div class='links'><ul>{menu}</ul></div><div id='story'><h1>Title {i}</h1><div class='text'>{body}</div><div class='comment-list'><p>Nice story {i}</p></div></div><div id='end'>The end, always</div></body>"
+
+    pages = [make(i) for i in range(1, 6)]
+    wrapper = json.dumps(plain(pages))
+    for i, p in enumerate(pages, 1):
+        assert w.main_text(p, wrapper) == "\n".join([f"Title {i}", *(f"Paragraph {i} {k} with quite some words in it" for k in range(1, i + 2))])
+
+
 def test_groups():
     a = w.shape(w.parse("<ul><li>1</li><li>2</li></ul><h2>x</h2><p>y</p><h2>x</h2><p>y</p>"))
     kinds = [n[0] for n in a]
