@@ -81,3 +81,27 @@ def search_stats(nodes: DataFrame) -> DataFrame:
     """Candidates, judged and likely ones, seeds (round 0) aside."""
     rest = F.col("round") > 0
     return nodes.agg(F.count_if(rest).alias("candidates"), F.count_if(rest & F.col("score").isNotNull()).alias("judged"), F.count_if(rest & (F.col("score") >= 2)).alias("likely"))
+
+
+WORK = "id string, title string, type string, cited_by_count long, primary_location struct<source:struct<display_name:string>>, authorships array<struct<author:struct<display_name:string>>>, open_access struct<oa_url:string>, referenced_works array<string>"
+
+
+def flatten_works(works: DataFrame, payload: str) -> DataFrame:
+    """Nested JSON work records as flat rows: source and open-access address may be missing, authors and
+    references are lists, empty where the record has none."""
+    r = F.from_json(payload, WORK)
+    names = F.filter(F.transform(r["authorships"], lambda a: a["author"]["display_name"]), lambda n: n.isNotNull())
+    none = F.array().cast("array<string>")
+    return works.select(
+        r["id"].alias("node"), r["title"].alias("title"), r["type"].alias("type"), F.coalesce(r["cited_by_count"], F.lit(0)).alias("cited"), r["primary_location"]["source"]["display_name"].alias("source"),
+        F.coalesce(names, none).alias("authors"), r["open_access"]["oa_url"].alias("open_url"), F.coalesce(r["referenced_works"], none).alias("references"),
+    )
+
+
+def of_types(nodes: DataFrame, types: tuple[str, ...] = ("article", "preprint", "review")) -> DataFrame:
+    return nodes.filter(F.col("type").isin(*types))
+
+
+def open_only(nodes: DataFrame, url: str = "open_url") -> tuple[DataFrame, DataFrame]:
+    """Nodes with an open address, and one row that counts them."""
+    return nodes.filter(F.col(url).isNotNull()), nodes.agg(F.count(url).alias("open"))

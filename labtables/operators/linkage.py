@@ -200,3 +200,28 @@ def match_key(points: DataFrame, key: DataFrame, group: Sequence[str], t_tol: fl
     found = p.join(k, [*group, "slot"]).filter(near)
     # the first unused key row of each point, points in order
     return found.select(*group, "pred_id", "gold_id", F.col("pred_id").cast("double").alias("distance"), F.lit("exact").alias("quality"))
+
+
+def evidence(mapping: DataFrame, docs: DataFrame, text: str, reach: int = 3000) -> DataFrame:
+    """What in the first characters of a file's text speaks for its paper: mapping has (file, paper,
+    reference, doi), docs (file, text). Returns (file, has_doi, has_pages): the bare DOI, or the page
+    range of the reference with any dash."""
+    head = F.regexp_replace(F.lower(F.substring(F.col(text), 1, reach)), "[‐‑‒–—−]", "-")
+    span = F.regexp_extract(F.regexp_replace("reference", "[‐‑‒–—−]", "-"), r"(\d+)\s*-\s*(\d+)", 0)
+    pages = F.regexp_replace(span, r"\s", "")
+    doi = F.lower(F.regexp_replace("doi", r"(?i)^(https?://)?(dx\.)?doi\.org/|^doi:\s*", ""))
+    both = mapping.join(docs.select("file", head.alias("__head")), "file", "left").withColumns({"__doi": doi, "__pages": pages})
+    has = lambda c: F.coalesce((c != "") & F.contains(F.col("__head"), c), F.lit(False))
+    return both.select("file", has(F.col("__doi")).alias("has_doi"), has(F.col("__pages")).alias("has_pages"))
+
+
+def classify_points(points: DataFrame, key: DataFrame, group: Sequence[str], links: DataFrame, t_tol: float = 0.051, share: float = 0.006) -> DataFrame:
+    """The class of each point (group, id, t, x): exact if linked; wrong_time if a key row of its group
+    has its x, wrong_x if one has its t, not_in_table otherwise; unknown if its group has no key."""
+    linked = links.select(*group, F.col("pred_id").alias("id"), F.lit(True).alias("__linked"))
+    near = F.max((F.abs(F.col("t") - F.col("__t")) < t_tol)).alias("__same_t"), F.max(F.abs(F.col("x") - F.col("__x")) <= share * F.abs("__x")).alias("__same_x")
+    rest = points.join(linked, [*group, "id"], "left_anti")
+    seen = rest.join(key.select(*group, F.col("t").alias("__t"), F.col("x").alias("__x")), group).groupBy(*group, "id").agg(*near)
+    out = points.join(linked, [*group, "id"], "left").join(seen, [*group, "id"], "left")
+    kind = F.when(F.col("__linked"), "exact").when(F.col("__same_x").isNull(), "unknown").when(F.col("__same_x"), "wrong_time").when(F.col("__same_t"), "wrong_x").otherwise("not_in_table")
+    return out.withColumn("kind", kind).drop("__linked", "__same_t", "__same_x")
