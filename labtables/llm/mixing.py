@@ -20,7 +20,7 @@ from .common import written
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of a hash range or a range of virtual time, about.
-RANGE_ROWS = 20_000
+RANGE_ROWS = 1_000
 #: Sources up to this many rows are broadcast to the documents; more are joined by a shuffle.
 BROADCAST_SOURCES = 200_000
 #: Times that a document can be taken.
