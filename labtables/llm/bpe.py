@@ -34,7 +34,7 @@ LONG_WORD = 400
 SHORT_WORD = 48
 MATRIX_ROWS = 4096
 #: Runs between white space whose ids a Python worker keeps; beyond it the older half is dropped.
-KEPT_RUNS = 700_000
+KEPT_RUNS = 300_000
 DEFAULT_FILE = "word_bpe_49k.json"
 
 
@@ -49,6 +49,8 @@ def byte_characters() -> list[str]:
 class WordBpe:
     """Encoder and decoder of one tokenizer file."""
 
+    kept = KEPT_RUNS
+
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as file:
             config = json.load(file)
@@ -214,7 +216,7 @@ class WordBpe:
         dropped, so each run between white space is encoded once and looked up after that."""
         split = [t.split() for t in texts]
         new = list(set().union(*split) - self.runs.keys())
-        if len(self.runs) + len(new) > KEPT_RUNS:
+        if len(self.runs) + len(new) > self.kept:
             self.runs = dict(list(self.runs.items())[len(self.runs) // 2 :])
             new = list(set().union(*split) - self.runs.keys())
         if new:

@@ -99,6 +99,8 @@ class Frame:
 class LibraryBpe(WordBpe):
     """The tokenizers library's own model merges the words."""
 
+    kept = 700_000
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
