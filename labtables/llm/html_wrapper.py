@@ -46,7 +46,7 @@ WORDS = re.compile(
     r"(?:^|[^a-z])(?:ads?|advert\w*|adsense|adslot|sponsor\w*|promo\w*|cookies?|consent|gdpr|notices?|announcement|alert|warning|banner|popup|modal|overlay|toast|newsletter|"
     r"subscri\w*|paywall|side-?bars?|sidenav|rail|menus?|nav|navbar|navigation|topbar|toolbar|breadcrumbs?|pager|pagination|footer|foot|masthead|header|site-?header|page-?header|"
     r"comments?|commentlist|disqus|replies|reply|respond|discussion|share|sharing|social|related|recommend\w*|more-?(?:stories|posts)|trending|popular|widgets?|login|signin|signup|"
-    r"search|toc|skip|hidden|sr-only|visually-hidden|print-only|disclaimer|copyright|legal|tags?|tagcloud|author-?bio|byline-?box)(?:$|[^a-z])"
+    r"search|toc|skip|hidden|sr-only|visually-hidden|print-only|disclaimer|copyright|legal|tag-?cloud|tag-?list|author-?bio|byline-?box)(?:$|[^a-z])"
 )
 # the end of these closes what is open in them; another of the first kind closes an open one
 SIBLING = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "option": ("option",), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "tbody": ("tbody", "thead", "tfoot", "tr", "td", "th")}
@@ -364,11 +364,16 @@ def blocks_of(element: Element, out: list[str], path: tuple = (), skipped: froze
             continue
         else:
             block()
-            if not child.dropped or (child.name == "header" and child.label == "header" and element.name in ("article", "main")):
+            if not child.dropped or (child.name == "header" and element.name in ("article", "main") and _has_heading(child)):
                 blocks_of(child, out, (*path, child.label), skipped)
     block()
 
 
+def _has_heading(element: Element) -> bool:
+    """Whether a header is the article's own: the page's stands outside of it and names the site."""
+    return any(isinstance(c, Element) and (c.name in ("h1", "h2", "h3", "hgroup") or (c.name == "div" and _has_heading(c))) for c in element.children)
+
+
 def article_text(page: Element, wrapper: Wrapper) -> str | None:
     """The blocks of the elements that the wrapper names, one a line; None if the page has none."""
     out: list[str] = []

@@ -22,6 +22,10 @@ def test_article_only():
     assert text == "T & U\none two\na < b é\nx\ny"
 
 
+def test_headers_and_classes():
+    assert w.main_text('<header class="site"><h1>S</h1></header><article class="post tag-x"><header class="entry-header"><h1>T</h1></header><header>by me</header><div class="post tag-news"><p>b</p></div><footer>f</footer></article>', None) == "T\nb"
+
+
 def test_sloppy_markup():
     assert w.main_text("<article><h1>H</h1><p><b>B<br><p>one<p>two</article><footer>f", None) == "H\nB\none\ntwo"
     assert w.main_text("<main>a<div>b <span>c</span>d</div>e</main>", None) == "a\nb cd\ne"
