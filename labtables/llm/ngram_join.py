@@ -326,8 +326,7 @@ def shared_tokens(prefix: DataFrame, any_heavy: bool) -> DataFrame:
 def node_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
     """Rows (key, tokens): the sets of the wanted nodes, each from the document k that `wanted` (key, k)
     names. Rows that repeat a document repeat its set."""
-    rows = wanted.count()
-    some = docs.select(_id(id_col).alias("k"), F.col(text_col).alias("text")).join(F.broadcast(wanted) if 16 * rows <= BROADCAST_BYTES else wanted, "k")
+    some = docs.select(_id(id_col).alias("k"), F.col(text_col).alias("text")).join(_sized(wanted, 16), "k")
 
     def run(batches):
         for batch in slices(batches, "text", 1_000_000):
@@ -357,8 +356,27 @@ def _groups(batches: Iterable[pa.RecordBatch], by: list[str]) -> Iterator[list[d
         yield held
 
 
+def stars(n: int, links: list[tuple[int, int]], keys: list[int]) -> list[tuple[int, int]]:
+    """Each linked node of a group with the least node that its links reach there: (node, least)."""
+    root = list(range(n))
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for x, y in links:
+        x, y = find(x), find(y)
+        if keys[x] < keys[y]:
+            root[y] = x
+        else:
+            root[x] = y
+    return [(keys[x], keys[find(x)]) for x in range(n) if find(x) != x]
+
+
 def _search(rows: DataFrame, by: list[str], how: str, percent: int) -> DataFrame:
-    """Links (a, b), a > b, from each group of rows: key and tokens (a set's bytes, or for "prefixes" an
+    """Pairs (a, b) of a node and the least one it is connected to, from each group of rows: key and tokens (a set's bytes, or for "prefixes" an
     array beside n and stop), for "crossing" also component and asked."""
 
     def links_of(group: list[dict]) -> list[tuple[int, int]]:
@@ -373,9 +391,9 @@ def _search(rows: DataFrame, by: list[str], how: str, percent: int) -> DataFrame
         a, b = [], []
         for group in _groups(batches, by):
             group = sorted({r["key"]: r for r in group}.values(), key=lambda r: (len(r["tokens"]), r["key"]))
-            for x, y in links_of(group) if len(group) > 1 else ():
-                a.append(max(group[x]["key"], group[y]["key"]))
-                b.append(min(group[x]["key"], group[y]["key"]))
+            for x, y in stars(len(group), links_of(group), [r["key"] for r in group]) if len(group) > 1 else ():
+                a.append(x)
+                b.append(y)
             if len(a) > 10_000:
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
                 a, b = [], []
@@ -427,9 +445,8 @@ def similarity_links(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: s
     placed = written(groups.join(cuts, "root").withColumn("chunk", F.explode(place)), "placed")
     wanted = written(nodes.filter("key is not null").groupBy("key").agg(F.min("k").alias("k")).join(groups.select("key"), "key", "left_semi"), "wanted")
     sets = node_sets(docs, wanted, id_col, text_col, words)
-    small = 32 * placed.count() <= BROADCAST_BYTES
-    where = placed.select("root", "chunk", "key")
-    links = written(_search(sets.join(F.broadcast(where) if small else where, "key"), ["root", "chunk"], "sets", percent), "links")
+    where = _sized(placed.select("root", "chunk", "key"), 32)
+    links = written(_search(sets.join(where, "key"), ["root", "chunk"], "sets", percent), "links")
     several = placed.filter("chunks > 1")
     if several.isEmpty():
         return links
@@ -456,13 +473,22 @@ def ngram_components(
     component; an empty table gives no rows. Shingles and sets are compared by 64-bit hashes."""
     nodes = document_nodes(docs, id_col, text_col, words)
     roots = components(similarity_links(docs, nodes, id_col, text_col, words, percent, chunk))
-    found = nodes.filter("n is not null").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
-    least = found.filter("root is not null").groupBy("root").agg(F.min("k").alias("least"))
-    out = found.join(least, "root", "left")
+    # copies are counted into their node before nodes meet by component, and only nodes of components
+    # with several documents need a label
+    per_key = written(nodes.filter("key is not null").groupBy("key").agg(F.min("k").alias("own"), F.count(F.lit(1)).alias("rows")), "keys")
+    rooted = per_key.join(_sized(roots, 16), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    least = rooted.groupBy("root").agg(F.min("own").alias("least"), F.sum("rows").alias("rows")).filter("rows > 1").select("root", "least")
+    labels = written(rooted.select("key", "root").join(_sized(written(least, "least"), 16), "root").select("key", "least"), "labels")
+    out = nodes.filter("n is not null").join(_sized(labels, 16), "key", "left")
     back = lambda c: F.nullif(c, F.lit(NO_ID))
     return out.select(back(F.col("k")).alias(id_col), F.col("n").cast("long").alias("n_shingles"), back(F.coalesce("least", "k")).alias("component_id"), F.col("key").alias("set_key"))
 
 
+def _sized(df: DataFrame, row_bytes: int) -> DataFrame:
+    """`df` for a broadcast if it is known to be small, else for a shuffle join."""
+    return F.broadcast(df) if row_bytes * df.count() <= BROADCAST_BYTES else df
+
+
 def near_duplicates_removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """`docs` with one document of each component, that of the smallest id (of its rows with that id,
     one). Documents without words all stay. Dropped ids filter the texts, which are not shuffled
@@ -471,11 +497,10 @@ def near_duplicates_removed(docs: DataFrame, id_col: str = "doc_id", text_col: s
     per_id = found.filter("n_shingles > 0").groupBy("__k").agg(F.count(F.lit(1)).alias("rows"), F.min(F.col("__k") == F.col("__c")).alias("all"))
     gone = written(per_id.filter("rows = 1 and not all").select("__k"), "gone")
     repeated = written(per_id.filter("rows > 1").select("__k"), "repeated")
-    sized = lambda x: F.broadcast(x) if 8 * x.count() <= BROADCAST_BYTES else x
     keyed = docs.withColumn("__k", _id(id_col))
-    kept = keyed.join(sized(gone), "__k", "left_anti")
+    kept = keyed.join(_sized(gone, 8), "__k", "left_anti")
     if not repeated.isEmpty():
-        kept = kept.join(sized(repeated), "__k", "left_anti").select(*docs.columns).union(_of_repeated_ids(keyed, sized(repeated), docs.columns, id_col, text_col, options))
+        kept = kept.join(_sized(repeated, 8), "__k", "left_anti").select(*docs.columns).union(_of_repeated_ids(keyed, _sized(repeated, 8), docs.columns, id_col, text_col, options))
     return kept.select(*docs.columns)
 
 

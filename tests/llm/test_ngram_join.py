@@ -96,6 +96,10 @@ def test_prefixes_connect_what_links(seed):
     assert all(find(a) == find(b) for a, b in j.spanning_links(sets))
 
 
+def test_stars():
+    assert sorted(j.stars(6, [(0, 1), (2, 1), (4, 5)], [30, 20, 10, 5, 7, 9])) == [(9, 7), (20, 10), (30, 10)]
+
+
 def test_search_and_merge():
     assert list(j.merge_skip([[1, 3, 5], [1, 5, 9], [2, 5]], 2)) == [(1, 2), (5, 3)]
     assert list(j.merge_skip([[1], [1]], 3)) == []
