@@ -160,8 +160,9 @@ def _close(stack: list[Element], names: tuple[str, ...]) -> None:
             return
 
 
-# Wrapper nodes as JSON lists: ["e", label, children], ["#", pages, chars, link chars, checksum or -1],
-# ["+", children], ["?", children].
+# Wrapper nodes as JSON lists: ["e", label, children], ["#", pages, chars, link chars, checksums], ["+",
+# children], ["?", children]. A slot's checksums are those of its texts on a page, in order, while all
+# pages have the same ones, else none.
 
 
 def shape(element: Element) -> list:
@@ -172,7 +173,7 @@ def shape(element: Element) -> list:
         nonlocal chars, linked, text
         if text:
             words = " ".join(text)
-            out.append(["#", 1, chars, linked, zlib.crc32(words.encode("utf-8", "replace"))])
+            out.append(["#", 1, chars, linked, [checksum(words)]])
             chars, linked, text = 0, 0, []
 
     for child in element.children:
@@ -187,9 +188,15 @@ def shape(element: Element) -> list:
             chars, linked = chars + size, linked + size * child[1]
             text += words
     slot()
-    return folded(out)
+    return folded(out, PAGE)
 
 
+def checksum(words: str) -> int:
+    return zlib.crc32(words.encode("utf-8", "replace"))
+
+
+#: What is merged: siblings on one page, one place on several pages, or siblings over several pages.
+PAGE, PLACE, SIBLINGS = range(3)
 #: Elements that hold text rather than blocks; share of an element's text that one below must hold to
 #: take its place.
 TEXT_LEVEL = frozenset("p pre blockquote li dt dd td th h1 h2 h3 h4 h5 h6".split())
@@ -199,7 +206,7 @@ COUNTER = "^"
 
 
 def page_shape(page: Element) -> list:
-    return [["e", COUNTER, [["#", 1, 0, 0, 0]]], *shape(page)]
+    return [["e", COUNTER, [["#", 1, 0, 0, []]]], *shape(page)]
 
 
 def head(node: list) -> str:
@@ -213,24 +220,26 @@ def heads(nodes: list) -> list[str]:
     return [head(n) for n in nodes]
 
 
-def merged(a: list, b: list) -> list:
-    """One node for two of the same head."""
+def merged(a: list, b: list, mode: int = PLACE) -> list:
+    """One node for two of the same head. Siblings on one page lengthen the first one's checksums."""
     if a[0] == "#" and b[0] == "#":
-        return ["#", a[1] + b[1], a[2] + b[2], a[3] + b[3], a[4] if a[4] == b[4] else -1]
+        if mode == PAGE:
+            a[4].extend(b[4])
+        return ["#", a[1] + b[1] if mode == PLACE else max(a[1], b[1]), a[2] + b[2], a[3] + b[3], a[4] if mode == PAGE or a[4] == b[4] else []]
     if a[0] == "e" and b[0] == "e":
-        return ["e", a[1], aligned(a[2], b[2])]
+        return ["e", a[1], aligned(a[2], b[2], mode)]
     kind = "+" if "+" in (a[0], b[0]) else "?"
-    inner = aligned(a[1] if a[0] in "+?" else [a], b[1] if b[0] in "+?" else [b])
+    inner = aligned(a[1] if a[0] in "+?" else [a], b[1] if b[0] in "+?" else [b], mode)
     return [kind, inner]
 
 
-def aligned(a: list, b: list) -> list:
+def aligned(a: list, b: list, mode: int = PLACE) -> list:
     """The sequence that matches both: longest common subsequence of heads merged, the rest optional."""
     if not a or not b:
         return [_optional(n) for n in a or b]
     x, y = heads(a), heads(b)
     if x == y:
-        return [merged(p, q) for p, q in zip(a, b)]
+        return [merged(p, q, mode) for p, q in zip(a, b)]
     n, m = len(x), len(y)
     best = [[0] * (m + 1) for _ in range(n + 1)]
     for i in range(n - 1, -1, -1):
@@ -239,7 +248,7 @@ def aligned(a: list, b: list) -> list:
     out, i, k = [], 0, 0
     while i < n and k < m:
         if x[i] == y[k]:
-            out.append(merged(a[i], b[k]))
+            out.append(merged(a[i], b[k], mode))
             i, k = i + 1, k + 1
         elif best[i + 1][k] >= best[i][k + 1]:
             out.append(_optional(a[i]))
@@ -247,14 +256,14 @@ def aligned(a: list, b: list) -> list:
         else:
             out.append(_optional(b[k]))
             k += 1
-    return folded(out + [_optional(c) for c in a[i:] + b[k:]])
+    return folded(out + [_optional(c) for c in a[i:] + b[k:]], mode if mode == PAGE else SIBLINGS)
 
 
 def _optional(node: list) -> list:
     return node if node[0] == "?" else ["?", [node]]
 
 
-def folded(nodes: list) -> list:
+def folded(nodes: list, mode: int) -> list:
     """Neighbouring groups of one to three heads that repeat become repeated groups."""
     for period in (1, 2, 3):
         out, i = [], 0
@@ -263,7 +272,7 @@ def folded(nodes: list) -> list:
             names, k = heads(group), i + period
             if len(group) == period and (period > 1 or names[0] != "#"):
                 while len(nodes) - k >= period and heads(nodes[k : k + period]) == names:
-                    group = [merged(p, q) for p, q in zip(group, nodes[k : k + period])]
+                    group = [merged(p, q, mode) for p, q in zip(group, nodes[k : k + period])]
                     k += period
             if k > i + period:
                 inner = group[0][1] if period == 1 and group[0][0] in "+?" else group
@@ -286,21 +295,21 @@ class Wrapper:
         open_ = [(path, children) for path, children in every if not any(_is_dropped(p) for p in path)]
         named = lambda test: {path for path, _ in open_ if path and test(path[-1])}
         self.roots = named(lambda p: _name(p) == "article") or named(lambda p: p.endswith(":m") or _name(p) == "main")
-        self.skipped: set[tuple] = set()
+        self.skipped: dict[tuple, set[int]] = {}
         if not self.roots:
             self._find_root(open_, pages)
 
     def _find_root(self, open_: list[tuple[tuple, list]], pages: int) -> None:
         """Without article elements: the deepest element that still holds most of the text that varies
-        and isn't linked, a heading beside it included. Slots that are the same on all pages, or mostly
-        links, are left out."""
+        and isn't linked, a heading beside it included. Texts that are the same on all pages, and lists
+        of links that are, are left out of it; other links only don't count when it is chosen."""
         own: dict[tuple, int] = {}
         for path, children in open_:
             chars, linked = sum(s[2] for s in children), sum(s[3] for s in children)
-            same = pages >= 3 and any(children) and all(s[4] >= 0 and s[1] >= pages for s in children)
-            if same or 2 * linked > chars:
-                self.skipped.add(path)
-            else:
+            same = pages >= 3 and any(children) and all(s[4] and s[1] >= pages for s in children)
+            if same and (2 * linked > chars or all(len(set(s[4])) == 1 for s in children)):
+                self.skipped.setdefault(path, set()).update(c for s in children for c in s[4])
+            elif 2 * linked <= chars:
                 own[path] = own.get(path, 0) + chars
         total: dict[tuple, int] = {}
         for path, chars in own.items():
@@ -346,12 +355,13 @@ def wrapper_of(text: str) -> Wrapper:
     return Wrapper(json.loads(text))
 
 
-def blocks_of(element: Element, out: list[str], path: tuple = (), skipped: frozenset | set = frozenset()) -> None:
-    """The element's blocks of text, in order, but for the slots at skipped paths."""
+def blocks_of(element: Element, out: list[str], path: tuple = (), skipped: dict[tuple, set[int]] | None = None) -> None:
+    """The element's blocks of text, in order, but for those that are skipped: checksums by path."""
     run: list[str] = []
+    fixed = (skipped or {}).get(path)
 
     def block():
-        if run and path not in skipped:
+        if run and not (fixed and checksum(" ".join(" ".join(run).split())) in fixed):
             words = " ".join(html.unescape("".join(run)).split())
             if words:
                 out.append(words)

@@ -67,6 +67,31 @@ def test_wrapper_of_plain_containers():
         assert w.main_text(p, wrapper) == "\n".join([f"Title {i}", *(f"Paragraph {i} {k} with quite some words in it" for k in range(1, i + 2))])
 
 
+def test_links_and_fixed_texts_beside_the_article():
+    """Text that shares its labels with links or with fixed texts stays."""
+    import json
+
+    body = lambda i: "".join(f"<p>Paragraph {i} {k} with quite some words in it</p>" for k in range(3))
+    lines = lambda i: [f"Paragraph {i} {k} with quite some words in it" for k in range(3)]
+    home = [f'<body><div class="content"><p><a href="/">Home</a></p><h1>T {i}</h1>{body(i)}</div></body>' for i in range(4)]
+    assert w.main_text(home[1], None) == "\n".join(["Home", "T 1", *lines(1)])
+    assert w.main_text(home[1], json.dumps(plain(home))) == "\n".join(["T 1", *lines(1)])
+    fixed = [f'<body><div class="content"><h1>T {i}</h1>{body(i)}<hr><p>All rights of this page are ours</p></div></body>' for i in range(4)]
+    assert w.main_text(fixed[2], json.dumps(plain(fixed))) == "\n".join(["T 2", *lines(2)])
+    menu = "".join(f'<li><a href="/{k}">Menu {k}</a></li>' for k in range(4))
+    listed = lambda i: "".join(f'<li><a href="/r{k}">Reference {i} {k}</a></li>' for k in range(3))
+    cited = [f'<body><div class="content"><ul>{menu}</ul><h1>T {i}</h1>{body(i)}<ol>{listed(i)}</ol></div></body>' for i in range(4)]
+    assert w.main_text(cited[3], json.dumps(plain(cited))) == "\n".join(["T 3", *lines(3), *(f"Reference 3 {k}" for k in range(3))])
+
+
+def test_lists_on_one_page_are_not_fixed():
+    """What one page has three times isn't what three pages have."""
+    import json
+
+    pages = [f'<body><div class="content"><h1>T {i}</h1><p>Some words of story {i}</p>{"<blockquote>Hear</blockquote>" * 3 if i == 1 else ""}</div></body>' for i in range(3)]
+    assert w.main_text(pages[1], json.dumps(plain(pages))) == "T 1\nSome words of story 1\nHear\nHear\nHear"
+
+
 def test_groups():
     a = w.shape(w.parse("<ul><li>1</li><li>2</li></ul><h2>x</h2><p>y</p><h2>x</h2><p>y</p>"))
     kinds = [n[0] for n in a]
