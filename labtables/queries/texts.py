@@ -38,40 +38,55 @@ def digit_guard(spark, sf):
     return k.digit_guard(t(spark, sf, "pages").select("page_id", before.alias("b"), after.alias("a")), "b", "a").select("page_id", "digits_ok")
 
 
-def _tables(spark, sf):
+#: The rows of the queries whose SQL names a part of them. Each has a twin NAME_all over all rows.
+THIRD, FEW = "l_orderkey % 3 = 0", "o_orderkey % 50 = 1"
+
+
+def query_all(sql, part=THIRD):
+    """The query over the part that its SQL names, and NAME_all over all rows."""
+
+    def add(f):
+        QUERIES[f.__name__] = (lambda spark, sf: f(spark, sf, part), sql)
+        QUERIES[f"{f.__name__}_all"] = (f, sql.replace(f" WHERE {part}", ""))
+        return f
+
+    return add
+
+
+def _tables(spark, sf, orders="true"):
     """One pipe table per order: a header, a separator, a row per line; some headers name a curve."""
     line = F.concat(F.lit("| "), F.col("l_linenumber").cast("string"), F.lit(" | "), F.format_string("%.2f", F.col("l_extendedprice")), F.when(F.col("l_partkey") % 2 == 0, " ~ |").otherwise(" | "), F.when(F.col("l_partkey") % 3 == 0, " 123456 |").otherwise(" |"))
-    rows = t(spark, sf, "lineitem").filter("l_orderkey % 3 = 0").groupBy("l_orderkey").agg(F.array_join(F.sort_array(F.collect_list(line)), "\n").alias("rows"))
+    rows = t(spark, sf, "lineitem").filter(orders).groupBy("l_orderkey").agg(F.array_join(F.sort_array(F.collect_list(line)), "\n").alias("rows"))
     head = F.when(F.col("l_orderkey") % 2 == 0, "| curve | y | z |").otherwise("| x | y | z |")
     return rows.select(F.col("l_orderkey").alias("doc"), F.concat(F.lit("Order\n"), head, F.lit("\n|---|---|---|\n"), F.col("rows"), F.lit("\n\nand $$x^2$$ done")).alias("text"))
 
 
-@query("""WITH l AS (SELECT l_orderkey AS doc, count(*) AS n, count(*) FILTER (WHERE l_partkey % 2 = 0) AS tildes, count(*) FILTER (WHERE l_partkey % 3 = 0) AS long, sum(length(CAST(l_linenumber AS VARCHAR)) + length(printf('%.2f', l_extendedprice)) + CASE WHEN l_partkey % 2 = 0 THEN 4 ELSE 3 END + CASE WHEN l_partkey % 3 = 0 THEN 9 ELSE 2 END + 5) AS size FROM lineitem WHERE l_orderkey % 3 = 0 GROUP BY 1)
+@query_all("""WITH l AS (SELECT l_orderkey AS doc, count(*) AS n, count(*) FILTER (WHERE l_partkey % 2 = 0) AS tildes, count(*) FILTER (WHERE l_partkey % 3 = 0) AS long, sum(length(CAST(l_linenumber AS VARCHAR)) + length(printf('%.2f', l_extendedprice)) + CASE WHEN l_partkey % 2 = 0 THEN 4 ELSE 3 END + CASE WHEN l_partkey % 3 = 0 THEN 9 ELSE 2 END + 5) AS size FROM lineitem WHERE l_orderkey % 3 = 0 GROUP BY 1)
 SELECT doc, CAST(1 AS BIGINT) AS tables, CAST(n AS BIGINT) AS table_rows, CAST(2 * n + long AS BIGINT) AS table_numbers, CAST(long AS BIGINT) AS concat_cells, CAST(1 AS BIGINT) AS display_formulas,
 CAST(CASE WHEN doc % 2 = 0 OR 2 * tildes > n THEN n ELSE 0 END AS BIGINT) AS chart_rows, CAST(2 * n + long + 1 AS BIGINT) AS numbers_total FROM l""")
-def content_metrics(spark, sf):
-    return k.content_metrics(_tables(spark, sf), "text", "doc").drop("chars")
+def content_metrics(spark, sf, orders="true"):
+    return k.content_metrics(_tables(spark, sf, orders), "text", "doc").drop("chars")
 
 
-@query("""SELECT doc, number, CAST(count(*) AS BIGINT) AS n FROM (SELECT l_orderkey AS doc, printf('%.2f', l_extendedprice) AS number FROM lineitem WHERE l_orderkey % 3 = 0) GROUP BY 1, 2""")
-def numbers(spark, sf):
-    return k.numbers(_tables(spark, sf), "text", "doc")
+@query_all("""SELECT doc, number, CAST(count(*) AS BIGINT) AS n FROM (SELECT l_orderkey AS doc, printf('%.2f', l_extendedprice) AS number FROM lineitem WHERE l_orderkey % 3 = 0) GROUP BY 1, 2""")
+def numbers(spark, sf, orders="true"):
+    return k.numbers(_tables(spark, sf, orders), "text", "doc")
 
 
-@query("""WITH c AS (SELECT l_orderkey AS doc, l_quantity || '.5' AS number, count(*) AS n FROM (SELECT l_orderkey, CAST(l_quantity AS BIGINT) AS l_quantity FROM lineitem) GROUP BY 1, 2), p AS (SELECT o_orderkey AS a, o_orderkey + 1 AS b FROM orders WHERE o_orderkey % 50 = 1),
+@query_all("""WITH c AS (SELECT l_orderkey AS doc, l_quantity || '.5' AS number, count(*) AS n FROM (SELECT l_orderkey, CAST(l_quantity AS BIGINT) AS l_quantity FROM lineitem) GROUP BY 1, 2), p AS (SELECT o_orderkey AS a, o_orderkey + 1 AS b FROM orders WHERE o_orderkey % 50 = 1),
 u AS (SELECT a, b, number, n AS na, 0 AS nb FROM p JOIN c ON c.doc = a UNION ALL SELECT a, b, number, 0, n FROM p JOIN c ON c.doc = b)
-SELECT a, b, number, CAST(greatest(sum(na) - sum(nb), 0) AS BIGINT) AS only_a, CAST(greatest(sum(nb) - sum(na), 0) AS BIGINT) AS only_b FROM u GROUP BY 1, 2, 3 HAVING sum(na) <> sum(nb)""")
-def exclusive_numbers(spark, sf):
+SELECT a, b, number, CAST(greatest(sum(na) - sum(nb), 0) AS BIGINT) AS only_a, CAST(greatest(sum(nb) - sum(na), 0) AS BIGINT) AS only_b FROM u GROUP BY 1, 2, 3 HAVING sum(na) <> sum(nb)""", FEW)
+def exclusive_numbers(spark, sf, pairs="true"):
     text = F.array_join(F.collect_list(F.concat(F.col("l_quantity").cast("long").cast("string"), F.lit(".5"))), " ")
     docs = t(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("doc")).agg(text.alias("text"))
-    pairs = t(spark, sf, "orders").filter("o_orderkey % 50 = 1").select(F.col("o_orderkey").alias("a"), (F.col("o_orderkey") + 1).alias("b"))
+    pairs = t(spark, sf, "orders").filter(pairs).select(F.col("o_orderkey").alias("a"), (F.col("o_orderkey") + 1).alias("b"))
     return k.exclusive_numbers(pairs, k.numbers(docs, "text", "doc"), "a", "b", "doc").withColumns({c: F.col(c).cast("long") for c in ("only_a", "only_b")})
 
 
 @query()
 def text_similarity(spark, sf):
-    turns = t(spark, sf, "conversations").filter("text is not null").select("conv_id", "turn", F.col("text").alias("a"), F.reverse(F.substring("text", 1, 200)).alias("b"))
-    return k.text_similarity(turns.withColumn("a", F.substring("a", 1, 200)), "a", "b").select("conv_id", "turn", "similarity")
+    turns = t(spark, sf, "conversations").filter("text is not null").select("conv_id", "turn", F.col("text").alias("a"), F.reverse("text").alias("b"))
+    return k.text_similarity(turns, "a", "b").select("conv_id", "turn", "similarity")
 
 
 MARKED = "(SELECT doc_id, '<!-- page ' || 1 || ' of 3 -->' || '\nTable IV. Values\n' || text || '\n<!-- page 2 of 3 -->\nFig. 7 The curve\n<!--page 3 of 3-->\n' || CAST(doc_id AS VARCHAR) AS text FROM documents)"
@@ -125,7 +140,7 @@ def rewrite_figures(spark, sf):
     return k.rewrite_figures(docs, figures, "text", "page_id", "locator", "path")
 
 
-@query("""SELECT l_orderkey AS doc, CAST(count(*) AS BIGINT) AS n, CAST(sum(l_linenumber) AS DOUBLE) AS minutes, round(sum(l_extendedprice), 2) AS x FROM lineitem WHERE l_orderkey % 3 = 0 GROUP BY 1""")
-def tables_to_rows(spark, sf):
-    rows = k.tables_to_rows(_tables(spark, sf), "text", "doc")
+@query_all("""SELECT l_orderkey AS doc, CAST(count(*) AS BIGINT) AS n, CAST(sum(l_linenumber) AS DOUBLE) AS minutes, round(sum(l_extendedprice), 2) AS x FROM lineitem WHERE l_orderkey % 3 = 0 GROUP BY 1""")
+def tables_to_rows(spark, sf, orders="true"):
+    rows = k.tables_to_rows(_tables(spark, sf, orders), "text", "doc")
     return rows.groupBy("doc").agg(F.count(F.lit(1)).alias("n"), F.sum("t_minutes").alias("minutes"), F.round(F.sum("x"), 2).alias("x"))

@@ -1,5 +1,8 @@
 """Queries that are to work on whole tables: what they return is held to brute force over all rows."""
 
+import re
+
+import numpy as np
 import pandas as pd
 import pytest
 
@@ -42,3 +45,35 @@ def test_assignment_of_all_orders(spark):
                 want.append((paper, a, b))
     got = sorted((r.paper, r.pred_id, r.gold_id) for r in rows(spark, "assign_greedy"))
     assert got == sorted(want) and {k for k, *_ in got} == set(by_paper)
+
+
+def test_texts_of_all_orders(spark):
+    lines, orders = read("lineitem"), read("orders")
+    metrics = {r.doc: r.table_rows for r in rows(spark, "content_metrics_all")}
+    assert metrics == lines.groupby("l_orderkey").size().to_dict()
+    assert {r.doc for r in rows(spark, "numbers_all")} == set(metrics) == {r.doc for r in rows(spark, "tables_to_rows_all")}
+    counts = {k: x.astype("int64").value_counts().to_dict() for k, x in lines.groupby("l_orderkey").l_quantity}
+    want = []
+    for a in orders.o_orderkey:
+        x, y = counts.get(a, {}), counts.get(a + 1, {})
+        want += [(a, f"{n}.5", max(d, 0), max(-d, 0)) for n in {*x, *y} if (d := x.get(n, 0) - y.get(n, 0))]
+    assert sorted((r.a, r.number, r.only_a, r.only_b) for r in rows(spark, "exclusive_numbers_all")) == sorted(want)
+
+
+def test_whole_texts_are_compared(spark):
+    texts = read("conversations").dropna(subset="text")
+    assert (texts.text.str.len() > 200).any()
+    plain = lambda x: " ".join(re.sub("<[^>]+>", " ", re.sub(r"!\[[^\]]*\]\([^)]*\)", "", x)).split()).lower()
+    want = {(r.conv_id, r.turn): similarity(plain(r.text), plain(r.text[::-1])) for r in texts.itertuples()}
+    got = {(r.conv_id, r.turn): r.similarity for r in rows(spark, "text_similarity")}
+    assert got == pytest.approx(want, abs=0.051)
+
+
+def similarity(a, b):
+    """Twice the longest common subsequence over both lengths, by rows of the whole table."""
+    last = np.zeros(len(b) + 1, int)
+    codes = np.array([ord(c) for c in b])
+    for c in a:
+        step = np.maximum(last[1:], np.where(codes == ord(c), last[:-1] + 1, 0))
+        last[1:] = np.maximum.accumulate(step)
+    return 100 * 2 * last[-1] / (len(a) + len(b)) if a or b else 100.0
