@@ -16,6 +16,7 @@ from .mixing import ORACLE as MIX_SQL
 from .mixing import mix_plan
 from .ngram_join import ngram_components
 from .packing import packed_digests, scratch_folder
+from .secret_scan import PART_ALLOWED, PART_CLASSES
 from .secret_scan import oracle as secret_sql
 from .secret_scan import secret_report
 from .wordpiece import token_counts
@@ -57,6 +58,11 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_report(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op3_secrets_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The spans that redaction takes."""
+    return secret_report(table(spark, sf_dir, "documents", "doc_id", "text"), classes=PART_CLASSES, allowed=PART_ALLOWED)
+
+
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(table(spark, sf_dir, "documents", "doc_id", "text")).drop("set_key")
 

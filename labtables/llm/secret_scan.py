@@ -55,6 +55,16 @@ ALLOWED = (
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
     r"^[A-Za-z0-9]{0,14}([/_=-]+[A-Za-z0-9]{0,14}){2,}$",
 )
+#: For redaction, where a secret may stand beside other parts of an address or an assignment: runs of
+#: hexadecimal digits end at letters and digits only; the words of examples part base-64 runs, so that
+#: what stands beside them is looked at by itself; and paths are of pieces that are all letters or all
+#: digits. The SQL of the report holds the classes and rules above, so the report keeps them.
+PART_WORDS = r"(?i:example|placeholder|your_|dummy|xxxx|0123456789|abcdefghij)"
+PART_CLASSES = (
+    EntropyClass("entropy_hex", r"(?<![0-9A-Za-z])[0-9A-Fa-f]{24,}(?![0-9A-Za-z])", 24, 3.0),
+    EntropyClass("entropy_base64", rf"(?=[0-9A-Za-z+/_=-]{{20}})(?:(?!{PART_WORDS})[0-9A-Za-z+/_=-]){{20,}}+", 20, 3.7),
+)
+PART_ALLOWED = (*ALLOWED[:-1], r"^(?:[A-Za-z]{0,14}|[0-9]{0,14})(?:[/_=-]+(?:[A-Za-z]{0,14}|[0-9]{0,14})){2,}$")
 SCALE = 1_000_000
 
 
@@ -168,10 +178,10 @@ def spans_text(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def secret_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def secret_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """`id_col`, n_assign, n_access, n_hex, base_sha256, spans for each row of `docs`."""
     base = [k for k, *_ in BASE_KINDS]
-    found = secret_spans(docs.select(id_col, text_col), text_col).select(id_col, "secret_spans")
+    found = secret_spans(docs.select(id_col, text_col), text_col, **options).select(id_col, "secret_spans")
     count = lambda k: F.size(F.filter("secret_spans", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
     only = F.filter("secret_spans", lambda s: s["kind"].isin(base))
     return found.select(id_col, *[count(k) for k in base], F.sha2(spans_text(only), 256).alias("base_sha256"), spans_text(F.col("secret_spans")).alias("spans"))
@@ -179,8 +189,9 @@ def secret_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def redact_secrets(docs: DataFrame, text_col: str = "text", mark: str = "[secret]", **options) -> DataFrame:
     """`docs` with each stretch of `text_col` that spans cover replaced by `mark`; overlapping and
-    touching spans are one stretch. Texts without spans stay as they are, null included."""
-    found = secret_spans(docs, text_col, out="__spans", **options)
+    touching spans are one stretch. Texts without spans stay as they are, null included. Runs are
+    looked at part by part (PART_CLASSES, PART_ALLOWED) unless options say otherwise."""
+    found = secret_spans(docs, text_col, out="__spans", **{"classes": PART_CLASSES, "allowed": PART_ALLOWED} | options)
     spans = F.col("__spans")
     merged = F.aggregate(
         spans, F.array().cast("array<struct<start:int,end:int>>"),

@@ -65,3 +65,31 @@ def test_native_plan(spark):
     df = spark.createDataFrame([(1, "a")], "doc_id long, text string")
     plan = s.secret_report(df)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan and "Arrow" not in plan
+
+
+def test_secrets_beside_other_parts(spark):
+    """Random secrets in assignments and addresses: none may stay because of what stands beside it."""
+    draw = random.Random(5)
+    make = lambda alphabet, n: "".join(draw.choice(alphabet) for _ in range(n))
+    hexa, safe = "0123456789ABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"
+    letters = safe[:-2]
+    kinds = [("X-Sig=", hexa, 64, 0.99), ("X-Sig=", hexa, 32, 0.93), ("example_app/key=", letters, 24, 0.99), ("your_", letters, 40, 0.99), ("at ", safe, 22, 0.92)]
+    rows = [(k * 1000 + i, begin + make(alphabet, n)) for k, (begin, alphabet, n, _) in enumerate(kinds) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.text for r in s.redact_secrets(df).collect()}
+    shares = [sum("[secret]" in got[k * 1000 + i] for i in range(300)) / 300 for k in range(len(kinds))]
+    assert all(share >= kind[3] for share, kind in zip(shares, kinds)), shares
+    plain = ["your_api_key_here_12345678", "https://site.org/docs/2024/example/some-long-title/part/2", "0123456789ABCDEF0123456789ABCDEF", "123e4567-e89b-12d3-a456-426614174000", "/usr/share/placeholder/words/of/paths/12", "example" * 20]
+    kept = spark.createDataFrame(list(enumerate(plain)), "doc_id long, text string")
+    assert dict(s.redact_secrets(kept).select("doc_id", "text").collect()) == dict(enumerate(plain))
+    long = spark.createDataFrame([(1, "Ab3dE5gH7jK9mN1pQ3sT5vW7" * 20_000), (2, "xxxx" * 100_000)], "doc_id long, text string")
+    assert [r.text for r in s.redact_secrets(long).orderBy("doc_id").collect()] == ["[secret]", "xxxx" * 100_000]
+
+
+def test_parts_as_brute_force(spark, monkeypatch):
+    rows = [(i, t) for i, t in enumerate([*texts(), "k=example/" + "aB3" * 9 + "q/Example=" + "zY8x" * 9 + "your_" + "Q7wE" * 6])]
+    found = s.secret_report(spark.createDataFrame(rows, "doc_id long, text string"), classes=s.PART_CLASSES, allowed=s.PART_ALLOWED).collect()
+    monkeypatch.setattr(s, "ENTROPY_CLASSES", s.PART_CLASSES)
+    monkeypatch.setattr(s, "ALLOWED", s.PART_ALLOWED)
+    want = {i: ",".join(f"{n}:{a}:{b}" for a, _, n, b in sorted(base_spans(t or "") + entropy_spans(t or ""))) for i, t in rows}
+    assert {r.doc_id: r.spans for r in found} == want
