@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 import pandas as pd
@@ -192,16 +193,22 @@ def map_papers(files: DataFrame, papers: DataFrame) -> DataFrame:
 
 
 def match_key(points: DataFrame, key: DataFrame, group: Sequence[str], t_tol: float = 0.051, share: float = 0.006, least: float = 5e-5) -> DataFrame:
-    """Points (group, id, t, x) matched one to one with key rows (group, key_id, t, x): same group, t
-    closer than t_tol, x within a share of the key's or `least`. A range join on buckets of t."""
+    """Candidates of match_points: all pairs of points (group, id, t, x) and key rows (group, key_id, t,
+    x) of the same group, t closer than t_tol, x within a share of the key's or `least`. A range join
+    on buckets of t."""
     p = points.select(*group, F.col("id").alias("pred_id"), F.col("t").alias("pt"), F.col("x").alias("px"), F.floor(F.col("t") / t_tol).alias("slot"))
     k = key.select(*group, F.col("key_id").alias("gold_id"), F.col("t").alias("kt"), F.col("x").alias("kx"), F.floor(F.col("t") / t_tol).alias("ks")).withColumn("slot", F.explode(F.array(F.col("ks") - 1, F.col("ks"), F.col("ks") + 1)))
     near = (F.abs(F.col("pt") - F.col("kt")) < t_tol) & ((F.abs(F.col("px") - F.col("kx")) <= share * F.abs(F.col("kx"))) | (F.abs(F.col("px") - F.col("kx")) < least))
     found = p.join(k, [*group, "slot"]).filter(near)
-    # the first unused key row of each point, points in order
     return found.select(*group, "pred_id", "gold_id", F.col("pred_id").cast("double").alias("distance"), F.lit("exact").alias("quality"))
 
 
+def match_points(points: DataFrame, key: DataFrame, group: Sequence[str], t_tol: float = 0.051, share: float = 0.006, least: float = 5e-5) -> DataFrame:
+    """Points matched one to one with key rows: the first unused near key row of each point, points in
+    order."""
+    return assign_greedy(match_key(points, key, group, t_tol, share, least), group)
+
+
 def evidence(mapping: DataFrame, docs: DataFrame, text: str, reach: int = 3000) -> DataFrame:
     """What in the first characters of a file's text speaks for its paper: mapping has (file, paper,
     reference, doi), docs (file, text). Returns (file, has_doi, has_pages): the bare DOI, or the page
@@ -217,11 +224,25 @@ def evidence(mapping: DataFrame, docs: DataFrame, text: str, reach: int = 3000)
 
 def classify_points(points: DataFrame, key: DataFrame, group: Sequence[str], links: DataFrame, t_tol: float = 0.051, share: float = 0.006) -> DataFrame:
     """The class of each point (group, id, t, x): exact if linked; wrong_time if a key row of its group
-    has its x, wrong_x if one has its t, not_in_table otherwise; unknown if its group has no key."""
+    has its x, wrong_x if one has its t, not_in_table otherwise; unknown if its group has no key, or only
+    key rows without x. Links are one to one, as match_points gives them. Key rows of the same t are
+    looked up in buckets of t, those of the same x in buckets of the logarithm of x."""
     linked = links.select(*group, F.col("pred_id").alias("id"), F.lit(True).alias("__linked"))
-    near = F.max((F.abs(F.col("t") - F.col("__t")) < t_tol)).alias("__same_t"), F.max(F.abs(F.col("x") - F.col("__x")) <= share * F.abs("__x")).alias("__same_x")
-    rest = points.join(linked, [*group, "id"], "left_anti")
-    seen = rest.join(key.select(*group, F.col("t").alias("__t"), F.col("x").alias("__x")), group).groupBy(*group, "id").agg(*near)
-    out = points.join(linked, [*group, "id"], "left").join(seen, [*group, "id"], "left")
-    kind = F.when(F.col("__linked"), "exact").when(F.col("__same_x").isNull(), "unknown").when(F.col("__same_x"), "wrong_time").when(F.col("__same_t"), "wrong_x").otherwise("not_in_table")
-    return out.withColumn("kind", kind).drop("__linked", "__same_t", "__same_x")
+    rest = points.join(linked, [*group, "id"], "left_anti").select(*group, "id", "t", "x").distinct()
+    rows = key.select(*group, F.col("t").alias("__t"), F.col("x").alias("__x")).distinct()
+    around = lambda slot: F.explode(F.array(slot - 1, slot, slot + 1))
+    # x within a share of the key's: a logarithm differs by less than a bucket, signs are the same
+    width = -math.log1p(-share) * 1.000001 if share < 1 else None
+    both_t = rest.withColumn("slot", F.floor(F.col("t") / t_tol)).join(rows.select(*group, "__t").distinct().withColumn("slot", around(F.floor(F.col("__t") / t_tol))), [*group, "slot"])
+    xs = rows.select(*group, "__x").distinct()
+    same_t = both_t.filter(F.abs(F.col("t") - F.col("__t")) < t_tol).select(*group, "id").distinct().withColumn("__same_t", F.lit(True))
+    if width:
+        size = lambda c: F.when(c == 0, F.lit(0)).otherwise(F.floor(F.log(F.abs(c)) / width))
+        both_x = rest.withColumns({"slot": size(F.col("x")), "sign": F.signum("x")}).join(xs.withColumns({"slot": around(size(F.col("__x"))), "sign": F.signum("__x")}), [*group, "slot", "sign"])
+    else:
+        both_x = rest.join(xs.withColumn("x", F.col("__x")), [*group, "x"]) if share == 0 else rest.join(xs, list(group))
+    same_x = both_x.filter(F.abs(F.col("x") - F.col("__x")) <= share * F.abs("__x")).select(*group, "id").distinct().withColumn("__same_x", F.lit(True))
+    keyed = rows.filter("__x is not null").select(*group).distinct().withColumn("__keyed", F.lit(True))
+    out = points.join(linked, [*group, "id"], "left").join(same_t, [*group, "id"], "left").join(same_x, [*group, "id"], "left").join(keyed, list(group), "left")
+    kind = F.when(F.col("__linked"), "exact").when(F.col("__keyed").isNull() | F.col("x").isNull(), "unknown").when(F.col("__same_x"), "wrong_time").when(F.col("__same_t"), "wrong_x").otherwise("not_in_table")
+    return out.withColumn("kind", kind).drop("__linked", "__same_t", "__same_x", "__keyed")

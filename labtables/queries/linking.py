@@ -194,6 +194,15 @@ def map_by_key(spark, sf):
 @query("""WITH e AS (SELECT event_id, user_id, floor(epoch(ts))::BIGINT % 100000 / 1000.0::DOUBLE AS t, value::DOUBLE AS x FROM events)
 SELECT p.user_id, p.event_id AS pred_id, k.event_id AS gold_id FROM e p JOIN e k ON p.user_id = k.user_id AND p.event_id % 2 = 0 AND k.event_id % 2 = 1 AND abs(p.t - k.t) < 5.0 AND (abs(p.x - k.x) <= 0.2 * abs(k.x) OR abs(p.x - k.x) < 5e-5)""")
 def tolerance_match(spark, sf):
+    return ln.match_key(*_points(spark, sf), ["user_id"], 5.0, 0.2).select("user_id", "pred_id", "gold_id")
+
+
+@query()
+def tolerance_match_one(spark, sf):
+    """The pairs of tolerance_match that are left when each point takes the first unused key row."""
+    return ln.match_points(*_points(spark, sf), ["user_id"], 5.0, 0.2).select("user_id", "pred_id", "gold_id")
+
+
+def _points(spark, sf):
     e = t(spark, sf, "events").select("event_id", "user_id", (seconds_of("ts").cast("long") % 100_000 / 1000.0).alias("t"), F.col("value").cast("double").alias("x"))
-    p, k = e.filter("event_id % 2 = 0").withColumnRenamed("event_id", "id"), e.filter("event_id % 2 = 1").withColumnRenamed("event_id", "key_id")
-    return ln.match_key(p, k, ["user_id"], 5.0, 0.2).select("user_id", "pred_id", "gold_id")
+    return e.filter("event_id % 2 = 0").withColumnRenamed("event_id", "id"), e.filter("event_id % 2 = 1").withColumnRenamed("event_id", "key_id")

@@ -121,7 +121,7 @@ def classify_points(spark, sf):
     e = t(spark, sf, "events").select((k * 0 + k).alias("grp"), k.alias("id"))
     key = e.select("grp", F.col("id").alias("key_id"), F.lit(10.0).alias("t"), F.lit(5.0).alias("x"))
     points = e.select("grp", "id", F.when(F.col("id") % 4 == 1, 20.0).when(F.col("id") % 4 == 3, 30.0).otherwise(10.0).alias("t"), F.when(F.col("id") % 4 == 2, 7.0).when(F.col("id") % 4 == 3, 9.0).otherwise(5.0).alias("x"))
-    links = linkage.match_key(points, key, ["grp"])
+    links = linkage.match_points(points, key, ["grp"])
     return linkage.classify_points(points, key, ["grp"], links).select("id", "kind")
 
 

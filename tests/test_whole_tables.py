@@ -1,5 +1,6 @@
 """Queries that are to work on whole tables: what they return is held to brute force over all rows."""
 
+import random
 import re
 
 import numpy as np
@@ -7,6 +8,7 @@ import pandas as pd
 import pytest
 
 from labtables import queries as registry
+from labtables.operators import linkage
 
 SF = "/root/testdata/sf0.001"
 
@@ -77,3 +79,31 @@ def similarity(a, b):
         step = np.maximum(last[1:], np.where(codes == ord(c), last[:-1] + 1, 0))
         last[1:] = np.maximum.accumulate(step)
     return 100 * 2 * last[-1] / (len(a) + len(b)) if a or b else 100.0
+
+
+def test_points_take_key_rows_once(spark):
+    """Several points and key rows a group: each key row goes to one point, and no class comes twice."""
+    draw = random.Random(4)
+    value = lambda: (draw.choice([0.0, 10.0, 10.03, 20.0, 30.0]), draw.choice([-5.0, 0.0, 5.0, 5.02, 7.0, 9.0]))
+    points = [(g, i, *value()) for g in "abcd" for i in range(12)]
+    key = [(g, i, *value()) for g in "abc" for i in range(8)]
+    p, k = spark.createDataFrame(points, "grp string, id long, t double, x double"), spark.createDataFrame(key, "grp string, key_id long, t double, x double")
+    links, want = {}, {}
+    for g, i, t, x in points:
+        for h, j, kt, kx in key:
+            if g == h and abs(t - kt) < 0.051 and (abs(x - kx) <= 0.006 * abs(kx) or abs(x - kx) < 5e-5) and (g, j) not in links.values():
+                links[g, i] = (g, j)
+                break
+    for g, i, t, x in points:
+        own = [(kt, kx) for h, _, kt, kx in key if h == g]
+        same_x, same_t = any(abs(x - kx) <= 0.006 * abs(kx) for _, kx in own), any(abs(t - kt) < 0.051 for kt, _ in own)
+        want[g, i] = "exact" if (g, i) in links else "unknown" if not own else "wrong_time" if same_x else "wrong_x" if same_t else "not_in_table"
+    found = linkage.match_points(p, k, ["grp"])
+    assert {(r.grp, r.pred_id): (r.grp, r.gold_id) for r in found.collect()} == links
+    assert sorted((r.grp, r.id, r.kind) for r in linkage.classify_points(p, k, ["grp"], found).collect()) == sorted((g, i, c) for (g, i), c in want.items())
+
+
+def test_tolerance_match_is_one_to_one(spark):
+    pairs = [(r.pred_id, r.gold_id) for r in rows(spark, "tolerance_match_one")]
+    assert len({a for a, _ in pairs}) == len({b for _, b in pairs}) == len(pairs)
+    assert set(pairs) <= {(r.pred_id, r.gold_id) for r in rows(spark, "tolerance_match")}
