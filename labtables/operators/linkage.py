@@ -24,14 +24,15 @@ def canonical_alias(df: DataFrame, column: str, aliases: DataFrame, out: str = "
     begin = F.regexp_replace("__s", r"\(.*$", "")
     keys = [F.col("__s"), begin]
     for p in prefixes:
-        keys += [F.when(k.startswith(p), F.substring(k, len(p) + 1, 10_000)) for k in (F.col("__s"), begin)]
+        keys += [F.when(k.startswith(p), F.substring(k, F.lit(len(p) + 1), F.length(k))) for k in (F.col("__s"), begin)]
     tries = values.select("__v", "__s", F.posexplode(F.array(*keys)).alias("__at", "__key"))
     known = aliases.select(squash("alias").alias("__alias"), F.col("canonical").alias("__c")).dropDuplicates(["__alias"])
     exact = tries.join(known, F.col("__key") == F.col("__alias")).groupBy("__v").agg(F.min_by("__c", "__at").alias("__exact"))
     # every run of letters of an alias's length inside the value, looked up by equality
-    sizes = F.sequence(F.lit(least), F.greatest(F.length("__s"), F.lit(least)))
-    parts = F.array_distinct(F.flatten(F.transform(sizes, lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length("__s") - n + 1, F.lit(1))), lambda i: F.substring(F.col("__s"), i, n)))))
-    inside = values.filter(F.length("__s").between(least, 200)).select("__v", F.explode(parts).alias("__key")).join(known, F.col("__key") == F.col("__alias"))
+    lengths = known.filter(F.length("__alias") >= least).select(F.length("__alias").alias("__n")).distinct()
+    parts = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("__s") - F.col("__n") + 1), lambda i: F.substring(F.col("__s"), i, F.col("__n"))))
+    sized = values.join(F.broadcast(lengths), F.length("__s") >= F.col("__n"))
+    inside = sized.select("__v", F.explode(parts).alias("__key")).join(known, F.col("__key") == F.col("__alias"))
     held = inside.groupBy("__v").agg(F.min_by("__c", F.struct(-F.length("__key"), F.col("__key"))).alias("__held"))
     found = values.join(exact, "__v", "left").join(held, "__v", "left").select("__v", F.coalesce("__exact", "__held", "__s").alias(out))
     return df.join(found, F.col(column).eqNullSafe(F.col("__v")), "left").drop("__v")

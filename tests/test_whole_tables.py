@@ -107,3 +107,11 @@ def test_tolerance_match_is_one_to_one(spark):
     pairs = [(r.pred_id, r.gold_id) for r in rows(spark, "tolerance_match_one")]
     assert len({a for a, _ in pairs}) == len({b for _, b in pairs}) == len(pairs)
     assert set(pairs) <= {(r.pred_id, r.gold_id) for r in rows(spark, "tolerance_match")}
+
+
+def test_aliases_in_long_values(spark):
+    """An alias is found however long the value is, at its end too, and a prefix takes nothing else away."""
+    aliases = spark.createDataFrame([("polystyrene", "PS"), ("styrene", "S"), ("b" * 12_000, "B"), ("ab", "short")], "alias string, canonical string")
+    values = [("x" * 5000 + "PolyStyrene", "PS"), ("y" * 150 + "styrene" + "y" * 150, "S"), ("lithium" + "b" * 12_000, "B"), ("zab", "zab"), ("q" * 300, "q" * 300), (None, None)]
+    df = spark.createDataFrame(values, "v string, want string")
+    assert all(r.canonical == r.want for r in linkage.canonical_alias(df, "v", aliases).collect())
