@@ -22,14 +22,22 @@ def new_candidates(candidates: DataFrame, seen: DataFrame, node: str = "node") -
     return candidates.select(node).distinct().join(seen.select(node).distinct(), node, "left_anti")
 
 
-def discover(seeds: DataFrame, edges: DataFrame, scores: DataFrame, max_rounds: int = 3, follow_at: int = 2, limit: int = 400) -> DataFrame:
+def discover(seeds: DataFrame, edges: DataFrame, scores: DataFrame, max_rounds: int = 3, follow_at: int = 2, limit: int = 400, costs: DataFrame | None = None, budget: int | None = None) -> DataFrame:
     """Nodes reached from the seeds, with score, links (followed nodes linking there), round. Seeds are
     followed and not returned; each round's new nodes are followed if their score reaches follow_at,
-    until nothing is new or max_rounds is over. Rounds are level by level, their tables checkpointed in
-    the shared folder."""
+    until nothing is new or max_rounds is over. With a budget, nodes are followed while the costs (node,
+    cost; none is free) of all rounds fit it, the highest score first, then most links: one that is
+    too dear is passed over. Rounds are level by level, their tables checkpointed in the shared folder."""
     found = cut(seeds.select("node").distinct().withColumn("round", F.lit(0)))
-    frontier, links = found.select("node"), None
+    frontier, links, left = found.select("node"), None, budget
     for n in range(1, max_rounds + 1):
+        if left is not None:
+            known = frontier.select("node").join(scores.select("node", "score"), "node", "left")
+            known = known.join(links.groupBy("node").agg(F.count(F.lit(1)).alias("links")), "node", "left") if links is not None else known.withColumn("links", F.lit(0))
+            priced = known.join(costs, "node", "left").select(F.lit(0).alias("search"), "node", F.coalesce("score", F.lit(0)).alias("score"), F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("cost", F.lit(0)).cast("long").alias("cost"))
+            frontier = cut(take_within_budget(priced, "search", "cost", [F.col("score").desc(), F.col("links").desc(), F.col("node")], left))
+            left -= frontier.agg(F.sum("cost")).first()[0] or 0
+            frontier = frontier.select("node")
         step = cut(neighbours(frontier, edges, limit))
         links = step if links is None else links.union(step)
         fresh = cut(new_candidates(step, found).withColumn("round", F.lit(n)))

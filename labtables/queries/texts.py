@@ -132,6 +132,22 @@ def resolve_sources(spark, sf):
     return k.resolve_sources(points, _marked(spark, sf), "text", "doc_id").select("doc_id", "found_page")
 
 
+@query()
+def resolve_sources_all(spark, sf):
+    """All legs: a recorded figure without a caption line, caption lines, a quote of the text, a quote
+    whose end is spelt differently, a given page."""
+    d = F.col("doc_id") % 6
+    docs = _marked(spark, sf)
+    words = F.slice(F.split(F.trim(F.regexp_replace("body", r"\s+", " ")), " "), 1, 12)
+    quotes = k.page_index(docs, "text", "doc_id").filter("part = 1").select("doc_id", F.array_join(F.slice(words, 4, 9), " ").alias("said"))
+    points = docs.join(quotes, "doc_id", "left").select(
+        "doc_id", F.lit(0).alias("point"), F.lit("figure").alias("kind"), F.when(d == 0, "Figure 3").when(d == 1, "Fig. 7").when(d == 2, "Table IV").alias("label"), F.when(d == 5, 2).otherwise(9).alias("page"),
+        F.when(d == 3, F.col("said")).when(d == 4, F.concat("said", F.lit(" $x$"))).alias("quote"),
+    )
+    recorded = docs.filter(d < 2).select("doc_id", F.lit(0).alias("at"), F.lit(3).alias("page"), F.when(d == 0, "Fig. 3. The curve").otherwise("Fig. 70").alias("caption"))
+    return k.resolve_sources(points, docs, "text", "doc_id", recorded).select("doc_id", "found_page")
+
+
 @query("""SELECT page_id, 'a ![x](new' || page_id || ') b ![y](other) c' AS text FROM pages""")
 def rewrite_figures(spark, sf):
     p = F.col("page_id").cast("string")

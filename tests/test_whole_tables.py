@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 
 from labtables import queries as registry
-from labtables.operators import linkage
+from labtables.operators import corpus, graph, linkage
 
 SF = "/root/testdata/sf0.001"
 
@@ -115,3 +115,27 @@ def test_aliases_in_long_values(spark):
     values = [("x" * 5000 + "PolyStyrene", "PS"), ("y" * 150 + "styrene" + "y" * 150, "S"), ("lithium" + "b" * 12_000, "B"), ("zab", "zab"), ("q" * 300, "q" * 300), (None, None)]
     df = spark.createDataFrame(values, "v string, want string")
     assert all(r.canonical == r.want for r in linkage.canonical_alias(df, "v", aliases).collect())
+
+
+def test_sources_by_recorded_figures_and_quotes(spark):
+    text = "start\n<!-- page 1 of 3 -->\nFig. 4 on a line\n<!-- page 2 of 3 -->\nThe samples were  dried in vacuum for two days\n<!-- page 3 of 3 -->\nend"
+    docs = spark.createDataFrame([("d", text), ("e", text)], "id string, text string")
+    figures = spark.createDataFrame([("d", 0, 9, "Fig. 40 x"), ("d", 1, 3, " Figure 4a. Plots"), ("d", 2, 2, "Fig. 4 again"), ("d", 3, None, "Fig. 5"), ("d", 4, 2, "FIG 5b")], "id string, at int, page int, caption string")
+    asked = [("d", 1, "Fig. 4", None, None, 3), ("d", 2, "figure 5", None, None, 2), ("e", 3, "Fig. 4", None, None, 1), ("d", 4, "Fig. 6", "samples were dried in", 1, 2), ("d", 5, None, "The samples were dried in vacuum $x$ for", 1, 2), ("d", 6, "Table 4", "no such words here", 3, 3), ("d", 7, "Fig. 40", None, None, 9)]
+    points = spark.createDataFrame([(i, n, "figure", label, page, quote) for i, n, label, quote, page, _ in asked], "id string, point int, kind string, label string, page int, quote string")
+    got = {r.point: r.found_page for r in corpus.resolve_sources(points, docs, "text", "id", figures).collect()}
+    assert got == {n: want for _, n, _, _, _, want in asked}
+    pages = {r.doc_id: r.found_page for r in rows(spark, "resolve_sources_all")}
+    size = read("documents").set_index("doc_id").text.str.split().str.len()
+    want = {0: 3, 1: 2, 2: 1, 3: 1, 4: 1, 5: 2}
+    assert all(pages[i] == want[i % 6] for i, n in size.items() if n >= 20)
+
+
+def test_discovery_within_a_budget(spark):
+    """Node 3 is too dear after 2; the cheaper 4 is followed, in all rounds together."""
+    edges = spark.createDataFrame([(1, 2), (1, 3), (1, 4), (2, 5), (3, 6), (4, 7), (7, 8)], "src long, dst long")
+    scores = spark.createDataFrame([(2, 3), (3, 2), (4, 2), (5, 1), (6, 1), (7, 3), (8, 3)], "node long, score int")
+    costs = spark.createDataFrame([(1, 1), (2, 2), (3, 9), (4, 1), (7, 2)], "node long, cost int")
+    run = lambda **more: {r.node for r in graph.discover(spark.createDataFrame([(1,)], "node long"), edges, scores, 5, **more).collect()}
+    assert run() == {2, 3, 4, 5, 6, 7, 8} == run(costs=costs, budget=15)
+    assert run(costs=costs, budget=5) == {2, 3, 4, 5, 7} and run(costs=costs, budget=6) == {2, 3, 4, 5, 7, 8} and run(costs=costs, budget=0) == set()
