@@ -72,6 +72,12 @@ def natural_sort_top(spark, sf):
     return top.select("p_partkey", "p_name", F.row_number().over(Window.orderBy(*order)).cast("long").alias("position"))
 
 
+@query(QUERIES["natural_sort_top"][1].replace(" ORDER BY position LIMIT 100", ""))
+def natural_sort_all(spark, sf):
+    df = t(spark, sf, "part")
+    return x.with_position(df.select("p_partkey", "p_name"), x.sort_order(df, "p_name", False, "p_partkey"))
+
+
 @query("SELECT p_name, p_partkey, p_size FROM part WHERE p_size IN (1, 2, 3) AND contains(lower(p_name), 'a') ORDER BY p_partkey")
 def visible_projection(spark, sf):
     return x.table_view(t(spark, sf, "part"), {"p_size": [1, 2, 3]}, "a", ["p_name"], ["p_name", "nope", "p_partkey", "p_name", "p_size"], "p_brand", True, "p_partkey")

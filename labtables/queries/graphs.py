@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from ..operators import explore as x
 from ..operators import graph as g
 from ..operators import scoring as sc
 from .explore import t
@@ -53,6 +54,12 @@ def neighbours(spark, sf):
     return g.neighbours(edges.filter("src <= 1000010").select(F.col("src").alias("node")).distinct(), edges)
 
 
+@query(f"""WITH {EDGES} SELECT src AS "from", dst AS node FROM e UNION ALL SELECT dst, src FROM (SELECT dst, src, row_number() OVER (PARTITION BY dst ORDER BY src) AS n FROM e) WHERE n <= 400""")
+def neighbours_all(spark, sf):
+    _, edges, nodes = _graph(spark, sf)
+    return g.neighbours(nodes, edges)
+
+
 @query("""SELECT event_type, event_id, CAST((row_number() OVER (PARTITION BY event_type ORDER BY user_id DESC, event_id) - 1) // 80 AS BIGINT) AS batch FROM events""")
 def batches(spark, sf):
     return g.batches(t(spark, sf, "events"), "event_type", 80, [F.col("user_id").desc(), F.col("event_id")]).select("event_type", "event_id", "batch")
@@ -62,12 +69,22 @@ def batches(spark, sf):
 def rank_results(spark, sf):
     from pyspark.sql import Window
 
-    k = F.col("event_id")
-    nodes = t(spark, sf, "events").select(k.alias("node"), (F.col("user_id") % 4).alias("score"), (k % 10).alias("links"), F.when(k % 3 != 0, k % 100).alias("search_rank"))
+    nodes = _results(spark, sf)
     order = g.rank_results(nodes)
     return nodes.orderBy(*order).limit(200).select(F.col("node").alias("event_id"), F.row_number().over(Window.orderBy(*order)).cast("long").alias("position"))
 
 
+def _results(spark, sf):
+    k = F.col("event_id")
+    return t(spark, sf, "events").select(k.alias("node"), (F.col("user_id") % 4).alias("score"), (k % 10).alias("links"), F.when(k % 3 != 0, k % 100).alias("search_rank"))
+
+
+@query(QUERIES["rank_results"][1].replace(" ORDER BY position LIMIT 200", ""))
+def rank_results_all(spark, sf):
+    nodes = _results(spark, sf)
+    return x.with_position(nodes, g.rank_results(nodes)).select(F.col("node").alias("event_id"), "position")
+
+
 @query()
 def budget_take(spark, sf):
     orders = t(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_totalprice", g.fetch_cost((F.col("o_totalprice") / 100).cast("long"), F.col("o_orderkey")).alias("cost"))

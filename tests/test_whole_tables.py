@@ -6,9 +6,10 @@ import re
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from labtables import queries as registry
-from labtables.operators import corpus, graph, linkage
+from labtables.operators import corpus, explore, graph, linkage
 
 SF = "/root/testdata/sf0.001"
 
@@ -139,3 +140,24 @@ def test_discovery_within_a_budget(spark):
     run = lambda **more: {r.node for r in graph.discover(spark.createDataFrame([(1,)], "node long"), edges, scores, 5, **more).collect()}
     assert run() == {2, 3, 4, 5, 6, 7, 8} == run(costs=costs, budget=15)
     assert run(costs=costs, budget=5) == {2, 3, 4, 5, 7} and run(costs=costs, budget=6) == {2, 3, 4, 5, 7, 8} and run(costs=costs, budget=0) == set()
+
+
+def test_orders_and_neighbours_of_all_rows(spark):
+    assert sorted(r.position for r in rows(spark, "rank_results_all")) == list(range(1, len(read("events")) + 1))
+    assert sorted(r.position for r in rows(spark, "natural_sort_all")) == list(range(1, len(read("part")) + 1))
+    links = read("lineitem")[["l_suppkey", "l_partkey"]].drop_duplicates()
+    assert len(rows(spark, "neighbours_all")) == len(links) + links.groupby("l_partkey").size().clip(upper=400).sum()
+
+
+def test_positions_over_partitions(spark):
+    draw = random.Random(9)
+    values = [(i, draw.choice([None, *range(50)])) for i in range(3000)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        df = spark.createDataFrame(values, "i int, v int").repartition(7)
+        got = {r.i: r.position for r in explore.with_position(df, [F.col("v").desc_nulls_last(), F.col("i")]).collect()}
+        assert explore.with_position(df.limit(0), [F.col("i")]).count() == 0
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    want = sorted(values, key=lambda r: (r[1] is None, -(r[1] or 0), r[0]))
+    assert got == {i: n for n, (i, _) in enumerate(want, 1)}
