@@ -22,10 +22,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-from .common import slices, tokenizer_path, utf8
+from .common import slices, tokenizer_path
 
 NO_RANK = (1 << 31) - 1
 #: Words of more bytes than this are merged with a heap.
@@ -33,9 +34,12 @@ LONG_WORD = 400
 #: Words of at most this many bytes share rank matrices of MATRIX_ROWS rows.
 SHORT_WORD = 48
 MATRIX_ROWS = 4096
-#: Runs between white space whose ids a Python worker keeps; beyond it the older half is dropped.
-KEPT_RUNS = 300_000
+#: Words whose ids a Python worker keeps; beyond it all are forgotten.
+KEPT_WORDS = 500_000
 DEFAULT_FILE = "word_bpe_49k.json"
+# Fixed value: the pattern whose words are told by classes of characters.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+LETTER, DIGIT, OTHER = 1, 2, 3
 
 
 def byte_characters() -> list[str]:
@@ -49,7 +53,7 @@ def byte_characters() -> list[str]:
 class WordBpe:
     """Encoder and decoder of one tokenizer file."""
 
-    kept = KEPT_RUNS
+    kept = KEPT_WORDS
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as file:
@@ -80,8 +84,11 @@ class WordBpe:
         steps = config["pre_tokenizer"].get("pretokenizers", [config["pre_tokenizer"]])
         self.pattern = regex.compile(next(s["pattern"]["Regex"] for s in steps if s["type"] == "Split"))
         self.special_pattern = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
-        self.separated = regex.compile(f"{self.pattern.pattern}| ")
-        self.runs: dict[bytes, bytes] = {}
+        self.by_class = self.pattern.pattern == SPLIT
+        # kept words: place by word; where a word's ids begin in flat, and how many they are
+        self.slot: dict[str, int] = {}
+        self.start, self.length = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.flat, self.end = np.zeros(0, np.uint32), 0
 
     def merge(self, word: bytes) -> list[int]:
         """Ids of one word."""
@@ -175,57 +182,107 @@ class WordBpe:
             has = low < length - 1
             ranks[row[has], low[has]] = self._rank(ids[row[has], low[has]], ids[row[has], low[has] + 1])
 
-    def words_of(self, run: str) -> list[str | int]:
-        """Words of a text, and the ids of special tokens that stand in it, in order."""
+    def words_of(self, run: str) -> list[str]:
+        """Words of a text, and the special tokens that stand in it, in order."""
         out, at = [], 0
         for hit in self.special_pattern.finditer(run) if self.special_pattern else ():
             out += self.pattern.findall(normalized(run[at : hit.start()]))
-            out.append(self.special[hit.group()])
+            out.append(hit.group())
             at = hit.end()
         return out + self.pattern.findall(normalized(run[at:]))
 
-    def _split_runs(self, runs: list[bytes]) -> list[list[str | int]]:
-        """The words of each run. Runs hold no ASCII white space, so all are normalised at once; those
-        of letters alone are words, and the others are split in one pass."""
-        text = b" ".join(runs).decode()
-        if self.special_pattern and self.special_pattern.search(text):
-            return [self.words_of(r.decode()) for r in runs]
-        whole = normalized(text).split(" ")
-        out: list[list[str | int]] = [[w] for w in whole]
-        mixed = [i for i, w in enumerate(whole) if not w.isalpha()]
-        parts: list[list[str | int]] = [[]]
-        for word in self.separated.findall(" ".join([whole[i] for i in mixed])):
-            if word == " ":
-                parts.append([])
+    def _words(self, runs: pa.StringArray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """The words of runs between white space, and for each run its first word's place and its number
+        of words. Runs with an apostrophe or a special token go through the pattern one by one; in all
+        others a word ends where the class of the character changes or stands a digit, which is found
+        for all runs at once."""
+        odd = pc.match_substring(runs, "'")
+        for token in self.special:
+            odd = pc.or_(odd, pc.match_substring(runs, token))
+        odd = odd.to_numpy(zero_copy_only=False) if self.by_class else np.ones(len(runs), bool)
+        count, parts = np.zeros(len(runs), np.int64), []
+        plain = np.flatnonzero(~odd)
+        if len(plain):
+            some = runs if len(plain) == len(runs) else runs.take(pa.array(plain))
+            text = normalized(pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(some)], pa.int32()), some), " ")[0].as_py())
+            codes = np.frombuffer(text.encode(), np.uint8) if text.isascii() else np.frombuffer(text.encode("utf-32-le"), np.uint32)
+            kinds = character_kinds()[codes]
+            inside = kinds > 0
+            opens = inside.copy()
+            opens[1:] &= (kinds[1:] != kinds[:-1]) | (kinds[1:] == DIGIT)
+            first = np.flatnonzero(opens)
+            if codes.dtype == np.uint8:
+                size, data = inside, codes[inside].tobytes()
             else:
-                parts[-1].append(word)
-        for i, words in zip(mixed, parts):
-            out[i] = words
-        return out
-
-    def learn(self, runs: list[bytes]) -> dict[bytes, bytes]:
-        """Ids of each run as little-endian 32-bit integers."""
-        split = self._split_runs(runs)
-        words = list({w for ws in split for w in ws if isinstance(w, str)})
-        ids: dict[str | int, bytes] = dict(zip(words, self.merge_all([w.encode() for w in words])))
-        ids |= {i: np.array([i], "<u4").tobytes() for i in self.special.values()}
-        return {r: ids[ws[0]] if len(ws) == 1 else b"".join([ids[w] for w in ws]) for r, ws in zip(runs, split)}
+                size = (1 + (codes > 0x7F).astype(np.int8) + (codes > 0x7FF) + (codes > 0xFFFF)) * inside
+                data = codes[inside].tobytes().decode("utf-32-le").encode()
+            before = np.cumsum(size, dtype=np.int64) - size
+            offsets = np.append(before[first], len(data)).astype(np.int32)
+            parts.append(pa.StringArray.from_buffers(len(first), pa.py_buffer(offsets), pa.py_buffer(data)))
+            run = np.cumsum(codes == 32)[first]
+            count[plain] = np.bincount(run, minlength=len(plain))
+        words = [self.words_of(r) for r in runs.filter(pa.array(odd)).to_pylist()]
+        if words:
+            parts.append(pa.array([w for ws in words for w in ws], pa.string()))
+            count[odd] = [len(ws) for ws in words]
+        # plain runs' words come first, then the others'
+        order = np.concatenate([plain, np.flatnonzero(odd)])
+        first = np.empty(len(runs), np.int64)
+        first[order] = np.cumsum(count[order]) - count[order]
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.string()), first, count
+
+    def merge_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Number of ids of each word, and the ids of all."""
+        merged = self.merge_all([w.encode() for w in words])
+        return np.array([len(m) // 4 for m in merged], np.int64), np.frombuffer(b"".join(merged), "<u4")
+
+    def _slots(self, words: list[str]) -> np.ndarray:
+        """The place of each distinct word in the kept words; new ones are merged. What is kept is
+        forgotten when it would grow beyond its bounds."""
+        slot = self.slot
+        new = [w for w in words if w not in slot]
+        if new and (len(slot) + len(new) > self.kept or self.end > 8 * self.kept):
+            slot.clear()
+            self.end, new = 0, words
+        if new:
+            known = [w for w in new if w not in self.special]
+            length, ids = self.merge_words(known)
+            marks = [w for w in new if w in self.special]
+            length = np.concatenate([length, np.ones(len(marks), np.int64)])
+            ids = np.concatenate([ids, np.array([self.special[w] for w in marks], np.uint32)])
+            n, end = len(slot), self.end + len(ids)
+            slot.update(zip(known + marks, range(n, n + len(new))))
+            self.start, self.length = grown(self.start, n + len(new)), grown(self.length, n + len(new))
+            self.flat = grown(self.flat, end)
+            self.start[n : n + len(new)] = self.end + np.cumsum(length) - length
+            self.length[n : n + len(new)] = length
+            self.flat[self.end : end] = ids
+            self.end = end
+        return np.fromiter(map(slot.__getitem__, words), np.int64, len(words))
+
+    def encode_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The number of ids of each whole text (null: none), and all ids in order. White space parts
+        words and is dropped, so the distinct runs between white space are split once, their distinct
+        words are looked up or merged once, and ids are gathered from there."""
+        lists = pc.ascii_split_whitespace(texts.fill_null(""))
+        flat = lists.flatten().dictionary_encode()
+        words, first, count = self._words(flat.dictionary)
+        coded = words.dictionary_encode()
+        slots = self._slots(coded.dictionary.to_numpy(zero_copy_only=False).tolist())[coded.indices.to_numpy()] if len(words) else np.zeros(0, np.int64)
+        length = self.length[slots]
+        begins = np.concatenate([[0], np.cumsum(length)])
+        ids = gathered(self.flat, self.start[slots], length)
+        run = flat.indices.to_numpy()
+        start, length = begins[first], begins[first + count] - begins[first]
+        ends = np.concatenate([[0], np.cumsum(length[run])])
+        offsets = lists.offsets.to_numpy()
+        return np.diff(ends[offsets]), gathered(ids, start[run], length[run])
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Ids of each whole text as little-endian 32-bit integers. White space parts words and is
-        dropped, so each run between white space is encoded once and looked up after that."""
-        split = [t.split() for t in texts]
-        new = list(set().union(*split) - self.runs.keys())
-        if len(self.runs) + len(new) > self.kept:
-            self.runs = dict(list(self.runs.items())[len(self.runs) // 2 :])
-            new = list(set().union(*split) - self.runs.keys())
-        if new:
-            self.runs |= self.learn(new)
-        out = [b"".join(map(self.runs.__getitem__, runs)) for runs in split]
-        for run in new:
-            if len(run) > 64:
-                del self.runs[run]
-        return out
+        """Ids of each whole text as little-endian 32-bit integers."""
+        lengths, ids = self.encode_column(pa.array([t.decode() for t in texts], pa.string()))
+        ends = np.cumsum(lengths)
+        return [ids[e - n : e].astype("<u4").tobytes() for n, e in zip(lengths.tolist(), ends.tolist())]
 
     def decode(self, ids: list[int]) -> str:
         """The tokens of the ids joined by spaces, as decode() of a tokenizer without a decoder does;
@@ -236,6 +293,28 @@ class WordBpe:
             return " ".join([self.tokens[i] for i in ids if i < self.size])
 
 
+@lru_cache(1)
+def character_kinds() -> np.ndarray:
+    """Code point -> 0 for white space, or whether it is a letter, a digit or another character."""
+    every = "".join(map(chr, range(0x110000)))
+    kinds = np.full(len(every), OTHER, np.uint8)
+    for kind, pattern in ((0, r"\s+"), (LETTER, r"\p{L}+"), (DIGIT, r"\p{N}+")):
+        for hit in regex.finditer(pattern, every):
+            kinds[hit.start() : hit.end()] = kind
+    return kinds
+
+
+def grown(a: np.ndarray, size: int) -> np.ndarray:
+    """`a` with room for `size` items, at least doubled where it had too little."""
+    return a if len(a) >= size else np.concatenate([a, np.zeros(max(size, 2 * len(a)) - len(a), a.dtype)])
+
+
+def gathered(flat: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The stretches of `flat` that begin at `start`, one after another."""
+    ends = np.cumsum(length)
+    return flat[np.repeat(start - ends + length, length) + np.arange(ends[-1] if len(ends) else 0)]
+
+
 def normalized(text: str) -> str:
     """NFC, then lower case character by character (no final sigma)."""
     if text.isascii():
@@ -262,8 +341,9 @@ def bpe_encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", pa
 
     def run(batches):
         for batch in slices(batches, text_col):
-            ids = [np.frombuffer(x, "<i4") for x in model_of(at).encode(utf8(batch.column(text_col)))]
-            yield pa.RecordBatch.from_arrays([batch.column(id_col), pa.array(ids, pa.list_(pa.int32()))], [id_col, "ids"])
+            lengths, ids = model_of(at).encode_column(batch.column(text_col))
+            offsets = pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(id_col), pa.ListArray.from_arrays(offsets, pa.array(ids.astype(np.int32)))], [id_col, "ids"])
 
     return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {key}, ids array<int>")
 
@@ -293,11 +373,13 @@ def bpe_round_trip(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batches):
         for batch in slices(batches, text_col):
-            model, counts, ids_digest, text_digest = model_of(at), [], [], []
-            for ids in model.encode(utf8(batch.column(text_col))):
-                counts.append(len(ids) // 4)
-                ids_digest.append(hashlib.sha256(ids).hexdigest())
-                text_digest.append(hashlib.sha256(model.decode(np.frombuffer(ids, "<u4").tolist()).encode()).hexdigest())
+            model, ids_digest, text_digest = model_of(at), [], []
+            counts, every = model.encode_column(batch.column(text_col))
+            ends = np.cumsum(counts)
+            for n, end in zip(counts.tolist(), ends.tolist()):
+                ids = every[end - n : end].astype("<u4")
+                ids_digest.append(hashlib.sha256(ids.tobytes()).hexdigest())
+                text_digest.append(hashlib.sha256(model.decode(ids.tolist()).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(id_col), pa.array(counts, pa.int64()), pa.array(ids_digest), pa.array(text_digest)],
                 [id_col, "n_tokens", "ids_sha256", "decoded_sha256"],

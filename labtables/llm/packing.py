@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import struct
 import zlib
-from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -26,12 +25,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import DEFAULT_FILE, WordBpe, byte_characters
-from .common import shared_folder, slices, tokenizer_path, utf8
+from .common import shared_folder, slices, tokenizer_path
 
 HEAD = struct.Struct("<4sBBHIIQQ")
 #: Ids of one frame, unless a single document has more; and of one block.
 FRAME_IDS = 1 << 20
 BLOCK_IDS = 1 << 12
+#: Characters of text that are encoded at once: the more, the fewer words are looked up twice.
+ENCODED_CHARS = 4_000_000
 FRAME_SCHEMA = "shard int, frame int, shard_start long, n_ids long, image binary"
 
 
@@ -99,7 +100,7 @@ class Frame:
 class LibraryBpe(WordBpe):
     """The tokenizers library's own model merges the words."""
 
-    kept = 700_000
+    kept = 1_000_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -108,9 +109,25 @@ class LibraryBpe(WordBpe):
         self.library = Tokenizer.from_file(path)
         self.letters = {b: ord(c) for b, c in enumerate(byte_characters())}
 
-    def merge_all(self, words: list[bytes]) -> list[bytes]:
-        tokenize = self.library.model.tokenize
-        return [array("I", [t.id for t in tokenize(w.decode("latin-1").translate(self.letters))]).tobytes() for w in words]
+    def merge_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        tokenize, letters = self.library.model.tokenize, self.letters
+        lengths, ids = [], []
+        for word in words:
+            # printable ASCII stands for itself among the byte characters
+            tokens = tokenize(word if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(letters))
+            lengths.append(len(tokens))
+            ids += [t.id for t in tokens]
+        return np.array(lengths, np.int64), np.array(ids, np.uint32)
+
+
+def with_ends(lengths: np.ndarray, ids: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """Lengths and ids with `end_id` after each run."""
+    sizes = lengths + 1
+    out = np.full(len(ids) + len(sizes), end_id, np.uint32)
+    inside = np.ones(len(out), bool)
+    inside[np.cumsum(sizes) - 1] = False
+    out[inside] = ids
+    return sizes, out
 
 
 @lru_cache(2)
@@ -130,13 +147,13 @@ def write_packed(
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches):
-        shard, frame, start = TaskContext.get().partitionId(), 0, 0
-        keys, lengths, ids, held, model = [], [], [], 0, library_of(at)
-        bits, end = bits_for(model.size), np.array([end_id], "<u4").tobytes()
+        shard, frame, start, model = TaskContext.get().partitionId(), 0, 0, library_of(at)
+        bits = bits_for(model.size)
+        keys, lengths, ids, held = [], [], [], 0
 
         def flush():
             nonlocal frame, start, keys, lengths, ids, held
-            image = frame_image(keys, np.array(lengths, np.int64), np.frombuffer(b"".join(ids), "<u4"), bits)
+            image = frame_image(keys, np.array(lengths, np.int64), np.concatenate(ids), bits)
             row = pa.RecordBatch.from_arrays(
                 [pa.array([shard], pa.int32()), pa.array([frame], pa.int32()), pa.array([start], pa.int64()), pa.array([held], pa.int64()), pa.array([image], pa.binary())],
                 ["shard", "frame", "shard_start", "n_ids", "image"],
@@ -144,15 +161,18 @@ def write_packed(
             frame, start, keys, lengths, ids, held = frame + 1, start + held, [], [], [], 0
             return row
 
-        for batch in slices(batches, text_col):
-            for key, coded in zip(batch.column(id_col).to_pylist(), model.encode(utf8(batch.column(text_col)))):
-                size = len(coded) // 4 + 1
+        for batch in slices(batches, text_col, ENCODED_CHARS):
+            sizes, every = with_ends(*model.encode_column(batch.column(text_col)), end_id)
+            first = last = 0  # ids of this slice that the open frame holds
+            for key, size in zip(batch.column(id_col).to_pylist(), sizes.tolist()):
                 if held and held + size > frame_ids:
+                    ids.append(every[first:last])
+                    first = last
                     yield flush()
                 keys.append(key)
                 lengths.append(size)
-                ids += [coded, end]
-                held += size
+                held, last = held + size, last + size
+            ids.append(every[first:])
         if keys:
             yield flush()
 
