@@ -53,7 +53,7 @@ ALLOWED = (
     r"(?i)example|placeholder|your_|dummy|xxxx",
     r"(?i)0123456789|abcdefghij",
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
-    r"^[A-Za-z0-9]{0,14}([/_=-]+[A-Za-z0-9]{0,14}){2,}$",
+    PATH := r"^[A-Za-z0-9]{0,14}([/_=-]+[A-Za-z0-9]{0,14}){2,}$",
 )
 #: For redaction, where a secret may stand beside other parts of an address or an assignment: runs of
 #: hexadecimal digits end at letters and digits only; the words of examples part base-64 runs, so that
@@ -64,8 +64,15 @@ PART_CLASSES = (
     EntropyClass("entropy_hex", r"(?<![0-9A-Za-z])[0-9A-Fa-f]{24,}(?![0-9A-Za-z])", 24, 3.0),
     EntropyClass("entropy_base64", rf"(?=[0-9A-Za-z+/_=-]{{20}})(?:(?!{PART_WORDS})[0-9A-Za-z+/_=-]){{20,}}+", 20, 3.7),
 )
-PART_ALLOWED = (*ALLOWED[:-1], r"^(?:[A-Za-z]{0,14}|[0-9]{0,14})(?:[/_=-]+(?:[A-Za-z]{0,14}|[0-9]{0,14})){2,}$")
+PART_PATH = r"^(?:[A-Za-z]{0,14}|[0-9]{0,14})(?:[/_=-]+(?:[A-Za-z]{0,14}|[0-9]{0,14})){2,}$"
+PART_ALLOWED = (*ALLOWED[:-1], PART_PATH)
+#: The path rules for the JVM, whose matcher recurses at each turn of a repeated group and so fails on
+#: long runs: of base-64 characters, what must be found and what must not.
+TWO_SEPARATORS = r"[/_=-][^/_=-]*[/_=-]"
+BY_PIECES = {PATH: (TWO_SEPARATORS, r"\+|[A-Za-z0-9]{15}"), PART_PATH: (TWO_SEPARATORS, r"\+|[A-Za-z0-9]{15}|[A-Za-z][0-9]|[0-9][A-Za-z]")}
 SCALE = 1_000_000
+#: Counts of a window are held so many bits each, in SLOTS integers of 64 bits.
+COUNT_BITS, SLOTS = 5, 8
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -73,22 +80,27 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def running_sum(values: Column) -> Column:
-    """Running sums of an array, in steps of its length's square root: n ** 1.5 additions at most."""
+def running(values: Column, add: Callable[[Column, Column], Column]) -> Column:
+    """Running sums (or what else `add` makes of numbers from 0 up) of an array, in steps of its length's
+    square root: n ** 1.5 additions at most."""
 
     def sums(a: Column) -> Column:
         step = F.greatest(F.ceil(F.sqrt(F.size(a).cast("double"))).cast("int"), F.lit(1))
         chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(a) - 1) / step).cast("int")), lambda q: F.slice(a, q * step + 1, step))
-        total = lambda x: F.aggregate(x, F.lit(0), lambda s, y: s + y)
+        total = lambda x: F.aggregate(x, F.lit(0), add)
 
         def bases(cs: Column) -> Column:
-            return let(F.transform(cs, total), lambda t: F.flatten(F.transform(cs, lambda c, q: let(total(F.slice(t, 1, q)), lambda base: F.transform(c, lambda _, i: base + total(F.slice(c, 1, i + 1)))))))
+            return let(F.transform(cs, total), lambda t: F.flatten(F.transform(cs, lambda c, q: let(total(F.slice(t, 1, q)), lambda base: F.transform(c, lambda _, i: add(base, total(F.slice(c, 1, i + 1))))))))
 
         return let(chunks, bases)
 
     return let(values, lambda a: F.when(F.size(a) > 0, sums(a)).otherwise(F.array().cast("array<int>")))
 
 
+def running_sum(values: Column) -> Column:
+    return running(values, lambda s, y: s + y)
+
+
 SPAN = "array<struct<start:int,kind:int,end:int,text:string>>"
 
 
@@ -117,42 +129,56 @@ def entropy_terms(window: int) -> list[int]:
 
 def hot_range(candidate: Column, window: int, bits: float) -> Column:
     """First and end index of the windows of `candidate` (ASCII) with at least `bits` of entropy, or
-    null: lo and hi of a struct. Entropy is log2 w - sum(n log2 n) / w over the window's counts."""
+    null: lo and hi of a struct. Entropy is log2 w - sum(n log2 n) / w over the window's counts. A step
+    changes two counts, packed in SLOTS integers, whatever the window (of fewer than 32)."""
+    if window >= 1 << COUNT_BITS:
+        raise ValueError("windows have fewer than 32 characters")
     terms = F.array(*[F.lit(x) for x in entropy_terms(window)])
     most = math.floor((math.log2(window) - bits) * window * SCALE)
     codes = F.transform(F.split(candidate, ""), lambda c: F.ascii(c) - 32)
     empty = F.struct(
-        F.array_repeat(F.lit(0), 96).alias("n"), F.lit(0).alias("sum"), F.lit(0).alias("i"),
+        F.array_repeat(F.lit(0).cast("long"), SLOTS).alias("n"), F.lit(0).alias("sum"), F.lit(0).alias("i"),
         F.lit(None).cast("int").alias("lo"), F.lit(None).cast("int").alias("hi"),
     )
+    slot, place = lambda c: c.bitwiseAND(SLOTS - 1), lambda c: F.shiftright(c, 3) * COUNT_BITS
+    one = F.lit(1).cast("long")
 
     def slide(a: Column) -> Column:
         def step(s: Column, enters: Column) -> Column:
             full = s["i"] >= window
             leaves = F.when(full, F.get(a, s["i"] - window)).otherwise(-1)
-            more = F.get(s["n"], enters)
-            less = F.coalesce(F.get(s["n"], leaves), F.lit(0)) + (leaves == enters).cast("int")
-            total = s["sum"] + F.get(terms, more + 1) - F.get(terms, more) - F.when(full, F.get(terms, less) - F.get(terms, less - 1)).otherwise(0)
-            counts = F.transform(s["n"], lambda n, j: n + (j == enters).cast("int") - (j == leaves).cast("int"))
+            count = lambda c: F.call_function("shiftright", F.get(s["n"], slot(c)), place(c)).bitwiseAND((1 << COUNT_BITS) - 1).cast("int")
+            unit = lambda c, j: F.when(j == slot(c), F.call_function("shiftleft", one, place(c))).otherwise(0)
+            gained = let(count(enters), lambda n: F.get(terms, n + 1) - F.get(terms, n))
+            lost = F.when(full, let(count(leaves), lambda n: F.get(terms, n) - F.get(terms, n - 1))).otherwise(0)
+            moved = F.transform(s["n"], lambda n, j: n + unit(enters, j) - F.when(full, unit(leaves, j)).otherwise(0))
 
             def after(t: Column) -> Column:
                 hot = (s["i"] >= window - 1) & (t <= most)
                 return F.struct(
-                    counts.alias("n"), t.alias("sum"), (s["i"] + 1).alias("i"),
+                    F.when(leaves == enters, s["n"]).otherwise(moved).alias("n"), t.alias("sum"), (s["i"] + 1).alias("i"),
                     F.coalesce(s["lo"], F.when(hot, s["i"] - window + 1)).alias("lo"), F.when(hot, s["i"] + 1).otherwise(s["hi"]).alias("hi"),
                 )
 
-            return let(total, after)
+            return let(F.when(leaves == enters, s["sum"]).otherwise(s["sum"] + gained - lost), after)
 
         return F.aggregate(a, empty, step, lambda s: F.struct(s["lo"], s["hi"]))
 
     return let(codes, slide)
 
 
+def is_allowed(candidate: Column, allowed: tuple[str, ...]) -> Column:
+    """Whether a run of base-64 characters matches any of the rules."""
+    rules = [r for r in allowed if r not in BY_PIECES]
+    out = candidate.rlike("|".join(f"(?:{r})" for r in rules)) if rules else F.lit(False)
+    for must, never in (BY_PIECES[r] for r in allowed if r in BY_PIECES):
+        out = out | (candidate.rlike(must) & ~candidate.rlike(never))
+    return out
+
+
 def entropy_spans(text: Column, cls: EntropyClass, kind: int, allowed: tuple[str, ...] = ALLOWED) -> Column:
     """Spans from the first to the last window of each candidate that is hot, allow list applied."""
-    rules = "|".join(f"(?:{a})" for a in allowed)
-    candidates = F.filter(spans_of(text, cls.pattern, kind), lambda s: ~s["text"].rlike(rules) if allowed else F.lit(True))
+    candidates = F.filter(spans_of(text, cls.pattern, kind), lambda s: ~is_allowed(s["text"], allowed))
     hot = F.transform(candidates, lambda s: let(hot_range(s["text"], cls.window, cls.bits), lambda h: F.struct(
         (s["start"] + h["lo"]).alias("start"), s["kind"].alias("kind"), (s["start"] + h["hi"]).alias("end"), F.lit("").alias("text"))))
     return F.filter(hot, lambda s: s["start"].isNotNull()).cast(SPAN)
@@ -164,7 +190,9 @@ def secret_spans(
     """`docs` with a column `out`: array<struct<start int, kind string, end int>> by start, then kind in
     the order assign, access, hex, entropy classes. Positions are code points, ends exclusive. Null and
     empty texts have no spans; spans of different kinds may overlap; a column named as `out` is
-    replaced. Each row is scanned by itself, so ties and repeated rows don't matter."""
+    replaced, all others stay whatever their names. Each row is scanned by itself, so ties and repeated
+    rows don't matter; texts and runs of any length are scanned whole, in a time that grows with n ** 1.5
+    of the number of spans at most; an empty table gives no rows."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     kinds = [k for k, *_ in BASE_KINDS] + [c.name for c in classes]
     parts = [spans_of(text, pattern, i, group, least) for i, (_, pattern, group, least) in enumerate(BASE_KINDS)]
@@ -179,7 +207,8 @@ def spans_text(spans: Column) -> Column:
 
 
 def secret_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """`id_col`, n_assign, n_access, n_hex, base_sha256, spans for each row of `docs`."""
+    """`id_col`, n_assign, n_access, n_hex, base_sha256, spans for each row of `docs`; cases as in
+    secret_spans."""
     base = [k for k, *_ in BASE_KINDS]
     found = secret_spans(docs.select(id_col, text_col), text_col, **options).select(id_col, "secret_spans")
     count = lambda k: F.size(F.filter("secret_spans", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
@@ -191,19 +220,46 @@ def redact_secrets(docs: DataFrame, text_col: str = "text", mark: str = "[secret
     """`docs` with each stretch of `text_col` that spans cover replaced by `mark`; overlapping and
     touching spans are one stretch. Texts without spans stay as they are, null included. Runs are
     looked at part by part (PART_CLASSES, PART_ALLOWED) unless options say otherwise."""
-    found = secret_spans(docs, text_col, out="__spans", **{"classes": PART_CLASSES, "allowed": PART_ALLOWED} | options)
-    spans = F.col("__spans")
-    merged = F.aggregate(
-        spans, F.array().cast("array<struct<start:int,end:int>>"),
-        lambda acc, s: F.when((F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["end"] >= s["start"]),
-            F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(F.try_element_at(acc, F.lit(-1))["start"].alias("start"), F.greatest(F.try_element_at(acc, F.lit(-1))["end"], s["end"]).alias("end"))))
-        ).otherwise(F.concat(acc, F.array(F.struct(s["start"].alias("start"), s["end"].alias("end"))))),
-    )
-    text = F.col(text_col)
-    pieces = lambda m: F.transform(F.sequence(F.lit(0), F.size(m)), lambda i: let(
-        F.when(i > 0, F.get(m, i - 1)["end"]).otherwise(0), lambda a: F.substring(text, a + 1, F.coalesce(F.get(m, i)["start"], F.char_length(text)) - a)))
-    clean = F.when(F.size(spans) > 0, F.array_join(let(merged, pieces), mark)).otherwise(text)
-    return found.withColumn(text_col, clean).drop("__spans")
+    kept = "__spans"
+    while kept in docs.columns:
+        kept += "_"
+    found = secret_spans(docs, text_col, out=kept, **{"classes": PART_CLASSES, "allowed": PART_ALLOWED} | options)
+    text, spans = F.col(text_col), F.col(kept)
+    clean = F.when(F.size(spans) > 0, F.array_join(let(stretches(spans), lambda m: pieces_between(text, m)), mark)).otherwise(text)
+    return found.withColumn(text_col, clean).drop(kept)
+
+
+def stretches(spans: Column) -> Column:
+    """What ordered spans cover together, as structs of start and end: a stretch begins at a span that
+    starts after all spans before it have ended."""
+    reach = running(F.transform(spans, lambda s: s["end"]), lambda a, b: F.greatest(a, b))
+
+    def cut(r: Column) -> Column:
+        begins = F.filter(F.transform(spans, lambda s, i: F.when((i == 0) | (s["start"] > F.get(r, i - 1)), i)), lambda i: i.isNotNull())
+        last = lambda b, k: F.coalesce(F.get(b, k + 1), F.size(spans)) - 1
+        return let(begins, lambda b: F.transform(b, lambda i, k: F.struct(F.get(spans, i)["start"].alias("start"), F.get(r, last(b, k)).alias("end"))))
+
+    return let(reach, cut)
+
+
+def pieces_between(text: Column, cover: Column) -> Column:
+    """The pieces of a text before, between and after ordered stretches. They are cut out of runs of
+    about the square root of their number, so that no piece is sought from the text's begin."""
+    ends = F.concat(F.array(F.lit(0)), F.transform(cover, lambda s: s["end"]))
+    bounds = F.zip_with(ends, F.concat(F.transform(cover, lambda s: s["start"]), F.array(F.char_length(text))), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+
+    def cut(all_: Column) -> Column:
+        step = F.ceil(F.sqrt(F.size(all_).cast("double"))).cast("int")
+        runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / step).cast("int")), lambda q: F.slice(all_, q * step + 1, step))
+
+        def of_run(run: Column) -> Column:
+            begin = F.get(run, F.lit(0))["a"]
+            whole = F.substring(text, begin + 1, F.element_at(run, -1)["b"] - begin)
+            return let(whole, lambda w: F.transform(run, lambda x: F.substring(w, x["a"] - begin + 1, x["b"] - x["a"])))
+
+        return F.flatten(F.transform(runs, of_run))
+
+    return let(bounds, cut)
 
 
 def oracle() -> str:

@@ -35,7 +35,7 @@ def entropy_spans(text):
 def texts():
     draw = random.Random(11)
     alphabet = "abcdefABCDEF0123456789+/_=- "
-    bits = ["password=", "PASSWD: '", "api_key = \"", "apikey=abc", "secret:token:abcdefg", "token=token=abcdefgh", "AKIA" + "Q7" * 9, "AKIAAKIA" + "Z" * 11, "deadbeef" * 4, "é🎉", "\n", "ſecret=longenough", "0123456789abcdef" * 3, "x" * 40, "Zm9vYmFyQmF6MTIzNDU2Nzg5MGFiY2RlZg=="]
+    bits = ["password=", "PASSWD: '", "api_key = \"", "apikey=abc", "secret:token:abcdefg", "token=token=abcdefgh", "AKIA" + "Q7" * 9, "AKIAAKIA" + "Z" * 11, "deadbeef" * 4, "é🎉", "\n", "ſecret=longenough", "0123456789abcdef" * 3, "x" * 40, "Zm9vYmFyQmF6MTIzNDU2Nzg5MGFiY2RlZg==", "A" * 30 + "b3dE5gH7jK9mN1pQ3sT5vW7" + "A" * 30]
     made = ["".join(draw.choice(bits) if draw.random() < 0.2 else "".join(draw.choice(alphabet) for _ in range(draw.randint(1, 40))) for _ in range(draw.randint(0, 30))) for _ in range(150)]
     return [None, "", " ", *bits, "a1 " + "Ab3dE5gH7jK9mN1pQ3sT5vW7 " * 400, *made]
 
@@ -93,3 +93,29 @@ def test_parts_as_brute_force(spark, monkeypatch):
     monkeypatch.setattr(s, "ALLOWED", s.PART_ALLOWED)
     want = {i: ",".join(f"{n}:{a}:{b}" for a, _, n, b in sorted(base_spans(t or "") + entropy_spans(t or ""))) for i, t in rows}
     assert {r.doc_id: r.spans for r in found} == want
+
+
+def test_long_runs(spark):
+    """Runs of 1 MB of each class: none may end in the JVM's stack, and each has a defined result."""
+    size = 1_000_000
+    runs = ["a1/" * (size // 3), "-" * size, "=" * size, "Ab3dE5gH7jK9mN1pQ3sT5vW7+/" * (size // 26), "0123456789abcdef" * (size // 16), "ab_" * (size // 3), "F00DCAFE9182" * (size // 12), "password=" + "x" * size, "AKIA" + "Q7" * (size // 2)]
+    df = spark.createDataFrame(list(enumerate(runs)), "doc_id long, text string").repartition(4)
+    for options in ({}, {"classes": s.PART_CLASSES, "allowed": s.PART_ALLOWED}):
+        got = {r.doc_id: r for r in s.secret_report(df, **options).collect()}
+        assert [got[i].spans for i in (0, 1, 2, 5)] == ["", "", "", ""]
+        assert got[3].spans == f"entropy_base64:0:{len(runs[3])}" and got[4].spans.startswith(f"hex:0:{len(runs[4])}")
+        assert (got[7].n_assign, got[8].n_access) == (1, 1)
+    clean = dict(s.redact_secrets(df).select("doc_id", "text").collect())
+    assert clean[3] == "[secret]" and clean[4] == "[secret]" and clean[1] == runs[1] and clean[5] == runs[5]
+
+
+def test_many_spans(spark):
+    """Touching, nested and separate spans by the ten thousand, beside a plain version."""
+    text = " é ".join(f"{i:032x} token=abcdef{i}" for i in range(12_000))
+    rows = [(1, text, 5), (1, text, 6), (2, "", 7), (None, None, 8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __spans int")
+    got = s.redact_secrets(df).collect()
+    assert s.redact_secrets(df).columns == df.columns and sorted(r["__spans"] for r in got) == [5, 6, 7, 8]
+    assert next(r.text for r in got if r["__spans"] == 5) == " é ".join(["[secret] [secret]"] * 12_000)
+    assert [r.text for r in got if r["__spans"] > 6] == ["", None]
+    assert s.secret_report(df.limit(0)).count() == 0
