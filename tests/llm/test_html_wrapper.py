@@ -116,3 +116,72 @@ def test_odd_rows(spark):
     got = sorted((r.page_id or -1, r.text) for r in w.extract_main_text(df).collect())
     assert got == [(-1, "T\np"), (1, ""), (2, ""), (3, "T\np"), (3, "T\np"), (4, "x" * 100_000)]
     assert w.extract_main_text(df.limit(0)).count() == 0
+
+
+def wrapped(pages):
+    import json
+
+    return json.dumps(plain(pages))
+
+
+def test_names_alone_drop_nothing():
+    """Article text whose class or id only looks like something else's stays."""
+    inner = '<h2 id="discussion">Discussion</h2><section id="related-work"><p>Others did this</p></section><div class="legal">Of law</div><p class="alert">Beware of it</p><table class="social stats"><tr><td>1</td></tr></table><p>x <math><mi>y</mi></math> z</p>'
+    text = "T\nThe story begins with words\nDiscussion\nOthers did this\nOf law\nBeware of it\n1\nx y z"
+    pages = [f"<article><h1>T</h1><p>The story begins with words</p>{inner}</article>"] + [f"<article><h1>T {i}</h1><p>Another story {i} begins here</p></article>" for i in range(4)]
+    assert w.main_text(pages[0], None) == text and w.main_text(pages[0], wrapped(pages)) == text
+    # what holds the article isn't a comment, whatever its name
+    named = '<article><div class="comments"><p>A long text that is all there is of the article</p></div><p>x</p></article>'
+    assert w.main_text(named, None) == "A long text that is all there is of the article\nx"
+
+
+def test_wrapper_decides_in_articles():
+    """What all pages of a host have in their articles goes by the wrapper only; named lists of links,
+    repeated comments and articles in articles go by any."""
+
+    def make(i):
+        told = "".join(f"<p>Paragraph {i} {k} with quite some words in it</p>" for k in range(i + 1))
+        said = "".join(f'<div class="comment"><time>day {k}</time><p>Reader {i} {k} thinks so</p></div>' for k in range(3))
+        return f'<body><article><h1>Title {i}</h1><p>Follow us for more</p>{told}<ul class="related"><li><a href="/{i}">Other story {i}</a></li></ul><div>{said}</div><article>An answer {i}</article><div class="ad">Buy thing {i}</div></article></body>'
+
+    pages = [make(i) for i in range(5)]
+    text = lambda i, more=(): "\n".join([f"Title {i}", *more, *(f"Paragraph {i} {k} with quite some words in it" for k in range(i + 1))])
+    for i in (2, 4):
+        assert w.main_text(pages[i], None) == text(i, ["Follow us for more"])
+        assert w.main_text(pages[i], wrapped(pages)) == text(i)
+    # copies of one page are no evidence, nor are pages that differ in a word
+    assert w.main_text(pages[3], wrapped([pages[3]] * 6)) == text(3, ["Follow us for more"])
+    near = [f"<article><h1>Same title</h1><p>One and the same paragraph of the article</p><p>Number {i}</p></article>" for i in range(5)]
+    assert w.main_text(near[0], wrapped(near)) == "Same title\nOne and the same paragraph of the article\nNumber 0"
+
+
+def test_cards_are_not_the_article():
+    page_ = '<div class="list"><article class="teaser"><a href="/1">One other story to read</a></article><article class="teaser"><a href="/2">Two</a></article></div><article><h1>T</h1><p>Words of it</p></article>'
+    assert w.main_text(page_, None) == "T\nWords of it"
+
+
+def test_deep_and_wide_pages():
+    import time
+
+    deep = "<body>" + "<div>a" * 10_000 + "<p>end</p>" + "</div>b" * 10_000 + "<article>c<div>d</div></article></body>"
+    text = w.main_text(deep, wrapped([deep, deep]))
+    assert text == "c\nd"
+    alone = w.main_text(deep.replace("article", "div"), None).split("\n")
+    at = alone.index("end")
+    assert at > 9_890 and alone == [*["a"] * at, "end", *["b"] * (len(alone) - at - 1)] and len(alone) > 19_790
+    begin = time.time()
+    wide = ["<body><article><h1>T</h1>" + "".join(f'<div class="{chr(97 + k % 26)}{"xyz"[s]}{"q" * (k % 97)} {chr(97 + k // 26 % 26)}{"w" * (k // 676)}">text {k}</div>' for k in range(10_000)) + "</article></body>" for s in range(3)]
+    assert w.main_text(wide[1], wrapped(wide)).count("\n") == 10_000
+    assert time.time() - begin < 60 and len(wrapped(wide)) <= 4 * w.WRAPPER_BYTES
+
+
+def test_common_subsequences():
+    import random
+
+    draw = random.Random(4)
+    for _ in range(200):
+        x, y = (["abcdef"[draw.randrange(6)] for _ in range(draw.randint(0, 12))] for _ in range(2))
+        pairs = w.common(x, y)
+        assert pairs == sorted(pairs) and all(x[i] == y[k] for i, k in pairs) and len({i for i, _ in pairs}) == len({k for _, k in pairs}) == len(pairs)
+    x, y = [str(i) for i in range(900)], [str(i) for i in range(0, 1800, 2)]
+    assert len(w.common(x, y)) == 450
