@@ -16,7 +16,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import slices
@@ -29,6 +29,10 @@ LENGTHS = (1, 3, 4)
 #: Most labelled documents per language in the training sample, and in the calibration sample.
 TRAIN_ROWS = 600
 CALIBRATION_ROWS = 300
+#: Most languages that a model learns, those of the most labelled documents; and most n-grams by which a
+#: sampled document trains, those of the largest share. What the driver gets is bounded by these four.
+LANGUAGES = 64
+TRAIN_NGRAMS = 4096
 EPOCHS = 12
 RATE = 4.0
 #: Share of calibration documents that fall below the rejection bound, and the most it can be: a half,
@@ -77,12 +81,14 @@ def joined_codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return codes, starts
 
 
-def text_features(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of a text's n-grams and their shares."""
+def text_features(text: str, most: int = TRAIN_NGRAMS) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of a text's n-grams and their shares: the `most` largest of the whole text."""
     codes, _ = joined_codes([text])
     counts = sum(np.bincount(b, minlength=BUCKETS + 1)[:BUCKETS] for b in ngram_buckets(codes))
     at = np.flatnonzero(counts)
-    return at.astype(np.int32), (counts[at] / max(counts.sum(), 1)).astype(np.float32)
+    if len(at) > most:
+        at = np.sort(at[np.argsort(-counts[at], kind="stable")[:most]])
+    return at.astype(np.int32), (counts[at] / max(counts[at].sum(), 1)).astype(np.float32)
 
 
 @dataclass
@@ -165,37 +171,38 @@ def fold(id_col: str, folds: int = 4) -> Column:
     return (F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % folds).cast("int")
 
 
-def labelled_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, keep: Column, rows: int) -> list[tuple[str, np.ndarray, np.ndarray]]:
-    """Features of at most `rows` documents per language, those of lowest md5 of their id. Whole texts
-    are read in tasks; the driver gets one bounded vector per sampled document."""
-    known = docs.filter(keep & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    counts = {r[0]: r[1] for r in known.groupBy(lang_col).count().collect()}
-    if not counts:
-        return []
-    order = F.conv(F.substring(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), 1, 8), 16, 10).cast("long")
-    share = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(1.0, 1.5 * rows / n + 0.002)))])
-    some = known.withColumn("h", order).filter(F.col("h") < F.try_element_at(share, F.col(lang_col)) * 4294967296)
-    chosen = []
-    for lang in sorted(counts):
-        chosen.append(some.filter(F.col(lang_col) == lang).orderBy("h", id_col).limit(rows).select(F.col(id_col).alias("i"), F.col(lang_col).alias("l")))
-    ids = chosen[0]
-    for more in chosen[1:]:
-        ids = ids.unionByName(more)
-    wanted = ids.distinct().collect()  # ids and languages of the bounded sample
-    pairs = docs.sparkSession.createDataFrame(wanted, ids.schema)
-    texts = known.join(F.broadcast(pairs), known[id_col].eqNullSafe(pairs.i) & (known[lang_col] == pairs.l)).select(id_col, text_col, lang_col)
+def labelled_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, samples: dict[str, tuple[Column, int]]) -> dict[str, list[tuple[str, np.ndarray, np.ndarray]]]:
+    """For each of `samples` (which rows, how many per language) the features of labelled documents, those
+    of lowest hash of id and text; rows that repeat both count once. The labels are counted in one pass;
+    in another, texts of low hashes are read whole. The driver gets one bounded vector per
+    chosen document."""
+    part = F.coalesce(*[F.when(keep, F.lit(name)) for name, (keep, _) in samples.items()])
+    known = docs.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t"), F.col(lang_col).cast("string").alias("l"), part.alias("part"))
+    known = known.filter("part is not null and l is not null and t is not null")
+    counts = known.groupBy("part", "l").agg(F.count(F.lit(1)).alias("n"))
+    every = counts.groupBy("l").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "l").limit(LANGUAGES)
+    found = counts.join(F.broadcast(every.select("l")), "l").collect()  # LANGUAGES rows per sample
+    if not found:
+        return {name: [] for name in samples}
+    # about one and a half times as many as wanted pass, so that few texts are shuffled
+    share = F.create_map(*[x for r in found for x in (F.lit(f"{r.part} {r.l}"), F.lit(min(1.0, 1.5 * samples[r.part][1] / r.n + 40.0 / r.n)))])
+    h = F.xxhash64(F.lit(7), "i", "t")
+    some = known.withColumn("h", h).filter((F.col("h") / 2.0**64 + 0.5) < F.try_element_at(share, F.concat_ws(" ", "part", "l")))
 
     def run(batches):
-        for batch in slices(batches, text_col, 200_000):
-            found = [text_features(t) for t in batch.column(text_col).to_pylist()]
+        for batch in slices(batches, "t", 200_000):
+            pairs = [text_features(t) for t in batch.column("t").to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(id_col).cast(pa.string()), batch.column(lang_col), pa.array([a.tobytes() for a, _ in found], pa.binary()), pa.array([s.tobytes() for _, s in found], pa.binary())],
-                ["i", "l", "at", "share"],
+                [batch.column("part"), batch.column("l"), batch.column("h"), pa.array([a.tobytes() for a, _ in pairs], pa.binary()), pa.array([s.tobytes() for _, s in pairs], pa.binary())],
+                ["part", "l", "h", "at", "share"],
             )
 
-    got = texts.mapInArrow(run, "i string, l string, at binary, share binary").collect()
-    got = sorted(got, key=lambda r: (r.l, r.i or "", bytes(r["at"])))
-    return [(r.l, np.frombuffer(r["at"], np.int32), np.frombuffer(r["share"], np.float32)) for r in got if len(r["at"])]
+    # vectors are made where texts are read, so that no text is shuffled
+    vectors = some.select("part", "l", "h", "t").mapInArrow(run, "part string, l string, h long, at binary, share binary").dropDuplicates(["part", "l", "h"])
+    wanted = F.coalesce(*[F.when(F.col("part") == name, F.lit(rows)) for name, (_, rows) in samples.items()])
+    first = F.row_number().over(Window.partitionBy("part", "l").orderBy("h"))
+    got = sorted(vectors.withColumn("nth", first).filter(F.col("nth") <= wanted).collect(), key=lambda r: (r.part, r.l, r.nth))
+    return {name: [(r.l, np.frombuffer(r["at"], np.int32), np.frombuffer(r["share"], np.float32)) for r in got if r.part == name and len(r["at"])] for name in samples}
 
 
 def fit_language_model(
@@ -203,21 +210,22 @@ def fit_language_model(
     train_rows: int = TRAIN_ROWS, calibration_rows: int = CALIBRATION_ROWS,
 ) -> LanguageModel:
     """Fit on labelled documents of all folds of crc32(id) mod 4 but `held_out`; of those, the fold
-    after it calibrates."""
+    after it calibrates. Null labels and texts don't train; without labels all is rejected; repeated
+    rows count once; other columns are not read."""
     cut = fold(id_col)
     other = (held_out + 1) % 4
-    rows = labelled_sample(docs, id_col, text_col, lang_col, ~cut.isin(held_out, other), train_rows)
-    held = labelled_sample(docs, id_col, text_col, lang_col, cut == other, calibration_rows)
-    return train(rows or held, held)
+    got = labelled_sample(docs, id_col, text_col, lang_col, {"train": (~cut.isin(held_out, other), train_rows), "held": (cut == other, calibration_rows)})
+    return train(got["train"] or got["held"], got["held"])
 
 
 def predict_language(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per input row: `id_col`, the columns `keep`, lang_pred (a learned language, or und for
     null texts and texts without letters), score (0 to 1), rejected (und, or score below the model's
-    bound). Whole texts count; empty tables give no rows; repeated rows give equal rows."""
+    bound). Whole texts count; empty tables give no rows; repeated rows give equal rows; kept columns of
+    the results' names give way to the results."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)  # BUCKETS rows of one number per language
-    carried = [id_col, *[k for k in keep if k != id_col]]
+    carried = [id_col, *[k for k in keep if k not in (id_col, "lang_pred", "score", "rejected")]]
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carried)
 
     def run(batches):
@@ -233,8 +241,9 @@ def predict_language(docs: DataFrame, model: LanguageModel, id_col: str = "doc_i
 
 
 def language_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", held_out: int = 2) -> DataFrame:
-    """`id_col`, held_out, lang_pred, score for each row of `docs`, from a model that never saw the
-    held-out fold."""
+    """`id_col`, held_out, lang_pred, score, rejected, bound (the score below which a document is
+    rejected) for each row of `docs`, from a model that never saw the held-out fold; cases as in
+    fit_language_model and predict_language."""
     model = fit_language_model(docs, id_col, text_col, lang_col, held_out)
     out = predict_language(docs, model, id_col, text_col)
-    return out.select(id_col, (fold(id_col) == held_out).alias("held_out"), "lang_pred", "score")
+    return out.select(id_col, (fold(id_col) == held_out).alias("held_out"), "lang_pred", "score", "rejected", F.lit(model.bound).alias("bound"))

@@ -18,6 +18,61 @@ def test_held_out_accuracy(spark):
     assert all(0 <= r.score <= 1 for r in rows)
 
 
+def plain_scores(model, text):
+    """A forward pass over one text with dictionaries and loops."""
+    letters = [ord(c.lower()) if len(c.lower()) == 1 else ord(c) if c.isalpha() else 0 for c in text]
+    letters = [x if c.isalpha() else 0 for x, c in zip(letters, text)]
+    padded, total, n = [0, *letters, *[0] * 8], [0.0] * len(model.languages), 0
+    for length in langid.LENGTHS:
+        for i in range(len(letters) + 1):
+            gram = padded[i : i + length]
+            if not all(gram if length < 3 else gram[1:-1]):
+                continue
+            h = 0x9E3779B1 * length & 0xFFFFFFFF
+            for c in gram:
+                h = (h ^ c) * 0x85EBCA6B & 0xFFFFFFFF
+                h ^= h >> 15
+            row = model.scores[(h * 0xC2B2AE35 & 0xFFFFFFFF) >> (32 - langid.BUCKET_BITS)]
+            total, n = [a + float(b) for a, b in zip(total, row)], n + 1
+    logits = [x / max(n, 1) / model.temperature for x in total]
+    e = [np.exp(x - max(logits)) for x in logits]
+    return dict(zip(model.languages, (x / sum(e) for x in e)))
+
+
+def test_as_a_plain_forward_pass(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang").limit(400)
+    model = langid.fit_language_model(docs, train_rows=40, calibration_rows=20)
+    rows = [("x y z", 1), ("É a ß-Straße 12", 2), *((r.text, 100 + i) for i, r in enumerate(docs.limit(25).collect()))]
+    got = {r.doc_id: r for r in langid.predict_language(spark.createDataFrame([(i, t) for t, i in rows], "doc_id long, text string"), model).collect()}
+    for text, i in rows:
+        want = plain_scores(model, text or "")
+        if got[i].lang_pred != langid.UNDETERMINED:
+            assert abs(got[i].score - max(want.values())) < 1e-6 and abs(want[got[i].lang_pred] - max(want.values())) < 1e-6
+        assert got[i].rejected == (got[i].lang_pred == langid.UNDETERMINED or got[i].score < model.bound)
+
+
+def test_odd_rows(spark):
+    """Null and repeated ids, a label of one row, names of the results among the columns."""
+    rows = [(None, "the cat and the dog ran " + "on " * (k % 7), "en", "s") for k in range(60)] + [(k % 3, "der hund und die katze gehen", "de", "s") for k in range(60)]
+    rows += [(k, f"le chat et le chien {'ou ' * (k % 9)}", "fr", "s") for k in range(40)] + [(900, None, "xx", None), (901, "???", "yy", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, score string")
+    first = langid.language_report(df).collect()
+    assert len(first) == len(rows) and sorted(map(str, first)) == sorted(map(str, langid.language_report(df.repartition(3)).collect()))
+    assert {r.rejected for r in first if r.lang_pred == "und"} == {True} and len({r.bound for r in first}) == 1
+    model = langid.fit_language_model(df)
+    out = langid.predict_language(df, model, keep=("lang", "score"))
+    assert out.columns == ["doc_id", "lang", "lang_pred", "score", "rejected"] and out.count() == len(rows)
+    sample = langid.labelled_sample(df, "doc_id", "text", "lang", {"all": (langid.F.lit(True), 5)})["all"]
+    found = {x: sum(r[0] == x for r in sample) for x in ("en", "de", "fr")}
+    assert found["en"] == found["fr"] == 5 and 1 <= found["de"] <= 3  # de has three different rows
+
+
+def test_bounded_features():
+    text = " ".join(f"{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}q" for i in range(17_000))
+    at, share = langid.text_features(text)
+    assert len(at) == langid.TRAIN_NGRAMS and abs(share.sum() - 1) < 1e-3
+
+
 def test_calibrated_rejection(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
     model = langid.fit_language_model(docs)
