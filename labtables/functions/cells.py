@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,6 +17,10 @@ PLACEHOLDERS = (
     "not mentioned", "not specified", "not applicable", "unknown", "no data", "-", "--", "—", "?",
 )
 ZERO_CELSIUS = 273.15
+# fixed values: forms of a concentration
+WEIGHT_SHARE = r"(?i)(\d+(?:\.\d+)?)\s*(?:wt|weight)\s*\.?\s*%"
+RATIO = r"(\d+(?:\.\d+)?)\s*[:/]\s*(\d+(?:\.\d+)?)"
+EQUALS_NUMBER = r"=\s*(\d+(?:\.\d+)?)"
 
 
 def text(c: Column | str) -> Column:
@@ -64,8 +70,8 @@ def camel_id(c: Column | str) -> Column:
     capitals keep them beyond the first place."""
     words = F.split(squeeze(F.regexp_replace(F.regexp_replace(text(c), "[?%]", ""), r"[():/*^,.\-]", " ")), " ")
     shout = lambda w: w.rlike("^[A-Z0-9]{2,}$")
-    first = lambda w: F.when(shout(w), F.lower(w)).otherwise(F.concat(F.lower(F.substring(w, 1, 1)), F.substring(w, 2, 10_000)))
-    rest = lambda w: F.when(shout(w), w).otherwise(F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 10_000)))
+    first = lambda w: F.when(shout(w), F.lower(w)).otherwise(F.concat(F.lower(F.substring(w, 1, 1)), F.substring(w, F.lit(2), F.length(w))))
+    rest = lambda w: F.when(shout(w), w).otherwise(F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, F.lit(2), F.length(w))))
     return F.array_join(F.transform(words, lambda w, i: F.when(i == 0, first(w)).otherwise(rest(w))), "")
 
 
@@ -143,7 +149,7 @@ def vocab_snap(c: Column | str, words: tuple[str, ...], synonyms: dict[str, str]
     """The one word of a small vocabulary that stands in the text; the text itself if none or several do."""
     cell = F.lower(squeeze(c))
     targets = {w: w for w in words} | (synonyms or {})
-    found = F.array_distinct(F.array_compact(F.array(*[F.when(cell.rlike(rf"\b{w}\b"), F.lit(to)) for w, to in targets.items()])))
+    found = F.array_distinct(F.array_compact(F.array(*[F.when(cell.rlike(rf"\b{re.escape(w)}\b"), F.lit(to)) for w, to in targets.items()])))
     return F.when(F.size(found) == 1, F.get(found, F.lit(0))).otherwise(cell)
 
 
@@ -175,9 +181,8 @@ def parse_concentration(c: Column | str) -> Column:
     A ratio of 1 or more is oxygens per lithium and is inverted, with a note if lithium comes first."""
     c = text(c)
     number = lambda pattern, g: F.nullif(F.regexp_extract(c, pattern, g), F.lit("")).try_cast("double")
-    share = number(r"(?i)(\d+(?:\.\d+)?)\s*(?:wt|weight)\s*\.?\s*%", 1)
-    pair = r"(\d+(?:\.\d+)?)\s*[:/]\s*(\d+(?:\.\d+)?)"
-    ratio = F.when(c.rlike(pair), F.try_divide(number(pair, 1), number(pair, 2))).when(c.contains("O") | c.contains("Li"), number(r"=\s*(\d+(?:\.\d+)?)", 1))
+    share = number(WEIGHT_SHARE, 1)
+    ratio = F.when(c.rlike(RATIO), F.try_divide(number(RATIO, 1), number(RATIO, 2))).when(c.contains("O") | c.contains("Li"), number(EQUALS_NUMBER, 1))
     ratio = F.when(ratio != 0, ratio)
     inverted = ratio >= 1
     value = F.when(share.isNotNull(), share).otherwise(F.bround(F.when(inverted, F.try_divide(F.lit(1.0), ratio)).otherwise(ratio), 6))
@@ -225,9 +230,12 @@ def is_placeholder(c: Column | str, field: Column | str | None = None, real_word
     return out
 
 
-def natural_key(c: Column | str, width: int = 20) -> Column:
-    """A sort key that reads runs of digits as numbers: each run is padded to `width` digits."""
+def natural_key(c: Column | str) -> Column:
+    """A sort key that reads runs of digits as numbers, of any length: each run, without zeros before it,
+    comes after its number of digits, and that after its own number of digits."""
     c = F.lower(text(c))
     pieces = F.regexp_extract_all(c, F.lit(r"(\d+|\D+)"), F.lit(1))
-    padded = F.transform(pieces, lambda p: F.when(p.rlike(r"^\d"), F.lpad(F.regexp_replace(p, "^0+(?=.)", ""), width, "0")).otherwise(p))
-    return F.array_join(padded, "")
+    bare = lambda p: F.regexp_replace(p, "^0+(?=.)", "")
+    size = lambda d: F.length(d).cast("string")
+    led = lambda d: F.concat(size(size(d)), size(d), d)
+    return F.array_join(F.transform(pieces, lambda p: F.when(p.rlike(r"^\d"), led(bare(p))).otherwise(p)), "")

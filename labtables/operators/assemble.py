@@ -88,10 +88,24 @@ def unshred(tables: Mapping[str, DataFrame], features: DataFrame, record: str =
 
 
 def import_new(existing: DataFrame, incoming: DataFrame, record: str = "record_id") -> DataFrame:
-    """Incoming records with an id of 32 hexadecimal digits that aren't stored yet, each once."""
+    """Incoming records with an id of 32 hexadecimal digits that aren't stored yet, each once.
+    import_report counts the others."""
     return incoming.filter(F.col(record).rlike("^[0-9a-f]{32}$")).dropDuplicates([record]).join(existing.select(record), record, "left_anti")
 
 
+def import_report(existing: DataFrame, incoming: DataFrame, record: str = "record_id", corrupt: str = "_corrupt_record") -> DataFrame:
+    """One row: records seen, unreadable ones (the corrupt column of a permissive read is filled), badly
+    named ones, stored ones, repeats, and new ones."""
+    bad = F.col(corrupt).isNotNull() if corrupt in incoming.columns else F.lit(False)
+    rows = incoming.select(F.col(record).alias("__r"), bad.alias("__bad")).groupBy("__r", "__bad").agg(F.count(F.lit(1)).alias("n"))
+    held = existing.select(F.col(record).alias("__r")).distinct().withColumn("__held", F.lit(True))
+    kind = F.when(F.col("__bad"), "unreadable").when(~F.coalesce(F.col("__r").rlike("^[0-9a-f]{32}$"), F.lit(False)), "badly_named").when(F.col("__held"), "stored").otherwise("new")
+    counted = rows.join(held, "__r", "left").withColumn("kind", kind)
+    total = lambda k: F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("n"))), F.lit(0)).cast("long")
+    fresh = F.count_if(F.col("kind") == "new")
+    return counted.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("seen"), *[total(k).alias(k) for k in ("unreadable", "badly_named", "stored")], (total("new") - fresh).alias("repeated"), fresh.alias("new"))
+
+
 def validate_records(payloads: DataFrame, schema: str, id_col: str = "id", payload: str = "payload") -> tuple[DataFrame, DataFrame]:
     """JSON payloads {points: [...], sources: [...]} as records and rejected ones. A payload of another
     shape is rejected; sources are dropped whole unless there is one per point, a malformed source

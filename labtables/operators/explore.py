@@ -9,7 +9,7 @@ from operator import and_, or_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.cells import natural_key
+from ..functions.cells import NUMBER_FORM, natural_key, trim_all
 from ..shared import cut
 
 
@@ -119,8 +119,9 @@ def flatten_points(samples: DataFrame, paper: str, sample: str, features: Sequen
 
 
 def infer_columns(cells: DataFrame, feature: str, value: str, order: str) -> DataFrame:
-    """The features in order of first appearance, and whether all their values are numbers."""
-    is_number = F.col(value).try_cast("double").isNotNull()
+    """The features in order of first appearance, and whether all their values are numbers of the strict
+    form."""
+    is_number = trim_all(value).rlike(NUMBER_FORM)
     found = cells.groupBy(feature).agg(F.min(order).alias("first"), F.count(value).alias("filled"), F.coalesce(F.bool_and(F.when(F.col(value).isNotNull(), is_number)), F.lit(False)).alias("numeric"))
     return found.select(feature, "first", "numeric", F.row_number().over(Window.orderBy("first")).cast("long").alias("position"))
 

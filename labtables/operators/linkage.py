@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Mapping, Sequence
 
 import pandas as pd
@@ -66,7 +67,7 @@ def name_similarity(df: DataFrame, a: str, b: str, out: str = "similarity", shor
     def full(c: str) -> Column:
         name = canonical_text(c)
         for word, long in (short or {}).items():
-            name = F.regexp_replace(name, rf"(?<![0-9a-z]){word}(?![0-9a-z])", long)
+            name = F.regexp_replace(name, rf"(?<![0-9a-z]){re.escape(word)}(?![0-9a-z])", long.replace("\\", r"\\").replace("$", r"\$"))
         return name
 
     both = df.withColumn("__a", full(a)).withColumn("__b", full(b))
@@ -121,9 +122,17 @@ def link_candidates(
 def assign_greedy(candidates: DataFrame, group: Sequence[str], rounds: int | None = None) -> DataFrame:
     """One-to-one links, the closest first (ties by pred_id, then gold_id), as a sequential greedy pass
     takes them. Each round takes every pair that is the best left for both of its rows; with a total
-    order that gives the greedy result, and a group's size matters to no single task."""
+    order that gives the greedy result, and a group's size matters to no single task. The best pair left
+    of a group is always taken, so rounds end; a chain of pairs, each better than the next, takes one
+    round a pair. Null groups are one group, and a null row of either side is a row of its own kind;
+    distances of null come last; an empty table gives no links."""
     left, taken, n = candidates, None, 0
-    order = [F.col("distance"), F.col("pred_id"), F.col("gold_id")]
+    order = [F.col("distance").asc_nulls_last(), F.col("pred_id"), F.col("gold_id")]
+
+    def without(rows: DataFrame, used: DataFrame, names: list[str]) -> DataFrame:
+        keys = used.select(*[F.col(c).alias(f"__{c}") for c in names]).distinct()
+        return rows.join(keys, [rows[c].eqNullSafe(keys[f"__{c}"]) for c in names], "left_anti")
+
     while True:
         best = lambda side: F.row_number().over(Window.partitionBy(*group, side).orderBy(*order)) == 1
         mutual = cut(left.withColumn("a", best("pred_id")).withColumn("b", best("gold_id")).filter("a and b").drop("a", "b"))
@@ -131,7 +140,7 @@ def assign_greedy(candidates: DataFrame, group: Sequence[str], rounds: int | Non
         if mutual.isEmpty() or n == rounds:
             return mutual if taken is None else taken.unionByName(mutual)
         taken = mutual if taken is None else taken.unionByName(mutual)
-        left = cut(left.join(mutual.select(*group, "pred_id"), [*group, "pred_id"], "left_anti").join(mutual.select(*group, "gold_id"), [*group, "gold_id"], "left_anti"))
+        left = cut(without(without(left, mutual, [*group, "pred_id"]), mutual, [*group, "gold_id"]))
 
 
 def assign_greedy_grouped(candidates: DataFrame, group: Sequence[str]) -> DataFrame:
@@ -179,10 +188,30 @@ def compare_cells(cells: DataFrame, classes: DataFrame, pred: str = "pred", gold
     return cells.join(lookup, F.col("column") == F.col("__column"), "left").withColumn("outcome", outcome).drop("__column", "__class")
 
 
-def map_papers(files: DataFrame, papers: DataFrame) -> DataFrame:
+def pair_cells(pred: DataFrame, gold: DataFrame, links: DataFrame, group: Sequence[str], pred_id: str, gold_id: str, columns: Sequence[str]) -> DataFrame:
+    """Long cells (group, gold_id, column, pred, gold as text) of linked rows. Wide rows meet by key, and
+    are unpivoted after, so that a row is shuffled once whatever its number of columns."""
+    p = pred.select(*group, F.col(pred_id).alias("pred_id"), *[F.col(c).cast("string").alias(f"p_{c}") for c in columns])
+    g = gold.select(*group, F.col(gold_id).alias("gold_id"), *[F.col(c).cast("string").alias(f"g_{c}") for c in columns])
+    both = links.select(*group, "pred_id", "gold_id").join(p, [*group, "pred_id"]).join(g, [*group, "gold_id"])
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"p_{c}").alias("pred"), F.col(f"g_{c}").alias("gold")) for c in columns])
+    return both.select(*group, "gold_id", F.inline(cells))
+
+
+def canonical_solvent(df: DataFrame, column: str, aliases: DataFrame, out: str = "solvent") -> DataFrame:
+    """The canonical name of a solvent by its letters and digits from aliases (alias, canonical), else its
+    own text, lower case and squeezed. Of aliases of the same letters the least name counts."""
+    letters = lambda c: F.nullif(F.regexp_replace(F.lower(c), "[^0-9a-z]", ""), F.lit(""))
+    known = aliases.groupBy(letters(F.col("alias")).alias("__a")).agg(F.min("canonical").alias("__c"))
+    keyed = df.withColumn("__k", letters(F.col(column)))
+    return keyed.join(known, F.col("__k") == F.col("__a"), "left").withColumn(out, F.coalesce("__c", canonical_text(column))).drop("__k", "__a", "__c")
+
+
+def map_papers(files: DataFrame, papers: DataFrame, strict: bool = False) -> DataFrame:
     """Each file (file, surname, year, doi) with the paper (paper, reference, doi) whose reference has
     its surname and year as words, else whose DOI has the same letters and digits; n_found says how
-    many papers matched, of which the least is kept."""
+    many papers matched, of which the least is kept. With `strict`, a file without exactly one paper is
+    an error."""
     bare = lambda c: F.nullif(F.lower(F.regexp_replace(c, "[^0-9A-Za-z]", "")), F.lit(""))
     words = papers.select("paper", F.explode(F.array_distinct(F.split(F.lower("reference"), r"[^0-9\p{L}]+"))).alias("word"))
     by_name = files.join(words.withColumnRenamed("word", "w1"), F.lower("surname") == F.col("w1")).join(words.withColumnRenamed("word", "w2"), ["paper"]).filter(F.col("w2") == F.col("year").cast("string"))
@@ -190,7 +219,11 @@ def map_papers(files: DataFrame, papers: DataFrame) -> DataFrame:
     hits = by_name.select("file", "paper", F.lit("name").alias("rule")).union(by_doi.select("file", "paper", F.lit("doi").alias("rule"))).distinct()
     best = hits.groupBy("file", "rule").agg(F.min("paper").alias("paper"), F.countDistinct("paper").alias("n_found"))
     chosen = best.groupBy("file").agg(F.max_by(F.struct("rule", "paper", "n_found"), "rule").alias("b"))
-    return files.select("file").join(chosen, "file", "left").select("file", "b.rule", "b.paper", F.coalesce("b.n_found", F.lit(0)).cast("long").alias("n_found"))
+    out = files.select("file").join(chosen, "file", "left").select("file", "b.rule", "b.paper", F.coalesce("b.n_found", F.lit(0)).cast("long").alias("n_found"))
+    if strict:
+        wrong = F.raise_error(F.concat_ws(" ", F.lit("not one paper but"), F.col("n_found").cast("string"), F.lit("for"), F.col("file").cast("string"))).cast("long")
+        out = out.withColumn("n_found", F.when(F.col("n_found") == 1, F.col("n_found")).otherwise(wrong))
+    return out
 
 
 def match_key(points: DataFrame, key: DataFrame, group: Sequence[str], t_tol: float = 0.051, share: float = 0.006, least: float = 5e-5) -> DataFrame:
@@ -223,6 +256,12 @@ def evidence(mapping: DataFrame, docs: DataFrame, text: str, reach: int = 3000)
     return both.select("file", has(F.col("__doi")).alias("has_doi"), has(F.col("__pages")).alias("has_pages"))
 
 
+def missed_key_rows(key: DataFrame, group: Sequence[str], links: DataFrame) -> DataFrame:
+    """The key rows (group, key_id, t, x) that no point was matched with: class missed."""
+    used = links.select(*group, F.col("gold_id").alias("key_id"))
+    return key.join(used, [*group, "key_id"], "left_anti").withColumn("kind", F.lit("missed"))
+
+
 def classify_points(points: DataFrame, key: DataFrame, group: Sequence[str], links: DataFrame, t_tol: float = 0.051, share: float = 0.006) -> DataFrame:
     """The class of each point (group, id, t, x): exact if linked; wrong_time if a key row of its group
     has its x, wrong_x if one has its t, not_in_table otherwise; unknown if its group has no key, or only

@@ -17,11 +17,15 @@ def valid_calls(calls: DataFrame) -> DataFrame:
 
 def arm_summary(runs: DataFrame, arm: str = "arm") -> DataFrame:
     """Per arm of runs (ok, seconds, prompt_tokens, output_tokens, rows, nulls, fields, zeros, negatives):
-    counts, medians, totals and shares."""
+    counts, medians, totals and shares. Runs with the columns prefill_seconds, decode_seconds or filled
+    (cells with a value) get their medians and the share of cells that are filled."""
+    has = set(runs.columns)
+    phases = [F.median(c).alias(f"median_{c}") for c in ("prefill_seconds", "decode_seconds") if c in has]
     share = lambda a, b: F.try_divide(F.sum(a).cast("double"), F.sum(b))
     return runs.groupBy(arm).agg(
         F.count(F.lit(1)).alias("runs"), F.count_if("ok").alias("ok"), F.median("seconds").alias("median_seconds"), F.sum("prompt_tokens").alias("prompt_tokens"), F.sum("output_tokens").alias("output_tokens"),
         share("output_tokens", "rows").alias("tokens_per_row"), share("nulls", "fields").alias("null_share"), F.sum("zeros").alias("zeros"), F.sum("negatives").alias("negatives"),
+        *phases, *[share("filled", "fields").alias("filled_share")] * ("filled" in has),
     )
 
 
@@ -31,6 +35,13 @@ def mode_totals(metrics: DataFrame, stratum: str, mode: str, columns: Sequence[s
     return sums.unpivot([stratum, mode, "overall"], list(columns), "metric", "total")
 
 
+def digitised_share(metrics: DataFrame, stratum: str, mode: str, modes: Sequence[str], part: str = "chart_rows", whole: str = "table_rows") -> DataFrame:
+    """The share of table rows that were read off charts, a column per mode: overall (stratum null) and
+    per stratum. Null where a mode has no rows."""
+    sums = metrics.groupingSets([[stratum, mode], [mode]], stratum, mode).agg(F.try_divide(F.sum(part).cast("double"), F.sum(whole)).alias("share"), F.grouping(stratum).cast("int").alias("overall"))
+    return sums.groupBy(stratum, "overall").pivot(mode, list(modes)).agg(F.first("share"))
+
+
 def pair_summary(pairs: DataFrame, a: str, b: str) -> DataFrame:
     return pairs.groupBy(a, b).agg(F.median("similarity").alias("median_similarity"), F.sum("only_a").alias("only_a"), F.sum("only_b").alias("only_b"), F.count(F.lit(1)).alias("n"))
 
@@ -83,6 +94,8 @@ def stratified_sample(df: DataFrame, stratum: str, n: int, id_col: str, seed: in
     h = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(id_col).cast("string")).cast("binary"))
     ranked = df.withColumn("__n", F.row_number().over(Window.partitionBy(stratum).orderBy(h, id_col)))
     if strict:
+        # counted after the cut, so that a stratum's window holds n rows at most
+        ranked = ranked.filter(F.col("__n") <= n)
         size = F.count(F.lit(1)).over(Window.partitionBy(stratum))
         ranked = ranked.withColumn("__n", F.when(size >= n, F.col("__n")).otherwise(F.raise_error(F.concat(F.lit("too few rows in "), F.col(stratum).cast("string"))).cast("int")))
     return ranked.filter(F.col("__n") <= n).drop("__n")

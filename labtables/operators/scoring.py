@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Most groups of fields, which are declared by hand.
+GROUPS = 1000
 OUTCOMES = ("correct", "near", "wrong", "missing", "extra")
 
 
@@ -20,12 +22,15 @@ def group_totals(cells: DataFrame, keys: Sequence[str], groups: DataFrame, digit
     """Counts and scores of cells (column, outcome, unmatched) per key and field group. groups
     (column, group) may put a column into several groups, so roll-ups are groups too, and groups
     without cells appear. accuracy is over matched rows, loose adds near, recall counts unmatched
-    golden cells as missing."""
+    golden cells as missing. There are GROUPS groups at most."""
     named = cells.join(groups, "column")
     found = named.groupBy(*keys, "group").agg(*_totals())
     every = groups.select("group").distinct()
     if keys:
-        every = cells.select(*keys).distinct().join(F.broadcast(every))  # a fixed list of group names for each key
+        names = [r.group for r in every.limit(GROUPS + 1).collect()]
+        if len(names) > GROUPS:
+            raise ValueError(f"more than {GROUPS} groups of fields")
+        every = cells.select(*keys).distinct().withColumn("group", F.explode(F.array(*[F.lit(n) for n in names]).cast("array<string>")))
     out = every.join(found, [*keys, "group"], "left").na.fill(0)
     scored = F.col("correct") + F.col("near") + F.col("wrong") + F.col("missing")
     ratio = lambda a, b: F.bround(F.try_divide(a.cast("double"), b), digits)
@@ -72,5 +77,10 @@ def recall_at_k(ranked: DataFrame, wanted: DataFrame, item: str, order: Sequence
     hits = top.join(wanted.select(item).distinct(), item, "left_semi")
     found = ranked.select(item).distinct().join(wanted.select(item).distinct(), item, "left_semi")
     counts = hits.agg(*[F.count_if(F.col("position") <= k).alias(f"hits_{k}") for k in ks])
-    sides = ranked.agg(F.count(F.lit(1)).alias("listed")).join(wanted.agg(F.countDistinct(item).alias("wanted"))).join(found.agg(F.count(F.lit(1)).alias("found")))
-    return sides.join(counts)
+    names = ["listed", "wanted", "found", *[f"hits_{k}" for k in ks]]
+    row = lambda df: df.select(*[(F.col(c) if c in df.columns else F.lit(0)).cast("long").alias(c) for c in names])
+    sides = [ranked.agg(F.count(F.lit(1)).alias("listed")), wanted.agg(F.countDistinct(item).alias("wanted")), found.agg(F.count(F.lit(1)).alias("found")), counts]
+    every = row(sides[0])
+    for side in sides[1:]:
+        every = every.unionAll(row(side))
+    return every.agg(*[F.sum(c).alias(c) for c in names])

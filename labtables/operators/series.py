@@ -48,10 +48,17 @@ def log_axis_report(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def pack_lines(points: DataFrame, slot: str, sample: str, order: str, x: str, y: str) -> DataFrame:
     """Per slot the samples' points as one pair of arrays, a null between samples and none at the ends.
     A slot is one of a few colours, so its arrays are what one trace holds."""
-    lines = points.groupBy(slot, sample).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")))).alias("line"))
-    packed = lines.groupBy(slot).agg(F.sort_array(F.collect_list(F.struct(F.col(sample).alias("s"), F.col("line")))).alias("lines"))
-    gap = lambda name: F.aggregate(
-        "lines", F.array().cast("array<double>"),
-        lambda acc, s: F.when(F.size(acc) == 0, F.transform(s["line"], lambda p: p[name])).otherwise(F.concat(acc, F.array(F.lit(None).cast("double")), F.transform(s["line"], lambda p: p[name]))),
-    )
-    return packed.select(slot, F.size("lines").cast("long").alias("samples"), gap("x").alias("xs"), gap("y").alias("ys"))
+    rows = line_rows(points, slot, sample, order, x, y)
+    entry = F.struct("sample", "gap", "o", "x", "y")
+    packed = rows.groupBy(slot).agg(F.sort_array(F.collect_list(entry)).alias("l"), F.count_if("gap").alias("samples"))
+    inner = F.slice("l", 1, F.size("l") - 1)  # but for the last sample's gap
+    pick = lambda name: F.transform(inner, lambda p: p[name])
+    return packed.select(slot, F.col("samples").cast("long").alias("samples"), pick("x").alias("xs"), pick("y").alias("ys"))
+
+
+def line_rows(points: DataFrame, slot: str, sample: str, order: str, x: str, y: str) -> DataFrame:
+    """Rows (slot, sample, gap, o, x, y) whose order by slot, sample, gap and o is that of a packed line:
+    the points, and after each sample's a row with gap and nulls. For slots of any size."""
+    rows = points.select(slot, F.col(sample).alias("sample"), F.lit(False).alias("gap"), F.col(order).alias("o"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    none = [F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in ("o", "x", "y")]
+    return rows.union(rows.select(slot, "sample").distinct().select(slot, "sample", F.lit(True).alias("gap"), *none))

@@ -39,9 +39,7 @@ def score_run(pred: DataFrame, gold: DataFrame, group: Sequence[str], block: str
     p = linkage.rank_position(pred, [*group, block], [a for a, _ in pairs], pred_id)
     g = linkage.rank_position(gold, [*group, block], [b for _, b in pairs], gold_id)
     links = linkage.assign_greedy(linkage.link_candidates(p, g, group, block, pairs, None, pred_id, gold_id), group)
-    long = lambda df, key, v: df.select(*group, F.col(key).alias(key), *[F.col(c).cast("string").alias(c) for c in columns]).unpivot([*group, key], list(columns), "column", v)
-    lp, lg = long(pred, pred_id, "pred").withColumnRenamed(pred_id, "pred_id"), long(gold, gold_id, "gold").withColumnRenamed(gold_id, "gold_id")
-    cells = links.select(*group, "pred_id", "gold_id").join(lp, [*group, "pred_id"]).join(lg, [*group, "gold_id", "column"])
+    cells = linkage.pair_cells(pred, gold, links, group, pred_id, gold_id, columns)
     scored = linkage.compare_cells(cells, classes).withColumn("unmatched", F.lit(False)).select(*group, "gold_id", "column", "outcome", "unmatched")
     missed = linkage.missed_rows(gold, links, group, gold_id, columns).withColumnRenamed(gold_id, "gold_id").withColumn("unmatched", F.lit(True)).select(*group, "gold_id", "column", "outcome", "unmatched")
     every = scored.unionByName(missed)

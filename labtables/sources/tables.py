@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.categories import snap_category
 from ..functions.cells import INVISIBLE, header_unit, is_junk_number, normal_header, parse_number, parse_text
 
 
@@ -63,18 +64,31 @@ def match_headers(headers: DataFrame, registry: DataFrame) -> DataFrame:
     return joined.select("header", "position", F.when(F.col("position") == F.col("__first"), F.col("id")).alias("id"))
 
 
-def build_registry(headers: DataFrame, kinds: DataFrame, glossary: DataFrame, own: DataFrame) -> DataFrame:
-    """The registry of (id, label) headers: unit, kind (numeric unless kinds say otherwise), and the
-    description, a verified glossary's before one's own."""
+def build_registry(headers: DataFrame, kinds: DataFrame, glossary: DataFrame, own: DataFrame, units: DataFrame | None = None, pages: DataFrame | None = None) -> DataFrame:
+    """The registry of (id, label) headers: unit (of `units` (id, unit), else the header's own), kind
+    (numeric unless kinds say otherwise), and the description, a verified glossary's before one's own.
+    With `pages` (id, page), also the sorted set of pages that show the column."""
     g = glossary.select("id", F.col("description").alias("__g"))
     o = own.select("id", F.col("description").alias("__o"))
-    return headers.join(kinds, "id", "left").join(g, "id", "left").join(o, "id", "left").select("id", "label", header_unit("label").alias("unit"), F.coalesce("kind", F.lit("numeric")).alias("kind"), F.coalesce("__g", "__o").alias("description"))
+    out = headers.join(kinds, "id", "left").join(g, "id", "left").join(o, "id", "left")
+    unit, more = header_unit("label"), []
+    if units is not None:
+        out, unit = out.join(units.select("id", F.col("unit").alias("__u")), "id", "left"), F.coalesce("__u", unit)
+    if pages is not None:
+        out = out.join(pages.groupBy("id").agg(F.sort_array(F.collect_set("page")).alias("__p")), "id", "left")
+        more = [F.coalesce("__p", F.array().cast("array<string>")).alias("pages")]
+    return out.select("id", "label", unit.alias("unit"), F.coalesce("kind", F.lit("numeric")).alias("kind"), F.coalesce("__g", "__o").alias("description"), *more)
 
 
-def import_table(df: DataFrame, matched: dict[str, tuple[str, str]], row_limit: int | None = None) -> tuple[DataFrame, DataFrame]:
+def ignored_headers(headers: DataFrame, registry: DataFrame) -> DataFrame:
+    """The headers (header, position) that name no column, or one that an earlier header has."""
+    return match_headers(headers, registry).filter("id is null").select("header", "position")
+
+
+def import_table(df: DataFrame, matched: dict[str, tuple[str, str]], row_limit: int | None = None, categories: dict[str, DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
     """User rows typed by the registry: matched maps id to (header, kind). Junk numbers become null and
     are counted; the report has rows, junk cells and an error (no-matching-columns, no-rows,
-    too-many-rows, or null)."""
+    too-many-rows, or null). Values of a column with frozen categories (value, rank) take their spelling."""
     if not matched:
         report = df.agg(F.count(F.lit(1)).alias("n"), F.lit(0).cast("long").alias("junk"), F.lit("no-matching-columns").alias("error"))
         return df.limit(0).select(), report
@@ -82,13 +96,16 @@ def import_table(df: DataFrame, matched: dict[str, tuple[str, str]], row_limit:
     junk = sum((F.count_if(is_junk_number(F.col(f"`{h}`"))) for h, kind in matched.values() if kind == "numeric"), F.lit(0))
     n = F.count(F.lit(1))
     error = F.when(n == 0, "no-rows").when(n > F.lit(row_limit if row_limit is not None else (1 << 62)), "too-many-rows")
-    return df.select(*cells), df.agg(n.alias("n"), junk.cast("long").alias("junk"), error.alias("error"))
+    rows = df.select(*cells)
+    for column, dimension in (categories or {}).items():
+        rows = snap_category(rows, dimension, column) if column in matched else rows
+    return rows.select(*matched), df.agg(n.alias("n"), junk.cast("long").alias("junk"), error.alias("error"))
 
 
-def read_runs(spark: SparkSession, folder: str, papers: DataFrame, schema: str) -> DataFrame:
-    """Extraction files {paper}/extraction.json joined to the list of papers: one row per formulation,
+def read_runs(spark: SparkSession, folder: str, papers: DataFrame, schema: str, files: str = "*/extraction.json") -> DataFrame:
+    """Extraction files `files` of a folder joined to the list of papers: one row per formulation,
     and a row with status no_extraction for a paper without a file."""
-    found = spark.read.schema(f"paper_id string, formulations array<struct<{schema}>>").json(f"{folder}/*/extraction.json", multiLine=True)
+    found = spark.read.schema(f"paper_id string, formulations array<struct<{schema}>>").json(f"{folder}/{files}", multiLine=True)
     rows = found.select("paper_id", F.lit(True).alias("__found"), F.posexplode_outer("formulations").alias("position", "formulation"))
     return papers.join(rows, "paper_id", "left").withColumn("status", F.when(F.col("__found"), "ok").otherwise("no_extraction")).drop("__found")
 
