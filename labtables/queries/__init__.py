@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("explore", "statistics", "linking", "assembly", "texts", "graphs", "records")
+MODULES = ("explore", "statistics", "linking", "assembly", "texts", "graphs", "records", "files")
 
 
 def _all() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]:

@@ -48,30 +48,27 @@ def search_stats(spark, sf):
     return g.search_stats(g.discover(seeds, edges, scores, max_rounds=2))
 
 
-@query(f"WITH {EDGES} SELECT e.src AS \"from\", e.dst AS node FROM e WHERE e.src <= 1000010")
-def neighbours(spark, sf):
-    _, edges, _ = _graph(spark, sf)
-    return g.neighbours(edges.filter("src <= 1000010").select(F.col("src").alias("node")).distinct(), edges)
-
-
 @query(f"""WITH {EDGES} SELECT src AS "from", dst AS node FROM e UNION ALL SELECT dst, src FROM (SELECT dst, src, row_number() OVER (PARTITION BY dst ORDER BY src) AS n FROM e) WHERE n <= 400""")
-def neighbours_all(spark, sf):
+def neighbours(spark, sf):
     _, edges, nodes = _graph(spark, sf)
     return g.neighbours(nodes, edges)
 
 
+QUERIES["neighbours_all"] = QUERIES["neighbours"]
+
+
 @query("""SELECT event_type, event_id, CAST((row_number() OVER (PARTITION BY event_type ORDER BY user_id DESC, event_id) - 1) // 80 AS BIGINT) AS batch FROM events""")
 def batches(spark, sf):
     return g.batches(t(spark, sf, "events"), "event_type", 80, [F.col("user_id").desc(), F.col("event_id")]).select("event_type", "event_id", "batch")
 
 
-@query("""SELECT event_id, CAST(row_number() OVER (ORDER BY user_id % 4 DESC, event_id % 10 DESC, CASE WHEN event_id % 3 = 0 THEN NULL ELSE event_id % 100 END ASC NULLS LAST, event_id) AS BIGINT) AS position FROM events ORDER BY position LIMIT 200""")
+@query("""SELECT event_id, CAST(row_number() OVER (ORDER BY user_id % 4 DESC, event_id % 10 DESC, CASE WHEN event_id % 3 = 0 THEN NULL ELSE event_id % 100 END ASC NULLS LAST, event_id) AS BIGINT) AS position FROM events""")
 def rank_results(spark, sf):
-    from pyspark.sql import Window
-
     nodes = _results(spark, sf)
-    order = g.rank_results(nodes)
-    return nodes.orderBy(*order).limit(200).select(F.col("node").alias("event_id"), F.row_number().over(Window.orderBy(*order)).cast("long").alias("position"))
+    return x.with_position(nodes, g.rank_results(nodes)).select(F.col("node").alias("event_id"), "position")
+
+
+QUERIES["rank_results_all"] = QUERIES["rank_results"]
 
 
 def _results(spark, sf):
@@ -79,13 +76,11 @@ def _results(spark, sf):
     return t(spark, sf, "events").select(k.alias("node"), (F.col("user_id") % 4).alias("score"), (k % 10).alias("links"), F.when(k % 3 != 0, k % 100).alias("search_rank"))
 
 
-@query(QUERIES["rank_results"][1].replace(" ORDER BY position LIMIT 200", ""))
-def rank_results_all(spark, sf):
-    nodes = _results(spark, sf)
-    return x.with_position(nodes, g.rank_results(nodes)).select(F.col("node").alias("event_id"), "position")
-
-
-@query()
+@query("""WITH RECURSIVE o AS MATERIALIZED (SELECT o_custkey, o_orderkey, o_totalprice, CAST(ceil(CAST(o_totalprice / 100 AS BIGINT) / 100.0) + ceil(least(o_orderkey, 400) / 200.0) AS BIGINT) AS cost, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice, o_orderkey) AS i
+FROM (SELECT o_custkey, o_orderkey, o_totalprice FROM orders)),
+r AS (SELECT DISTINCT o_custkey, CAST(0 AS BIGINT) AS i, CAST(25 AS BIGINT) AS budget, false AS took FROM o UNION ALL
+SELECT r.o_custkey, o.i, CASE WHEN o.cost <= r.budget THEN r.budget - o.cost ELSE r.budget END, o.cost <= r.budget FROM r JOIN o ON o.o_custkey = r.o_custkey AND o.i = r.i + 1)
+SELECT o.o_custkey, o.o_orderkey, o.o_totalprice, o.cost FROM r JOIN o ON o.o_custkey = r.o_custkey AND o.i = r.i WHERE r.took""".replace("CAST(o_totalprice / 100 AS BIGINT)", "CAST(trunc(o_totalprice / 100) AS BIGINT)"))
 def budget_take(spark, sf):
     orders = t(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_totalprice", g.fetch_cost((F.col("o_totalprice") / 100).cast("long"), F.col("o_orderkey")).alias("cost"))
     return g.take_within_budget(orders, "o_custkey", "cost", ["o_totalprice", "o_orderkey"], 25)

@@ -20,29 +20,24 @@ def query(sql=None):
     return add
 
 
-#: The orders of the queries whose SQL names a quarter of them. Each has a twin NAME_all over all orders.
-QUARTER = "l_orderkey % 4 = 1"
-
-
 def query_all(sql):
-    """The query over the quarter that its SQL names, and NAME_all over all orders."""
+    """The query under its name and under NAME_all, as which it was first registered over all orders."""
 
     def add(f):
-        QUERIES[f.__name__] = (lambda spark, sf: f(spark, sf, QUARTER), sql)
-        QUERIES[f"{f.__name__}_all"] = (f, sql.replace(f" WHERE {QUARTER}", ""))
+        QUERIES[f.__name__] = QUERIES[f"{f.__name__}_all"] = (f, sql)
         return f
 
     return add
 
 
 GOLD = """g AS (SELECT l_orderkey AS paper, l_returnflag AS block, l_quantity::DOUBLE AS q, l_discount::DOUBLE AS d, l_tax::DOUBLE AS tax, l_linestatus AS status, l_extendedprice::DOUBLE AS price,
-CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax) AS BIGINT) AS id FROM lineitem WHERE l_orderkey % 4 = 1),
+CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax) AS BIGINT) AS id FROM lineitem),
 p AS (SELECT paper, block, CASE WHEN (paper + id) % 5 = 0 THEN q * 1.1::DOUBLE WHEN (paper + id) % 5 = 1 THEN NULL ELSE q END AS q, d, CASE WHEN id % 3 = 0 THEN NULL ELSE tax END AS tax, CASE WHEN id % 4 = 0 THEN lower(status) ELSE status END AS status,
 CASE WHEN id % 6 = 0 THEN price * 2 ELSE price END AS price, id FROM g WHERE (paper * 7 + id) % 11 <> 0)"""
 
 
-def gold(spark, sf, orders="true"):
-    df = t(spark, sf, "lineitem").filter(orders)
+def gold(spark, sf):
+    df = t(spark, sf, "lineitem")
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
     return df.select(
         F.col("l_orderkey").alias("paper"), F.col("l_returnflag").alias("block"), F.col("l_quantity").cast("double").alias("q"), F.col("l_discount").cast("double").alias("d"), F.col("l_tax").cast("double").alias("tax"),
@@ -50,9 +45,9 @@ def gold(spark, sf, orders="true"):
     )
 
 
-def pred(spark, sf, orders="true"):
+def pred(spark, sf):
     k = (F.col("paper") + F.col("id")) % 5
-    return gold(spark, sf, orders).filter("(paper * 7 + id) % 11 <> 0").withColumns({
+    return gold(spark, sf).filter("(paper * 7 + id) % 11 <> 0").withColumns({
         "q": F.when(k == 0, F.col("q") * 1.1).when(k == 1, None).otherwise(F.col("q")), "tax": F.when(F.col("id") % 3 != 0, F.col("tax")), "status": F.when(F.col("id") % 4 == 0, F.lower("status")).otherwise(F.col("status")),
         "price": F.when(F.col("id") % 6 == 0, F.col("price") * 2).otherwise(F.col("price")),
     })
@@ -67,22 +62,30 @@ CASE WHEN diff <= 0.15 THEN 5 * diff + tie WHEN gap IS NOT NULL THEN 1 + 3 * gap
 
 
 @query_all(f"WITH {GOLD}, {RANKS} SELECT paper, id, round(rp, 6) AS rank_pos FROM pr")
-def rank_position(spark, sf, orders="true"):
-    return ln.rank_position(pred(spark, sf, orders), ["paper", "block"], ["q"], "id").select("paper", "id", r6("rank_pos").alias("rank_pos"))
+def rank_position(spark, sf):
+    return ln.rank_position(pred(spark, sf), ["paper", "block"], ["q"], "id").select("paper", "id", r6("rank_pos").alias("rank_pos"))
 
 
-def _candidates(spark, sf, orders="true"):
-    p = ln.rank_position(pred(spark, sf, orders), ["paper", "block"], ["q"], "id")
-    g = ln.rank_position(gold(spark, sf, orders), ["paper", "block"], ["q"], "id")
+def _candidates(spark, sf):
+    p = ln.rank_position(pred(spark, sf), ["paper", "block"], ["q"], "id")
+    g = ln.rank_position(gold(spark, sf), ["paper", "block"], ["q"], "id")
     return ln.link_candidates(p, g, ["paper"], "block", [("q", "q")], ("d", "d"), "id", "id")
 
 
 @query_all(f"WITH {GOLD}, {RANKS}, {CANDIDATES} SELECT paper, pred_id, gold_id, quality, round(distance, 6) AS distance FROM l WHERE quality IS NOT NULL")
-def link_candidates(spark, sf, orders="true"):
-    return _candidates(spark, sf, orders).select("paper", "pred_id", "gold_id", "quality", r6("distance").alias("distance"))
+def link_candidates(spark, sf):
+    return _candidates(spark, sf).select("paper", "pred_id", "gold_id", "quality", r6("distance").alias("distance"))
 
 
-@query()
+#: The greedy pass in SQL: candidates of a paper one after another, with the rows taken so far.
+GREEDY = """o AS MATERIALIZED (SELECT paper, pred_id, gold_id, quality, distance, row_number() OVER (PARTITION BY paper ORDER BY distance, pred_id, gold_id) AS i FROM l WHERE quality IS NOT NULL),
+r AS (SELECT DISTINCT paper, CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS ps, CAST([] AS BIGINT[]) AS gs, false AS took FROM o UNION ALL
+SELECT paper, i, CASE WHEN free THEN list_append(ps, pred_id) ELSE ps END, CASE WHEN free THEN list_append(gs, gold_id) ELSE gs END, free FROM (
+SELECT r.paper, o.i, r.ps, r.gs, o.pred_id, o.gold_id, NOT list_contains(r.ps, o.pred_id) AND NOT list_contains(r.gs, o.gold_id) AS free FROM r JOIN o ON o.paper = r.paper AND o.i = r.i + 1)),
+a AS (SELECT o.* FROM r JOIN o ON o.paper = r.paper AND o.i = r.i WHERE r.took)"""
+
+
+@query(f"WITH RECURSIVE {GOLD}, {RANKS}, {CANDIDATES}, {GREEDY} SELECT paper, pred_id, gold_id, quality, round(distance, 6) AS distance FROM a")
 def assign_greedy(spark, sf):
     return ln.assign_greedy(_candidates(spark, sf), ["paper"]).select("paper", "pred_id", "gold_id", "quality", r6("distance").alias("distance"))
 
@@ -104,25 +107,24 @@ def groups(spark):
     return spark.createDataFrame([("q", "amounts"), ("price", "amounts"), ("d", "rates"), ("tax", "rates"), ("status", "words"), ("q", "HEADLINE"), ("d", "HEADLINE"), ("none", "empty")], "column string, group string")
 
 
-def _cells(spark, sf, orders="true"):
-    long = lambda df, v: df.select("paper", "id", *[F.col(x).cast("string").alias(x) for x in COLUMNS]).unpivot(["paper", "id"], list(COLUMNS), "column", v)
-    g, p = gold(spark, sf, orders), pred(spark, sf, orders)
-    links = p.select("paper", F.col("id").alias("gold_id"))
-    both = long(p, "pred").join(long(g, "gold"), ["paper", "id", "column"])
+def _cells(spark, sf):
+    g, p = gold(spark, sf), pred(spark, sf)
+    links = p.select("paper", F.col("id").alias("pred_id"), F.col("id").alias("gold_id"))
+    both = ln.pair_cells(p, g, links, ["paper"], "id", "id", COLUMNS).withColumnRenamed("gold_id", "id")
     scored = ln.compare_cells(both, classes(spark)).select("paper", "id", "column", "outcome", F.lit(False).alias("unmatched"))
     missed = ln.missed_rows(g, links, ["paper"], "id", COLUMNS).select("paper", "id", "column", "outcome", F.lit(True).alias("unmatched"))
     return scored.unionByName(missed)
 
 
 @query_all(f'WITH {GOLD}, {CELLS} SELECT paper, id, "column", outcome, unmatched FROM s')
-def score_cells(spark, sf, orders="true"):
-    return _cells(spark, sf, orders)
+def score_cells(spark, sf):
+    return _cells(spark, sf)
 
 
 @query_all(f'WITH {GOLD}, {CELLS} SELECT paper, id, "column", outcome FROM s WHERE unmatched')
-def missed_rows(spark, sf, orders="true"):
-    p = pred(spark, sf, orders).select("paper", F.col("id").alias("gold_id"))
-    return ln.missed_rows(gold(spark, sf, orders), p, ["paper"], "id", COLUMNS).select("paper", "id", "column", "outcome")
+def missed_rows(spark, sf):
+    p = pred(spark, sf).select("paper", F.col("id").alias("gold_id"))
+    return ln.missed_rows(gold(spark, sf), p, ["paper"], "id", COLUMNS).select("paper", "id", "column", "outcome")
 
 
 TOTALS = """f AS (SELECT * FROM (VALUES ('q', 'amounts'), ('price', 'amounts'), ('d', 'rates'), ('tax', 'rates'), ('status', 'words'), ('q', 'HEADLINE'), ('d', 'HEADLINE'), ('none', 'empty')) AS v("column", "group")),
@@ -134,13 +136,13 @@ round(correct::DOUBLE / nullif(correct + near + wrong + missing + missing_unmatc
 
 
 @query_all(f"WITH {GOLD}, {CELLS}, " + TOTALS.format(keys="", from_='f LEFT JOIN s ON f."column" = s."column"'))
-def group_totals(spark, sf, orders="true"):
-    return sc.group_totals(_cells(spark, sf, orders), [], groups(spark))
+def group_totals(spark, sf):
+    return sc.group_totals(_cells(spark, sf), [], groups(spark))
 
 
 @query_all(f"WITH {GOLD}, {CELLS}, papers AS (SELECT DISTINCT paper FROM s), " + TOTALS.format(keys="papers.paper,", from_='papers CROSS JOIN f LEFT JOIN s ON f."column" = s."column" AND s.paper = papers.paper'))
-def paper_totals(spark, sf, orders="true"):
-    return sc.group_totals(_cells(spark, sf, orders), ["paper"], groups(spark))
+def paper_totals(spark, sf):
+    return sc.group_totals(_cells(spark, sf), ["paper"], groups(spark))
 
 
 @query("""SELECT o_orderpriority AS run, CASE WHEN grouping(o_custkey) = 1 THEN NULL ELSE o_custkey END AS paper, CAST(count(*) AS BIGINT) AS papers, CAST(count(*) FILTER (WHERE o_orderstatus = 'F') AS BIGINT) AS with_extraction,
@@ -152,10 +154,10 @@ def run_totals(spark, sf):
     return sc.run_totals(papers).drop("overall", "recall", "precision")
 
 
-@query_all("""SELECT "column", CASE WHEN "column" = 'price' THEN 'wrong' ELSE 'correct' END AS outcome, CAST(count(*) AS BIGINT) AS n FROM lineitem, (VALUES ('q'), ('d'), ('tax'), ('status'), ('price')) AS v("column") WHERE l_orderkey % 4 = 1 GROUP BY 1, 2""")
-def self_test(spark, sf, orders="true"):
+@query_all("""SELECT "column", CASE WHEN "column" = 'price' THEN 'wrong' ELSE 'correct' END AS outcome, CAST(count(*) AS BIGINT) AS n FROM lineitem, (VALUES ('q'), ('d'), ('tax'), ('status'), ('price')) AS v("column") GROUP BY 1, 2""")
+def self_test(spark, sf):
     """The table against itself with one column tenfold: those cells fail, all others hold."""
-    g = gold(spark, sf, orders)
+    g = gold(spark, sf)
     long = lambda df, v: df.select("paper", "id", *[F.col(x).cast("string").alias(x) for x in COLUMNS]).unpivot(["paper", "id"], list(COLUMNS), "column", v)
     both = long(g.withColumn("price", F.col("price") * 10), "pred").join(long(g, "gold"), ["paper", "id", "column"])
     return ln.compare_cells(both, classes(spark)).groupBy("column", "outcome").agg(F.count(F.lit(1)).alias("n"))
@@ -175,7 +177,10 @@ def vocab_snap(spark, sf):
     return t(spark, sf, "part").select("p_partkey", c.vocab_snap(raw, ("linear", "branched", "high"), {"yes": "high"}).alias("snapped"))
 
 
-@query()
+@query("""WITH RECURSIVE n AS (SELECT p_partkey, trim(regexp_replace(lower(p_name), '\\s+', ' ', 'g')) AS a FROM part), p AS (SELECT DISTINCT a, regexp_replace(a, '[aeiou]', 'e', 'g') AS b FROM n),
+l AS (SELECT a, b, 0 AS j, [0 for x in range(length(a))] AS best FROM p UNION ALL
+SELECT a, b, j + 1, list_transform(range(1, length(a) + 1), lambda i: greatest(best[i], list_max(list_transform(range(1, i + 1), lambda k: CASE WHEN a[k] = b[j + 1] THEN 1 + CASE WHEN k > 1 THEN best[k - 1] ELSE 0 END ELSE 0 END)))) FROM l WHERE j < length(b))
+SELECT p_partkey, round(CASE WHEN n.a = l.b THEN 1.0::DOUBLE ELSE 2.0::DOUBLE * list_max(best) / (length(l.a) + length(l.b)) END, 6) AS similarity FROM n JOIN l ON n.a = l.a AND l.j = length(l.b)""")
 def name_similarity(spark, sf):
     df = t(spark, sf, "part")
     pairs = df.select("p_partkey", F.col("p_name").alias("a"), F.regexp_replace("p_name", "[aeiou]", "e").alias("b"))

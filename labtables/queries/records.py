@@ -7,6 +7,7 @@ from ..operators import corpus, explore, graph, linkage, scoring
 from ..operators import stats as st
 from ..plans import pipelines
 from ..sources import tables as src
+from . import linking
 from .explore import r6, raw_part, t
 
 QUERIES = {}
@@ -173,7 +174,12 @@ def offending_rows(spark, sf):
     return scoring.offending_rows(df, F.col("o_totalprice") > 1000, ["o_orderkey", "o_totalprice", "low"], ["low", "o_orderkey"]).drop("low")
 
 
-@query()
+# without a tie-break, and the cells of the rows that were linked
+LINKS = linking.CANDIDATES.replace("least(abs(pr.d - gr.d) / 5.0::DOUBLE, 1.0::DOUBLE) AS tie", "0.0::DOUBLE AS tie")
+LINKED = linking.CELLS.replace("FROM g LEFT JOIN p ON g.paper = p.paper AND g.id = p.id", "FROM g LEFT JOIN a ON g.paper = a.paper AND g.id = a.gold_id LEFT JOIN p ON a.paper = p.paper AND a.pred_id = p.id")
+
+
+@query(f"WITH RECURSIVE {linking.GOLD}, {linking.RANKS}, {LINKS}, {linking.GREEDY}, {LINKED}, " + linking.TOTALS.format(keys="", from_='f LEFT JOIN s ON f."column" = s."column"'))
 def score_run(spark, sf):
     """Links, cells and totals of a perturbed table against itself."""
     from .linking import classes, gold, groups, pred
@@ -182,11 +188,11 @@ def score_run(spark, sf):
     return out["totals"]
 
 
-@query("""SELECT doc_id, 'F1' AS entity, CAST(length(text) AS DOUBLE) AS size, CAST(0 AS BIGINT) AS duplicates FROM documents WHERE length(regexp_replace(lower(substring(text, 1, 60)), '[^0-9a-z]', '', 'g')) >= 8""")
+@query("""SELECT doc_id, 'F1' AS entity, CAST(length(text) AS DOUBLE) AS size, CAST(0 AS BIGINT) AS duplicates FROM documents WHERE length(regexp_replace(lower(text), '[^0-9a-z]', '', 'g')) >= 8""")
 def assemble_extraction(spark, sf):
-    """Each document's beginning as a listed entity, and one that no document holds."""
+    """Each document's whole text as a listed entity's quote, and one that no document holds."""
     docs = t(spark, sf, "documents").select("doc_id", "text")
-    begin = docs.select("doc_id", F.lit(1).alias("position"), F.substring("text", 1, 60).alias("quote"))
+    begin = docs.select("doc_id", F.lit(1).alias("position"), F.col("text").alias("quote"))
     listed = begin.union(begin.withColumn("position", F.lit(2))).union(docs.select("doc_id", F.lit(0), F.lit("Zzzqj xvvkq wwzzx 9876501234"))).withColumn("key", F.col("quote"))
     values = docs.select("doc_id", F.lit("F1").alias("entity"), F.lit("size").alias("field"), F.char_length("text").cast("string").alias("value"), F.lit(1).alias("seq"))
     return pipelines.assemble_extraction(listed, values, docs, "doc_id", "text", {"size": ("number", 20)})

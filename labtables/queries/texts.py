@@ -38,48 +38,43 @@ def digit_guard(spark, sf):
     return k.digit_guard(t(spark, sf, "pages").select("page_id", before.alias("b"), after.alias("a")), "b", "a").select("page_id", "digits_ok")
 
 
-#: The rows of the queries whose SQL names a part of them. Each has a twin NAME_all over all rows.
-THIRD, FEW = "l_orderkey % 3 = 0", "o_orderkey % 50 = 1"
-
-
-def query_all(sql, part=THIRD):
-    """The query over the part that its SQL names, and NAME_all over all rows."""
+def query_all(sql):
+    """The query under its name and under NAME_all, as which it was first registered over all rows."""
 
     def add(f):
-        QUERIES[f.__name__] = (lambda spark, sf: f(spark, sf, part), sql)
-        QUERIES[f"{f.__name__}_all"] = (f, sql.replace(f" WHERE {part}", ""))
+        QUERIES[f.__name__] = QUERIES[f"{f.__name__}_all"] = (f, sql)
         return f
 
     return add
 
 
-def _tables(spark, sf, orders="true"):
+def _tables(spark, sf):
     """One pipe table per order: a header, a separator, a row per line; some headers name a curve."""
     line = F.concat(F.lit("| "), F.col("l_linenumber").cast("string"), F.lit(" | "), F.format_string("%.2f", F.col("l_extendedprice")), F.when(F.col("l_partkey") % 2 == 0, " ~ |").otherwise(" | "), F.when(F.col("l_partkey") % 3 == 0, " 123456 |").otherwise(" |"))
-    rows = t(spark, sf, "lineitem").filter(orders).groupBy("l_orderkey").agg(F.array_join(F.sort_array(F.collect_list(line)), "\n").alias("rows"))
+    rows = t(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.array_join(F.sort_array(F.collect_list(line)), "\n").alias("rows"))
     head = F.when(F.col("l_orderkey") % 2 == 0, "| curve | y | z |").otherwise("| x | y | z |")
     return rows.select(F.col("l_orderkey").alias("doc"), F.concat(F.lit("Order\n"), head, F.lit("\n|---|---|---|\n"), F.col("rows"), F.lit("\n\nand $$x^2$$ done")).alias("text"))
 
 
-@query_all("""WITH l AS (SELECT l_orderkey AS doc, count(*) AS n, count(*) FILTER (WHERE l_partkey % 2 = 0) AS tildes, count(*) FILTER (WHERE l_partkey % 3 = 0) AS long, sum(length(CAST(l_linenumber AS VARCHAR)) + length(printf('%.2f', l_extendedprice)) + CASE WHEN l_partkey % 2 = 0 THEN 4 ELSE 3 END + CASE WHEN l_partkey % 3 = 0 THEN 9 ELSE 2 END + 5) AS size FROM lineitem WHERE l_orderkey % 3 = 0 GROUP BY 1)
+@query_all("""WITH l AS (SELECT l_orderkey AS doc, count(*) AS n, count(*) FILTER (WHERE l_partkey % 2 = 0) AS tildes, count(*) FILTER (WHERE l_partkey % 3 = 0) AS long, sum(length(CAST(l_linenumber AS VARCHAR)) + length(printf('%.2f', l_extendedprice)) + CASE WHEN l_partkey % 2 = 0 THEN 4 ELSE 3 END + CASE WHEN l_partkey % 3 = 0 THEN 9 ELSE 2 END + 5) AS size FROM lineitem GROUP BY 1)
 SELECT doc, CAST(1 AS BIGINT) AS tables, CAST(n AS BIGINT) AS table_rows, CAST(2 * n + long AS BIGINT) AS table_numbers, CAST(long AS BIGINT) AS concat_cells, CAST(1 AS BIGINT) AS display_formulas,
 CAST(CASE WHEN doc % 2 = 0 OR 2 * tildes > n THEN n ELSE 0 END AS BIGINT) AS chart_rows, CAST(2 * n + long + 1 AS BIGINT) AS numbers_total FROM l""")
-def content_metrics(spark, sf, orders="true"):
-    return k.content_metrics(_tables(spark, sf, orders), "text", "doc").drop("chars")
+def content_metrics(spark, sf):
+    return k.content_metrics(_tables(spark, sf), "text", "doc").drop("chars")
 
 
-@query_all("""SELECT doc, number, CAST(count(*) AS BIGINT) AS n FROM (SELECT l_orderkey AS doc, printf('%.2f', l_extendedprice) AS number FROM lineitem WHERE l_orderkey % 3 = 0) GROUP BY 1, 2""")
-def numbers(spark, sf, orders="true"):
-    return k.numbers(_tables(spark, sf, orders), "text", "doc")
+@query_all("""SELECT doc, number, CAST(count(*) AS BIGINT) AS n FROM (SELECT l_orderkey AS doc, printf('%.2f', l_extendedprice) AS number FROM lineitem) GROUP BY 1, 2""")
+def numbers(spark, sf):
+    return k.numbers(_tables(spark, sf), "text", "doc")
 
 
-@query_all("""WITH c AS (SELECT l_orderkey AS doc, l_quantity || '.5' AS number, count(*) AS n FROM (SELECT l_orderkey, CAST(l_quantity AS BIGINT) AS l_quantity FROM lineitem) GROUP BY 1, 2), p AS (SELECT o_orderkey AS a, o_orderkey + 1 AS b FROM orders WHERE o_orderkey % 50 = 1),
+@query_all("""WITH c AS (SELECT l_orderkey AS doc, l_quantity || '.5' AS number, count(*) AS n FROM (SELECT l_orderkey, CAST(l_quantity AS BIGINT) AS l_quantity FROM lineitem) GROUP BY 1, 2), p AS (SELECT o_orderkey AS a, o_orderkey + 1 AS b FROM orders),
 u AS (SELECT a, b, number, n AS na, 0 AS nb FROM p JOIN c ON c.doc = a UNION ALL SELECT a, b, number, 0, n FROM p JOIN c ON c.doc = b)
-SELECT a, b, number, CAST(greatest(sum(na) - sum(nb), 0) AS BIGINT) AS only_a, CAST(greatest(sum(nb) - sum(na), 0) AS BIGINT) AS only_b FROM u GROUP BY 1, 2, 3 HAVING sum(na) <> sum(nb)""", FEW)
-def exclusive_numbers(spark, sf, pairs="true"):
+SELECT a, b, number, CAST(greatest(sum(na) - sum(nb), 0) AS BIGINT) AS only_a, CAST(greatest(sum(nb) - sum(na), 0) AS BIGINT) AS only_b FROM u GROUP BY 1, 2, 3 HAVING sum(na) <> sum(nb)""")
+def exclusive_numbers(spark, sf):
     text = F.array_join(F.collect_list(F.concat(F.col("l_quantity").cast("long").cast("string"), F.lit(".5"))), " ")
     docs = t(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("doc")).agg(text.alias("text"))
-    pairs = t(spark, sf, "orders").filter(pairs).select(F.col("o_orderkey").alias("a"), (F.col("o_orderkey") + 1).alias("b"))
+    pairs = t(spark, sf, "orders").select(F.col("o_orderkey").alias("a"), (F.col("o_orderkey") + 1).alias("b"))
     return k.exclusive_numbers(pairs, k.numbers(docs, "text", "doc"), "a", "b", "doc").withColumns({c: F.col(c).cast("long") for c in ("only_a", "only_b")})
 
 
@@ -109,18 +104,40 @@ def figure_captions(spark, sf):
     return k.figures(t(spark, sf, "pages").select("page_id", text.alias("text")), "text", "page_id")
 
 
-@query("""SELECT doc_id, item_id, 'exact' AS found FROM documents JOIN benchmark ON contains(regexp_replace(lower(documents.text), '[^0-9a-z]', '', 'g'), regexp_replace(lower(benchmark.text), '[^0-9a-z]', '', 'g')) WHERE length(regexp_replace(lower(benchmark.text), '[^0-9a-z]', '', 'g')) >= 8 AND doc_id % 40 = item_id""")
+PLAIN = "regexp_replace(lower(regexp_replace(regexp_replace({}, '</?[a-zA-Z][^<>]*>', ' ', 'g'), '\\\\[a-zA-Z]+', '', 'g')), '[^0-9a-z]', '', 'g')"
+
+
+def _quotes(spark, sf):
+    """Of each document whose words allow it: ten words of its own, the same with a letter of each third
+    word changed, ten words of the next document, and a benchmark passage."""
+    docs = t(spark, sf, "documents").select("doc_id", "text")
+    words = F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), " ")
+    ten = docs.filter("text is not null").select("doc_id", F.array_join(F.slice(words, 4, 10), " ").alias("said"))
+    spoilt = F.array_join(F.transform(F.split("said", " "), lambda w, i: F.when((i % 9 == 4) & (F.length(w) > 3), F.concat(F.left(w, F.lit(2)), F.lit("q"), F.substring(w, F.lit(4), F.length(w)))).otherwise(w)), " ")
+    own = ten.select("doc_id", F.posexplode(F.array(F.col("said"), spoilt)).alias("quote_no", "quote"))
+    other = ten.select((F.col("doc_id") - 1).alias("doc_id"), F.lit(2).alias("quote_no"), F.col("said").alias("quote"))
+    passages = t(spark, sf, "benchmark").select("item_id", F.col("text").alias("quote"))
+    shared = docs.select("doc_id", (F.col("doc_id") % 40).alias("item_id")).join(passages, "item_id").select("doc_id", F.lit(3).alias("quote_no"), "quote")
+    return own.unionByName(other).unionByName(shared), docs
+
+
+@query(f"""WITH w AS (SELECT doc_id, list_slice(string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' '), 4, 13) AS ws FROM documents WHERE text IS NOT NULL), s AS (SELECT doc_id, array_to_string(ws, ' ') AS said, ws FROM w),
+q AS (SELECT doc_id, 0 AS quote_no, said AS quote FROM s UNION ALL
+SELECT doc_id, 1, array_to_string([CASE WHEN (i - 1) % 9 = 4 AND length(ws[i]) > 3 THEN left(ws[i], 2) || 'q' || ws[i][4:] ELSE ws[i] END for i in range(1, len(ws) + 1)], ' ') FROM s UNION ALL
+SELECT doc_id - 1, 2, said FROM s UNION ALL SELECT doc_id, 3, benchmark.text FROM documents JOIN benchmark ON doc_id % 40 = item_id),
+p AS (SELECT q.doc_id, quote_no, {PLAIN.format("quote")} AS a, {PLAIN.format("string_split(trim(quote), ' ')[1]")} AS l, {PLAIN.format("regexp_replace(trim(quote), '^\\S*\\s*', '')")} AS r, {PLAIN.format("coalesce(d.text, '')")} AS t FROM q LEFT JOIN documents d ON q.doc_id = d.doc_id)
+SELECT doc_id, CAST(quote_no AS INTEGER) AS quote_no, 'exact' AS found FROM p WHERE (length(a) >= 8 AND contains(t, a)) OR (length(l) >= 2 AND contains(t, l) AND length(r) >= 8 AND contains(t, r))""")
 def verify_quotes(spark, sf):
-    docs, bench = t(spark, sf, "documents").select("doc_id", "text"), t(spark, sf, "benchmark")
-    quotes = docs.select("doc_id", (F.col("doc_id") % 40).alias("item_id")).join(bench.select("item_id", F.col("text").alias("quote")), "item_id")
-    return k.verify_quotes(quotes, docs, "text", "doc_id").filter("found = 'exact'").select("doc_id", "item_id", "found")
+    """The quotes that stand in their documents word for word."""
+    quotes, docs = _quotes(spark, sf)
+    return k.verify_quotes(quotes, docs, "text", "doc_id").filter("found = 'exact'").select("doc_id", "quote_no", "found")
 
 
 @query()
 def near_quotes(spark, sf):
-    docs, bench = t(spark, sf, "documents").select("doc_id", "text"), t(spark, sf, "benchmark")
-    quotes = docs.select("doc_id", (F.col("doc_id") % 40).alias("item_id")).join(bench.select("item_id", F.col("text").alias("quote")), "item_id")
-    return k.verify_quotes(quotes, docs, "text", "doc_id").select("doc_id", "item_id", "found")
+    """All quotes, with what was found: exact, near or none."""
+    quotes, docs = _quotes(spark, sf)
+    return k.verify_quotes(quotes, docs, "text", "doc_id").select("doc_id", "quote_no", "found")
 
 
 @query("""SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 2 ELSE NULL END::INTEGER AS found_page FROM documents""")
@@ -156,7 +173,7 @@ def rewrite_figures(spark, sf):
     return k.rewrite_figures(docs, figures, "text", "page_id", "locator", "path")
 
 
-@query_all("""SELECT l_orderkey AS doc, CAST(count(*) AS BIGINT) AS n, CAST(sum(l_linenumber) AS DOUBLE) AS minutes, round(sum(l_extendedprice), 2) AS x FROM lineitem WHERE l_orderkey % 3 = 0 GROUP BY 1""")
-def tables_to_rows(spark, sf, orders="true"):
-    rows = k.tables_to_rows(_tables(spark, sf, orders), "text", "doc")
+@query_all("""SELECT l_orderkey AS doc, CAST(count(*) AS BIGINT) AS n, CAST(sum(l_linenumber) AS DOUBLE) AS minutes, round(sum(l_extendedprice), 2) AS x FROM lineitem GROUP BY 1""")
+def tables_to_rows(spark, sf):
+    rows = k.tables_to_rows(_tables(spark, sf), "text", "doc")
     return rows.groupBy("doc").agg(F.count(F.lit(1)).alias("n"), F.sum("t_minutes").alias("minutes"), F.round(F.sum("x"), 2).alias("x"))

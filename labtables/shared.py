@@ -2,27 +2,50 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+def common_folder(spark: SparkSession) -> str:
+    """The folder that all machines share: spark.checkpoint.dir. Where that is unset and the master is
+    local, a temporary folder is set; on a cluster it must be set."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        at = f"file://{tempfile.mkdtemp(prefix='spark-shared-', dir='/tmp')}"
+        spark.conf.set("spark.checkpoint.dir", at)
+    return at.rstrip("/")
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """`df` checkpointed under spark.checkpoint.dir. Where that is unset and the master is local, a
-    temporary folder is set; on a cluster it must be set."""
+    """`df` checkpointed in the common folder."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        at = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not at:
-            if not context.master.startswith("local"):
-                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-            at = tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")
-        context.setCheckpointDir(at)
+        context.setCheckpointDir(common_folder(df.sparkSession))
     return df.checkpoint()
 
 
+def scratch(spark: SparkSession, what: str) -> str:
+    """A new path in the common folder, removed when the application ends."""
+    path = f"{common_folder(spark)}/labtables-{what}-{uuid.uuid4().hex}"
+
+    def remove() -> None:
+        try:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        except Exception:  # noqa: BLE001  the session may be gone at exit
+            return
+
+    atexit.register(remove)
+    return path
+
+
 _SHIPPED: set[str] = set()
 
 
