@@ -2,8 +2,9 @@
 
 Documents with equal sets are one node. Two sets of similarity s or more share a token among the
 first n - ceil(s n) + 1 tokens of each, whatever the order of tokens; the order here puts rare ones
-first, by a count sketch of fixed size (it decides cost, never results). All nodes that share such a
-token go to the block of the token's least node, so every pair that can link meets in a block.
+first, by a count sketch of fixed size (it decides cost, never results). All nodes of about one size
+that share such a token go to the block of the least of them, so every pair that can link meets in a
+block, and a long text that quotes many short ones meets none of them.
 
 The search in inverted lists is DivideSkip: a node links with those that occur in T or more of its
 lists, so short lists are heap-merged, skipping what cannot get there, and long lists are only probed
@@ -40,12 +41,12 @@ SLOTS = 1 << 20
 #: Shingles of a chunk of a block (8 bytes each), unless one node has more.
 CHUNK_SHINGLES = 2_000_000
 #: Tokens whose slot counts this binary logarithm or more may be too many for one task's window.
-HEAVY_CLASS = 17
+HEAVY_CLASS = 14
+SALTS = 64
 #: Bytes of ids up to which they are broadcast to filter the documents; more are joined by a shuffle.
-BROADCAST_BYTES = 64 << 20
+BROADCAST_BYTES = 32 << 20
 #: Weight of a probe against a merge step in choosing how many lists are long.
 MU = 0.02
-NO_ID = (1 << 63) - 1
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
@@ -239,28 +240,35 @@ def crossing_links(sets: list[np.ndarray], components: list[int], asked: list[bo
     return links
 
 
-def _id(id_col: str) -> Column:
-    return F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
+def _named(docs: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFrame:
+    """Columns k (the id, null or not) and d (a hash of the text), which name a document's text also
+    where ids are null or repeated, text, and `more`."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return docs.select(F.col(id_col).cast("long").alias("k"), F.xxhash64(text).alias("d"), text.alias("text"), *more)
+
+
+def _least() -> Column:
+    """The first of some documents: by id, null last, then by hash."""
+    return F.min(F.struct(F.col("k").isNull().alias("none"), F.col("k").alias("k"), F.col("d").alias("d")))
 
 
 def document_nodes(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """Table of k (the id, NO_ID for null), n (set size), key (the set's name), and from each task a
-    row with sketch, its token counts by slot."""
+    """Table of k, d, n (set size), key (the set's name), and from each task a row with sketch, its token
+    counts by slot."""
 
     def run(batches):
         counts = np.zeros(SLOTS, np.int64)
-        names = ["k", "n", "key", "sketch"]
+        names = ["k", "d", "n", "key", "sketch"]
         for batch in slices(batches, "text", 1_000_000):
             sets = shingle_sets(utf8(batch.column("text")), words)
             keys = [set_key(s) if len(s) else None for s in sets]
             counts += np.bincount((np.concatenate(sets) & np.uint64(SLOTS - 1)).astype(np.int64), minlength=SLOTS)
-            yield pa.RecordBatch.from_arrays([batch.column("k"), pa.array(map(len, sets), pa.int32()), pa.array(keys, pa.int64()), pa.nulls(batch.num_rows, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("d"), pa.array(map(len, sets), pa.int32()), pa.array(keys, pa.int64()), pa.nulls(batch.num_rows, pa.binary())], names)
         if counts.any():
             packed = zlib.compress(np.minimum(counts, 0xFFFFFFFF).astype("<u4").tobytes(), 1)
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.int64()), pa.array([packed], pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([*[pa.nulls(1, pa.int64())] * 2, pa.nulls(1, pa.int32()), pa.nulls(1, pa.int64()), pa.array([packed], pa.binary())], names)
 
-    keyed = docs.select(_id(id_col).alias("k"), F.col(text_col).alias("text"))
-    return written(keyed.mapInArrow(run, "k long, n int, key long, sketch binary"), "nodes")
+    return written(_named(docs, id_col, text_col).mapInArrow(run, "k long, d long, n int, key long, sketch binary"), "nodes")
 
 
 def rarity_classes(nodes: DataFrame) -> np.ndarray:
@@ -280,16 +288,23 @@ def rarity_classes(nodes: DataFrame) -> np.ndarray:
     return np.floor(np.log2(total.astype(np.float64) + 1)).astype(np.uint8)
 
 
+def size_classes(n: int, percent: int = PERCENT) -> range:
+    """The size classes of a set: that of its power of four, and the next one too if sets of that one
+    can link with it. Any two sets that can link have a class in common."""
+    own = (n.bit_length() - 1) // 2
+    return range(own, own + 1 + (100 * n >= percent * 4 ** (own + 1)))
+
+
 def prefix_tokens(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int, classes: np.ndarray) -> DataFrame:
-    """Rows (token, key, n, stop, heavy): the rarest tokens of each set, as many as similar sets must
-    share one of. stop grows with the place of the last of them in the order of tokens; heavy ones may
-    be in too many sets for one task."""
+    """Rows (token, size, key, n, stop, heavy): the rarest tokens of each set, as many as similar sets must
+    share one of, for each of its size classes. stop grows with the place of the last of them in the
+    order of tokens; heavy ones may be in too many sets for one task."""
     shared = docs.sparkSession.sparkContext.broadcast(classes)
 
     def run(batches):
         seen: set[int] = set()
         for batch in slices(batches, "text", 1_000_000):
-            tokens, keys, sizes, stops, heavy = [], [], [], [], []
+            rows: list[tuple[np.ndarray, ...]] = []
             for s in shingle_sets(utf8(batch.column("text")), words):
                 if not len(s) or (key := set_key(s)) in seen:
                     continue
@@ -297,42 +312,45 @@ def prefix_tokens(docs: DataFrame, id_col: str, text_col: str, words: int, perce
                     seen.add(key)
                 rarity = shared.value[s & np.uint64(SLOTS - 1)]
                 order = np.lexsort((s, rarity))[: prefix_length(len(s), percent)]
-                tokens.append(s[order])
-                heavy.append(rarity[order] >= HEAVY_CLASS)
                 stop = int(rarity[order[-1]]) << 24 | int(s[order[-1]] >> np.uint64(40))
-                stops.append(np.full(len(order), stop, np.int32))
-                keys.append(np.full(len(order), key, np.int64))
-                sizes.append(np.full(len(order), len(s), np.int32))
-            if tokens:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(keys)), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(stops)), pa.array(np.concatenate(heavy))], ["token", "key", "n", "stop", "heavy"])
+                same = lambda x, kind: np.full(len(order), x, kind)  # noqa: E731, B023
+                for size in size_classes(len(s), percent):
+                    rows.append((s[order].view(np.int64), same(size, np.int8), same(key, np.int64), same(len(s), np.int32), same(stop, np.int32), rarity[order] >= HEAVY_CLASS))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*rows)], ["token", "size", "key", "n", "stop", "heavy"])
 
-    return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "token long, key long, n int, stop int, heavy boolean")
+    return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "token long, size byte, key long, n int, stop int, heavy boolean")
 
 
-def shared_tokens(prefix: DataFrame, any_heavy: bool) -> DataFrame:
-    """Rows (token, key, n, stop, hub) of the tokens that several nodes have; hub is the least of them. A
-    window per token, but for heavy tokens aggregates and a join, which Spark splits where they are
+def shared_tokens(prefix: DataFrame) -> DataFrame:
+    """Rows (token, size, key, n, stop, hub) of the tokens that several nodes of a size class have; hub is
+    the least of them. One shuffle and a window per token; heavy tokens are dealt into SALTS windows
+    first, whose least nodes meet by an aggregate and a join, which Spark splits where they are
     skewed."""
-    window = Window.partitionBy("token")
-    light = prefix.filter(~F.col("heavy")).select("token", "key", "n", "stop").withColumns({"hub": F.min("key").over(window), "last": F.max("key").over(window)})
-    out = light.filter("hub != last").drop("last")
-    if any_heavy:
-        heavy = prefix.filter("heavy").select("token", "key", "n", "stop")
-        hubs = heavy.groupBy("token").agg(F.min("key").alias("hub"), F.max("key").alias("last")).filter("hub != last").drop("last")
-        out = out.unionByName(heavy.join(hubs, "token"))
-    return out
+    salt = F.when(F.col("heavy"), F.pmod(F.xxhash64("key"), F.lit(SALTS))).otherwise(0)
+    window = Window.partitionBy("token", "size", "salt")
+    dealt = prefix.withColumn("salt", salt).withColumns({"hub": F.min("key").over(window), "last": F.max("key").over(window)})
+    some = written(dealt.filter("heavy or hub != last").drop("salt"), "tokens")
+    names = ["token", "size", "key", "n", "stop"]
+    light, heavy = some.filter("not heavy").select(*names, "hub"), some.filter("heavy")
+    hubs = heavy.groupBy("token", "size").agg(F.min("hub").alias("hub"), F.max("last").alias("last")).filter("hub != last").drop("last")
+    return light.unionByName(heavy.select(*names).join(hubs, ["token", "size"]).select(*names, "hub")) if not heavy.isEmpty() else light
 
 
 def node_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """Rows (key, tokens): the sets of the wanted nodes, each from the document k that `wanted` (key, k)
-    names. Rows that repeat a document repeat its set."""
-    some = docs.select(_id(id_col).alias("k"), F.col(text_col).alias("text")).join(_sized(wanted, 16), "k")
+    """Rows (key, tokens): the sets of the wanted nodes, each from the document (k, d) that `wanted` (key,
+    k, d) names. A task gives a set once; several tasks may repeat it where rows repeat the document."""
+    small = _sized(wanted.select("key", F.col("k").alias("k_"), F.col("d").alias("d_")), 24)
+    some = _named(docs, id_col, text_col).join(small, F.col("k").eqNullSafe(F.col("k_")) & (F.col("d") == F.col("d_")))
 
     def run(batches):
+        seen: set[int] = set()
         for batch in slices(batches, "text", 1_000_000):
             keys, sets = [], []
             for s, key in zip(shingle_sets(utf8(batch.column("text")), words), batch.column("key").to_pylist()):
-                if len(s) and set_key(s) == key:
+                if len(s) and key not in seen and set_key(s) == key:
+                    if len(seen) < 500_000:
+                        seen.add(key)
                     keys.append(key)
                     sets.append(s.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sets, pa.binary())], ["key", "tokens"])
@@ -424,16 +442,16 @@ def candidate_groups(docs: DataFrame, id_col: str, text_col: str, words: int, pe
     """Rows (key, n, root): the nodes that may link, by group. A block's nodes are searched by their
     shared prefix tokens; the nodes of a block too heavy for that are one group."""
     prefix = prefix_tokens(docs, id_col, text_col, words, percent, classes)
-    shared = shared_tokens(prefix, bool((classes >= HEAVY_CLASS).any()))
-    nodes = written(shared.groupBy("key").agg(F.max("n").alias("n"), F.max("stop").alias("stop"), F.collect_list("token").alias("tokens"), F.collect_set("hub").alias("hubs")), "shared")
-    blocks = nodes.select("key", "n", "stop", "tokens", F.explode("hubs").alias("hub"))
-    heavy = written(blocks.groupBy("hub").agg(F.sum(F.size("tokens")).alias("weight")).filter(F.col("weight") > chunk).select("hub"), "heavy")
-    links = _search(blocks.join(heavy, "hub", "left_anti") if not heavy.isEmpty() else blocks, ["hub"], "prefixes", percent)
+    shared = shared_tokens(prefix)
+    nodes = written(shared.groupBy("key", "size").agg(F.max("n").alias("n"), F.max("stop").alias("stop"), F.collect_list("token").alias("tokens"), F.collect_set("hub").alias("hubs")), "shared")
+    blocks = nodes.select("key", "size", "n", "stop", "tokens", F.explode("hubs").alias("hub"))
+    heavy = written(blocks.groupBy("hub", "size").agg(F.sum(F.size("tokens")).alias("weight")).filter(F.col("weight") > chunk).select("hub", "size"), "heavy")
+    links = _search(blocks.join(heavy, ["hub", "size"], "left_anti") if not heavy.isEmpty() else blocks, ["hub", "size"], "prefixes", percent)
     if not heavy.isEmpty():
-        links = links.union(blocks.join(heavy, "hub", "left_semi").filter("key != hub").select(F.col("key").alias("a"), F.col("hub").alias("b")))
+        links = links.union(blocks.join(heavy, ["hub", "size"], "left_semi").filter("key != hub").select(F.col("key").alias("a"), F.col("hub").alias("b")))
     roots = components(written(links, "candidates"))
     roots = roots.union(roots.select("root", "root").distinct())
-    return written(roots.join(nodes.select("key", "n"), "key"), "groups")
+    return written(roots.join(nodes.groupBy("key").agg(F.max("n").alias("n")), "key"), "groups")
 
 
 def similarity_links(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, words: int, percent: int, chunk: int) -> DataFrame:
@@ -443,7 +461,7 @@ def similarity_links(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: s
     # the root stands in every chunk, so that chunks of one group of near copies are connected
     place = F.when(F.col("key") == F.col("root"), F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("key"), F.col("chunks")).cast("int")))
     placed = written(groups.join(cuts, "root").withColumn("chunk", F.explode(place)), "placed")
-    wanted = written(nodes.filter("key is not null").groupBy("key").agg(F.min("k").alias("k")).join(groups.select("key"), "key", "left_semi"), "wanted")
+    wanted = written(nodes.filter("key is not null").groupBy("key").agg(_least().alias("w")).join(groups.select("key"), "key", "left_semi").select("key", "w.k", "w.d"), "wanted")
     sets = node_sets(docs, wanted, id_col, text_col, words)
     where = _sized(placed.select("root", "chunk", "key"), 32)
     links = written(_search(sets.join(where, "key"), ["root", "chunk"], "sets", percent), "links")
@@ -470,18 +488,25 @@ def ngram_components(
     intersection of their shingle sets is at least `percent` hundredths of the union, and component_id
     is the smallest id that links reach. Null and empty texts, and texts without words, have 0
     shingles, no links and their own id; null ids come after all others; repeated rows share a
-    component; an empty table gives no rows. Shingles and sets are compared by 64-bit hashes."""
+    component; an empty table gives no rows; texts of any length count whole; other columns are not
+    read. Shingles and sets are compared by 64-bit hashes."""
+    out = labelled_rows(docs, id_col, text_col, words, percent, chunk)
+    component = F.when(F.col("label").isNull(), F.col("k")).otherwise(F.col("label.k"))
+    return out.select(F.col("k").alias(id_col), F.col("n").cast("long").alias("n_shingles"), component.alias("component_id"), F.col("key").alias("set_key"))
+
+
+def labelled_rows(docs: DataFrame, id_col: str, text_col: str, words: int = WORDS, percent: int = PERCENT, chunk: int = CHUNK_SHINGLES) -> DataFrame:
+    """One row (k, d, n, key, label) per input row: label is the first document (none, k, d) of the row's
+    component where that has several rows, else null."""
     nodes = document_nodes(docs, id_col, text_col, words)
     roots = components(similarity_links(docs, nodes, id_col, text_col, words, percent, chunk))
     # copies are counted into their node before nodes meet by component, and only nodes of components
     # with several documents need a label
-    per_key = written(nodes.filter("key is not null").groupBy("key").agg(F.min("k").alias("own"), F.count(F.lit(1)).alias("rows")), "keys")
+    per_key = written(nodes.filter("key is not null").groupBy("key").agg(_least().alias("own"), F.count(F.lit(1)).alias("rows")), "keys")
     rooted = per_key.join(_sized(roots, 16), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    least = rooted.groupBy("root").agg(F.min("own").alias("least"), F.sum("rows").alias("rows")).filter("rows > 1").select("root", "least")
-    labels = written(rooted.select("key", "root").join(_sized(written(least, "least"), 16), "root").select("key", "least"), "labels")
-    out = nodes.filter("n is not null").join(_sized(labels, 16), "key", "left")
-    back = lambda c: F.nullif(c, F.lit(NO_ID))
-    return out.select(back(F.col("k")).alias(id_col), F.col("n").cast("long").alias("n_shingles"), back(F.coalesce("least", "k")).alias("component_id"), F.col("key").alias("set_key"))
+    least = rooted.groupBy("root").agg(F.min("own").alias("label"), F.sum("rows").alias("rows")).filter("rows > 1").select("root", "label")
+    labels = written(rooted.select("key", "root").join(_sized(written(least, "least"), 32), "root").select("key", "label"), "labels")
+    return nodes.filter("n is not null").select("k", "d", "n", "key").join(_sized(labels, 32), "key", "left")
 
 
 def _sized(df: DataFrame, row_bytes: int) -> DataFrame:
@@ -490,33 +515,19 @@ def _sized(df: DataFrame, row_bytes: int) -> DataFrame:
 
 
 def near_duplicates_removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """`docs` with one document of each component, that of the smallest id (of its rows with that id,
-    one). Documents without words all stay. Dropped ids filter the texts, which are not shuffled
-    unless the ids are more than BROADCAST_BYTES or ids are repeated."""
-    found = written(ngram_components(docs, id_col, text_col, **options).select(_id(id_col).alias("__k"), F.coalesce(F.col("component_id").cast("long"), F.lit(NO_ID)).alias("__c"), F.col("n_shingles")), "found")
-    per_id = found.filter("n_shingles > 0").groupBy("__k").agg(F.count(F.lit(1)).alias("rows"), F.min(F.col("__k") == F.col("__c")).alias("all"))
-    gone = written(per_id.filter("rows = 1 and not all").select("__k"), "gone")
-    repeated = written(per_id.filter("rows > 1").select("__k"), "repeated")
-    keyed = docs.withColumn("__k", _id(id_col))
-    kept = keyed.join(_sized(gone, 8), "__k", "left_anti")
+    """`docs` with one document of each component, that of the smallest id (null last, then by a hash of
+    the text). Of rows with that id and text one stays, the least as JSON. Documents without words all
+    stay; columns may have any names and types; an empty table gives no rows. What goes is named by id
+    and text hash, and filters the texts, which are shuffled only if the names are more than
+    BROADCAST_BYTES."""
+    found = written(labelled_rows(docs, id_col, text_col, **options).filter("label is not null").select("k", "d", (F.col("k").eqNullSafe(F.col("label.k")) & (F.col("d") == F.col("label.d"))).alias("first")), "found")
+    names = [F.col("k").alias("k_"), F.col("d").alias("d_")]
+    gone = written(found.filter("not first").select(*names).distinct(), "gone")
+    repeated = written(found.filter("first").groupBy(*names).agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").select("k_", "d_"), "repeated")
+    same = F.col("k").eqNullSafe(F.col("k_")) & (F.col("d") == F.col("d_"))
+    keyed = _named(docs, id_col, text_col, F.struct("*").alias("row")).select("k", "d", "row")
+    kept = keyed.join(_sized(gone, 16), same, "left_anti")
     if not repeated.isEmpty():
-        kept = kept.join(_sized(repeated, 8), "__k", "left_anti").select(*docs.columns).union(_of_repeated_ids(keyed, _sized(repeated, 8), docs.columns, id_col, text_col, options))
-    return kept.select(*docs.columns)
-
-
-def _of_repeated_ids(keyed: DataFrame, repeated: DataFrame, columns: list[str], id_col: str, text_col: str, options: dict) -> DataFrame:
-    """The rows to keep of ids that several rows have: sets decide there, so each row's is named again."""
-    rows = keyed.join(repeated, "__k", "left_semi").withColumn("__text", F.coalesce(F.col(text_col), F.lit("")))
-    words = options.get("words", WORDS)
-
-    @F.pandas_udf("long")
-    def name(texts):
-        import pandas as pd
-
-        return pd.Series([set_key(s) if len(s) else None for s in shingle_sets([t.encode() for t in texts], words)], dtype="Int64")
-
-    rows = rows.withColumn("__name", name("__text"))
-    first = F.row_number().over(Window.partitionBy("__k", "__name").orderBy(*[F.col(c) for c in columns]))
-    linked = ngram_components(keyed.select(*columns), id_col, text_col, **options).select(_id(id_col).alias("__k"), F.col("set_key").alias("__name"), F.coalesce("component_id", F.lit(NO_ID)).alias("__c")).distinct()
-    joined = rows.withColumn("__nth", first).join(linked.withColumnRenamed("__k", "__k2").withColumnRenamed("__name", "__name2"), (F.col("__k") == F.col("__k2")) & F.col("__name").eqNullSafe(F.col("__name2")), "left")
-    return joined.filter(F.col("__name").isNull() | ((F.col("__nth") == 1) & (F.col("__k") == F.col("__c")))).select(*columns)
+        twins = kept.join(_sized(repeated, 16), same, "left_semi").groupBy("k", "d").agg(F.min_by("row", F.to_json("row")).alias("row"))
+        kept = kept.join(_sized(repeated, 16), same, "left_anti").select("row").union(twins.select("row"))
+    return kept.select("row.*")

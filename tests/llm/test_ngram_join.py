@@ -127,3 +127,35 @@ def test_one_of_each_group_stays(spark):
     assert sorted((r.doc_id or -1, r.source) for r in j.near_duplicates_removed(df).collect()) == [(-1, "f"), (3, "b"), (7, "d"), (8, "e"), (9, "c")]
     assert j.near_duplicates_removed(df.limit(0)).count() == 0
     assert j.ngram_components(df.limit(0)).count() == 0
+
+
+def test_sizes_that_link_have_a_class_in_common():
+    for n in range(1, 700):
+        for m in range(n, n * 5 // 4 + 1):
+            assert set(j.size_classes(n)) & set(j.size_classes(m)), (n, m)
+    assert len(j.size_classes(300)) == len(j.size_classes(5000)) == 1
+
+
+def test_null_and_repeated_ids(spark):
+    """Many rows without an id, equal ids of different texts, the largest id, and a map column."""
+    base = " ".join(f"w{i}" for i in range(60))
+    near = base.replace("w30", "x")
+    rows = [(None, f"{'a b c d e f g'} {i % 40} tail", {"s": i}) for i in range(120)] + [(None, base, {"s": 1})] * 5 + [(2**63 - 1, near, {"s": 2}), (2**63 - 1, near, {"s": 1}), (7, "one two three four five six", {"s": 3}), (7, "other words of the same id here", {"s": 4}), (7, "other words of the same id here", {"s": 4})]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __k map<string,int>").repartition(4)
+    got = j.ngram_components(df).collect()
+    assert len(got) == len(rows)
+    assert {r.component_id for r in got if r.n_shingles == 56} == {2**63 - 1}
+    assert {r.component_id for r in got if r.doc_id == 7} == {7} and {r.component_id for r in got if r.doc_id is None and r.n_shingles == 5} == {None}
+    kept = sorted(((r.doc_id or 0, r.text, r["__k"]["s"]) for r in j.near_duplicates_removed(df).collect()))
+    assert [x for x in kept if x[0]] == [(7, "one two three four five six", 3), (7, "other words of the same id here", 4), (2**63 - 1, near, 1)]
+    # seven shared words and a number: sets of five shingles, of which four of six at least are shared
+    assert len({x[1] for x in kept if not x[0]}) == len([x for x in kept if not x[0]])
+
+
+def test_a_compilation_meets_no_quoted_text(spark):
+    """A text that quotes many short ones links with none of them, and shares no block with them."""
+    short = [" ".join(f"t{i}_{k}" for k in range(20)) for i in range(300)]
+    rows = [(i, t) for i, t in enumerate(short)] + [(1000, " ".join(short)), (1001, " ".join(short) + " end")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.component_id for r in j.ngram_components(df).collect()}
+    assert got == {i: i for i in range(300)} | {1000: 1000, 1001: 1000}
