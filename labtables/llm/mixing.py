@@ -62,8 +62,21 @@ def mix_plan(
 ) -> DataFrame:
     """One row per input row: `id_col`, size (words), source_size, target (its source's), taken (words
     the mix takes, repeats counted). Null and empty texts have size 0 and nothing is taken of them; null
-    sources are one source; repeated rows are documents of their own; an empty table gives no rows.
-    The same table gives the same mix: the shuffled order is that of md5(seed|id)."""
+    sources are one source; repeated rows are documents of their own; an empty table gives no rows;
+    whole texts are counted, however long; columns of any other name are not read. The same table gives
+    the same mix: the shuffled order is that of md5(seed|id), then of id and size. Rows that are equal in
+    these and in their source are told apart by nothing, so they are counted before they are queued, and
+    null or repeated ids make no window large."""
+    queued, last = _queue(docs, id_col, text_col, source_col, share, weights, seed)
+    return queued.select(F.col("id").alias(id_col), "size", "source_size", "target", _taken(last).alias("taken"))
+
+
+def _taken(last: tuple | None) -> Column:
+    return sum((_in_mix(k, last).cast("long") for k in range(PASSES)), F.lit(0).cast("long")) * F.col("size")
+
+
+def _queue(docs: DataFrame, id_col: str, text_col: str, source_col: str, share: float, weights: tuple[int, ...], seed: int) -> tuple[DataFrame, tuple | None]:
+    """The queued rows with their virtual finish times, and the first copy beyond the budget."""
     sized = written(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("src"), word_count(F.col(text_col)).alias("size")), "sizes")
     rows = sized.count()
     ranges = 1 << min(16, max(4, math.ceil(math.log2(max(rows, 1) / RANGE_ROWS + 1))))
@@ -76,15 +89,15 @@ def mix_plan(
     sums = keyed.groupBy("sid", "part").agg(F.sum("size").alias("part_size"))
     before = Window.partitionBy("sid").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("sid", "part", F.coalesce(F.sum("part_size").over(before), F.lit(0)).alias("base"))
-    inside = Window.partitionBy("sid", "part").orderBy("h", "id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    queued = keyed.withColumn("inside", F.sum("size").over(inside)).join(sums, ["sid", "part"])
-    done = F.col("base") + F.col("inside")
+    before_ = Window.partitionBy("sid", "part").orderBy("h", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    same = keyed.groupBy("sid", "part", "h", "id", "size").agg(F.count(F.lit(1)).alias("rows"), F.first("src").alias("src"), F.first("source_size").alias("source_size"), F.first("target").alias("target"))
+    queued = same.withColumn("inside", F.coalesce(F.sum(F.col("rows") * F.col("size")).over(before_), F.lit(0))).join(sums, ["sid", "part"])
+    queued = queued.withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))))
+    done = F.col("base") + F.col("inside") + F.col("nth") * F.col("size")
     finish = [F.when(F.col("target") > 0, (done + F.col("source_size") * k) / F.col("target")) for k in range(PASSES)]
-    queued = queued.select("id", "size", "sid", "source_size", "target", "h", *[f.alias(f"finish{k}") for k, f in enumerate(finish)])
+    queued = queued.select("id", "src", "size", "sid", "source_size", "target", "h", *[f.alias(f"finish{k}") for k, f in enumerate(finish)])
     queued = written(queued, "queue")
-    last = _first_beyond(queued, float(share), ranges)
-    taken = sum((_in_mix(k, last).cast("long") for k in range(PASSES)), F.lit(0).cast("long")) * F.col("size")
-    return queued.select(F.col("id").alias(id_col), "size", "source_size", "target", taken.alias("taken"))
+    return queued, _first_beyond(queued, float(share), ranges)
 
 
 def _first_beyond(queued: DataFrame, share: float, ranges: int) -> tuple | None:
@@ -118,17 +131,22 @@ def _in_mix(k: int, last: tuple | None) -> Column:
     return F.coalesce(out, F.lit(False))
 
 
-def mix_documents(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The mix itself: each row of `docs` as often as the plan takes it, with the columns of `docs`.
-    Rows with equal ids share the copies of their id evenly. Texts are shuffled once, by id."""
-    plan = mix_plan(docs, id_col, **options)
-    copies = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(0).cast("long")
-    by_id = plan.groupBy(F.col(id_col).alias("__id")).agg(F.sum(copies).alias("__copies"), F.count(F.lit(1)).alias("__rows")).filter("__copies > 0")
-    joined = docs.join(by_id, docs[id_col].eqNullSafe(by_id["__id"]))
-    nth = F.row_number().over(Window.partitionBy(id_col).orderBy(*[F.col(c) for c in docs.columns if c != id_col]))
-    joined = joined.withColumn("__nth", nth)
-    own = F.floor(F.col("__copies") / F.col("__rows")) + (F.col("__nth") <= F.col("__copies") % F.col("__rows")).cast("long")
-    return joined.withColumn("__own", own.cast("int")).filter("__own > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__own")))).select(*docs.columns)
+def mix_documents(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", share: float = 1.5, weights: tuple[int, ...] = (5, 2, 1), seed: int = 42
+) -> DataFrame:
+    """The mix itself: each row of `docs` as often as the plan takes it, with the columns of `docs`, of any
+    names and types. Rows that are equal in id, source and size share their copies evenly, those that
+    come first as JSON one more. Cases are as in mix_plan. Texts are shuffled once."""
+    queued, last = _queue(docs, id_col, text_col, source_col, share, weights, seed)
+    copies = F.when(F.col("size") > 0, F.floor(_taken(last) / F.col("size"))).otherwise(0).cast("long")
+    plan = queued.groupBy("id", "src", "size").agg(F.sum(copies).alias("copies"), F.count(F.lit(1)).alias("rows")).filter("copies > 0")
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("i"), F.col(source_col).alias("s"), word_count(F.col(text_col)).alias("n"))
+    joined = rows.join(plan, F.col("i").eqNullSafe(F.col("id")) & F.col("s").eqNullSafe(F.col("src")) & (F.col("n") == F.col("size"))).select("row", "i", "s", "n", "copies", "rows")
+    alone = joined.filter("rows = 1").select("row", F.col("copies").alias("own"))
+    nth = F.row_number().over(Window.partitionBy("i", "s", "n").orderBy(F.to_json("row")))
+    share_of = F.floor(F.col("copies") / F.col("rows")) + (nth <= F.col("copies") % F.col("rows")).cast("long")
+    several = joined.filter("rows > 1").withColumn("own", share_of).select("row", "own")
+    return alone.unionByName(several).filter("own > 0").select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("own"))).alias("copy")).select("row.*")
 
 
 ORACLE = r"""

@@ -38,6 +38,20 @@ def test_odd_rows(spark):
     assert mixing.mix_plan(docs.limit(0)).count() == 0 and mixing.mix_documents(docs.limit(0)).count() == 0
 
 
+def test_clashing_names_and_equal_rows(spark):
+    """Columns named as the operator's own, a map column, and many rows without ids."""
+    rows = [(None, "w " * (k % 3 + 1), "s", {"a": k % 2}, k) for k in range(40)] + [(k, "x y z", "t" if k % 2 else None, {"a": 1}, k) for k in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, row map<string,int>, copies int").repartition(5)
+    plan = mixing.mix_plan(docs).collect()
+    assert len(plan) == 60 and all(r.taken in (0, r.size, 2 * r.size) for r in plan)
+    mixed = mixing.mix_documents(docs)
+    out = mixed.collect()
+    assert mixed.columns == docs.columns and sum(len(r.text.split()) for r in out) == sum(r.taken for r in plan)
+    assert max(sum(r.copies == k and r.doc_id is None for r in out) for k in range(40)) <= 2
+    again = mixing.mix_documents(docs.repartition(2)).collect()
+    assert sorted(map(str, out)) == sorted(map(str, again))
+
+
 @pytest.mark.parametrize("sizes", [[10, 10, 10], [1, 1000, 3], [0, 0], [7]])
 def test_targets(spark, sizes):
     df = spark.createDataFrame([(f"s{i}", n) for i, n in enumerate(sizes)], "src string, size long")
