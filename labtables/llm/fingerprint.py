@@ -15,6 +15,7 @@ neighbouring texts don't touch each other.
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -128,31 +129,55 @@ def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 LEAST = -(1 << 63)
 
 
+def range_cuts(quantiles: list[int]) -> list[tuple[int, int]]:
+    """Ascending cuts (k, d) between ranges from quantiles of k, repeats included: a k that is several
+    quantiles is cut by d, a hash, into as many even parts."""
+    out = []
+    for k, m in sorted(Counter(quantiles).items()):
+        out += [(k, LEAST + (j << 64) // m) for j in range(m)]
+    return out
+
+
+def range_numbers(cuts: list[tuple[int, int]], k: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """How many cuts are at or below each (k, d)."""
+    ks, ds = (np.array([c[i] for c in cuts], np.int64) for i in (0, 1))
+    out = np.searchsorted(ks, k, side="right")
+    hot, n = np.unique(ks, return_counts=True)
+    for v in hot[n > 1].tolist():
+        here, first = k == v, np.searchsorted(ks, v)
+        out[here] = first + np.searchsorted(ds[ks == v], d[here], side="right")
+    return out.astype(np.int32)
+
+
 def with_neighbours(docs: DataFrame, id_col: str, text_col: str, partitions: int) -> DataFrame:
     """The rows dealt into ranges of descending id, each sorted, with the range's successor as a last
-    row (tail = 1). Columns k (the id, the least long for null), id, text, tail.
-
-    Ranges are cut at quantiles of the id column alone; a range's first row, of which there is one per
-    partition, is also sent to the range before it, so no task needs to see another's rows."""
-    keyed = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LEAST)).alias("k"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    row (tail = 1). Columns k (the id, the least long for null), d (a hash of the text, by which rows of
+    one id are ordered), id, text, tail.
+
+    Ranges are cut at quantiles of the id column, and inside an id that many rows have by the hash; a
+    range's first row, of which there is one per partition, is also sent to the range before it, so no
+    task needs to see another's rows."""
+    d = F.bitwise_not(F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    keyed = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LEAST)).alias("k"), d.alias("d"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     shares = [i / partitions for i in range(1, partitions)]
     found = keyed.agg(F.percentile_approx("k", shares, 10 * max(partitions, 1000)).alias("q")).first().q if shares else []
-    cuts = np.unique(np.array(found or [], np.int64))
+    cuts = range_cuts(found or [])
 
     @F.pandas_udf("int")
-    def range_of(k: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(cuts, k.to_numpy(np.int64), side="right").astype(np.int32))
+    def range_of(k: pd.Series, d: pd.Series) -> pd.Series:
+        return pd.Series(range_numbers(cuts, k.to_numpy(np.int64), d.to_numpy(np.int64)))
 
-    heads = sorted((r.r, r.k) for r in keyed.select("k").withColumn("r", range_of("k")).groupBy("r").agg(F.max("k").alias("k")).collect())  # one row per range
-    before = {k: heads[(i + 1) % len(heads)][0] for i, (_, k) in enumerate(heads)}
+    numbered = keyed.select("k", "d").withColumn("r", range_of("k", "d"))
+    heads = sorted((r.r, r.h.k, r.h.d) for r in numbered.groupBy("r").agg(F.max(F.struct("k", "d")).alias("h")).collect())  # one row per range
+    before = {(k, d): heads[(i + 1) % len(heads)][0] for i, (_, k, d) in enumerate(heads)}
 
     @F.pandas_udf("array<int>")
-    def places(k: pd.Series) -> pd.Series:
-        own = np.searchsorted(cuts, k.to_numpy(np.int64), side="right").tolist()
-        return pd.Series([[r, before[x]] if x in before else [r] for r, x in zip(own, k.tolist())])
+    def places(k: pd.Series, d: pd.Series) -> pd.Series:
+        own = range_numbers(cuts, k.to_numpy(np.int64), d.to_numpy(np.int64)).tolist()
+        return pd.Series([[r, before[x]] if x in before else [r] for r, x in zip(own, zip(k.tolist(), d.tolist()))])
 
-    dealt = keyed.select("k", "id", "text", F.posexplode(places("k")).alias("tail", "r"))
-    return dealt.repartitionById(len(cuts) + 1, F.col("r")).sortWithinPartitions("tail", F.col("k").desc(), F.col("text").asc_nulls_first()).drop("r")
+    dealt = keyed.select("k", "d", "id", "text", F.posexplode(places("k", "d")).alias("tail", "r"))
+    return dealt.repartitionById(len(cuts) + 1, F.col("r")).sortWithinPartitions("tail", F.col("k").desc(), F.col("d").desc(), F.col("text").asc_nulls_first()).drop("r")
 
 
 def _runs_of_rows(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[list[tuple]]:
@@ -176,9 +201,10 @@ def _runs_of_rows(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[lis
 def edited_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", partitions: int | None = None) -> DataFrame:
     """Fingerprints of each text and of its edited text, in which the last third of the characters is
     replaced by the first as many of the next document by descending id (after the last: the first;
-    rows of one id by text). Returns `id_col`, n_chars, edited_sha256, fingerprint,
-    edited_fingerprint, near_edited, near_next. A single row is its own next; an empty table gives no
-    rows. Texts are shuffled once."""
+    null ids last; rows of one id by a hash of their text). Returns `id_col`, n_chars, edited_sha256,
+    fingerprint, edited_fingerprint, near_edited, near_next. Null is as the empty text; a single row is
+    its own next; an empty table gives no rows; texts of any length are parsed whole; other columns are
+    not read. Texts are shuffled once."""
     n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches):

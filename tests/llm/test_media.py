@@ -64,3 +64,26 @@ def test_round_trip(spark):
         assert r.tail_crc32 == zlib.crc32(payload[-16:]) and r.media_bytes == len(payload) + 44
         assert r.feature.startswith("audio/wav!;")
     assert got[2].feature == got[6].feature and got[2].media_sha256 == got[6].media_sha256
+
+
+def test_feature_as_computed_plainly(spark):
+    """Samples, mean, root mean square, zero crossings and carved media of the payload, one by one."""
+    texts = ["", "abc", "é" * 300, "".join(chr(32 + i * 7 % 90) for i in range(1000)), "GIF89a and more", "x" * 191, "~" * 193]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in m.media_features(m.text_media(df)).collect():
+        raw = texts[r.doc_id].encode()
+        wave = [b - 128 for b in raw.ljust(max(192, -(-len(raw) // 192) * 192))]
+        n = len(wave)
+        mean = sum(wave) * 1000 // n
+        root = int((sum(x * x for x in wave) * 1_000_000 // n) ** 0.5)
+        crossings = sum((a < 0) != (b < 0) for a, b in zip(wave, wave[1:]))
+        assert r.feature == f"audio/wav!;{n};{mean};{root};{crossings};"
+        stored = WAV[:4] + struct.pack("<I", n + 36) + WAV[8:40] + struct.pack("<I", n) + bytes(x + 128 for x in wave)
+        assert (r.media_sha256, r.media_bytes) == (hashlib.sha256(stored).hexdigest(), len(stored))
+
+
+def test_media_carved_in_a_payload(spark):
+    """A file inside the samples is named with its place; a text of any length keeps its bytes."""
+    text = "pad " * 10 + PDF.decode() + " tail " + "y" * 300_000
+    r = m.media_features(m.text_media(spark.createDataFrame([(1, text)], "doc_id long, text string"))).collect()[0]
+    assert r.feature.endswith(f";application/pdf@40+{len(PDF)}") and r.n_bytes == len(text)
