@@ -81,15 +81,25 @@ def natural_sort(df: DataFrame, column: str, descending: bool = False, row: str
     return df.orderBy(*sort_order(df, column, descending, row))
 
 
+#: Rows before a page up to which a sort that keeps the first rows of each task finds it.
+DEEP = 100_000
+
+
 def page(df: DataFrame, number: int, size: int, order: Sequence[Column]) -> tuple[DataFrame, DataFrame]:
     """One page of the sorted rows, and a row of items, pages, page, first and last item. The page is
-    clamped into range, and a size under 1 is 1; only the page's rows are kept while sorting."""
+    clamped into range, and a size under 1 is 1. Of a page near the begin only the rows up to it are
+    kept while sorting; one beyond DEEP rows is cut out of the order of all rows, so that no task gets
+    all that precedes it."""
     size = max(1, int(size))
     items = df.count()
     pages = max(1, -(-items // size))
     at = min(max(1, int(number)), pages)
-    rows = df.orderBy(*order).offset((at - 1) * size).limit(size)
-    first = 0 if items == 0 else (at - 1) * size + 1
+    before = (at - 1) * size
+    if before <= DEEP:
+        rows = df.orderBy(*order).offset(before).limit(size)
+    else:
+        rows = with_position(df, list(order), "__position").filter(F.col("__position").between(before + 1, before + size)).orderBy("__position").drop("__position")
+    first = 0 if items == 0 else before + 1
     info = df.sparkSession.createDataFrame([(items, pages, at, first, min(at * size, items))], "items long, pages long, page long, first long, last long")
     return rows, info
 

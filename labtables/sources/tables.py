@@ -126,6 +126,15 @@ def require_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.select(*columns)
 
 
+def require_unique(df: DataFrame, name: str, of: str) -> DataFrame:
+    """`df`, or an error that tells which value of `name` stands for several values of `of`, as two headers
+    that give one identifier. Null is a value like any other."""
+    several = df.groupBy(F.col(name).alias("__n")).agg((F.count_distinct(F.coalesce(F.to_json(F.struct(of)), F.lit("")))).alias("__k")).filter("__k > 1")
+    joined = df.join(several, F.col(name).eqNullSafe(F.col("__n")), "left")
+    wrong = F.raise_error(F.concat(F.lit("not unique: "), F.coalesce(F.col(name).cast("string"), F.lit("null")))).cast("boolean")
+    return joined.filter(F.when(F.col("__k").isNull(), True).otherwise(wrong)).drop("__n", "__k")
+
+
 def csv_line(columns: Sequence[str]):
     """A row as one CSV line: cells quoted only where they hold a comma, quote or line end, null empty."""
     cells = []

@@ -173,3 +173,20 @@ def test_compared_parsers(spark):
     r = out["summary"].first()
     assert (r.only_a, r.only_b, r.n, r.median_similarity) == (1, 0, 2, pytest.approx(88.9))
     assert out["metrics"].count() == 4
+
+
+def test_deep_pages(spark, monkeypatch):
+    df = spark.createDataFrame([(i, i * 7919 % 503) for i in range(503)], "i int, v int").repartition(4)
+    order = [F.col("v").desc(), F.col("i")]
+    shallow = [r.v for r in explore.page(df, 9, 20, order)[0].collect()]
+    monkeypatch.setattr(explore, "DEEP", 100)
+    deep, info = explore.page(df, 9, 20, order)
+    assert [r.v for r in deep.collect()] == shallow == list(range(342, 322, -1)) and deep.columns == df.columns
+    assert tuple(info.first()) == (503, 26, 9, 161, 180)
+
+
+def test_identifiers_must_differ(spark):
+    df = spark.createDataFrame([("Tg (C)", 1), ("TG c", 2), ("Mass", 3), ("Mass", 4), (None, 5)], "label string, i int").withColumn("id", c.snake_id("label"))
+    assert src.require_unique(df.filter("i <> 2"), "id", "label").count() == 4
+    with pytest.raises(Exception, match="not unique: tg_c"):
+        src.require_unique(df, "id", "label").collect()
