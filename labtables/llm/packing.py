@@ -140,8 +140,9 @@ def write_packed(
     end_id: int = 1, partitions: int | None = None, frame_ids: int = FRAME_IDS,
 ) -> None:
     """Tokenize each whole text, append `end_id`, and write the ids under `folder` in ascending order
-    of `id_col` (nulls first, equal ids by text). Null and empty texts have the end id alone; an empty
-    table gives an empty folder of frames. One range shuffle of the rows; every file is written by the
+    of `id_col` (nulls first, equal ids by a hash of their text). Null and empty texts have the end id
+    alone; an empty table gives an empty folder of frames; texts of any length are one run of ids;
+    other columns are not read. One range shuffle of the rows; every file is written by the
     task that holds its range, frame by frame."""
     at = path or tokenizer_path(DEFAULT_FILE)
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -176,7 +177,9 @@ def write_packed(
         if keys:
             yield flush()
 
-    ordered = df.select(F.col(id_col).cast("long").alias(id_col), text_col).repartitionByRange(n, id_col).sortWithinPartitions(id_col, text_col)
+    # a hash of the text parts the rows of an id that many have
+    keyed = df.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).alias("t"), F.xxhash64(text_col).alias("h"))
+    ordered = keyed.repartitionByRange(n, "k", "h").sortWithinPartitions("k", "h", "t").select(F.col("k").alias(id_col), F.col("t").alias(text_col))
     ordered.mapInArrow(run, FRAME_SCHEMA).write.option("compression", "zstd").parquet(folder)
 
 

@@ -50,3 +50,17 @@ def test_as_the_library(spark, tmp_path):
 def test_empty_table(spark, tmp_path):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert p.packed_digests(df, f"file://{tmp_path}/none").count() == 0
+
+
+def test_repeated_and_null_ids(spark, tmp_path):
+    """Many rows of one id are dealt over several files, and each keeps its own ids."""
+    rows = [(None, f"word{i} x" if i % 9 else None) for i in range(120)] + [(5, "a b"), (5, "c")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    folder = f"file://{tmp_path}/ids"
+    got = p.packed_digests(df, folder, partitions=6).collect()
+    assert len(got) == 122 and p.read_frames(spark, folder).select("shard").distinct().count() > 3
+    spans = sorted((r.start, r.n_tokens, r.doc_id) for r in got)
+    assert all(a[0] + a[1] == b[0] for a, b in zip(spans, spans[1:])) and [s[2] for s in spans[-2:]] == [5, 5]
+    library = Tokenizer.from_file(tokenizer_path(DEFAULT_FILE))
+    want = sorted(zlib.crc32(np.array([*library.encode(t or "", add_special_tokens=False).ids, 1], "<u4").tobytes()) for _, t in rows)
+    assert sorted(r.ids_crc32 for r in got) == want
