@@ -18,25 +18,39 @@ def _r(x: Column, y: Column) -> tuple[Column, Column]:
     return F.when((n >= 2) & (root > 0), F.greatest(F.least(F.try_divide(F.regr_sxy(y, x), root), F.lit(1.0)), F.lit(-1.0))), n
 
 
+#: Pairs of columns that one pass over the table sums; more are split over passes, so that no plan grows
+#: with the square of the number of columns.
+PAIRS_A_PASS = 500
+
+
 def corr_matrix(df: DataFrame, columns: Sequence[str], on_undefined: str = "null") -> DataFrame:
     """(label_a, label_b, r, n) for all ordered pairs, the diagonal exactly 1; undefined cells are null,
-    or an error. One pass computes each unordered pair once."""
-    pairs = list(combinations(columns, 2))
-    sums = []
-    for i, (a, b) in enumerate(pairs):
-        r, n = _r(F.col(a).cast("double"), F.col(b).cast("double"))
-        sums += [r.alias(f"r{i}"), n.alias(f"n{i}")]
-    row = df.agg(*sums, *[F.count(c).alias(f"d{k}") for k, c in enumerate(columns)])
-    cell = lambda a, b, r, n: F.struct(F.lit(a).alias("label_a"), F.lit(b).alias("label_b"), r.alias("r"), n.cast("long").alias("n"))
-    cells = [cell(c, c, F.lit(1.0), F.col(f"d{k}")) for k, c in enumerate(columns)]
-    for i, (a, b) in enumerate(pairs):
-        cells += [cell(a, b, F.col(f"r{i}"), F.col(f"n{i}")), cell(b, a, F.col(f"r{i}"), F.col(f"n{i}"))]
-    out = row.select(F.inline(F.array(*cells)))
+    or an error. Each unordered pair is computed once, PAIRS_A_PASS of them in one pass."""
+    pairs = [*((c, c) for c in columns), *combinations(columns, 2)]
+    parts = [_corr_cells(df, pairs[i : i + PAIRS_A_PASS]) for i in range(0, len(pairs), PAIRS_A_PASS)]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
     if on_undefined == "error":
         out = out.withColumn("r", F.coalesce("r", F.raise_error(F.concat_ws(" ", F.lit("no correlation of"), "label_a", "label_b")).cast("double")))
     return out
 
 
+def _corr_cells(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
+    sums, cells = [], []
+    cell = lambda a, b, r, n: F.struct(F.lit(a).alias("label_a"), F.lit(b).alias("label_b"), r.alias("r"), n.cast("long").alias("n"))
+    for i, (a, b) in enumerate(pairs):
+        n = F.col(f"n{i}")
+        if a == b:
+            sums.append(F.count(a).alias(f"n{i}"))
+            cells.append(cell(a, a, F.lit(1.0), n))
+        else:
+            r, both = _r(F.col(a).cast("double"), F.col(b).cast("double"))
+            sums += [r.alias(f"r{i}"), both.alias(f"n{i}")]
+            cells += [cell(a, b, F.col(f"r{i}"), n), cell(b, a, F.col(f"r{i}"), n)]
+    return df.agg(*sums).select(F.inline(F.array(*cells)))
+
+
 def encode(spec: Mapping[str, str]) -> list[Column]:
     """Features as numbers: log10 of positive values, yes and no as 1 and 0, or as they are."""
     ways = {"log10": log10_positive, "yes_no": yes_no, "number": lambda c: F.col(c).cast("double")}

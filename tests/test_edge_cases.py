@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from labtables.functions import cells as c
-from labtables.operators import assemble, corpus, explore, linkage, reports, scoring, series
+from labtables.operators import assemble, corpus, explore, linkage, reports, scoring, series, stats
 from labtables.plans import pipelines
 from labtables.sources import tables as src
 
@@ -190,3 +190,13 @@ def test_identifiers_must_differ(spark):
     assert src.require_unique(df.filter("i <> 2"), "id", "label").count() == 4
     with pytest.raises(Exception, match="not unique: tg_c"):
         src.require_unique(df, "id", "label").collect()
+
+
+def test_matrix_in_several_passes(spark, monkeypatch):
+    draw = random.Random(2)
+    names = [f"c{i}" for i in range(7)]
+    df = spark.createDataFrame([tuple(None if draw.random() < 0.2 else draw.random() for _ in names) for _ in range(50)], ", ".join(f"{n} double" for n in names))
+    plain = lambda m: sorted((r.label_a, r.label_b, round(r.r, 9), r.n) for r in m.collect())
+    whole = plain(stats.corr_matrix(df, names))
+    monkeypatch.setattr(stats, "PAIRS_A_PASS", 5)
+    assert plain(stats.corr_matrix(df, names)) == whole and len(whole) == 49
