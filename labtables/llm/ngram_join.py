@@ -13,8 +13,10 @@ that span its components, not all pairs of a group. It runs twice. In the blocks
 prefix tokens alone, with the overlap that a prefix must have; what that connects are candidate
 groups, and each node is in one at most. In the groups it runs on whole sets and is exact.
 
-Groups too heavy for one task are cut into chunks; what a chunk leaves unconnected to the rest of its
-group is then searched for in the other chunks. Components grow from the links by star contraction.
+Blocks and groups of many nodes or shingles are cut into chunks, each with the group's least node; what
+a chunk leaves unconnected to that node is then searched for in the other chunks, which with chunks of
+about the square root of a group is n ** 1.5 steps at most. Components grow from the links by star
+contraction.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ import heapq
 import math
 import zlib
 from bisect import bisect_left
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from hashlib import blake2b
 
 import numpy as np
@@ -40,6 +42,9 @@ PERCENT = 80
 SLOTS = 1 << 20
 #: Shingles of a chunk of a block (8 bytes each), unless one node has more.
 CHUNK_SHINGLES = 2_000_000
+#: Groups of more nodes are cut into chunks of so many times the square root of their number.
+WHOLE_NODES = 512
+CHUNK_ROOTS = 8
 #: Tokens whose slot counts this binary logarithm or more may be too many for one task's window.
 HEAVY_CLASS = 14
 SALTS = 64
@@ -228,9 +233,11 @@ def spanning_links(sets: list[np.ndarray], percent: int = PERCENT, sizes: list[i
     return links
 
 
-def crossing_links(sets: list[np.ndarray], components: list[int], asked: list[bool], percent: int = PERCENT) -> list[tuple[int, int]]:
+def crossing_links(
+    sets: list[np.ndarray], components: list[int], asked: list[bool], percent: int = PERCENT, sizes: list[int] | None = None, ends: list[int] | None = None
+) -> list[tuple[int, int]]:
     """From each asked node a link to each other component that it reaches."""
-    index, links = TOccurrence(sets, percent), []
+    index, links = TOccurrence(sets, percent, sizes, ends), []
     for node in (i for i, a in enumerate(asked) if a):
         seen = {components[node]}
         for other in index.search(node):
@@ -393,17 +400,18 @@ def stars(n: int, links: list[tuple[int, int]], keys: list[int]) -> list[tuple[i
     return [(keys[x], keys[find(x)]) for x in range(n) if find(x) != x]
 
 
-def _search(rows: DataFrame, by: list[str], how: str, percent: int) -> DataFrame:
-    """Pairs (a, b) of a node and the least one it is connected to, from each group of rows: key and tokens (a set's bytes, or for "prefixes" an
-    array beside n and stop), for "crossing" also component and asked."""
+def _search(rows: DataFrame, by: list[str], percent: int) -> DataFrame:
+    """Pairs (a, b) of a node and the least one it is connected to, from each group of rows: key and tokens
+    (a set's bytes, or a prefix's array beside n and stop). Rows with component and asked are those of
+    two chunks: of them only what the asked ones reach is searched for."""
 
     def links_of(group: list[dict]) -> list[tuple[int, int]]:
-        if how == "prefixes":
-            return spanning_links([np.array(r["tokens"], np.int64) for r in group], percent, [r["n"] for r in group], [r["stop"] for r in group])
-        sets = [np.frombuffer(r["tokens"], np.uint64) for r in group]
-        if how == "crossing":
-            return crossing_links(sets, [r["component"] for r in group], [r["asked"] for r in group], percent)
-        return spanning_links(sets, percent)
+        prefixes = "stop" in group[0]
+        sets = [np.array(r["tokens"], np.int64) if prefixes else np.frombuffer(r["tokens"], np.uint64) for r in group]
+        sizes, ends = ([r["n"] for r in group], [r["stop"] for r in group]) if prefixes else (None, None)
+        if "asked" in group[0]:
+            return crossing_links(sets, [r["component"] for r in group], [r["asked"] for r in group], percent, sizes, ends)
+        return spanning_links(sets, percent, sizes, ends)
 
     def run(batches):
         a, b = [], []
@@ -440,45 +448,54 @@ def components(links: DataFrame) -> DataFrame:
 
 def candidate_groups(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int, chunk: int, classes: np.ndarray) -> DataFrame:
     """Rows (key, n, root): the nodes that may link, by group. A block's nodes are searched by their
-    shared prefix tokens; the nodes of a block too heavy for that are one group."""
+    shared prefix tokens."""
     prefix = prefix_tokens(docs, id_col, text_col, words, percent, classes)
     shared = shared_tokens(prefix)
     nodes = written(shared.groupBy("key", "size").agg(F.max("n").alias("n"), F.max("stop").alias("stop"), F.collect_list("token").alias("tokens"), F.collect_set("hub").alias("hubs")), "shared")
-    blocks = nodes.select("key", "size", "n", "stop", "tokens", F.explode("hubs").alias("hub"))
-    heavy = written(blocks.groupBy("hub", "size").agg(F.sum(F.size("tokens")).alias("weight")).filter(F.col("weight") > chunk).select("hub", "size"), "heavy")
-    links = _search(blocks.join(heavy, ["hub", "size"], "left_anti") if not heavy.isEmpty() else blocks, ["hub", "size"], "prefixes", percent)
-    if not heavy.isEmpty():
-        links = links.union(blocks.join(heavy, ["hub", "size"], "left_semi").filter("key != hub").select(F.col("key").alias("a"), F.col("hub").alias("b")))
-    roots = components(written(links, "candidates"))
+    blocks = nodes.select("key", "size", "n", "stop", "tokens", F.size("tokens").alias("weight"), F.explode("hubs").alias("hub"))
+    links = searched(blocks, ["hub", "size"], lambda where: nodes.drop("hubs").join(where, ["key", "size"]), percent, chunk, True)
+    roots = components(links)
     roots = roots.union(roots.select("root", "root").distinct())
     return written(roots.join(nodes.groupBy("key").agg(F.max("n").alias("n")), "key"), "groups")
 
 
+def searched(groups: DataFrame, by: list[str], attach: Callable[[DataFrame], DataFrame], percent: int, chunk: int, ready: bool = False) -> DataFrame:
+    """Links (a, b) that span the components of each group. `groups` has rows (key, weight) with the columns
+    `by`, of which the first is the group's least node; `attach` gives such rows their sets, unless they
+    are `ready`."""
+    rows = F.count(F.lit(1))
+    chunks = F.greatest(F.ceil(F.sum("weight") / chunk), F.when(rows > WHOLE_NODES, F.ceil(F.sqrt(rows.cast("double")) / CHUNK_ROOTS)).otherwise(1))
+    cuts = written(groups.groupBy(*by).agg(chunks.cast("int").alias("chunks")).filter("chunks > 1"), "cuts")
+    none = cuts.isEmpty()
+    small = groups if none else groups.join(_sized(cuts.select(*by), 24), by, "left_anti")
+    links = written(_search(small if ready else attach(small.select(*by, "key")), by, percent), "links")
+    if none:
+        return links
+    least = F.col("key") == F.col(by[0])
+    # the least node stands in every chunk, so that chunks of one group of near copies are connected
+    place = F.when(least, F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("key"), F.col("chunks")).cast("int")))
+    placed = written(groups.select(*by, "key").join(_sized(cuts, 24), by).select(*by, "key", F.explode(place).alias("chunk")), "placed")
+    inside = written(_search(attach(placed), [*by, "chunk"], percent), "inside")
+    # nodes with a link to the least node are done; the others, dealt into parts like the chunks, meet every chunk
+    joined = inside.select(F.col("a").alias("key"), F.col("b").alias(by[0]), F.lit(True).alias("done"))
+    named = inside.groupBy(F.col("a").alias("key")).agg(F.min("b").alias("component"))
+    several = placed.join(joined, ["key", by[0]], "left").join(named, "key", "left")
+    several = written(several.withColumns({"component": F.coalesce("component", "key"), "done": F.coalesce("done", F.lit(False)) | least}), "several")
+    rest = several.filter("not done").select(*by, F.col("chunk").alias("part"), "key", "component")
+    pairs = several.select(*by, "chunk").distinct().join(rest.select(*by, "part").distinct(), by).filter("part != chunk")
+    own = several.select(*by, "chunk", "key", "component").join(pairs, [*by, "chunk"]).withColumn("asked", F.lit(False))
+    asked = pairs.join(rest, [*by, "part"]).withColumn("asked", F.lit(True))
+    met = written(own.unionByName(asked).groupBy(*by, "chunk", "part", "key").agg(F.max("component").alias("component"), F.max("asked").alias("asked")), "met")
+    links = links.union(inside)
+    return links if met.isEmpty() else links.union(written(_search(attach(met), [*by, "chunk", "part"], percent), "crossing"))
+
+
 def similarity_links(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, words: int, percent: int, chunk: int) -> DataFrame:
     """Links (a, b) between nodes that span every component of the similarity graph."""
     groups = candidate_groups(docs, id_col, text_col, words, percent, chunk, rarity_classes(nodes))
-    cuts = groups.groupBy("root").agg(F.ceil(F.sum("n") / chunk).cast("int").alias("chunks"))
-    # the root stands in every chunk, so that chunks of one group of near copies are connected
-    place = F.when(F.col("key") == F.col("root"), F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("key"), F.col("chunks")).cast("int")))
-    placed = written(groups.join(cuts, "root").withColumn("chunk", F.explode(place)), "placed")
     wanted = written(nodes.filter("key is not null").groupBy("key").agg(_least().alias("w")).join(groups.select("key"), "key", "left_semi").select("key", "w.k", "w.d"), "wanted")
     sets = node_sets(docs, wanted, id_col, text_col, words)
-    where = _sized(placed.select("root", "chunk", "key"), 32)
-    links = written(_search(sets.join(where, "key"), ["root", "chunk"], "sets", percent), "links")
-    several = placed.filter("chunks > 1")
-    if several.isEmpty():
-        return links
-    several = written(several.join(components(links).withColumnRenamed("root", "__c"), "key", "left").withColumn("component", F.coalesce("__c", "key")).drop("__c"), "several")
-    main = several.filter("key = root").select("root", F.col("component").alias("main")).distinct()
-    rest = several.join(main, "root").filter("component != main").select("root", "key", "n", "component").distinct()
-    # the nodes apart from their root's component, dealt into parts of about a chunk, meet every chunk
-    parts = rest.groupBy("root").agg(F.ceil(F.sum("n") / chunk).cast("int").alias("parts"))
-    rest = rest.join(parts, "root").withColumn("part", F.pmod(F.xxhash64("key", F.lit(1)), F.col("parts")).cast("int"))
-    pairs = several.select("root", "chunk").distinct().join(rest.select("root", "part").distinct(), "root")
-    own = several.select("root", "chunk", "key", "component").join(pairs, ["root", "chunk"]).withColumn("asked", F.lit(False))
-    asked = pairs.join(rest.select("root", "part", "key", "component"), ["root", "part"]).withColumn("asked", F.lit(True))
-    met = own.unionByName(asked).groupBy("root", "chunk", "part", "key").agg(F.max("component").alias("component"), F.max("asked").alias("asked"))
-    return links.union(written(_search(sets.join(met, "key"), ["root", "chunk", "part"], "crossing", percent), "crossing"))
+    return searched(groups.select("root", "key", F.col("n").alias("weight")), ["root"], lambda where: sets.join(_sized(where, 32), "key"), percent, chunk)
 
 
 def ngram_components(

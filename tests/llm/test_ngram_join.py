@@ -111,9 +111,11 @@ def test_search_and_merge():
         assert list(j.merge_skip(lists, least)) == want
 
 
-@pytest.mark.parametrize("seed,chunk,heavy", [(4, 2_000_000, 17), (5, 150, 17), (6, 2_000_000, 1), (7, 400, 17)])
-def test_components_as_all_pairs(spark, monkeypatch, seed, chunk, heavy):
+@pytest.mark.parametrize("seed,chunk,heavy,whole", [(4, 2_000_000, 17, 512), (5, 150, 17, 512), (6, 2_000_000, 1, 512), (7, 400, 17, 512), (8, 2_000_000, 17, 3)])
+def test_components_as_all_pairs(spark, monkeypatch, seed, chunk, heavy, whole):
     monkeypatch.setattr(j, "HEAVY_CLASS", heavy)
+    monkeypatch.setattr(j, "WHOLE_NODES", whole)
+    monkeypatch.setattr(j, "CHUNK_ROOTS", 8 if whole > 3 else 1)
     rows = corpus(seed)
     df = spark.createDataFrame([(k, t, "x") for k, t in rows], "doc_id long, text string, component_id string").repartition(5)
     got = sorted(((r.doc_id is None, r.doc_id, r.n_shingles, r.component_id) for r in j.ngram_components(df, chunk=chunk).collect()), key=str)
