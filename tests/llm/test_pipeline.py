@@ -34,3 +34,33 @@ def test_stages_in_turn(spark):
 def test_run(spark):
     first = sorted(map(tuple, corpus_pipeline.run(spark, SF).collect()))
     assert first and first == sorted(map(tuple, corpus_pipeline.run(spark, SF).collect()))
+
+
+def test_odd_rows(spark):
+    """Nulls in each column, empty and long texts, repeated rows, null ids, and extra columns with the
+    operators' own names, through each stage by itself."""
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60).select(*corpus_pipeline.COLUMNS)
+    odd = spark.createDataFrame(
+        [(None, "the cat and the dog went on", "en", None, 27), (None, "the cat and the dog went on", "en", None, 27), (9001, None, "en", "s", None), (9002, "", None, "s", 0), (9003, " \n", "en", None, 2), (9004, "a1/" * 60_000, None, "s", 180_000), (9004, "token=abcdef0123456789abcdef0123", "en", "s", 31)],
+        docs.schema,
+    )
+    rows = docs.unionByName(odd).withColumns({"k": F.lit(1), "row": F.lit("x"), "score": F.lit("y"), "__spans": F.lit(2), "rejected": F.lit(None).cast("boolean"), "m": F.create_map(F.lit("a"), F.lit(1))})
+    n = rows.count()
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, rows, SF)
+        assert out.columns == list(corpus_pipeline.COLUMNS)
+        kept[name] = out.collect()
+        assert stage(spark, rows.limit(0), SF).count() == 0
+    texts = lambda name, doc_id: [r.text for r in kept[name] if r.doc_id == doc_id]
+    assert texts("language_id", 9001) == texts("language_id", 9002) == texts("language_id", 9003) == []
+    assert len(texts("language_id", None)) in (0, 2)
+    assert len(texts("near_duplicates", None)) == 1 and len(texts("near_duplicates", 9004)) == 2 and texts("near_duplicates", 9001) == [None]
+    assert len(kept["secrets"]) == n and texts("secrets", 9001) == [None] and sorted(texts("secrets", 9004)) == ["[secret]", "a1/" * 60_000]
+    assert not {9001, 9002, 9003} & {r.doc_id for r in kept["mixing"]}
+    last = corpus_pipeline.STAGES[-1][1]
+    coded = last(spark, rows, SF).collect()
+    assert len(coded) == n and {r.n_tokens for r in coded if r.doc_id in (9001, 9002, 9003)} == {0}
+    assert last(spark, rows.limit(0), SF).count() == 0
