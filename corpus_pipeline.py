@@ -1,6 +1,11 @@
 """The corpus pipeline: language identification, near-duplicate removal, secret redaction, source
 mixing and tokenization. Each stage's result is written as Parquet in the cluster's shared folder and
 reread as the next one's documents; every stage works on all rows that its predecessor kept.
+
+Of every stage: an empty table gives an empty one of the same columns; columns beyond COLUMNS don't go
+on, whatever their names; texts of any length are worked on whole; null and repeated ids, and null
+sources and labels, are documents like any other. What null and empty texts, ties and repeated rows
+become is said with each stage.
 """
 
 from __future__ import annotations
@@ -19,30 +24,35 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is undetermined (null, no letters) or scored below the calibrated
-    bound go; all others stay as they are."""
+    """Documents whose language is undetermined (null, empty, no letters) or scored below the calibrated
+    bound go; all others stay as they are, a score that ties with the bound included, and repeated rows
+    all stay or all go. Without any label there is no model, so all documents go."""
     model = fit_language_model(docs)
     return predict_language(docs, model, keep=COLUMNS).filter(~F.col("rejected")).select(*COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group linked by a Jaccard similarity of 0.8 or more on five-word shingles, the document
-    of the smallest id stays."""
+    of the smallest id stays (null last; of rows of one id by a hash of the text); of repeated rows one.
+    Null and empty texts, and texts without words, link with nothing and stay."""
     return near_duplicates_removed(docs).select(*COLUMNS)
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document stays; its secrets are replaced and n_chars follows."""
+    """Every document stays; its secrets are replaced and n_chars follows (null for null texts). Equal
+    texts become equal texts."""
     return redact_secrets(docs).withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them: none, once or twice."""
+    """Documents as often as the mix takes them: none, once or twice. Null and empty texts have no words
+    and are not taken; repeated rows are queued one after another."""
     return mix_documents(docs).select(*COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of the encoded and decoded texts."""
+    """Token counts and digests of the encoded and decoded texts; null is as the empty text, and repeated
+    rows give equal rows."""
     return bpe_round_trip(docs)
 
 
