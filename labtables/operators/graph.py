@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..shared import cut
+from .explore import with_position
 
 
 def neighbours(frontier: DataFrame, edges: DataFrame, limit: int = 400) -> DataFrame:
@@ -55,9 +56,12 @@ def rank_results(nodes: DataFrame, search_rank: str = "search_rank", node: str =
 
 
 def batches(df: DataFrame, group: str, size: int = 80, order: list | None = None, out: str = "batch") -> DataFrame:
-    """Batches of `size` within each search, by priority."""
-    place = F.row_number().over(Window.partitionBy(group).orderBy(*order))
-    return df.withColumn(out, F.floor((place - 1) / size).cast("long"))
+    """Batches of `size` within each search, by priority. Rows are numbered in the order of all rows, so
+    that a search with most of them is no single task's window."""
+    placed = with_position(df, [F.col(group).asc_nulls_first(), *(order or [])], "__place")
+    firsts = placed.groupBy(F.col(group).alias("__group")).agg(F.min("__place").alias("__first"))
+    joined = placed.join(firsts, F.col(group).eqNullSafe(F.col("__group")))
+    return joined.withColumn(out, F.floor((F.col("__place") - F.col("__first")) / size).cast("long")).drop("__place", "__group", "__first")
 
 
 def fetch_cost(references, cited):

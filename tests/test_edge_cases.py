@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from labtables.functions import cells as c
-from labtables.operators import assemble, corpus, explore, linkage, reports, scoring, series, stats
+from labtables.operators import assemble, corpus, explore, graph, linkage, reports, scoring, series, stats
 from labtables.plans import pipelines
 from labtables.sources import tables as src
 
@@ -200,3 +200,13 @@ def test_matrix_in_several_passes(spark, monkeypatch):
     whole = plain(stats.corr_matrix(df, names))
     monkeypatch.setattr(stats, "PAIRS_A_PASS", 5)
     assert plain(stats.corr_matrix(df, names)) == whole and len(whole) == 49
+
+
+def test_batches_of_a_large_search(spark):
+    rows = [(i, "big" if i % 10 else None, i * 31 % 97) for i in range(300)]
+    df = spark.createDataFrame(rows, "i int, s string, v int").repartition(5)
+    got = {r.i: r.batch for r in graph.batches(df, "s", 40, [F.col("v").desc(), F.col("i")]).collect()}
+    for name in ("big", None):
+        own = sorted((r for r in rows if r[1] == name), key=lambda r: (-r[2], r[0]))
+        assert all(got[r[0]] == n // 40 for n, r in enumerate(own))
+    assert graph.batches(df.limit(0), "s", 40, [F.col("i")]).count() == 0
