@@ -35,7 +35,7 @@ LONG_WORD = 400
 SHORT_WORD = 48
 MATRIX_ROWS = 4096
 #: Words whose ids a Python worker keeps; beyond it all are forgotten.
-KEPT_WORDS = 500_000
+KEPT_WORDS = 150_000
 DEFAULT_FILE = "word_bpe_49k.json"
 # Fixed value: the pattern whose words are told by classes of characters.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"

@@ -55,7 +55,8 @@ def _remove(spark: SparkSession, path: str) -> None:
 
 def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE_CHARS) -> Iterator[pa.RecordBatch]:
     """The batches cut into runs of rows whose `text` column has about `limit` bytes (a longer single
-    text stays whole), so that working arrays keep one size whatever the batch."""
+    text stays whole), so that working arrays keep one size whatever the batch. What a task's batches
+    took is given back to the system after the last."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -67,6 +68,15 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE_CHAR
                 start, total = i, 0
             total += size
         yield batch.slice(start)
+    pa.default_memory_pool().release_unused()
+
+
+def bounded_batches(spark: SparkSession, size: str = "8m") -> None:
+    """Arrow batches of at most `size` where the session leaves Spark's default: both sides of a task hold
+    a batch or two, whatever the length of texts."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, "67108864b") in ("67108864b", "67108864", "64m", "64MB"):
+        spark.conf.set(key, size)
 
 
 def utf8(column: pa.Array) -> list[bytes]:

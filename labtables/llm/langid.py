@@ -229,7 +229,7 @@ def predict_language(docs: DataFrame, model: LanguageModel, id_col: str = "doc_i
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carried)
 
     def run(batches):
-        for batch in slices(batches, text_col, 1_000_000):
+        for batch in slices(batches, text_col, 400_000):
             names, scores = shared.value.predict(batch.column(text_col).to_pylist())
             rejected = [n == UNDETERMINED or s < shared.value.bound for n, s in zip(names, scores)]
             yield pa.RecordBatch.from_arrays(

@@ -42,6 +42,9 @@ PERCENT = 80
 SLOTS = 1 << 20
 #: Shingles of a chunk of a block (8 bytes each), unless one node has more.
 CHUNK_SHINGLES = 2_000_000
+#: Bytes of text that are shingled at once, and set names that a task remembers, so as not to repeat a set.
+SLICE_BYTES = 400_000
+SEEN_KEYS = 100_000
 #: Groups of more nodes are cut into chunks of so many times the square root of their number.
 WHOLE_NODES = 512
 CHUNK_ROOTS = 8
@@ -266,7 +269,7 @@ def document_nodes(docs: DataFrame, id_col: str, text_col: str, words: int) -> D
     def run(batches):
         counts = np.zeros(SLOTS, np.int64)
         names = ["k", "d", "n", "key", "sketch"]
-        for batch in slices(batches, "text", 1_000_000):
+        for batch in slices(batches, "text", SLICE_BYTES):
             sets = shingle_sets(utf8(batch.column("text")), words)
             keys = [set_key(s) if len(s) else None for s in sets]
             counts += np.bincount((np.concatenate(sets) & np.uint64(SLOTS - 1)).astype(np.int64), minlength=SLOTS)
@@ -310,12 +313,12 @@ def prefix_tokens(docs: DataFrame, id_col: str, text_col: str, words: int, perce
 
     def run(batches):
         seen: set[int] = set()
-        for batch in slices(batches, "text", 1_000_000):
+        for batch in slices(batches, "text", SLICE_BYTES):
             rows: list[tuple[np.ndarray, ...]] = []
             for s in shingle_sets(utf8(batch.column("text")), words):
                 if not len(s) or (key := set_key(s)) in seen:
                     continue
-                if len(seen) < 500_000:
+                if len(seen) < SEEN_KEYS:
                     seen.add(key)
                 rarity = shared.value[s & np.uint64(SLOTS - 1)]
                 order = np.lexsort((s, rarity))[: prefix_length(len(s), percent)]
@@ -352,11 +355,11 @@ def node_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, wo
 
     def run(batches):
         seen: set[int] = set()
-        for batch in slices(batches, "text", 1_000_000):
+        for batch in slices(batches, "text", SLICE_BYTES):
             keys, sets = [], []
             for s, key in zip(shingle_sets(utf8(batch.column("text")), words), batch.column("key").to_pylist()):
                 if len(s) and key not in seen and set_key(s) == key:
-                    if len(seen) < 500_000:
+                    if len(seen) < SEEN_KEYS:
                         seen.add(key)
                     keys.append(key)
                     sets.append(s.tobytes())
