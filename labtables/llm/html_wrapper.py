@@ -45,6 +45,8 @@ WRAPPER_BYTES = 1 << 20
 #: article's text that such texts may be (pages that are nearly copies of each other have more).
 EVIDENCE = 3
 FIXED_SHARE = 0.3
+#: Least characters of a text times pages that all have it: short words may meet by chance.
+EVIDENT = 60
 
 # Element names and the words of classes and ids.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -437,12 +439,14 @@ class Wrapper:
         return self._is_everywhere(slot) and bool(slot[5])
 
     def _gone(self, slots: list) -> list[int]:
-        """The marks of an element's own texts that go: those that all pages have beside others; where
-        they have no others, they are links or one text."""
+        """The marks of an element's own texts that go: those that all pages have beside others, if that
+        is evident; where they have no others, links, or one text."""
+        evident = lambda marks: [m for m in marks if (m & 0xFFFFFF) * self.pages >= EVIDENT]
         if slots and all(map(self._is_fixed, slots)):
-            goes = 2 * sum(s[3] for s in slots) > sum(s[2] for s in slots) or all(len(set(s[4])) == 1 for s in slots)
-            return [m for s in slots for m in s[4]] if goes else []
-        return [m for s in slots if self._is_everywhere(s) and not s[5] for m in s[4]]
+            if 2 * sum(s[3] for s in slots) > sum(s[2] for s in slots):
+                return [m for s in slots for m in s[4]]
+            return evident(m for s in slots for m in s[4]) if all(len(set(s[4])) == 1 for s in slots) else []
+        return evident(m for s in slots if self._is_everywhere(s) and not s[5] for m in s[4])
 
     def _totals(self, own: dict[tuple, int]) -> dict[tuple, int]:
         total: dict[tuple, int] = {}

@@ -185,3 +185,8 @@ def test_common_subsequences():
         assert pairs == sorted(pairs) and all(x[i] == y[k] for i, k in pairs) and len({i for i, _ in pairs}) == len({k for _, k in pairs}) == len(pairs)
     x, y = [str(i) for i in range(900)], [str(i) for i in range(0, 1800, 2)]
     assert len(w.common(x, y)) == 450
+
+
+def test_short_words_on_few_pages_are_no_evidence():
+    pages = [f"<article><h1>T {i}</h1><p>A longer paragraph {i}</p><p>The.</p><p>Another of the paragraphs {i}</p></article>" for i in range(4)]
+    assert w.main_text(pages[1], wrapped(pages)) == "T 1\nA longer paragraph 1\nThe.\nAnother of the paragraphs 1"
