@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labtables.llm.bpe import bpe_round_trip
-from labtables.llm.common import table, written
+from labtables.llm.common import bounded_batches, table, written
 from labtables.llm.langid import fit_language_model, predict_language
 from labtables.llm.mixing import mix_documents
 from labtables.llm.ngram_join import near_duplicates_removed
@@ -27,6 +27,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Documents whose language is undetermined (null, empty, no letters) or scored below the calibrated
     bound go; all others stay as they are, a score that ties with the bound included, and repeated rows
     all stay or all go. Without any label there is no model, so all documents go."""
+    bounded_batches(spark)
     model = fit_language_model(docs)
     return predict_language(docs, model, keep=COLUMNS).filter(~F.col("rejected")).select(*COLUMNS)
 
@@ -35,6 +36,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """Of each group linked by a Jaccard similarity of 0.8 or more on five-word shingles, the document
     of the smallest id stays (null last; of rows of one id by a hash of the text); of repeated rows one.
     Null and empty texts, and texts without words, link with nothing and stay."""
+    bounded_batches(spark)
     return near_duplicates_removed(docs).select(*COLUMNS)
 
 
@@ -53,6 +55,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of the encoded and decoded texts; null is as the empty text, and repeated
     rows give equal rows."""
+    bounded_batches(spark)
     return bpe_round_trip(docs)
 
 
