@@ -11,6 +11,8 @@ from .common import table
 from .fingerprint import edited_report
 from .html_wrapper import extract_main_text
 from .langid import language_report
+from .manifest import dataset_manifest
+from .manifest import oracle as manifest_sql
 from .media import media_features, text_media
 from .mixing import ORACLE as MIX_SQL
 from .mixing import mix_plan
@@ -67,10 +69,14 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(table(spark, sf_dir, "documents", "doc_id", "text")).drop("set_key")
 
 
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dataset_manifest(table(spark, sf_dir, "documents", "doc_id", "source", "lang", "n_chars", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {name: f for name, f in globals().items() if name.startswith("op")}
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": MIX_SQL, "op3_secrets": secret_sql()}
+    return {"op2_mixing": MIX_SQL, "op3_secrets": secret_sql(), "op13_manifest": manifest_sql()}
