@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .alignment import tokenizer_alignment
 from .bpe import bpe_round_trip
 from .common import table
 from .fingerprint import edited_report
@@ -69,6 +70,10 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(table(spark, sf_dir, "documents", "doc_id", "text")).drop("set_key")
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenizer_alignment(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dataset_manifest(table(spark, sf_dir, "documents", "doc_id", "source", "lang", "n_chars", "text"))
 
