@@ -19,6 +19,8 @@ from .mixing import ORACLE as MIX_SQL
 from .mixing import mix_plan
 from .ngram_join import ngram_components
 from .packing import packed_digests, scratch_folder
+from .recompression import ORACLE as REPEAT_SQL
+from .recompression import kept_words
 from .secret_scan import PART_ALLOWED, PART_CLASSES
 from .secret_scan import oracle as secret_sql
 from .secret_scan import secret_report
@@ -74,6 +76,10 @@ def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenizer_alignment(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op12_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kept_words(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dataset_manifest(table(spark, sf_dir, "documents", "doc_id", "source", "lang", "n_chars", "text"))
 
@@ -84,4 +90,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": MIX_SQL, "op3_secrets": secret_sql(), "op13_manifest": manifest_sql()}
+    return {"op2_mixing": MIX_SQL, "op3_secrets": secret_sql(), "op12_repeats": REPEAT_SQL, "op13_manifest": manifest_sql()}
