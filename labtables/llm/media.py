@@ -10,6 +10,8 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from array import array
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable
 from functools import lru_cache
 
@@ -39,63 +41,166 @@ MAGIC = (
 )
 
 
-def _riff(data: bytes, at: int, form: bytes) -> int:
+#: Byte strings that end or close a file of some format, found in the same pass.
+TRAILERS = (b"\xff\xd9", b"%%EOF", b"startxref", b"PK\x05\x06")
+
+
+class Scan:
+    """Some bytes, the places of all magic numbers and trailers in them, and what validators have learnt.
+    A walk over a format's structure that fails marks where it went: from there on any walk fails, so
+    each place is walked once, however many magic numbers lead to it. A walk that succeeds isn't repeated
+    either, as finds inside it don't count."""
+
+    def __init__(self, data: bytes):
+        self.data = data
+        self.hits: list[tuple[int, str]] = []
+        self.trailers = {t: array("q") for t in TRAILERS}
+        for last, (size, before, kind) in automaton().iter(data.decode("latin-1")):
+            if isinstance(kind, bytes):
+                self.trailers[kind].append(last + 1 - size)
+            else:
+                self.hits.append((last + 1 - size - before, kind))
+        self.marks: dict[str, bytearray] = {}
+        self.known: dict = {}
+
+    def first(self, trailer: bytes, at: int) -> int:
+        """The first place of a trailer from `at` on, or -1."""
+        places = self.trailers[trailer]
+        k = bisect_left(places, at)
+        return places[k] if k < len(places) else -1
+
+    def last(self, trailer: bytes, at: int, before: int) -> int:
+        """The last place of a trailer from `at` on that ends by `before`, or -1."""
+        places = self.trailers[trailer]
+        k = bisect_right(places, before - len(trailer)) - 1
+        return places[k] if k >= 0 and places[k] >= at else -1
+
+    def zero(self, at: int) -> int:
+        """The first zero byte from `at` on, or -1; a stretch without any is searched once."""
+        start, end = self.known.get("zero", (1, 0))
+        if not start <= at <= end:
+            end = self.data.find(b"\0", at)
+            self.known["zero"] = (at, end if end >= 0 else len(self.data) + (1 << 20))
+            return end
+        return end if end < len(self.data) else -1
+
+    def dead(self, walk: str) -> bytearray:
+        """A byte per place: not 0 where a walk of this name is known to fail."""
+        if walk not in self.marks:
+            self.marks[walk] = bytearray(len(self.data) + 1)
+        return self.marks[walk]
+
+    def fail(self, walk: str, path: list[int], mark: int = 1) -> int:
+        dead = self.dead(walk)
+        for p in path:
+            dead[p] = mark
+        return 0
+
+
+class Chunks:
+    """The chunks of all RIFF files of some bytes. A chunk leads to one next chunk, wherever a file
+    begins, so they form a tree; jumps over it tell in logarithmic time whether a file's chunks end where
+    the file does."""
+
+    def __init__(self, data: bytes):
+        self.data, self.chunks = data, {}  # place: next, jump, depth, and the next format and data chunk
+
+    def reach(self, p: int) -> None:
+        path, data, chunks = [], self.data, self.chunks
+        while p not in chunks and p + 8 <= len(data):
+            path.append(p)
+            size = int.from_bytes(data[p + 4 : p + 8], "little")
+            p += 8 + size + size % 2
+        chunks.setdefault(p, (p, p, 0, -1, -1))
+        for q in reversed(path):
+            _, jump, depth, form, samples = chunks[p]
+            far = chunks[jump]
+            name = data[q : q + 4]
+            further = far[1] if depth - far[2] == far[2] - chunks[far[1]][2] else p
+            chunks[q] = (p, further, depth + 1, q if name == b"fmt " else form, q if name == b"data" else samples)
+            p = q
+
+    def end(self, p: int, end: int) -> int:
+        """The first chunk's place from p on that leaves no room for another before `end`."""
+        self.reach(p)
+        while p + 8 <= end:
+            onward, jump, *_ = self.chunks[p]
+            p = jump if p < jump and jump + 8 <= end else onward
+        return p
+
+
+def _riff(scan: Scan, at: int, form: bytes) -> int:
     """Chunks must fill the RIFF length exactly; a wave file needs its format and data chunks."""
-    if data[at : at + 4] != b"RIFF" or at + 12 > len(data):
+    data = scan.data
+    if at < 0 or data[at : at + 4] != b"RIFF" or at + 12 > len(data):
         return 0
     end = at + 8 + int.from_bytes(data[at + 4 : at + 8], "little")
-    if end > len(data):
+    if end > len(data) or at + 20 > end:
         return 0
-    seen, p = {}, at + 12
-    while p + 8 <= end:
-        size = int.from_bytes(data[p + 4 : p + 8], "little")
-        seen.setdefault(data[p : p + 4], (p + 8, size))
-        p += 8 + size + size % 2
-    if p not in (end, end + 1) or not seen:
+    if "chunks" not in scan.known:
+        scan.known["chunks"] = Chunks(data)
+    chunks = scan.known["chunks"]
+    if chunks.end(at + 12, end) not in (end, end + 1):
         return 0
     if form == b"WAVE":
-        if b"fmt " not in seen or b"data" not in seen or seen[b"fmt "][1] < 16:
+        *_, fields, samples = chunks.chunks[at + 12]
+        if not 0 <= fields <= end - 8 or not 0 <= samples <= end - 8 or int.from_bytes(data[fields + 4 : fields + 8], "little") < 16:
             return 0
-        _, channels, rate, byte_rate, align, depth = struct.unpack_from("<HHIIHH", data, seen[b"fmt "][0])
-        if align != channels * (-(-depth // 8)) or byte_rate != rate * align or not align or seen[b"data"][1] % align:
+        _, channels, rate, byte_rate, align, depth = struct.unpack_from("<HHIIHH", data, fields + 8)
+        if align != channels * (-(-depth // 8)) or byte_rate != rate * align or not align or int.from_bytes(data[samples + 4 : samples + 8], "little") % align:
             return 0
     return end - at
 
 
-def _png(data: bytes, at: int) -> int:
+def _png(scan: Scan, at: int) -> int:
     """Chunks with right checksums, the header first, up to the end chunk."""
+    data, dead, path = scan.data, scan.dead("png"), []
     p, first = at + 8, True
-    while p + 12 <= len(data):
+    while p + 12 <= len(data) and (first or not dead[p]):
+        if not first:
+            path.append(p)
         size = int.from_bytes(data[p : p + 4], "big")
         kind, end = data[p + 4 : p + 8], p + 12 + size
-        if end > len(data) or first != (kind == b"IHDR") or zlib.crc32(data[p + 4 : end - 4]) != int.from_bytes(data[end - 4 : end], "big"):
-            return 0
+        if end > len(data) or first != (kind == b"IHDR") or first and size != 13 or zlib.crc32(memoryview(data)[p + 4 : end - 4]) != int.from_bytes(data[end - 4 : end], "big"):
+            break
         if kind == b"IEND":
             return end - at
         p, first = end, False
-    return 0
+    return scan.fail("png", path)
 
 
-def _jpeg(data: bytes, at: int) -> int:
+#: Marks of a JPEG walk: it fails, or it fails unless a frame header came before.
+NO_SCAN, NO_FRAME = 1, 2
+
+
+def _jpeg(scan: Scan, at: int) -> int:
     """Marker segments up to the scan, then entropy-coded data up to the end marker."""
+    data, dead, path = scan.data, scan.dead("jpeg"), []
     p, frame = at + 2, False
     while p + 4 <= len(data) and data[p] == 0xFF:
+        if dead[p] == NO_SCAN or dead[p] == NO_FRAME and not frame:
+            return scan.fail("jpeg", path, dead[p])
+        path.append(p)
         marker = data[p + 1]
         if marker == 0xDA:
-            end = data.find(b"\xff\xd9", p)
-            return end + 2 - at if frame and end >= 0 else 0
+            end = scan.first(b"\xff\xd9", p)
+            if frame and end >= 0:
+                return end + 2 - at
+            return scan.fail("jpeg", path, NO_SCAN if end < 0 else NO_FRAME)
         frame |= 0xC0 <= marker <= 0xC3
         p += 2 + int.from_bytes(data[p + 2 : p + 4], "big")
-    return 0
+    return scan.fail("jpeg", path, NO_SCAN)
 
 
-def _gif(data: bytes, at: int) -> int:
+def _gif(scan: Scan, at: int) -> int:
     """Screen descriptor, colour tables, blocks of sub-blocks, trailer."""
+    data, dead, dead_parts, path, parts = scan.data, scan.dead("gif"), scan.dead("gif parts"), [], []
     table = lambda flags: 3 << ((flags & 7) + 1) if flags & 0x80 else 0
     if at + 13 > len(data):
         return 0
     p = at + 13 + table(data[at + 10])
-    while p < len(data):
+    while p < len(data) and not dead[p]:
+        path.append(p)
         kind = data[p]
         if kind == 0x3B:
             return p + 1 - at
@@ -104,15 +209,20 @@ def _gif(data: bytes, at: int) -> int:
         elif kind == 0x21:
             p += 2
         else:
-            return 0
-        while p < len(data) and data[p]:
+            break
+        while p < len(data) and data[p] and not dead_parts[p]:
+            parts.append(p)
             p += data[p] + 1
+        if p < len(data) and dead_parts[p]:
+            break
         p += 1
-    return 0
+    scan.fail("gif parts", parts)
+    return scan.fail("gif", path)
 
 
-def _bmp(data: bytes, at: int) -> int:
+def _bmp(scan: Scan, at: int) -> int:
     """The file length holds the headers and, uncompressed, exactly the rows of pixels."""
+    data = scan.data
     if at + 54 > len(data):
         return 0
     size, _, offset, header, width, height, planes, depth, packed = struct.unpack_from("<IIIIiiHHI", data, at + 2)
@@ -123,16 +233,17 @@ def _bmp(data: bytes, at: int) -> int:
     return size if size > offset else 0
 
 
-def _flac(data: bytes, at: int) -> int:
+def _flac(scan: Scan, at: int) -> int:
     """Metadata blocks, the stream information first; frames run to the end of the bytes."""
+    data = scan.data
     if at + 42 > len(data) or data[at + 4] & 0x7F or int.from_bytes(data[at + 5 : at + 8], "big") != 34:
         return 0
     return len(data) - at
 
 
-def _ogg(data: bytes, at: int) -> int:
+def _ogg(scan: Scan, at: int) -> int:
     """Pages of one capture, as long as they follow one another."""
-    p = at
+    data, p = scan.data, at
     while p + 27 <= len(data) and data[p : p + 4] == b"OggS" and data[p + 4] == 0:
         lacing = data[p + 27 : p + 27 + data[p + 26]]
         end = p + 27 + len(lacing) + sum(lacing)
@@ -142,26 +253,33 @@ def _ogg(data: bytes, at: int) -> int:
     return p - at
 
 
-def _mp4(data: bytes, at: int) -> int:
+def _mp4(scan: Scan, at: int) -> int:
     """Boxes of plausible names, as long as they follow one another."""
-    p, names = at, []
-    while p + 8 <= len(data):
+    data, dead, path, media = scan.data, scan.dead("mp4"), [], False
+    p = at
+    while at >= 0 and p + 8 <= len(data) and (media or not dead[p]):
         size, name = int.from_bytes(data[p : p + 4], "big"), data[p + 4 : p + 8]
         if size < 8 or p + size > len(data) or not all(32 <= b < 127 for b in name):
             break
-        names.append(name)
+        path.append(p)
+        media |= name in (b"moov", b"mdat", b"moof")
         p += size
-    return p - at if names[:1] == [b"ftyp"] and {b"moov", b"mdat", b"moof"} & {*names} else 0
+    return p - at if media else scan.fail("mp4", path)
 
 
-def _pdf(data: bytes, at: int) -> int:
-    end = data.rfind(b"%%EOF", at)
-    start = data.rfind(b"startxref", at, end) if end >= 0 else -1
-    return end + 5 - at if start >= 0 and data[start + 9 : end].strip().isdigit() else 0
+def _pdf(scan: Scan, at: int) -> int:
+    """A start of the cross references and its number stand before the last end mark."""
+    end = scan.last(b"%%EOF", at, len(scan.data))
+    start = scan.last(b"startxref", at, end) if end >= 0 else -1
+    if start < 0:
+        return 0
+    if ("pdf", start) not in scan.known:
+        scan.known["pdf", start] = scan.data[start + 9 : end].strip().isdigit()
+    return end + 5 - at if scan.known["pdf", start] else 0
 
 
-def _zip(data: bytes, at: int) -> int:
-    end = data.find(b"PK\x05\x06", at)
+def _zip(scan: Scan, at: int) -> int:
+    data, end = scan.data, scan.first(b"PK\x05\x06", at)
     if end < 0 or end + 22 > len(data):
         return 0
     size, offset, note = struct.unpack_from("<IIH", data, end + 12)
@@ -169,19 +287,34 @@ def _zip(data: bytes, at: int) -> int:
     return end + 22 + note - at if start - offset == at and data[start : start + 4] in (b"PK\x01\x02", b"PK\x05\x06") and end + 22 + note <= len(data) else 0
 
 
-def _gzip(data: bytes, at: int) -> int:
-    inflate = zlib.decompressobj(31)
+def _gzip(scan: Scan, at: int) -> int:
+    """The header's fields, a deflated stream that can be inflated whole, its checksum and size."""
+    data, flags, p = scan.data, scan.data[at + 3] if at + 18 <= len(scan.data) else 0xFF, at + 10
+    if flags & 0xE0:
+        return 0
+    if flags & 4:
+        p += 2 + int.from_bytes(data[p : p + 2], "little")
+    for bit in (8, 16):
+        if flags & bit:
+            p = scan.zero(p) + 1
+            if not p:
+                return 0
+    p += 2 if flags & 2 else 0
+    inflate, checksum, size = zlib.decompressobj(-15), 0, 0
     try:
-        for p in range(at, len(data), 1 << 16):
-            inflate.decompress(data[p : p + (1 << 16)])
-            if inflate.eof:
-                return min(len(data), p + (1 << 16)) - len(inflate.unused_data) - at
+        while p < len(data) and not inflate.eof:
+            left = data[p : p + (1 << 12)]
+            p += len(left)
+            while left and not inflate.eof:
+                out = inflate.decompress(left, 1 << 20)  # what it holds may be far longer than the member
+                checksum, size, left = zlib.crc32(out, checksum), size + len(out), inflate.unconsumed_tail
     except zlib.error:
         return 0
-    return 0
+    end = p - len(inflate.unused_data)
+    return end + 8 - at if inflate.eof and data[end : end + 8] == struct.pack("<II", checksum, size & 0xFFFFFFFF) else 0
 
 
-VALIDATORS: dict[str, Callable[[bytes, int], int]] = {
+VALIDATORS: dict[str, Callable[[Scan, int], int]] = {
     "image/png": _png, "image/jpeg": _jpeg, "image/gif": _gif, "image/bmp": _bmp, "audio/flac": _flac, "audio/ogg": _ogg, "video/mp4": _mp4,
     "application/pdf": _pdf, "application/zip": _zip, "application/gzip": _gzip, "audio/wav": lambda d, at: _riff(d, at, b"WAVE"),
     "video/avi": lambda d, at: _riff(d, at, b"AVI "), "image/webp": lambda d, at: _riff(d, at, b"WEBP"),
@@ -194,17 +327,20 @@ def automaton() -> ahocorasick.Automaton:
     a = ahocorasick.Automaton()
     for magic, before, kind in MAGIC:
         a.add_word(magic.decode("latin-1"), (len(magic), before, kind))
+    for trailer in TRAILERS:
+        a.add_word(trailer.decode("latin-1"), (len(trailer), 0, trailer))
     a.make_automaton()
     return a
 
 
 def carve(data: bytes) -> list[tuple[int, int, str]]:
     """Confirmed media in the bytes: (start, length, type) by start, longer ones first. Media inside
-    other media count too; within one type, a find inside the last confirmed one does not."""
-    found, reach = [], {}
-    for last, (size, before, kind) in automaton().iter(data.decode("latin-1")):
-        at = last + 1 - size - before
-        if at >= reach.get(kind, 0) and (length := VALIDATORS[kind](data, at)) > 0:
+    other media count too; within one type, a find inside the last confirmed one does not. Time is in
+    proportion to the bytes (RIFF: times a logarithm), but for bytes that hold many unfinished PNG or gzip
+    files one inside another, whose checksums or contents are computed for each; no UTF-8 text can."""
+    scan, found, reach = Scan(data), [], {}
+    for at, kind in scan.hits:
+        if at >= reach.get(kind, 0) and (length := VALIDATORS[kind](scan, at)) > 0:
             found.append((at, length, kind))
             reach[kind] = at + length
     return sorted(found, key=lambda x: (x[0], -x[1], x[2]))
@@ -261,7 +397,8 @@ def stored_as_wav(payload: Column) -> Column:
 
 def text_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", declared: str = "image/bmp") -> DataFrame:
     """Each whole text (null: empty) as a stored wave file of a wrong declared type: `id_col`, n_bytes,
-    media, media_type. Texts are padded with spaces to a positive multiple of PAYLOAD_UNIT bytes."""
+    media, media_type. Texts are padded with spaces to a positive multiple of PAYLOAD_UNIT bytes. Repeated
+    rows give equal rows, an empty table an empty result; other columns are not read."""
     raw = F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8")
     n = F.octet_length(raw)
     padded = (F.greatest(F.ceil(n / PAYLOAD_UNIT), F.lit(1)) * PAYLOAD_UNIT).cast("int")
@@ -274,7 +411,9 @@ def media_features(stored: DataFrame, id_col: str = "doc_id") -> DataFrame:
     n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature. Bytes in
     which no wave file is confirmed have null payload columns. The feature is type, ! if it corrects
     the declared one, number of samples, mean and root mean square of the samples about 128 in
-    thousandths, zero crossings, then the media carved inside the payload."""
+    thousandths, zero crossings, then the media carved inside the payload. Null media are as empty bytes,
+    a null declared type is corrected by any find; repeated rows give equal rows, an empty table an empty
+    result; other columns are not read."""
     import numpy as np
 
     key = stored.schema[id_col].dataType.simpleString()
