@@ -135,14 +135,17 @@ def squash(c: Column | str) -> Column:
 
 
 def canonical_text(c: Column | str) -> Column:
-    return F.regexp_replace(F.lower(squeeze(c)), r"^\.+|\.+$", "")
+    """Lower case, white space squeezed, dots off the end; null for blank cells."""
+    plain = F.lower(squeeze(F.translate(text(c), INVISIBLE[0], "")))
+    return F.when(~is_blank(c), F.regexp_replace(plain, r"\.+$", ""))
 
 
 def canonical_family(c: Column | str) -> Column:
-    """Parts of a family name in any order: lower case, poly and plural s off, as a sorted set."""
-    parts = F.split(F.lower(squeeze(c)), r"\s*[,;/+&]\s*|\s+and\s+")
-    clean = lambda p: F.regexp_replace(F.regexp_replace(F.regexp_replace(p, r"^poly[\s\-]*", ""), r"[()\s\-]", ""), "s$", "")
-    return F.array_sort(F.array_distinct(F.filter(F.transform(parts, clean), lambda p: p != "")))
+    """Parts of a family name in any order, as a sorted set: parted by comma, semicolon, slash or the word
+    and; lower case, poly before a part and a plural s after it off. Null for blank cells."""
+    parts = F.split(canonical_text(c), r"[,;/]| and ")
+    clean = lambda p: F.regexp_replace(trim_all(F.regexp_replace(trim_all(p), "^poly", "")), "s$", "")
+    return F.array_sort(F.array_distinct(F.transform(F.filter(parts, lambda p: trim_all(p) != ""), clean)))
 
 
 def vocab_snap(c: Column | str, words: tuple[str, ...], synonyms: dict[str, str] | None = None) -> Column:

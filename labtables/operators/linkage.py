@@ -18,21 +18,23 @@ DIRECT_LIMIT, RANK_LIMIT = 0.15, 0.34
 
 
 def canonical_alias(df: DataFrame, column: str, aliases: DataFrame, out: str = "canonical", prefixes: Sequence[str] = ("lithium", "li"), least: int = 3) -> DataFrame:
-    """The canonical name of a squashed value from aliases (alias, canonical): of the whole value, of
-    what stands before a bracket, each also without a prefix; else of the longest alias of `least`
-    letters or more inside it; else the squashed value. Only distinct values are looked up."""
-    values = df.select(F.col(column).alias("__v")).distinct().withColumn("__s", squash("__v"))
-    begin = F.regexp_replace("__s", r"\(.*$", "")
-    keys = [F.col("__s"), begin]
-    for p in prefixes:
-        keys += [F.when(k.startswith(p), F.substring(k, F.lit(len(p) + 1), F.length(k))) for k in (F.col("__s"), begin)]
-    tries = values.select("__v", "__s", F.posexplode(F.array(*keys)).alias("__at", "__key"))
-    known = aliases.select(squash("alias").alias("__alias"), F.col("canonical").alias("__c")).dropDuplicates(["__alias"])
+    """The canonical name of a squashed value from aliases (alias, canonical): of the whole value, then
+    without a prefix, then the same of what stands before a bracket (a value that begins with one has no
+    such part); else of the longest alias of `least` letters or more inside it, of several the first by
+    letters; else the squashed value. Blank values give null. Only distinct values are looked up."""
+    values = df.select(F.col(column).alias("__v")).distinct().filter(~is_blank("__v")).withColumn("__s", squash("__v"))
+    begin = F.when(F.col("__s").startswith("("), F.col("__s")).otherwise(F.substring_index("__s", "(", 1))
+    keys = []
+    for k in (F.col("__s"), begin):
+        keys += [k, *[F.when(k.startswith(p), F.substring(k, F.lit(len(p) + 1), F.length(k))) for p in prefixes]]
+    tries = values.select("__v", F.posexplode(F.array(*keys)).alias("__at", "__key"))
+    known = aliases.groupBy(squash("alias").alias("__alias")).agg(F.min("canonical").alias("__c"))
     exact = tries.join(known, F.col("__key") == F.col("__alias")).groupBy("__v").agg(F.min_by("__c", "__at").alias("__exact"))
-    # every run of letters of an alias's length inside the value, looked up by equality
-    lengths = known.filter(F.length("__alias") >= least).select(F.length("__alias").alias("__n")).distinct()
+    # every run of letters of an alias's length inside the value, looked up by equality; there are no more
+    # lengths than the longest alias has letters
+    lengths = sorted(r[0] for r in known.filter(F.length("__alias") >= least).select(F.length("__alias")).distinct().collect())
+    sized = values.select("__v", "__s", F.explode(F.array(*map(F.lit, lengths)).cast("array<int>")).alias("__n")).filter(F.length("__s") >= F.col("__n"))
     parts = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("__s") - F.col("__n") + 1), lambda i: F.substring(F.col("__s"), i, F.col("__n"))))
-    sized = values.join(F.broadcast(lengths), F.length("__s") >= F.col("__n"))
     inside = sized.select("__v", F.explode(parts).alias("__key")).join(known, F.col("__key") == F.col("__alias"))
     held = inside.groupBy("__v").agg(F.min_by("__c", F.struct(-F.length("__key"), F.col("__key"))).alias("__held"))
     found = values.join(exact, "__v", "left").join(held, "__v", "left").select("__v", F.coalesce("__exact", "__held", "__s").alias(out))
@@ -199,12 +201,13 @@ def pair_cells(pred: DataFrame, gold: DataFrame, links: DataFrame, group: Sequen
 
 
 def canonical_solvent(df: DataFrame, column: str, aliases: DataFrame, out: str = "solvent") -> DataFrame:
-    """The canonical name of a solvent by its letters and digits from aliases (alias, canonical), else its
-    own text, lower case and squeezed. Of aliases of the same letters the least name counts."""
-    letters = lambda c: F.nullif(F.regexp_replace(F.lower(c), "[^0-9a-z]", ""), F.lit(""))
-    known = aliases.groupBy(letters(F.col("alias")).alias("__a")).agg(F.min("canonical").alias("__c"))
-    keyed = df.withColumn("__k", letters(F.col(column)))
-    return keyed.join(known, F.col("__k") == F.col("__a"), "left").withColumn(out, F.coalesce("__c", canonical_text(column))).drop("__k", "__a", "__c")
+    """The canonical name of a solvent by the letters and digits of its squashed text (subscripts are
+    digits) from aliases (alias, canonical), else those letters and digits. Of aliases of the same letters
+    the least name counts; blank cells give null."""
+    letters = lambda c: F.regexp_replace(squash(c), "[^0-9a-z]", "")
+    known = aliases.groupBy(letters("alias").alias("__a")).agg(F.min("canonical").alias("__c"))
+    keyed = df.withColumn("__k", F.when(~is_blank(column), letters(column)))
+    return keyed.join(known, F.col("__k") == F.col("__a"), "left").withColumn(out, F.coalesce("__c", "__k")).drop("__k", "__a", "__c")
 
 
 def map_papers(files: DataFrame, papers: DataFrame, strict: bool = False) -> DataFrame:

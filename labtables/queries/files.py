@@ -70,22 +70,39 @@ def camel_ids(spark, sf):
     return t(spark, sf, "part").select("p_partkey", c.camel_id(raw).alias("id"))
 
 
-@query("""WITH a AS (SELECT regexp_replace(lower(p_type), '[^0-9a-z]', '', 'g') AS k, min(p_brand) AS canonical FROM part WHERE p_partkey % 2 = 0 GROUP BY 1)
-SELECT p_partkey, coalesce(a.canonical, trim(regexp_replace(lower(p_type), '\\s+', ' ', 'g'))) AS solvent FROM part LEFT JOIN a ON a.k = regexp_replace(lower(p_type), '[^0-9a-z]', '', 'g')""")
+@query("""WITH a AS (SELECT regexp_replace(lower(p_type), '[^0-9a-z]', '', 'g') AS k, min(p_brand) AS canonical FROM part WHERE p_partkey % 2 = 0 GROUP BY 1),
+v AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'h2o' WHEN 3 THEN NULL ELSE regexp_replace(lower(p_type), '[^0-9a-z]', '', 'g') END AS k FROM part)
+SELECT p_partkey, CASE WHEN k = 'h2o' THEN 'water' ELSE coalesce(a.canonical, k) END AS solvent FROM v LEFT JOIN a USING (k)""")
 def canonical_solvent(spark, sf):
+    """Names with hyphens, water with a subscript, blank cells, and names that no alias has."""
     part = t(spark, sf, "part")
     aliases = part.filter("p_partkey % 2 = 0").select(F.concat(F.upper("p_type"), F.lit(" - ")).alias("alias"), F.col("p_brand").alias("canonical"))
-    own = part.select("p_partkey", F.concat(F.lit("  "), "p_type", F.lit(" ")).alias("raw"))
-    return linkage.canonical_solvent(own, "raw", aliases).select("p_partkey", "solvent")
+    aliases = aliases.unionAll(part.limit(1).select(F.lit("h2o"), F.lit("water")))
+    kind = F.col("p_partkey") % 4
+    raw = F.when(kind == 0, " H₂O. ").when(kind == 3, "  ").otherwise(F.concat(F.lit("  "), F.replace("p_type", F.lit(" "), F.lit("-")), F.lit(" ")))
+    return linkage.canonical_solvent(part.select("p_partkey", raw.alias("raw")), "raw", aliases).select("p_partkey", "solvent")
 
 
-@query("""SELECT p_partkey, array_to_string(list_sort(list_distinct([rtrim(x, 's') for x in [regexp_replace(lower(p_type), '[()\\s\\-]', '', 'g'), regexp_replace(lower(p_brand), '[()\\s\\-]', '', 'g')] if rtrim(x, 's') <> ''])), '|') AS family FROM part""".replace("rtrim(x, 's')", "regexp_replace(x, 's$', '')"))
+@query("""SELECT p_partkey, array_to_string(list_sort(list_distinct(CASE p_partkey % 4 WHEN 0 THEN [lower(p_type), lower(p_brand)] WHEN 1 THEN [lower(p_brand), '-' || lower(p_type)] WHEN 2 THEN [lower(p_type) || '+' || lower(p_brand)] ELSE ['(' || lower(p_type) || ')'] END)), '|') AS family FROM part""")
 def canonical_family(spark, sf):
-    """Two parts in either order, with poly before one and a plural of the other."""
-    both = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("Poly("), "p_type", F.lit(")s; "), "p_brand")).otherwise(F.concat("p_brand", F.lit(" and poly-"), "p_type"))
+    """Two parts in either order, with poly before one and a plural of the other; what is no separator
+    (plus, hyphen, bracket) stays."""
+    k, p, b = F.col("p_partkey") % 4, F.col("p_type"), F.col("p_brand")
+    both = (
+        F.when(k == 0, F.concat(F.lit("Poly "), p, F.lit("s; ; "), b, F.lit("."))).when(k == 1, F.concat(b, F.lit("s and poly-"), p))
+        .when(k == 2, F.concat(p, F.lit("+"), b)).otherwise(F.concat(F.lit("Poly("), p, F.lit(") / poly("), p, F.lit(")s")))
+    )
     return t(spark, sf, "part").select("p_partkey", F.array_join(c.canonical_family(both), "|").alias("family"))
 
 
+@query("SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN '.' || p_size || ' m' WHEN 1 THEN lower(p_type) ELSE NULL END AS words FROM part")
+def canonical_text(spark, sf):
+    """A dot before a number stays, dots after words go, blank cells are null."""
+    k = F.col("p_partkey") % 3
+    raw = F.when(k == 0, F.concat(F.lit(" ."), F.col("p_size").cast("string"), F.lit("  M.. "))).when(k == 1, F.concat(F.lit("\ufeff"), F.replace("p_type", F.lit(" "), F.lit("\n ")), F.lit("."))).otherwise(" \t")
+    return t(spark, sf, "part").select("p_partkey", c.canonical_text(raw).alias("words"))
+
+
 @query("""SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN p_size::DOUBLE WHEN 1 THEN 0.0::DOUBLE WHEN 2 THEN p_size / 2.0::DOUBLE WHEN 3 THEN 0.0::DOUBLE END AS condition FROM part""")
 def condition_of(spark, sf):
     size, k = F.col("p_size").cast("string"), F.col("p_partkey") % 5

@@ -163,11 +163,15 @@ def self_test(spark, sf):
     return ln.compare_cells(both, classes(spark)).groupBy("column", "outcome").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""WITH a AS (SELECT * FROM (VALUES ('goldenrod', 'yellow'), ('brass', 'metal'), ('steel', 'metal'), ('tin', 'metal')) AS v(alias, canonical)), v AS (SELECT DISTINCT p_type, regexp_replace(lower(p_type), '[ _-]', '', 'g') AS s FROM part)
-SELECT p_partkey, coalesce((SELECT arg_min(a.canonical, -length(a.alias) * 1000 + ascii(a.alias)) FROM a WHERE contains(v.s, a.alias)), v.s) AS canonical FROM part JOIN v USING (p_type)""")
+@query("""WITH a AS (SELECT * FROM (VALUES ('goldenrod', 'yellow'), ('brass', 'metal'), ('steel', 'metal'), ('tin', 'metal'), ('quid', 'money')) AS v(alias, canonical)), v AS (SELECT DISTINCT p_type, regexp_replace(lower(p_type), '[ _-]', '', 'g') AS s FROM part)
+SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'money' WHEN 1 THEN NULL WHEN 2 THEN '(tn)' || p_partkey WHEN 3 THEN 'yellow' ELSE coalesce((SELECT arg_min(a.canonical, -length(a.alias) * 1000 + ascii(a.alias)) FROM a WHERE contains(v.s, a.alias)), v.s) END AS canonical FROM part JOIN v USING (p_type)""")
 def canonical_alias(spark, sf):
-    aliases = spark.createDataFrame([("goldenrod", "yellow"), ("Brass", "metal"), ("STEEL", "metal"), ("tin", "metal")], "alias string, canonical string")
-    return ln.canonical_alias(t(spark, sf, "part"), "p_type", aliases).select("p_partkey", "canonical")
+    """Values with a prefix, blank ones, ones that begin with a bracket, ones with a prefix and something
+    in brackets, and plain ones."""
+    aliases = spark.createDataFrame([("goldenrod", "yellow"), ("Brass", "metal"), ("STEEL", "metal"), ("tin", "metal"), ("quid", "money")], "alias string, canonical string")
+    k = F.col("p_partkey") % 5
+    raw = F.when(k == 0, "Lithium quid").when(k == 1, " ").when(k == 2, F.concat(F.lit("(T_n)"), F.col("p_partkey").cast("string"))).when(k == 3, "Li-Goldenrod (x)").otherwise(F.col("p_type"))
+    return ln.canonical_alias(t(spark, sf, "part").withColumn("raw", raw), "raw", aliases).select("p_partkey", "canonical")
 
 
 @query("""SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'linear' WHEN p_partkey % 3 = 1 THEN 'high' ELSE 'linear or branched' END AS snapped FROM part""")

@@ -46,4 +46,6 @@ def test_names(spark):
     assert values(spark, c.number_with_unit("v"), ["55 °C", "24 h", "none", "1e-3", "5-6", "7"]) == [55, 24, None, 1e-3, None, 7]
     assert values(spark, c.file_id("v"), ["ab12-x.pdf"]) == ["ab12"] and values(spark, c.year_in("v"), ["linden1988", "x"]) == [1988, None]
     assert values(spark, c.condition_of("v"), ["S 70 °C", "thermal run", "0.5 wt% x", "y"]) == [70, 0, 0.5, None]
-    assert values(spark, c.canonical_family("v"), ["Poly(ethers) and carbonates", "carbonate, polyether"])[0] == ["carbonate", "ether"]
+    families = ["Polyethers and carbonates", "carbonate; , poly ether.", "ether-ester", "a+b", "poly(ethers)", " "]
+    assert values(spark, c.canonical_family("v"), families) == [["carbonate", "ether"], ["carbonate", "ether"], ["ether-ester"], ["a+b"], ["(ethers)"], None]
+    assert values(spark, c.canonical_text("v"), [".5 M", "5 M..", " A\u00a0 b ", ""]) == [".5 m", "5 m", "a b", None]

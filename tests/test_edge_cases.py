@@ -107,10 +107,19 @@ def test_registry_and_imports(spark):
 
 
 def test_solvents(spark):
-    aliases = spark.createDataFrame([("THF", "tetrahydrofuran"), ("t-h-f", "zzz"), ("--", "none")], "alias string, canonical string")
-    df = spark.createDataFrame([("T.H.F.",), (" Some  Oil. ",), (None,), ("--",)], "s string")
-    assert [r.solvent for r in linkage.canonical_solvent(df, "s", aliases).collect()].count("tetrahydrofuran") == 1
-    assert {r.solvent for r in linkage.canonical_solvent(df, "s", aliases).collect()} == {"tetrahydrofuran", "some oil", None, "--"}
+    """Letters and digits alone count, subscripts are digits, and unknown names are compared by them."""
+    aliases = spark.createDataFrame([("THF", "tetrahydrofuran"), ("t-h-f", "zzz"), ("--", "none"), ("H2O", "water")], "alias string, canonical string")
+    asked = [("T.H.F.", "tetrahydrofuran"), ("H₂O", "water"), (" Some  Oil. ", "someoil"), ("di-methyl X", "dimethylx"), ("dimethylx", "dimethylx"), (None, None), (" ", None), ("--", "none")]
+    df = spark.createDataFrame(asked, "s string, want string")
+    assert all(r.solvent == r.want for r in linkage.canonical_solvent(df, "s", aliases).collect())
+
+
+def test_alias_order(spark):
+    """All prefixes of the whole value come before what stands ahead of a bracket; blank is null."""
+    aliases = spark.createDataFrame([("x", "short"), ("x(y)", "whole"), ("lithiumx", "salt")], "alias string, canonical string")
+    asked = [("Li x (y)", "whole"), ("x (z)", "short"), ("lithium-x (y)", "whole"), ("Lithium x (q)", "salt"), ("(x)", "(x)"), (" ", None), (None, None)]
+    df = spark.createDataFrame(asked, "v string, want string")
+    assert all(r.canonical == r.want for r in linkage.canonical_alias(df, "v", aliases).collect())
 
 
 def test_shares_and_samples(spark):
