@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from labtables.functions import cells as c
 from labtables.operators import assemble, corpus, explore, graph, linkage, reports, scoring, series, stats
+from labtables.operators import quotes as quotes_
 from labtables.plans import pipelines
 from labtables.sources import tables as src
 
@@ -147,25 +148,94 @@ def test_degrees_by_grammar():
     assert {k: corpus.plain_degrees(k) for k in cases} == cases
 
 
-def test_recall_of_near_quotes():
-    """Quotes with scattered changes against every window of the text: at least 99 of 100 are found, and
-    nothing that no window reaches."""
-    draw = random.Random(12)
-    found = reached = 0
-    for _ in range(300):
-        text = "".join(draw.choice("abcdefghijklmnop0123") for _ in range(300))
-        n = draw.randint(20, 90)
-        begin = draw.randrange(len(text) - n)
+def common(a, b):
+    """Length of the longest common subsequence, by the plain table."""
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last, row = row, [0]
+        for j, y in enumerate(b):
+            row.append(last[j] + 1 if x == y else max(row[j], last[j + 1]))
+    return row[-1]
+
+
+def nearly(quote, text, cutoff=0.92):
+    """By every stretch of the quote's length, and the shorter ones at the ends."""
+    if len(quote) > len(text):
+        quote, text = text, quote
+    n = len(quote)
+    stretches = {text[i : i + n] for i in range(len(text) - n + 1)} | {text[:k] for k in range(1, n)} | {text[-k:] for k in range(1, n)}
+    sides = [(quote, stretches)]
+    if len(quote) == len(text):
+        sides.append((text, {quote[:k] for k in range(1, n)} | {quote[-k:] for k in range(1, n)}))
+    return bool(n) and any(2 * common(q, w) >= cutoff * (len(q) + len(w)) - 1e-9 for q, ws in sides for w in ws)
+
+
+def test_near_quotes_against_all_stretches():
+    """Changes, gaps and insertions, at the ends too: what any stretch reaches is found, and nothing else."""
+    draw, reached = random.Random(12), 0
+    for trial in range(400):
+        letters = draw.choice(["abcdefghijklmnop0123", "ab", "abc"])
+        text = "".join(draw.choice(letters) for _ in range(draw.choice([20, 60, 120])))
+        n = draw.randint(8, min(40, len(text)))
+        begin = draw.choice([0, len(text) - n, draw.randrange(len(text) - n + 1)])
         quote = list(text[begin : begin + n])
-        for _ in range(draw.randint(0, max(1, n // 10))):
-            quote[draw.randrange(len(quote))] = draw.choice("xyz")
+        for _ in range(draw.randint(0, max(1, n // 9))):
+            at, kind = draw.randrange(len(quote)), draw.random()
+            quote[at : at + 1] = [] if kind < 0.3 else [quote[at], draw.choice(letters)] if kind < 0.6 else [draw.choice("xyz")]
         quote = "".join(quote)
-        best = max(linkage.indel_ratio(quote, text[i : i + n]) for i in range(len(text) - n + 1))
-        hit = corpus.best_window(quote, text, 0.92)
-        assert not hit or best >= 0.9
-        reached += best >= 0.92
-        found += hit and best >= 0.92
-    assert reached > 150 and found >= 0.99 * reached
+        if draw.random() < 0.1:
+            quote, text = text, quote
+        want = nearly(quote, text)
+        assert quotes_.stands_nearly(["zzzzzzzzz", quote, quote[:8]], text, 0.92) - {0, 2} == ({1} if want else set()), (quote, text)
+        reached += want
+    assert 100 < reached < 390
+
+
+def test_quotes_of_repeated_documents(spark, monkeypatch):
+    """One row a quote: the best over documents of its id; many quotes of one document go in runs."""
+    docs = spark.createDataFrame([("d", "The host matrix was dried"), ("d", "at eighty degrees for two days"), ("d", None), (None, "The host matrix was dried")], "id string, t string")
+    quotes = spark.createDataFrame([("d", "host matrix was"), ("d", "eighty degrees for"), ("d", "eighty degreez for two days"), ("d", "nowhere at all"), (None, "host matrix was")] + [("d", f"no such words {i}") for i in range(40)], "id string, quote string")
+    monkeypatch.setattr(quotes_, "RUN_QUOTES", 10)
+    got = [(r.quote, r.found) for r in corpus.verify_quotes(quotes, docs, "t", "id").collect()]
+    assert len(got) == 45 and sorted(x for x in got if x[1] != "none") == [("eighty degrees for", "exact"), ("eighty degreez for two days", "near"), ("host matrix was", "exact")]
+
+
+def test_pages_of_quotes_as_searched_plainly():
+    draw = random.Random(3)
+    words = ["alpha", "beta", "gamma", "delta", "be", "x"]
+    for _ in range(200):
+        pages = [" ".join(draw.choice(words) for _ in range(draw.randint(0, 30))) for _ in range(5)]
+        asked = [" ".join(draw.choice(words) for _ in range(draw.randint(1, 9))) for _ in range(8)] + [""]
+        want = []
+        for q in asked:
+            legs = [q, " ".join(q.split(" ")[:6])]
+            want.append(tuple(next((i for i, p in enumerate(pages) if len(x) >= 12 and x in p), None) for x in legs))
+        assert quotes_.first_pages(asked, pages) == want
+
+
+def test_degrees_and_figures_of_repeated_rows(spark):
+    """Null and repeated ids, and null texts: a row for every row, each with its own text."""
+    text = r"at $70 ^{\circ} \mathrm{C}$ then $2 0 ^{0} C$ and $x$"
+    df = spark.createDataFrame([(1, text, "a"), (1, text, "a"), (1, None, "b"), (None, text, "c"), (2, "none", "d"), (1, "$5 ^{\\circ} C$", "e")], "id int, t string, n_marks string")
+    got = sorted((r.n_marks, r.t, r.n_degrees, r.n_inferred) for r in corpus.normalise_degrees(df, "t", "id").collect() if r.t is not None)
+    plain = "at 70 °C then 20 °C and $x$"
+    assert got == [("a", plain, 2, 1), ("a", plain, 2, 1), ("c", plain, 2, 1), ("d", "none", 0, 0), ("e", "5 °C", 1, 0)]
+    assert corpus.normalise_degrees(df, "t", "id").count() == 6 and corpus.normalise_degrees(df.limit(0), "t").count() == 0
+    docs = spark.createDataFrame([(1, "a ![x](p) b", "k"), (1, "c ![y](p) ![z](q) d", "l"), (1, None, "m"), (None, "![x](p)", "n"), (2, "![x](p)", "o"), (1, "no marks", "p")], "id int, t string, path string")
+    figures = spark.createDataFrame([(1, "p", "new"), (None, "p", "never")], "id int, key string, to string")
+    out = corpus.rewrite_figures(docs, figures, "t", "id", "key", "to")
+    assert out.columns == docs.columns
+    assert sorted((r.path, r.t) for r in out.collect()) == [("k", "a ![x](new) b"), ("l", "c ![y](new) ![z](q) d"), ("m", None), ("n", "![x](p)"), ("o", "![x](p)"), ("p", "no marks")]
+
+
+def test_sources_of_repeated_documents(spark):
+    """Points keep their number; of documents of one id the earliest page part counts."""
+    text = "start\n<!-- page 1 of 3 -->\nnothing\n<!-- page 2 of 3 -->\nThe samples were dried in vacuum\n"
+    docs = spark.createDataFrame([("d", text), ("d", text), ("d", "<!-- page 3 of 3 -->\nThe samples were dried in vacuum"), ("d", None), (None, text)], "id string, t string")
+    points = spark.createDataFrame([("d", 1, "samples were dried"), ("d", 1, "samples were dried"), ("d", 2, None), (None, 3, "samples were dried"), ("d", 4, "absent words here")], "id string, point int, quote string")
+    points = points.selectExpr("id", "point", "'text' AS kind", "CAST(NULL AS STRING) AS label", "2 AS page", "quote")
+    got = sorted((r.point, r.found_page) for r in corpus.resolve_sources(points, docs, "t", "id").collect())
+    assert got == [(1, 3), (1, 3), (2, 2), (3, 2), (4, 2)]
 
 
 def test_quotes_of_odd_rows(spark):
