@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -68,25 +70,36 @@ def fetch_cost(references, cited):
     return (F.ceil(references / 100) + F.ceil(F.least(cited, F.lit(400)) / 200)).cast("long")
 
 
-def take_within_budget(df: DataFrame, group: str, cost: str, order: list[str], budget: int) -> DataFrame:
+def take_within_budget(df: DataFrame, group: str, cost: str, order: list, budget: int) -> DataFrame:
     """Items in priority order that still fit the group's budget; one that doesn't is skipped and later
-    ones may fit. That order is sequential within a search, so each search is one task, fed in
-    slices of its sorted rows."""
-    schema = df.schema
-
-    def run(batches_):
-        left, last = budget, object()
-        for pdf in batches_:
+    ones may fit. Costs are whole numbers: free ones always fit, null ones never do, negative ones are an
+    error. What is left never grows, so the items taken of one cost are the first of that cost, at most
+    budget / cost of them: all others are dropped beforehand, by the parts of the input and then by
+    (group, cost), and the pass in order sees some budget * ln(budget) items of a group, whatever its
+    size. A null group is a group; an empty table gives an empty one; items of equal order may be taken in
+    any order."""
+    paid = F.when(F.col(cost) >= 0, F.col(cost)).otherwise(F.raise_error(F.lit("a cost is negative")).cast("long"))
+    # as written the check would be dropped with the column
+    checked = df.filter(F.col(cost).isNotNull()).withColumn("__paid", paid).filter("__paid >= 0")
+    free = checked.filter("__paid = 0").drop("__paid") if budget >= 0 else df.limit(0)
+    most = F.floor(F.lit(budget) / F.col("__paid"))
+    left = checked.filter(F.col("__paid").between(1, budget)).withColumn("__part", F.spark_partition_id())
+    for keys in ([group, "__paid", "__part"], [group, "__paid"]):
+        left = left.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("__n") <= most).drop("__n")
+    left = left.drop("__paid", "__part")
+
+    def run(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest, last = budget, object()
+        for batch in batches_:
             keep = []
-            for g, c in zip(pdf[group], pdf[cost]):
+            for g, c in zip(batch.column(group).to_pylist(), batch.column(cost).to_pylist()):
                 if g != last:
-                    left, last = budget, g
-                ok = c <= left
-                left -= c if ok else 0
-                keep.append(ok)
-            yield pdf[pd.Series(keep, index=pdf.index, dtype=bool)]
+                    rest, last = budget, g
+                keep.append(c <= rest)
+                rest -= c if keep[-1] else 0
+            yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return df.repartition(group).sortWithinPartitions(group, *order).mapInPandas(run, schema)
+    return left.repartition(group).sortWithinPartitions(group, *order).mapInArrow(run, df.schema).unionByName(free)
 
 
 def search_stats(nodes: DataFrame) -> DataFrame:

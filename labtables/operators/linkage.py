@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
@@ -121,22 +122,98 @@ def link_candidates(
     return out.filter("quality is not null")
 
 
-def assign_greedy(candidates: DataFrame, group: Sequence[str], rounds: int | None = None) -> DataFrame:
+#: Candidates of one group, or of one component of a larger group, that a task takes in order.
+PASS_CANDIDATES = 200_000
+
+
+def closest_first() -> list[Column]:
+    return [F.col("distance").asc_nulls_last(), F.col("pred_id"), F.col("gold_id")]
+
+
+def assign_greedy(candidates: DataFrame, group: Sequence[str], rounds: int | None = None, pass_candidates: int = PASS_CANDIDATES) -> DataFrame:
     """One-to-one links, the closest first (ties by pred_id, then gold_id), as a sequential greedy pass
-    takes them. Each round takes every pair that is the best left for both of its rows; with a total
-    order that gives the greedy result, and a group's size matters to no single task. The best pair left
-    of a group is always taken, so rounds end; a chain of pairs, each better than the next, takes one
-    round a pair. Null groups are one group, and a null row of either side is a row of its own kind;
-    distances of null come last; an empty table gives no links."""
+    takes them. Links of different groups, and of different connected components of a group, don't touch
+    each other: groups of at most `pass_candidates` candidates are taken in order by one shuffle; larger ones
+    are parted into components first, which are taken so in turn; only components that are larger still
+    go through assign_in_rounds (at most `rounds` of them, if given). All three give the same links. Null
+    groups are one group, and a null row of either side is a row of its own kind; distances of null come
+    last; an empty table gives no links."""
+    names = list(candidates.columns)
+    sizes = candidates.groupBy(*group).agg(F.count(F.lit(1)).alias("__size"))
+    large = cut(sizes.filter(F.col("__size") > pass_candidates).select(*[F.col(c).alias(f"__{c}") for c in group]))
+    same = [candidates[c].eqNullSafe(large[f"__{c}"]) for c in group]
+    if large.isEmpty():
+        return take_in_order(candidates, group)
+    rest = take_in_order(candidates.join(large, same, "left_anti"), group)
+    labelled = with_components(cut(candidates.join(large, same, "left_semi")), group)
+    parts = labelled.groupBy("__part").agg(F.count(F.lit(1)).alias("__size"))
+    giants = cut(parts.filter(F.col("__size") > pass_candidates).select("__part"))
+    small = take_in_order(labelled.join(giants, "__part", "left_anti"), ["__part", *group]).select(*names)
+    out = rest.unionByName(small)
+    if giants.isEmpty():
+        return out
+    return out.unionByName(assign_in_rounds(labelled.join(giants, "__part", "left_semi").select(*names), group, rounds))
+
+
+def take_in_order(candidates: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Greedy links of each distinct `keys`, all candidates of which are read by one task, sorted and
+    in slices; it keeps the rows that are taken so far."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, used = None, (set(), set())
+        for batch in batches:
+            keep = []
+            groups = zip(*[batch.column(k).to_pylist() for k in keys]) if keys else ((),) * batch.num_rows
+            for key, p, g in zip(groups, batch.column("pred_id").to_pylist(), batch.column("gold_id").to_pylist()):
+                if key != last:
+                    last, used = key, (set(), set())
+                free = p not in used[0] and g not in used[1]
+                keep.append(free)
+                if free:
+                    used[0].add(p)
+                    used[1].add(g)
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    dealt = candidates.repartition(*keys) if keys else candidates.repartition(1)
+    return dealt.sortWithinPartitions(*keys, *closest_first()).mapInArrow(run, candidates.schema)
+
+
+def with_components(candidates: DataFrame, group: Sequence[str]) -> DataFrame:
+    """The candidates with __part, the same for all of a connected component. Rows are named by 64-bit
+    hashes: two components that share a name by chance are taken as one, which gives the same links.
+    Each round leads every row to the least neighbour, then to that one's, until nothing changes; so
+    rounds are about the logarithm of the longest chain, and no row's neighbours are gathered."""
+    name = lambda side, c: F.xxhash64(F.lit(side), *group, F.col(c).isNull(), c)
+    named = cut(candidates.withColumns({"__p": name("p", "pred_id"), "__g": name("g", "gold_id")}))
+    edges = named.select(F.col("__p").alias("u"), F.col("__g").alias("v")).distinct()
+    edges = cut(edges.union(edges.select("v", "u")))
+    while True:
+        # large star: every larger neighbour of u is led to the least of u and its neighbours
+        least = edges.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        stars = edges.join(least, "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+        # small star: every smaller neighbour of a, and a, are led to the least of them
+        low = stars.groupBy("a").agg(F.min("b").alias("m"))
+        led = stars.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
+        fresh = cut(led.select(F.col("a").alias("u"), F.col("b").alias("v")).union(led.select("b", "a")))
+        changed = not fresh.join(edges, ["u", "v"], "left_anti").isEmpty() or not edges.join(fresh, ["u", "v"], "left_anti").isEmpty()
+        edges = fresh
+        if not changed:
+            break
+    roots = edges.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("__part"))
+    return cut(named.join(roots, named["__p"] == roots["u"]).drop("__p", "__g", "u"))
+
+
+def assign_in_rounds(candidates: DataFrame, group: Sequence[str], rounds: int | None = None) -> DataFrame:
+    """assign_greedy by rounds over all rows: each takes every pair that is the best left for both of its
+    rows. The best pair left of a group is always taken, so rounds end; a chain of pairs, each better than
+    the next, takes one round a pair."""
     left, taken, n = candidates, None, 0
-    order = [F.col("distance").asc_nulls_last(), F.col("pred_id"), F.col("gold_id")]
 
     def without(rows: DataFrame, used: DataFrame, names: list[str]) -> DataFrame:
         keys = used.select(*[F.col(c).alias(f"__{c}") for c in names]).distinct()
         return rows.join(keys, [rows[c].eqNullSafe(keys[f"__{c}"]) for c in names], "left_anti")
 
     while True:
-        best = lambda side: F.row_number().over(Window.partitionBy(*group, side).orderBy(*order)) == 1
+        best = lambda side: F.row_number().over(Window.partitionBy(*group, side).orderBy(*closest_first())) == 1
         mutual = cut(left.withColumn("a", best("pred_id")).withColumn("b", best("gold_id")).filter("a and b").drop("a", "b"))
         n += 1
         if mutual.isEmpty() or n == rounds:
@@ -147,20 +224,7 @@ def assign_greedy(candidates: DataFrame, group: Sequence[str], rounds: int | Non
 
 def assign_greedy_grouped(candidates: DataFrame, group: Sequence[str]) -> DataFrame:
     """assign_greedy with each group in one task, for groups that are known to be small."""
-    names = [*group, "pred_id", "gold_id", "distance", "quality"]
-
-    def take(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["distance", "pred_id", "gold_id"], kind="stable")
-        used_p, used_g, keep = set(), set(), []
-        for p, g in zip(pdf.pred_id, pdf.gold_id):
-            ok = p not in used_p and g not in used_g
-            keep.append(ok)
-            if ok:
-                used_p.add(p)
-                used_g.add(g)
-        return pdf[keep]
-
-    return candidates.select(*names).groupBy(*group).applyInPandas(take, candidates.select(*names).schema)
+    return take_in_order(candidates.select(*group, "pred_id", "gold_id", "distance", "quality"), group)
 
 
 def missed_rows(gold: DataFrame, links: DataFrame, group: Sequence[str], gold_id: str, columns: Sequence[str]) -> DataFrame:

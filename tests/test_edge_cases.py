@@ -271,16 +271,6 @@ def test_identifiers_must_differ(spark):
         src.require_unique(df, "id", "label").collect()
 
 
-def test_matrix_in_several_passes(spark, monkeypatch):
-    draw = random.Random(2)
-    names = [f"c{i}" for i in range(7)]
-    df = spark.createDataFrame([tuple(None if draw.random() < 0.2 else draw.random() for _ in names) for _ in range(50)], ", ".join(f"{n} double" for n in names))
-    plain = lambda m: sorted((r.label_a, r.label_b, round(r.r, 9), r.n) for r in m.collect())
-    whole = plain(stats.corr_matrix(df, names))
-    monkeypatch.setattr(stats, "PAIRS_A_PASS", 5)
-    assert plain(stats.corr_matrix(df, names)) == whole and len(whole) == 49
-
-
 def test_batches_of_a_large_search(spark):
     rows = [(i, "big" if i % 10 else None, i * 31 % 97) for i in range(300)]
     df = spark.createDataFrame(rows, "i int, s string, v int").repartition(5)
