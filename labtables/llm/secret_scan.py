@@ -40,36 +40,29 @@ class EntropyClass:
     bits: float
 
 
-#: Hexadecimal in capitals too (the base kind is lower case only), and base 64 in both alphabets.
+#: Words of examples. They part base-64 runs at their first letter, so that a secret beside one is looked
+#: at by itself.
+WORDS = "example|placeholder|your_|dummy|xxxx|0123456789|abcdefghij"
+RUN = "[0-9A-Za-z+/_=-]"
+#: Hexadecimal in capitals too (the base kind is lower case only), ended by letters and digits alone, as a
+#: secret may stand in an address or an assignment; and base 64 in both alphabets.
 ENTROPY_CLASSES = (
-    EntropyClass("entropy_hex", r"(?<![0-9A-Za-z+/_=-])[0-9A-Fa-f]{24,}(?![0-9A-Za-z+/_=-])", 24, 3.0),
-    EntropyClass("entropy_base64", r"[0-9A-Za-z+/_=-]{20,}", 20, 3.7),
+    EntropyClass("entropy_hex", r"(?<![0-9A-Za-z])[0-9A-Fa-f]{24,}(?![0-9A-Za-z])", 24, 3.0),
+    EntropyClass("entropy_base64", rf"(?={RUN}{{20}})(?:(?!(?i:{WORDS})){RUN}){{20,}}+", 20, 3.7),
 )
 #: Candidates that match any of these are no secrets: they lack a digit or a letter, hold the words of
-#: examples, count upwards, or are paths of short words or dashed ids as addresses have.
+#: examples, or are dashed ids or paths as addresses have, of short pieces that are all letters or all
+#: digits.
 ALLOWED = (
     r"^[^0-9]*$",
     r"^[^A-Za-z]*$",
-    r"(?i)example|placeholder|your_|dummy|xxxx",
-    r"(?i)0123456789|abcdefghij",
+    rf"(?i){WORDS}",
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
-    PATH := r"^[A-Za-z0-9]{0,14}([/_=-]+[A-Za-z0-9]{0,14}){2,}$",
-)
-#: For redaction, where a secret may stand beside other parts of an address or an assignment: runs of
-#: hexadecimal digits end at letters and digits only; the words of examples part base-64 runs, so that
-#: what stands beside them is looked at by itself; and paths are of pieces that are all letters or all
-#: digits. The SQL of the report holds the classes and rules above, so the report keeps them.
-PART_WORDS = r"(?i:example|placeholder|your_|dummy|xxxx|0123456789|abcdefghij)"
-PART_CLASSES = (
-    EntropyClass("entropy_hex", r"(?<![0-9A-Za-z])[0-9A-Fa-f]{24,}(?![0-9A-Za-z])", 24, 3.0),
-    EntropyClass("entropy_base64", rf"(?=[0-9A-Za-z+/_=-]{{20}})(?:(?!{PART_WORDS})[0-9A-Za-z+/_=-]){{20,}}+", 20, 3.7),
+    PATH := r"^(?:[A-Za-z]{0,14}|[0-9]{0,14})(?:[/_=-]+(?:[A-Za-z]{0,14}|[0-9]{0,14})){2,}$",
 )
-PART_PATH = r"^(?:[A-Za-z]{0,14}|[0-9]{0,14})(?:[/_=-]+(?:[A-Za-z]{0,14}|[0-9]{0,14})){2,}$"
-PART_ALLOWED = (*ALLOWED[:-1], PART_PATH)
-#: The path rules for the JVM, whose matcher recurses at each turn of a repeated group and so fails on
+#: The path rule for the JVM, whose matcher recurses at each turn of a repeated group and so fails on
 #: long runs: of base-64 characters, what must be found and what must not.
-TWO_SEPARATORS = r"[/_=-][^/_=-]*[/_=-]"
-BY_PIECES = {PATH: (TWO_SEPARATORS, r"\+|[A-Za-z0-9]{15}"), PART_PATH: (TWO_SEPARATORS, r"\+|[A-Za-z0-9]{15}|[A-Za-z][0-9]|[0-9][A-Za-z]")}
+BY_PIECES = {PATH: (r"[/_=-][^/_=-]*[/_=-]", r"\+|[A-Za-z0-9]{15}|[A-Za-z][0-9]|[0-9][A-Za-z]")}
 SCALE = 1_000_000
 #: Counts of a window are held so many bits each, in SLOTS integers of 64 bits.
 COUNT_BITS, SLOTS = 5, 8
@@ -218,12 +211,12 @@ def secret_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def redact_secrets(docs: DataFrame, text_col: str = "text", mark: str = "[secret]", **options) -> DataFrame:
     """`docs` with each stretch of `text_col` that spans cover replaced by `mark`; overlapping and
-    touching spans are one stretch. Texts without spans stay as they are, null included. Runs are
-    looked at part by part (PART_CLASSES, PART_ALLOWED) unless options say otherwise."""
+    touching spans are one stretch. Texts without spans stay as they are, null included; repeated rows
+    give equal rows, an empty table an empty one; other columns stay, whatever their names."""
     kept = "__spans"
     while kept in docs.columns:
         kept += "_"
-    found = secret_spans(docs, text_col, out=kept, **{"classes": PART_CLASSES, "allowed": PART_ALLOWED} | options)
+    found = secret_spans(docs, text_col, out=kept, **options)
     text, spans = F.col(text_col), F.col(kept)
     clean = F.when(F.size(spans) > 0, F.array_join(let(stretches(spans), lambda m: pieces_between(text, m)), mark)).otherwise(text)
     return found.withColumn(text_col, clean).drop(kept)
@@ -264,25 +257,35 @@ def pieces_between(text: Column, cover: Column) -> Column:
 
 def oracle() -> str:
     """secret_report of documents in DuckDB's SQL: positions from pieces between matches, and each
-    window's entropy from a histogram of its own."""
+    window's entropy from a histogram of its own. Base-64 runs are masked where a word of examples begins,
+    and what is left of them is matched again; hexadecimal candidates are whole runs of letters and
+    digits."""
     rules = "|".join(f"(?:{a})" for a in ALLOWED)
     quoted = lambda x: "'" + x.replace("'", "''") + "'"
-    runs, parts = r"[0-9A-Za-z+/_=-]{20,}", []
-    for i, (_, pattern, group, least) in enumerate(BASE_KINDS):
-        parts.append(f"SELECT doc_id, {i} AS kind, {least} AS least, regexp_extract_all(t, {quoted(pattern)}, 0) AS hits, regexp_extract_all(t, {quoted(pattern)}, {group}) AS sized, string_split_regex(t, {quoted(pattern)}) AS gaps FROM d WHERE regexp_matches(t, {quoted(pattern)})")
-    parts.append(f"SELECT doc_id, {len(BASE_KINDS)}, 0, regexp_extract_all(t, {quoted(runs)}, 0), NULL, string_split_regex(t, {quoted(runs)}) FROM d WHERE regexp_matches(t, {quoted(runs)})")
+    base, n = BASE_KINDS, len(BASE_KINDS)
+
+    def matches(kind: int, least: int, pattern: str, sized: str, text: str = "t", rows: str = "d", keep: str = "0 AS begin") -> str:
+        p = quoted(pattern)
+        return f"SELECT doc_id, {keep}, {kind} AS kind, {least} AS least, regexp_extract_all({text}, {p}, 0) AS hits, {sized} AS sized, string_split_regex({text}, {p}) AS gaps FROM {rows} WHERE regexp_matches({text}, {p})"
+
+    def placed(rows: str) -> str:
+        at = "CAST(begin + list_sum([length(g) for g in gaps[1:nth + 1]]) + coalesce(list_sum([length(h) for h in hits[1:nth]]), 0) AS BIGINT)"
+        return f"SELECT doc_id, kind, hits[nth + 1] AS hit, {at} AS start, sized IS NULL OR length(sized[nth + 1]) >= least AS ok FROM (SELECT *, unnest(range(len(hits))) AS nth FROM {rows})"
+
+    whole = [matches(i, least, pattern, f"regexp_extract_all(t, {quoted(pattern)}, {group})") for i, (_, pattern, group, least) in enumerate(base)]
+    whole += [matches(n, 0, "[0-9A-Za-z]{24,}", "NULL"), matches(n + 1, 0, f"{RUN}{{20,}}", "NULL")]
+    masked = f"array_to_string([CASE WHEN regexp_matches(substring(hit, i, 12), {quoted(f'^(?i:{WORDS})')}) THEN ' ' ELSE hit[i] END for i in range(1, length(hit) + 1)], '')"
     hot = []
     for i, c in enumerate(ENTROPY_CLASSES):
         most = math.floor((math.log2(c.window) - c.bits) * c.window * SCALE)
         own = "regexp_full_match(hit, '[0-9A-Fa-f]{24,}')" if c.name == "entropy_hex" else "true"
-        hot.append(f"""SELECT doc_id, {len(BASE_KINDS) + i} AS kind, {quoted(c.name)} AS name, start + min(w) AS start, start + max(w) + {c.window} AS stop FROM (
-SELECT doc_id, nth, start, hit, unnest(range(length(hit) - {c.window} + 1)) AS w FROM s WHERE kind = {len(BASE_KINDS)} AND {own} AND length(hit) >= {c.window} AND NOT regexp_matches(hit, {quoted(rules)}))
-WHERE list_sum([{entropy_terms(c.window)}[CAST(n AS BIGINT) + 1] for n in map_values(list_aggregate(string_split(substring(hit, w + 1, {c.window}), ''), 'histogram'))]) <= {most} GROUP BY doc_id, nth, start""")
-    names = "[" + ", ".join(quoted(k) for k, *_ in BASE_KINDS) + "]"
+        hot.append(f"""SELECT doc_id, {n + i} AS kind, {quoted(c.name)} AS name, start + min(w) AS start, start + max(w) + {c.window} AS stop FROM (
+SELECT doc_id, start, hit, unnest(range(length(hit) - {c.window} + 1)) AS w FROM {"s" if i == 0 else "r"} WHERE kind = {n + i} AND {own} AND NOT regexp_matches(hit, {quoted(rules)}))
+WHERE list_sum([{entropy_terms(c.window)}[CAST(n AS BIGINT) + 1] for n in map_values(list_aggregate(string_split(substring(hit, w + 1, {c.window}), ''), 'histogram'))]) <= {most} GROUP BY doc_id, start""")
+    names = "[" + ", ".join(quoted(k) for k, *_ in base) + "]"
     line = lambda where: f"coalesce(string_agg(name || ':' || start || ':' || stop, ',' ORDER BY start, kind){where}, '')"
-    counts = ", ".join(f"CAST(count(*) FILTER (WHERE kind = {i}) AS BIGINT) AS n_{k}" for i, (k, *_) in enumerate(BASE_KINDS))
-    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), m AS ({" UNION ALL ".join(parts)}),
-x AS (SELECT doc_id, kind, least, hits, sized, gaps, unnest(range(len(hits))) AS nth FROM m),
-s AS (SELECT doc_id, kind, nth, hits[nth + 1] AS hit, CAST(list_sum([length(g) for g in gaps[1:nth + 1]]) + coalesce(list_sum([length(h) for h in hits[1:nth]]), 0) AS BIGINT) AS start, sized IS NULL OR length(sized[nth + 1]) >= least AS ok FROM x),
-a AS (SELECT doc_id, kind, {names}[kind + 1] AS name, start, start + length(hit) AS stop FROM s WHERE ok AND kind < {len(BASE_KINDS)} UNION ALL {" UNION ALL ".join(hot)})
-SELECT d.doc_id, {counts}, sha256({line(f" FILTER (WHERE kind < {len(BASE_KINDS)})")}) AS base_sha256, {line(" FILTER (WHERE kind IS NOT NULL)")} AS spans FROM d LEFT JOIN a ON a.doc_id = d.doc_id GROUP BY d.doc_id"""
+    counts = ", ".join(f"CAST(count(*) FILTER (WHERE kind = {i}) AS BIGINT) AS n_{k}" for i, (k, *_) in enumerate(base))
+    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), m AS ({" UNION ALL ".join(whole)}), s AS ({placed("m")}),
+k AS (SELECT doc_id, start AS begin, {masked} AS run FROM s WHERE kind = {n + 1}), p AS ({matches(n + 1, 0, f"{RUN}{{20,}}", "NULL", "run", "k", "begin")}), r AS ({placed("p")}),
+a AS (SELECT doc_id, kind, {names}[kind + 1] AS name, start, start + length(hit) AS stop FROM s WHERE ok AND kind < {n} UNION ALL {" UNION ALL ".join(hot)})
+SELECT d.doc_id, {counts}, sha256({line(f" FILTER (WHERE kind < {n})")}) AS base_sha256, {line(" FILTER (WHERE kind IS NOT NULL)")} AS spans FROM d LEFT JOIN a ON a.doc_id = d.doc_id GROUP BY d.doc_id"""
