@@ -5,8 +5,9 @@ layer and a softmax give the languages. Stochastic gradient descent in numpy tra
 sample of labelled documents. A temperature fitted on other labelled documents calibrates the scores,
 and a low quantile of their scores is the bound below which a document is rejected.
 
-The mean and the linear layer commute, so prediction needs one row of language scores per bucket
-(embeddings times weights), summed over the n-grams of a whole text in numpy.
+The mean and the linear layer commute, so where languages are few, prediction needs one row of language
+scores per bucket (embeddings times weights), summed over the n-grams of a whole text in numpy; where they
+are more than DIMENSIONS, embeddings are summed, so that a model's size hardly grows with its languages.
 """
 
 from __future__ import annotations
@@ -29,10 +30,10 @@ LENGTHS = (1, 3, 4)
 #: Most labelled documents per language in the training sample, and in the calibration sample.
 TRAIN_ROWS = 600
 CALIBRATION_ROWS = 300
-#: Most languages that a model learns, those of the most labelled documents; and most n-grams by which a
-#: sampled document trains, those of the largest share. What the driver gets is bounded by these four.
-LANGUAGES = 64
-TRAIN_NGRAMS = 4096
+#: Distinct n-grams of all documents of a sample together. Of each language whole documents are taken in
+#: the sample's order while they fit its equal share, one at least; so this and the two numbers
+#: of rows bound what the driver gets, at 8 bytes an n-gram, whatever the number of languages.
+SAMPLE_NGRAMS = 6_000_000
 EPOCHS = 12
 RATE = 4.0
 #: Share of calibration documents that fall below the rejection bound, and the most it can be: a half,
@@ -81,22 +82,22 @@ def joined_codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return codes, starts
 
 
-def text_features(text: str, most: int = TRAIN_NGRAMS) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of a text's n-grams and their shares: the `most` largest of the whole text."""
+def text_features(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of a whole text's n-grams and their shares."""
     codes, _ = joined_codes([text])
     counts = sum(np.bincount(b, minlength=BUCKETS + 1)[:BUCKETS] for b in ngram_buckets(codes))
     at = np.flatnonzero(counts)
-    if len(at) > most:
-        at = np.sort(at[np.argsort(-counts[at], kind="stable")[:most]])
     return at.astype(np.int32), (counts[at] / max(counts[at].sum(), 1)).astype(np.float32)
 
 
 @dataclass
 class LanguageModel:
-    """Languages, scores per bucket (a last row of zeros for "no n-gram"), temperature, bound."""
+    """Languages, a row per bucket (a last row of zeros for "no n-gram") of scores or, with `weights`,
+    embeddings that these turn into scores; temperature, bound."""
 
     languages: list[str]
-    scores: np.ndarray
+    table: np.ndarray
+    weights: np.ndarray | None = None
     temperature: float = 1.0
     bound: float = 0.0
     notes: dict = field(default_factory=dict)
@@ -104,11 +105,12 @@ class LanguageModel:
     def logits(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Uncalibrated scores of each text, and its number of letters."""
         codes, starts = joined_codes(texts)
-        sums, grams = np.zeros((len(texts), len(self.languages))), np.zeros(len(texts))
+        sums, grams = np.zeros((len(texts), self.table.shape[1])), np.zeros(len(texts))
         for b in ngram_buckets(codes):
-            sums += np.add.reduceat(self.scores[b], starts, axis=0, dtype=np.float64)
+            sums += np.add.reduceat(self.table[b], starts, axis=0, dtype=np.float64)
             grams += np.add.reduceat(b < BUCKETS, starts, dtype=np.float64)
-        return sums / np.maximum(grams, 1)[:, None], np.add.reduceat(codes > 0, starts, dtype=np.int64)
+        sums /= np.maximum(grams, 1)[:, None]
+        return sums if self.weights is None else sums @ self.weights, np.add.reduceat(codes > 0, starts, dtype=np.int64)
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         if not texts:
@@ -153,11 +155,14 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray]], held: list[tuple[str,
             embed[at] -= (0.1 * rate * len(at) ** 0.5) * share[:, None] * back
             steps += 1
     embed[~seen] = 0  # n-grams that no document had speak for no language
-    scores = np.concatenate([embed @ weights, np.zeros((1, n), np.float32)]).astype(np.float32)
-    model = LanguageModel(languages, scores)
+    few = n <= DIMENSIONS
+    table = embed @ weights if few else embed
+    table = np.concatenate([table, np.zeros((1, table.shape[1]), np.float32)]).astype(np.float32)
+    model = LanguageModel(languages, table, None if few else weights)
     held = [h for h in held if h[0] in known and len(h[1])]
     if held:
-        logits = np.array([h[2].astype(np.float64) @ scores[h[1]] for h in held])
+        logits = np.array([h[2].astype(np.float64) @ table[h[1]] for h in held])
+        logits = logits if few else logits @ weights
         truth = np.array([known[h[0]] for h in held])
         loss = lambda t: -np.log(np.maximum(softmax(logits / t)[np.arange(len(truth)), truth], 1e-12)).mean()
         model.temperature = float(min(np.geomspace(0.05, 5, 60), key=loss))
@@ -174,14 +179,13 @@ def fold(id_col: str, folds: int = 4) -> Column:
 def labelled_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, samples: dict[str, tuple[Column, int]]) -> dict[str, list[tuple[str, np.ndarray, np.ndarray]]]:
     """For each of `samples` (which rows, how many per language) the features of labelled documents, those
     of lowest hash of id and text; rows that repeat both count once. The labels are counted in one pass;
-    in another, texts of low hashes are read whole. The driver gets one bounded vector per
-    chosen document."""
+    in another, texts of low hashes are read whole. The driver gets a row per label, and vectors of
+    SAMPLE_NGRAMS n-grams and one document a language at most."""
     part = F.coalesce(*[F.when(keep, F.lit(name)) for name, (keep, _) in samples.items()])
     known = docs.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t"), F.col(lang_col).cast("string").alias("l"), part.alias("part"))
     known = known.filter("part is not null and l is not null and t is not null")
     counts = known.groupBy("part", "l").agg(F.count(F.lit(1)).alias("n"))
-    every = counts.groupBy("l").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "l").limit(LANGUAGES)
-    found = counts.join(F.broadcast(every.select("l")), "l").collect()  # LANGUAGES rows per sample
+    found = counts.collect()
     if not found:
         return {name: [] for name in samples}
     # about one and a half times as many as wanted pass, so that few texts are shuffled
@@ -200,8 +204,10 @@ def labelled_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str,
     # vectors are made where texts are read, so that no text is shuffled
     vectors = some.select("part", "l", "h", "t").mapInArrow(run, "part string, l string, h long, at binary, share binary").dropDuplicates(["part", "l", "h"])
     wanted = F.coalesce(*[F.when(F.col("part") == name, F.lit(rows)) for name, (_, rows) in samples.items()])
-    first = F.row_number().over(Window.partitionBy("part", "l").orderBy("h"))
-    got = sorted(vectors.withColumn("nth", first).filter(F.col("nth") <= wanted).collect(), key=lambda r: (r.part, r.l, r.nth))
+    by = Window.partitionBy("part", "l").orderBy("h")
+    placed = vectors.withColumns({"nth": F.row_number().over(by), "grams": F.sum(F.length("at") / 4).over(by.rowsBetween(Window.unboundedPreceding, 0))})
+    fits = (F.col("nth") == 1) | (F.col("grams") <= SAMPLE_NGRAMS / len({r.l for r in found}))
+    got = sorted(placed.filter((F.col("nth") <= wanted) & fits).drop("grams").collect(), key=lambda r: (r.part, r.l, r.nth))
     return {name: [(r.l, np.frombuffer(r["at"], np.int32), np.frombuffer(r["share"], np.float32)) for r in got if r.part == name and len(r["at"])] for name in samples}
 
 
@@ -224,7 +230,7 @@ def predict_language(docs: DataFrame, model: LanguageModel, id_col: str = "doc_i
     bound). Whole texts count; empty tables give no rows; repeated rows give equal rows; kept columns of
     the results' names give way to the results."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)  # BUCKETS rows of one number per language
+    shared = spark.sparkContext.broadcast(model)  # BUCKETS rows of at most DIMENSIONS numbers
     carried = [id_col, *[k for k in keep if k not in (id_col, "lang_pred", "score", "rejected")]]
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carried)
 

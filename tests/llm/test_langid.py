@@ -32,7 +32,7 @@ def plain_scores(model, text):
             for c in gram:
                 h = (h ^ c) * 0x85EBCA6B & 0xFFFFFFFF
                 h ^= h >> 15
-            row = model.scores[(h * 0xC2B2AE35 & 0xFFFFFFFF) >> (32 - langid.BUCKET_BITS)]
+            row = model.table[(h * 0xC2B2AE35 & 0xFFFFFFFF) >> (32 - langid.BUCKET_BITS)]
             total, n = [a + float(b) for a, b in zip(total, row)], n + 1
     logits = [x / max(n, 1) / model.temperature for x in total]
     e = [np.exp(x - max(logits)) for x in logits]
@@ -67,10 +67,36 @@ def test_odd_rows(spark):
     assert found["en"] == found["fr"] == 5 and 1 <= found["de"] <= 3  # de has three different rows
 
 
-def test_bounded_features():
+def test_whole_features():
     text = " ".join(f"{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}q" for i in range(17_000))
     at, share = langid.text_features(text)
-    assert len(at) == langid.TRAIN_NGRAMS and abs(share.sum() - 1) < 1e-3
+    assert len(at) > 20_000 and abs(share.sum() - 1) < 1e-3
+
+
+def test_many_languages(spark):
+    """Over a hundred languages are all learnt and told apart, from embeddings."""
+    names = [f"l{i:03}" for i in range(120)]
+    word = lambda i, k: "".join(chr(97 + (i * 7 + k * 3 + j * (i % 5 + 1)) % 26) for j in range(5 + k % 3))
+    rows = [(k * 120 + i, " ".join(word(i, (k * 11 + m) % 9) for m in range(30)), name) for i, name in enumerate(names) for k in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit_language_model(df)
+    assert model.languages == names and model.table.shape[1] == langid.DIMENSIONS
+    got = langid.predict_language(df, model, keep=("lang",)).collect()
+    assert np.mean([r.lang_pred == r.lang for r in got]) > 0.9
+
+
+def test_bounded_sample(spark, monkeypatch):
+    """A language's documents end where its share of n-grams does, the first one aside."""
+    rows = [(i, " ".join(f"w{chr(97 + i % 26)}{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(200)), "ab"[i % 2]) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    take = lambda: langid.labelled_sample(df, "doc_id", "text", "lang", {"all": (langid.F.lit(True), 50)})["all"]
+    whole = take()
+    assert len(whole) == 60
+    monkeypatch.setattr(langid, "SAMPLE_NGRAMS", 2 * sum(len(r[1]) for r in whole[:3]))
+    some = take()
+    assert {r[0] for r in some} == {"a", "b"} and 2 <= len(some) < 20
+    monkeypatch.setattr(langid, "SAMPLE_NGRAMS", 1)
+    assert [r[0] for r in take()] == ["a", "b"]
 
 
 def test_calibrated_rejection(spark):
