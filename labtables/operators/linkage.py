@@ -295,12 +295,28 @@ def map_papers(files: DataFrame, papers: DataFrame, strict: bool = False) -> Dat
 
 def match_key(points: DataFrame, key: DataFrame, group: Sequence[str], t_tol: float = 0.051, share: float = 0.006, least: float = 5e-5) -> DataFrame:
     """Candidates of match_points: all pairs of points (group, id, t, x) and key rows (group, key_id, t,
-    x) of the same group, t closer than t_tol, x within a share of the key's or `least`. A range join
-    on buckets of t."""
-    p = points.select(*group, F.col("id").alias("pred_id"), F.col("t").alias("pt"), F.col("x").alias("px"), F.floor(F.col("t") / t_tol).alias("slot"))
-    k = key.select(*group, F.col("key_id").alias("gold_id"), F.col("t").alias("kt"), F.col("x").alias("kx"), F.floor(F.col("t") / t_tol).alias("ks")).withColumn("slot", F.explode(F.array(F.col("ks") - 1, F.col("ks"), F.col("ks") + 1)))
-    near = (F.abs(F.col("pt") - F.col("kt")) < t_tol) & ((F.abs(F.col("px") - F.col("kx")) <= share * F.abs(F.col("kx"))) | (F.abs(F.col("px") - F.col("kx")) < least))
-    found = p.join(k, [*group, "slot"]).filter(near)
+    x) of the same group, t closer than t_tol, x within a share of the key's or closer than `least`. A join
+    on buckets of both t and x, so that points of one t meet only key rows of about their x: of the
+    logarithm of x for the share, of x itself for `least`; a pair that both find counts once."""
+    p = points.select(*group, F.col("id").alias("pred_id"), F.col("t").cast("double").alias("pt"), F.col("x").cast("double").alias("px"))
+    k = key.select(*group, F.col("key_id").alias("gold_id"), F.col("t").cast("double").alias("kt"), F.col("x").cast("double").alias("kx"))
+    around = lambda slot: F.explode(F.array(slot - 1, slot, slot + 1))
+    p, k = p.withColumn("slot", F.floor(F.col("pt") / t_tol)), k.withColumn("slot", around(F.floor(F.col("kt") / t_tol)))
+    apart = F.abs(F.col("px") - F.col("kx"))
+    like, close = apart <= share * F.abs(F.col("kx")), apart < least
+    near_t = F.abs(F.col("pt") - F.col("kt")) < t_tol
+    if share >= 1:
+        found = p.join(k, [*group, "slot"]).filter(near_t & (like | close))
+    else:
+        # within a share: signs are equal and logarithms differ by less than a bucket; zero meets zero
+        width = -math.log1p(-share) * 1.000001 or 1e-9
+        size = lambda c: F.when(c == 0, F.lit(0)).otherwise(F.floor(F.log(F.abs(c)) / width))
+        left, right = (df.withColumns({"sign": F.signum(x), "size": size(F.col(x))}) for df, x in ((p, "px"), (k, "kx")))
+        found = left.join(right.withColumn("size", around(F.col("size"))), [*group, "slot", "sign", "size"]).filter(near_t & like).drop("sign", "size")
+        if least > 0:
+            step = least * 1.000001
+            by_x = p.withColumn("place", F.floor(F.col("px") / step)).join(k.withColumn("place", around(F.floor(F.col("kx") / step))), [*group, "slot", "place"])
+            found = found.unionByName(by_x.filter(near_t & close & ~like).drop("place"))
     return found.select(*group, "pred_id", "gold_id", F.col("pred_id").cast("double").alias("distance"), F.lit("exact").alias("quality"))
 
 

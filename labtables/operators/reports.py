@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import cut
+
 
 def valid_calls(calls: DataFrame) -> DataFrame:
     """Calls (stop_reason, prompt_tokens, chars) with a verdict: truncated at the output limit,
@@ -15,18 +17,48 @@ def valid_calls(calls: DataFrame) -> DataFrame:
     return calls.withColumn("verdict", verdict)
 
 
+def medians(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """keys and median_COLUMN of each column, exact, by selection: equal values are counted first, the
+    counts are sorted by ranges and added up by range, and of each group only the values at its
+    middle places are looked at. So no task holds a group, whatever its size. Null values don't
+    count, a column without values has a null median, and null keys are a group."""
+    values = df.select(*[F.col(k) for k in keys], *[F.col(c).cast("double").alias(c) for c in columns]).unpivot(list(keys), list(columns), "__column", "__value")
+    by = [*keys, "__column"]
+    counted = values.filter("__value is not null").groupBy(*by, "__value").agg(F.count(F.lit(1)).alias("__n"))
+    ranged = cut(counted.orderBy(*by, "__value")).withColumn("__range", F.shiftright(F.monotonically_increasing_id(), 33))
+    inner = Window.partitionBy("__range", *by).orderBy("__value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    group = Window.partitionBy(*[f"__of_{k}" for k in by])
+    ranges = ranged.groupBy("__range", *by).agg(F.sum("__n").alias("__sum")).select(F.col("__range").alias("__of"), *[F.col(k).alias(f"__of_{k}") for k in by], "__sum")
+    ranges = ranges.withColumn("__before", F.sum("__sum").over(group.orderBy("__of").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("__sum")).withColumn("__all", F.sum("__sum").over(group))
+    middle = lambda up: F.floor((F.col("__all") - 1 + up) / 2)
+    # a range that holds neither middle place of its group goes
+    ranges = ranges.filter((F.col("__before") <= middle(1)) & (middle(0) < F.col("__before") + F.col("__sum")))
+    same = [ranged["__range"] == ranges["__of"], *[ranged[k].eqNullSafe(ranges[f"__of_{k}"]) for k in by]]
+    placed = ranged.join(ranges, same).withColumn("__end", F.col("__before") + F.sum("__n").over(inner))
+    has = lambda up: (F.col("__end") - F.col("__n") <= middle(up)) & (middle(up) < F.col("__end"))
+    found = placed.groupBy(*by).agg(((F.max(F.when(has(0), F.col("__value"))) + F.max(F.when(has(1), F.col("__value")))) / 2).alias("__median"))
+    return found.groupBy(*keys).agg(*[F.max(F.when(F.col("__column") == c, F.col("__median"))).alias(f"median_{c}") for c in columns])
+
+
+def with_medians(totals: DataFrame, df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """A roll-up by `keys` with the medians of its rows."""
+    middle = medians(df, keys, columns).select(*[F.col(k).alias(f"__{k}") for k in keys], *[f"median_{c}" for c in columns])
+    return totals.join(middle, [totals[k].eqNullSafe(middle[f"__{k}"]) for k in keys], "left").drop(*[f"__{k}" for k in keys])
+
+
 def arm_summary(runs: DataFrame, arm: str = "arm") -> DataFrame:
     """Per arm of runs (ok, seconds, prompt_tokens, output_tokens, rows, nulls, fields, zeros, negatives):
     counts, medians, totals and shares. Runs with the columns prefill_seconds, decode_seconds or filled
     (cells with a value) get their medians and the share of cells that are filled."""
     has = set(runs.columns)
-    phases = [F.median(c).alias(f"median_{c}") for c in ("prefill_seconds", "decode_seconds") if c in has]
+    phases = [c for c in ("prefill_seconds", "decode_seconds") if c in has]
     share = lambda a, b: F.try_divide(F.sum(a).cast("double"), F.sum(b))
-    return runs.groupBy(arm).agg(
-        F.count(F.lit(1)).alias("runs"), F.count_if("ok").alias("ok"), F.median("seconds").alias("median_seconds"), F.sum("prompt_tokens").alias("prompt_tokens"), F.sum("output_tokens").alias("output_tokens"),
+    totals = runs.groupBy(arm).agg(
+        F.count(F.lit(1)).alias("runs"), F.count_if("ok").alias("ok"), F.sum("prompt_tokens").alias("prompt_tokens"), F.sum("output_tokens").alias("output_tokens"),
         share("output_tokens", "rows").alias("tokens_per_row"), share("nulls", "fields").alias("null_share"), F.sum("zeros").alias("zeros"), F.sum("negatives").alias("negatives"),
-        *phases, *[share("filled", "fields").alias("filled_share")] * ("filled" in has),
+        *[share("filled", "fields").alias("filled_share")] * ("filled" in has),
     )
+    return with_medians(totals, runs, [arm], ["seconds", *phases])
 
 
 def mode_totals(metrics: DataFrame, stratum: str, mode: str, columns: Sequence[str]) -> DataFrame:
@@ -43,7 +75,9 @@ def digitised_share(metrics: DataFrame, stratum: str, mode: str, modes: Sequence
 
 
 def pair_summary(pairs: DataFrame, a: str, b: str) -> DataFrame:
-    return pairs.groupBy(a, b).agg(F.median("similarity").alias("median_similarity"), F.sum("only_a").alias("only_a"), F.sum("only_b").alias("only_b"), F.count(F.lit(1)).alias("n"))
+    """Per pair of modes the median similarity, sums of numbers only in one, and the number of papers."""
+    totals = pairs.groupBy(a, b).agg(F.sum("only_a").alias("only_a"), F.sum("only_b").alias("only_b"), F.count(F.lit(1)).alias("n"))
+    return with_medians(totals, pairs, [a, b], ["similarity"])
 
 
 def parse_stats(manifests: DataFrame) -> DataFrame:

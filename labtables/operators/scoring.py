@@ -7,8 +7,6 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Most groups of fields, which are declared by hand.
-GROUPS = 1000
 OUTCOMES = ("correct", "near", "wrong", "missing", "extra")
 
 
@@ -20,18 +18,23 @@ def _totals() -> list[Column]:
 
 def group_totals(cells: DataFrame, keys: Sequence[str], groups: DataFrame, digits: int = 4) -> DataFrame:
     """Counts and scores of cells (column, outcome, unmatched) per key and field group. groups
-    (column, group) may put a column into several groups, so roll-ups are groups too, and groups
-    without cells appear. accuracy is over matched rows, loose adds near, recall counts unmatched
-    golden cells as missing. There are GROUPS groups at most."""
-    named = cells.join(groups, "column")
-    found = named.groupBy(*keys, "group").agg(*_totals())
-    every = groups.select("group").distinct()
-    if keys:
-        names = [r.group for r in every.limit(GROUPS + 1).collect()]
-        if len(names) > GROUPS:
-            raise ValueError(f"more than {GROUPS} groups of fields")
-        every = cells.select(*keys).distinct().withColumn("group", F.explode(F.array(*[F.lit(n) for n in names]).cast("array<string>")))
-    out = every.join(found, [*keys, "group"], "left").na.fill(0)
+    (column, group), which are declared by hand, may put a column into several groups, so roll-ups are
+    groups too, and groups without cells appear. accuracy is over matched rows, loose adds near, recall
+    counts unmatched golden cells as missing. Cells are read once: they are counted by key and
+    column, and a key's columns, no more than there are fields, are added up by group within its row."""
+    members: dict[str, set[str]] = {}
+    for r in groups.select("group", "column").distinct().collect():
+        members.setdefault(r["group"], set()).add(r["column"])
+    names = [c for c in (*OUTCOMES, "missing_unmatched_rows")]
+    fields = F.col("column").isin(sorted(set().union(*members.values())))
+    counted = cells.withColumn("column", F.when(fields, F.col("column"))).groupBy(*keys, "column").agg(*_totals())
+    rows = counted.groupBy(*keys).agg(F.collect_list(F.struct("column", *names)).alias("__columns"))
+    every = F.array(*[F.struct(F.lit(g).alias("group"), F.array(*map(F.lit, sorted(c))).alias("members")) for g, c in sorted(members.items())])
+    zero = F.struct(*[F.lit(0).cast("long").alias(n) for n in names])
+    own = lambda g: F.filter("__columns", lambda c: F.array_contains(g["members"], c["column"]))
+    total = lambda g: F.aggregate(own(g), zero, lambda s, c: F.struct(*[(s[n] + c[n]).alias(n) for n in names]))
+    sums = F.transform(every, lambda g: F.struct(g["group"].alias("group"), total(g).alias("sums")))
+    out = rows.select(*keys, F.inline(sums)).select(*keys, "group", "sums.*") if members else counted.limit(0).select(*keys, F.lit("").alias("group"), *names)
     scored = F.col("correct") + F.col("near") + F.col("wrong") + F.col("missing")
     ratio = lambda a, b: F.bround(F.try_divide(a.cast("double"), b), digits)
     return out.withColumns({

@@ -4,21 +4,51 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.cells import parse_number, parse_text
 from ..operators import assemble, categories, corpus, explore, linkage, reports, scoring, series, stats
-
-
-def build_dataset(raw: DataFrame, numeric: Sequence[str], text: Sequence[str], row: str, strict: bool = True) -> dict[str, DataFrame]:
-    """A raw text table as typed data, its frozen category dimensions and its correlation matrix."""
+from ..shared import scratch
+from ..sources import tables
+
+
+def build_dataset(
+    raw: DataFrame, numeric: Sequence[str], text: Sequence[str], row: str, strict: bool = True, checks: Mapping[str, tuple[Column, object]] | None = None, labels: Mapping[str, str] | None = None,
+    glossary: DataFrame | None = None, own: DataFrame | None = None, targets: Sequence[str] = (), fail: bool = True,
+) -> dict[str, DataFrame]:
+    """A raw text table as typed data, its frozen category dimensions and its correlation matrix. With
+    `checks` (name -> aggregate of the typed columns, expected value) the data are written in the common
+    folder, and the checks are metrics of that one write: report has them, and with `fail` one that fails is
+    an error that names it. With `labels` (column -> header) registry says each column's unit, kind and
+    description, a glossary's (id, description) before one's `own`. With `targets` correlations of the other
+    numeric columns with each of them come too, ranked."""
     data = raw.select(row, *[parse_number(c, strict).alias(c) for c in numeric], *[parse_text(c).alias(c) for c in text])
+    spark, out = raw.sparkSession, {}
+    if checks:
+        seen, at = Observation(), scratch(spark, "dataset")
+        names = list(checks)
+        data.observe(seen, F.count(F.lit(1)).alias("n"), *[checks[n][0].cast("string").alias(f"c{i}") for i, n in enumerate(names)]).write.parquet(at)
+        got = seen.get
+        lines = [(n, got[f"c{i}"], str(checks[n][1]), got[f"c{i}"] == str(checks[n][1])) for i, n in enumerate(names)]
+        if fail and (wrong := [f"{n}: {actual}, not {expected}" for n, actual, expected, ok in lines if not ok]):
+            raise ValueError("failed checks: " + "; ".join(wrong))
+        out["report"] = spark.createDataFrame(lines, "name string, actual string, expected string, passed boolean")
+        data = spark.read.schema(data.schema).parquet(at)
     dims = [categories.rank_categories(data, c, row).select(F.lit(c).alias("column"), "value", "rank", "n") for c in text]
     frozen = dims[0] if dims else None
     for d in dims[1:]:
         frozen = frozen.unionByName(d)
-    return {"dataset": data, "categories": frozen, "correlations": stats.corr_matrix(data, numeric)}
+    out |= {"dataset": data, "categories": frozen, "correlations": stats.corr_matrix(data, numeric)}
+    if labels:
+        kinds = spark.createDataFrame([(c, "text" if c in text else "numeric") for c in labels], "id string, kind string")
+        none = spark.createDataFrame([], "id string, description string")
+        headers = spark.createDataFrame(list(labels.items()), "id string, label string")
+        out["registry"] = tables.build_registry(headers, kinds, none if glossary is None else glossary, none if own is None else own)
+    if targets:
+        table = stats.corr_targets(data, [c for c in numeric if c not in targets], list(targets))
+        out["targets"] = stats.relative_coverage(stats.rank_correlations(table))
+    return out
 
 
 def measurement_series(data: DataFrame, choices: Mapping[str, Sequence], row: str, columns: dict[str, float], mode: str, tg: str | None, dimension: DataFrame, colour: str) -> DataFrame:

@@ -134,6 +134,23 @@ def build_dataset(spark, sf):
     return out["categories"].select("column", "value", "rank", "n").unionByName(line("rows with a size", out["dataset"].filter("size is not null"))).unionByName(line("pairs", out["correlations"]))
 
 
+@query("""SELECT 'check' AS part, name, actual AS value FROM (SELECT 'rows' AS name, CAST(count(*) AS VARCHAR) AS actual FROM part UNION ALL SELECT 'sized', CAST(count(*) FILTER (WHERE p_partkey % 7 >= 3) AS VARCHAR) FROM part UNION ALL SELECT 'cheap', CAST(count(*) FILTER (WHERE p_retailprice < 0) AS VARCHAR) FROM part)
+UNION ALL SELECT 'registry', unnest(['size', 'price', 'p_type']), unnest(['mm numeric how large', 'USD numeric none', 'none text a type'])
+UNION ALL SELECT 'target', 'size', CAST(CASE WHEN corr(s, p) IS NULL THEN NULL ELSE 1 END AS VARCHAR) || ' of ' || CAST(regr_count(s, p) AS VARCHAR) FROM (SELECT CASE WHEN p_partkey % 7 >= 3 THEN p_size::DOUBLE END AS s, log10(p_retailprice) AS p FROM part)""")
+def build_checked(spark, sf):
+    """The checks that are gathered while the dataset is written, its registry, and its ranked targets."""
+    raw = t(spark, sf, "part").select("p_partkey", raw_part().alias("size"), F.col("p_retailprice").cast("string").alias("price"), "p_type")
+    n = lambda test: F.count_if(test)
+    checks = {"rows": (F.count(F.lit(1)), None), "sized": (n(F.col("size").isNotNull()), None), "cheap": (n(F.col("price") < 0), 0)}
+    notes = spark.createDataFrame([("size", "how large")], "id string, description string")
+    own = spark.createDataFrame([("size", "not this"), ("p_type", "a type")], "id string, description string")
+    out = pipelines.build_dataset(raw, ["size", "price"], ["p_type"], "p_partkey", False, checks, {"size": "Size (mm)", "price": "Price (USD)", "p_type": "Type"}, notes, own, ["price"], fail=False)
+    line = lambda df, part, name, value: df.select(F.lit(part).alias("part"), name.alias("name"), value.alias("value"))
+    registry = F.concat_ws(" ", F.coalesce("unit", F.lit("none")), "kind", F.coalesce("description", F.lit("none")))
+    rank = F.concat(F.col("position").cast("string"), F.lit(" of "), F.col("n").cast("string"))
+    return line(out["report"], "check", F.col("name"), F.col("actual")).unionByName(line(out["registry"], "registry", F.col("id"), registry)).unionByName(line(out["targets"], "target", F.col("feature"), rank))
+
+
 @query(f"""WITH d AS ({RANKED.format(c="p_type", k="p_partkey", t="part")}), m AS (SELECT p_partkey, p_type, unnest([25.0, 60.0]::DOUBLE[]) AS t, unnest([p_retailprice - 1000, p_size::DOUBLE]) AS y FROM part WHERE p_size IN (1, 2, 3, 5, 8, 13, 21, 34))
 SELECT p_partkey, t, round(1000.0::DOUBLE / (t + 273.15::DOUBLE), 6) AS x, round(y, 6) AS y, round(log10(y), 6) AS log_y, CAST(CASE WHEN rank < 7 THEN rank ELSE 7 END AS BIGINT) AS bucket FROM m LEFT JOIN d ON p_type = value WHERE y > 0""")
 def measurement_series(spark, sf):

@@ -131,13 +131,15 @@ def test_shares_and_samples(spark):
     assert reports.stratified_sample(strata, "s", 1, "i", strict=True).count() == 2
 
 
-def test_group_names_are_bounded(spark, monkeypatch):
-    monkeypatch.setattr(scoring, "GROUPS", 2)
-    cells = spark.createDataFrame([("p", "q", "correct", False)], "paper string, column string, outcome string, unmatched boolean")
-    groups = spark.createDataFrame([("q", "a"), ("q", "b"), ("q", "c")], "column string, group string")
-    with pytest.raises(ValueError, match="more than 2 groups"):
-        scoring.group_totals(cells, ["paper"], groups)
-    assert scoring.group_totals(cells, ["paper"], groups.filter("group < 'c'")).count() == 2
+def test_groups_of_any_number(spark):
+    """Every key has a row for each of thousands of groups, and a key without grouped columns has zeros."""
+    cells = spark.createDataFrame([("p", "q", "correct", False), ("p", "d", "missing", True), ("r", "none", "wrong", False), (None, "q", "near", False)], "paper string, column string, outcome string, unmatched boolean")
+    groups = spark.createDataFrame([("q", f"g{i}") for i in range(1_500)] + [("d", "g7"), ("z", "empty"), ("q", "g7")], "column string, group string")
+    got = {(r.paper, r["group"]): r for r in scoring.group_totals(cells, ["paper"], groups).collect()}
+    assert len(got) == 3 * 1_501 and got["p", "g7"].correct == got["p", "g7"].missing_unmatched_rows == 1 and got["p", "g7"].recall == 0.5
+    assert got[None, "g3"].near == 1 and sum(r.correct + r.wrong for r in got.values() if r.paper == "r") == 0 and got["p", "empty"].accuracy is None
+    assert scoring.group_totals(cells.limit(0), ["paper"], groups).count() == 0 and scoring.group_totals(cells.limit(0), [], groups).count() == 1_501
+    assert scoring.group_totals(cells, ["paper"], groups.limit(0)).count() == 0
 
 
 def test_degrees_by_grammar():

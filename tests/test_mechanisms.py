@@ -1,11 +1,12 @@
 """Operators on skewed input: one search, one group, one chain, many columns."""
 
 import random
+import statistics
 
 import pytest
 from pyspark.sql import functions as F
 
-from labtables.operators import graph, linkage, stats
+from labtables.operators import graph, linkage, reports, stats
 
 
 def taken(items, budget):
@@ -108,3 +109,36 @@ def test_chain_of_ten_thousand_pairs(spark):
     df = spark.createDataFrame([(*r, "q") for r in rows], SCHEMA).repartition(4)
     got = linkage.assign_greedy(df, ["grp"], pass_candidates=15_000)
     assert sorted((r.grp, r.pred_id, r.gold_id) for r in got.collect()) == greedy(rows)
+
+
+def test_medians_of_a_group_with_nearly_all_rows(spark):
+    draw = random.Random(4)
+    rows = [(draw.choice(["hot"] * 20 + ["a", "b", None]), draw.choice([None, draw.gauss(0, 9), draw.randrange(4)]), draw.randrange(3)) for _ in range(6_000)]
+    rows += [("none", None, 1), ("one", 5.0, None), ("two", 1.0, 7), ("two", 4.0, None)]
+    df = spark.createDataFrame([(g, None if x is None else float(x), y) for g, x, y in rows], "arm string, x double, y int").repartition(7)
+    got = {r.arm: (r.median_x, r.median_y) for r in reports.medians(df, ["arm"], ["x", "y"]).collect()}
+    for arm in {r[0] for r in rows}:
+        want = [statistics.median(v) if (v := [r[k] for r in rows if r[0] == arm and r[k] is not None]) else None for k in (1, 2)]
+        assert got[arm] == pytest.approx(tuple(want)) if None not in want else got[arm] == tuple(want), arm
+    assert reports.medians(df.limit(0), ["arm"], ["x"]).count() == 0
+
+
+@pytest.mark.parametrize("share,least", [(0.006, 5e-5), (0.2, 0.0), (0.0, 0.5), (1.5, 1e-3), (0.0, 0.0)])
+def test_tolerance_pairs_against_all(spark, share, least):
+    draw = random.Random(7)
+    values = [0.0, 1e-5, -1e-5, 4.9e-5, 1.0, 1.006, 1.00601, -1.0, -1.005, 100.0, 100.5, 0.3, 0.8, None]
+    make = lambda n: [(draw.choice("gh"), i, draw.choice([1.0, 1.05, 1.051, 2.0, None, -0.02, 0.03]), draw.choice(values)) for i in range(n)]
+    points, key = make(150), make(120)
+    p, k = spark.createDataFrame(points, "grp string, id int, t double, x double"), spark.createDataFrame(key, "grp string, key_id int, t double, x double")
+    got = sorted((r.grp, r.pred_id, r.gold_id) for r in linkage.match_key(p, k, ["grp"], 0.051, share, least).collect())
+    near = lambda t, x, kt, kx: abs(t - kt) < 0.051 and (abs(x - kx) <= share * abs(kx) or abs(x - kx) < least)
+    want = sorted((g, i, j) for g, i, t, x in points for h, j, kt, kx in key if g == h and None not in (t, x, kt, kx) and near(t, x, kt, kx))
+    assert got == want
+
+
+def test_tolerance_join_of_one_time(spark):
+    """A hundred thousand points of one time in one group meet only key rows of about their x."""
+    p = spark.range(100_000).selectExpr("'g' AS grp", "id", "5.0 AS t", "10.0 * pow(1.02, id % 500) AS x")
+    k = spark.range(500).selectExpr("'g' AS grp", "id AS key_id", "5.0 AS t", "10.0 * pow(1.02, id) AS x")
+    out = linkage.match_key(p, k, ["grp"])
+    assert out.count() == 100_000 and out.filter("pred_id % 500 <> gold_id").isEmpty()

@@ -63,6 +63,35 @@ def test_stream_imports_once(spark, tmp_path):
     assert sorted((r.record_id, r.v) for r in spark.read.parquet(str(tmp_path / "store")).collect()) == [(a, 1), (b, 2)]
 
 
+def test_import_counts_and_restarts(spark, tmp_path):
+    """Repeats within and between batches, a restart in between, unreadable lines, and ids held elsewhere."""
+    (tmp_path / "in").mkdir()
+    name = lambda i: f"{i:032x}"
+    held = spark.createDataFrame([(name(3),)], "record_id string")
+
+    def run():
+        query = ingest.import_stream(ingest.watch_records(spark, str(tmp_path / "in"), "record_id string, v int"), str(tmp_path / "store"), str(tmp_path / "ck"), held)
+        query.awaitTermination()
+        return ingest.import_counts(query)
+
+    for batch, ids in enumerate([(1, 2, 2, 3), (2, 4, 1), (5,)]):
+        lines = [json.dumps({"record_id": name(i), "v": batch}) for i in ids] + ["{broken", json.dumps({"record_id": "short"})]
+        (tmp_path / "in" / f"{batch}.json").write_text("\n".join(lines))
+        counts = run()
+        assert counts == {"seen": len(ids) + 2, "unreadable": 1, "badly_named": 1, "stored": {0: 2, 1: 1, 2: 1}[batch]}
+    stored = spark.read.parquet(str(tmp_path / "store")).collect()
+    assert sorted((r.record_id, r.v) for r in stored) == [(name(1), 0), (name(2), 0), (name(4), 1), (name(5), 2)]
+
+
+def test_checks_of_a_build(spark):
+    raw = spark.createDataFrame([(0, "1", "x"), (1, "2", "y"), (2, "n/a", "x")], "i int, a string, c string")
+    checks = {"rows": (F.count(F.lit(1)), 3), "filled": (F.count("a"), 3)}
+    with pytest.raises(ValueError, match="filled: 2, not 3"):
+        pipelines.build_dataset(raw, ["a"], ["c"], "i", checks=checks)
+    built = pipelines.build_dataset(raw, ["a"], ["c"], "i", checks=checks, fail=False)
+    assert sorted(map(tuple, built["report"].collect())) == [("filled", "2", "3", False), ("rows", "3", "3", True)] and built["dataset"].count() == 3
+
+
 def test_build_and_score(spark):
     raw = spark.createDataFrame([(0, "1", "x"), (1, "2", "y"), (2, "n/a", "x")], "i int, a string, c string")
     built = pipelines.build_dataset(raw.withColumn("b", F.col("a")), ["a", "b"], ["c"], "i")
