@@ -183,6 +183,13 @@ def line_packing(spark, sf):
     return packed.select(F.col("o_orderstatus").alias("slot"), "samples", F.size("ys").cast("long").alias("points"), F.size(F.filter("ys", lambda v: v.isNull())).cast("long").alias("gaps"), F.round(F.aggregate("ys", F.lit(0.0), lambda a, v: a + F.coalesce(v, F.lit(0.0))), 2).alias("total"))
 
 
+@query("""SELECT o_orderstatus AS slot, o_custkey AS sample, false AS gap, o_orderkey AS o, epoch(o_orderdate)::DOUBLE AS x, o_totalprice::DOUBLE AS y FROM orders UNION ALL SELECT DISTINCT o_orderstatus, o_custkey, true, NULL::BIGINT, NULL::DOUBLE, NULL::DOUBLE FROM orders""")
+def line_rows(spark, sf):
+    """The rows of packed lines, whatever the size of a slot."""
+    df = t(spark, sf, "orders").withColumn("day", F.unix_timestamp("o_orderdate").cast("double"))
+    return s.line_rows(df, "o_orderstatus", "o_custkey", "o_orderkey", "day", "o_totalprice").withColumnRenamed("o_orderstatus", "slot")
+
+
 @query(f"""WITH r AS ({RANKED.format(c="c_mktsegment", k="c_custkey", t="customer")}),
 o AS (SELECT CASE WHEN c_custkey % 10 = 0 THEN NULL WHEN c_custkey % 10 = 1 THEN 'new' ELSE c_mktsegment END AS value, c_custkey AS k FROM customer),
 g AS (SELECT value, CAST(count(*) AS BIGINT) AS n, min(k) AS first FROM o GROUP BY value)

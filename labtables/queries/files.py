@@ -32,6 +32,14 @@ def csv_round_trip(spark, sf):
     return src.read_strict_csv(spark, path, ["key", "name"]).select("key", F.coalesce("name", F.lit("")).alias("name"))
 
 
+@query("SELECT CAST(p_partkey AS VARCHAR) AS key, p_name AS name FROM part")
+def csv_marked(spark, sf):
+    """Files under a byte order mark, which no cell keeps."""
+    path = scratch(spark, "csv")
+    src.write_csv(t(spark, sf, "part").select(F.col("p_partkey").alias("key"), F.col("p_name").alias("name")), path, {"key": "key", "name": "name"}, mark=True)
+    return src.read_strict_csv(spark, path, ["key", "name"])
+
+
 @query("""WITH p AS (SELECT DISTINCT l_suppkey AS s, l_partkey AS size FROM lineitem WHERE l_suppkey % 3 <> 0)
 SELECT CAST(s_suppkey AS VARCHAR) AS paper_id, CASE WHEN s_suppkey % 3 <> 0 AND s IS NOT NULL THEN 'ok' ELSE 'no_extraction' END AS status, CAST(CASE WHEN s IS NOT NULL THEN row_number() OVER (PARTITION BY s_suppkey ORDER BY size) - 1 END AS INTEGER) AS position, CAST(size AS VARCHAR) AS size FROM supplier LEFT JOIN p ON s_suppkey = s""")
 def read_runs(spark, sf):
@@ -249,19 +257,34 @@ def normalise_degrees_texts(spark, sf):
     return corpus.normalise_degrees(t(spark, sf, "documents").select("doc_id", text.alias("text")), "text", "doc_id").select("doc_id", F.sha2("text", 256).alias("digest"), "n_degrees")
 
 
-@query("""SELECT doc_id, sha256(coalesce(text, '') || '![x](new' || doc_id || ')' || coalesce(text, '') || '![y](' || CASE WHEN doc_id % 2 = 0 THEN 'new' || doc_id ELSE 'other' END || ')') AS digest FROM documents WHERE text IS NULL OR NOT contains(text, '![')""")
+@query("""SELECT doc_id, sha256(own || '![x](new' || doc_id || ')' || own || '![y](' || CASE WHEN doc_id % 2 = 0 THEN 'new' || doc_id ELSE 'other' END || ')') AS digest FROM (SELECT doc_id, replace(coalesce(text, ''), '![', '! [') AS own FROM documents)""")
 def rewrite_figures_texts(spark, sf):
-    """Marks between whole texts: by locator, by image path, and unknown."""
-    docs = t(spark, sf, "documents").filter("text is null or not contains(text, '![')")
-    k, own = F.col("doc_id").cast("string"), F.coalesce("text", F.lit(""))
+    """Marks between whole texts, whose own ones are unmade: by locator, by image path, and unknown."""
+    docs = t(spark, sf, "documents")
+    k, own = F.col("doc_id").cast("string"), F.replace(F.coalesce("text", F.lit("")), F.lit("!["), F.lit("! ["))
     marked = docs.select("doc_id", F.concat(own, F.lit("![x](loc"), k, F.lit(")"), own, F.lit("![y]("), F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("img"), k)).otherwise("other"), F.lit(")")).alias("text"))
     figures = docs.select("doc_id", F.concat(F.lit("loc"), k).alias("locator"), F.concat(F.lit("img"), k).alias("image"), F.concat(F.lit("new"), k).alias("path"))
     return corpus.rewrite_figures(marked, figures.union(figures), "text", "doc_id", "locator", "path", "image").select("doc_id", F.sha2("text", 256).alias("digest"))
 
 
-@query("""SELECT doc_id, CAST(i AS BIGINT) AS at, CASE WHEN i = 0 AND length(coalesce(text, '')) <= 7000 THEN 'Figure 3 shows it' WHEN i = 1 THEN 'Scheme 4: end' END AS caption FROM documents, (VALUES (0), (1)) AS v(i) WHERE text IS NULL OR NOT regexp_matches(text, '(?im)^[^\\w\\n]{0,6}(fig|scheme)|!\\[') AND (length(text) <= 7000 OR length(text) > 8000)""")
+@query("""SELECT doc_id, CAST(i AS BIGINT) AS at, CASE WHEN i = 1 THEN 'Scheme 4: end' WHEN n + 21 <= 8000 THEN 'Figure 3 shows it' WHEN n + 12 <= 8000 THEN rtrim(substring('Figure 3 shows it', 1, CAST(8000 - n - 4 AS BIGINT))) END AS caption FROM (
+SELECT doc_id, length(regexp_replace(replace(coalesce(text, ''), '![', '! ['), '(?i)fig|scheme', '-', 'g')) AS n FROM documents), (VALUES (0), (1)) AS v(i)""")
 def figure_captions_texts(spark, sf):
-    """Marks before and after whole texts, with captions after them."""
-    docs = t(spark, sf, "documents").filter(r"text is null or not rlike(text, '(?im)^[^\\w\\n]{0,6}(fig|scheme)|!\\[') and (char_length(text) <= 7000 or char_length(text) > 8000)")
-    text = F.concat(F.lit("![Image](page:1/block:2)\n"), F.coalesce("text", F.lit("")), F.lit("\n**Figure 3 shows it\n![b](c)\n\n  Scheme 4: end\n"))
-    return corpus.figures(docs.select("doc_id", text.alias("text")), "text", "doc_id").select("doc_id", "at", "caption")
+    """Marks before and after whole texts, whose own marks and captions are unmade, with captions after
+    them: the first is within reach, cut off by it, or beyond."""
+    own = F.regexp_replace(F.replace(F.coalesce("text", F.lit("")), F.lit("!["), F.lit("! [")), "(?i)fig|scheme", "-")
+    text = F.concat(F.lit("![Image](page:1/block:2)\n"), own, F.lit("\n**Figure 3 shows it\n![b](c)\n\n  Scheme 4: end\n"))
+    return corpus.figures(t(spark, sf, "documents").select("doc_id", text.alias("text")), "text", "doc_id").select("doc_id", "at", "caption")
+
+
+#: Documents that repeat an id, of which every other has no text: rows of their own, with figures of the id.
+@query("""SELECT doc_id % 50 AS id, CASE WHEN doc_id % 2 = 1 THEN 'none' ELSE sha256('at 7' || (doc_id % 10) || ' °C ![x](new' || (doc_id % 50) || ')' || own) END AS digest, CAST(CASE WHEN doc_id % 2 = 1 THEN 0 ELSE 1 END AS BIGINT) AS n_degrees
+FROM (SELECT doc_id, replace(replace(coalesce(text, ''), '![', '! ['), '$', '') AS own FROM documents)""")
+def repeated_documents(spark, sf):
+    docs, k = t(spark, sf, "documents"), F.col("doc_id") % 50
+    own = F.replace(F.replace(F.coalesce("text", F.lit("")), F.lit("!["), F.lit("! [")), F.lit("$"))
+    text = F.concat(F.lit("at $7"), (F.col("doc_id") % 10).cast("string"), F.lit(r"^{\circ} C$ ![x](old)"), own)
+    rows = docs.select(k.alias("id"), F.when(F.col("doc_id") % 2 == 0, text).alias("text"))
+    figures = docs.select(k.alias("id"), F.lit("old").alias("key"), F.concat(F.lit("new"), k.cast("string")).alias("to")).distinct()
+    out = corpus.rewrite_figures(corpus.normalise_degrees(rows, "text"), figures, "text", "id", "key", "to")
+    return out.select("id", F.coalesce(F.sha2("text", 256), F.lit("none")).alias("digest"), "n_degrees")

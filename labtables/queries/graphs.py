@@ -42,6 +42,21 @@ def discover_rounds(spark, sf):
     return g.discover(seeds, edges, scores, max_rounds=2)
 
 
+BUDGET = 60
+#: FOUND with the nodes of the second round that are followed: one after another while the costs fit.
+FOUND_WITHIN = FOUND.replace("f1 AS (SELECT node FROM n1 WHERE node % 4 >= 2)", f"""o AS MATERIALIZED (SELECT node, CAST(1 + node % 5 AS BIGINT) AS cost, row_number() OVER (ORDER BY node % 4 DESC, (SELECT count(*) FROM x1 WHERE x1.node = n1.node) DESC, node) AS i FROM n1 WHERE node % 4 >= 2),
+r AS (SELECT CAST(0 AS BIGINT) AS i, CAST({BUDGET} - (SELECT sum(1 + node % 5) FROM s) AS BIGINT) AS budget, false AS took, CAST(NULL AS BIGINT) AS node UNION ALL SELECT o.i, CASE WHEN o.cost <= r.budget THEN r.budget - o.cost ELSE r.budget END, o.cost <= r.budget, o.node FROM r JOIN o ON o.i = r.i + 1),
+f1 AS (SELECT node FROM r WHERE took)""")
+
+
+@query(f"WITH RECURSIVE {FOUND_WITHIN} SELECT node, score, links, round FROM d")
+def discover_budget(spark, sf):
+    """Rounds within a budget of fetches for all of them."""
+    seeds, edges, scores = _graph(spark, sf)
+    costs = scores.select("node", (1 + F.col("node") % 5).alias("cost"))
+    return g.discover(seeds, edges, scores, max_rounds=2, costs=costs, budget=BUDGET)
+
+
 @query(f"WITH {FOUND} SELECT CAST(count(*) AS BIGINT) AS candidates, CAST(count(*) AS BIGINT) AS judged, CAST(count(*) FILTER (WHERE score >= 2) AS BIGINT) AS likely FROM d")
 def search_stats(spark, sf):
     seeds, edges, scores = _graph(spark, sf)

@@ -6,6 +6,7 @@ from ..functions import cells as c
 from ..operators import corpus, explore, graph, linkage, scoring
 from ..operators import stats as st
 from ..plans import pipelines
+from ..operators.categories import rank_categories
 from ..sources import tables as src
 from . import linking
 from .explore import r6, raw_part, t
@@ -51,6 +52,28 @@ def build_registry(spark, sf):
     return src.build_registry(headers, part.filter(k % 5 == 0).select(k.alias("id"), F.lit("text").alias("kind")), part.filter(k % 3 == 0).select(k.alias("id"), F.col("p_brand").alias("description")), part.filter(k % 3 != 2).select(k.alias("id"), F.col("p_type").alias("description")))
 
 
+@query("""SELECT 'c' || p_partkey AS id, CASE WHEN p_partkey % 4 = 0 THEN 'K' WHEN p_partkey % 2 = 0 THEN 'mm' END AS unit, CASE p_partkey % 3 WHEN 0 THEN '' WHEN 1 THEN 'table' ELSE 'map,table' END AS pages FROM part""")
+def registry_overrides(spark, sf):
+    """Units that are given instead of a header's own, and the pages that show a column."""
+    part, k = t(spark, sf, "part"), F.col("p_partkey")
+    name = F.concat(F.lit("c"), k.cast("string")).alias("id")
+    headers = part.select(name, F.concat(F.lit("Size"), F.when(k % 2 == 0, " (mm)").otherwise("")).alias("label"))
+    none = part.limit(0).select(name, F.lit("x").alias("kind"), F.lit("y").alias("description"))
+    pages = part.filter(k % 3 > 0).select(name, F.explode(F.when(k % 3 == 1, F.array(F.lit("table"), F.lit("table"))).otherwise(F.array(F.lit("table"), F.lit("map")))).alias("page"))
+    out = src.build_registry(headers, none.select("id", "kind"), none.select("id", "description"), none.select("id", "description"), part.filter(k % 4 == 0).select(name, F.lit("K").alias("unit")), pages)
+    return out.select("id", "unit", F.array_join("pages", ",").alias("pages"))
+
+
+@query("""WITH n AS (SELECT p_brand, count(*) AS n FROM part GROUP BY 1) SELECT CASE p_partkey % 3 WHEN 2 THEN 'Own ' || p_partkey ELSE p_brand END AS brand, CAST(count(*) AS BIGINT) AS n FROM part GROUP BY 1""")
+def import_snapped(spark, sf):
+    """Imported values that differ from a frozen category by case alone take its spelling."""
+    part, k = t(spark, sf, "part"), F.col("p_partkey") % 3
+    own = F.when(k == 0, F.upper("p_brand")).when(k == 1, F.lower("p_brand")).otherwise(F.concat(F.lit("Own "), F.col("p_partkey").cast("string")))
+    frozen = rank_categories(part, "p_brand", "p_partkey")
+    rows, _ = src.import_table(part.select(own.alias("Brand")), {"brand": ("Brand", "text")}, categories={"brand": frozen})
+    return rows.groupBy("brand").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("SELECT event_id, event_id % 2 = 0 AS kept, CASE WHEN event_id % 4 = 3 THEN 'é”' || event_type ELSE event_type END AS text FROM events")
 def repair_bytes(spark, sf):
     k = F.col("event_id")

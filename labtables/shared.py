@@ -23,27 +23,35 @@ def common_folder(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+_CLEARED: set[str] = set()
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """`df` checkpointed in the common folder."""
-    context = df.sparkSession.sparkContext
+    """`df` checkpointed in the common folder. The application's checkpoints are removed when it ends."""
+    spark = df.sparkSession
+    context = spark.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(common_folder(df.sparkSession))
+        context.setCheckpointDir(common_folder(spark))
+    at = context.getCheckpointDir()  # Spark's own folder for this application in the common one
+    if at not in _CLEARED:
+        _CLEARED.add(at)
+        atexit.register(_remove, spark, at)
     return df.checkpoint()
 
 
 def scratch(spark: SparkSession, what: str) -> str:
     """A new path in the common folder, removed when the application ends."""
     path = f"{common_folder(spark)}/labtables-{what}-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, path)
+    return path
 
-    def remove() -> None:
-        try:
-            at = spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-        except Exception:  # noqa: BLE001  the session may be gone at exit
-            return
 
-    atexit.register(remove)
-    return path
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    except Exception:  # noqa: BLE001  the session may be gone at exit
+        return
 
 
 _SHIPPED: set[str] = set()

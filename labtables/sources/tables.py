@@ -144,16 +144,17 @@ def csv_line(columns: Sequence[str]):
     return F.concat_ws(",", *cells)
 
 
-def write_csv(df: DataFrame, path: str, headings: dict[str, str], clean: bool = False) -> None:
+def write_csv(df: DataFrame, path: str, headings: dict[str, str], clean: bool = False, mark: bool = False) -> None:
     """Text files of RFC 4180 lines that end in CR LF, each file under a line of display names; `clean`
-    takes invisible characters out."""
+    takes invisible characters out, `mark` begins each file with a byte order mark, as spreadsheets want
+    it."""
     names = [c for c in headings if c in df.columns]
     kinds = dict(df.dtypes)
     out = df.select(*[(F.translate(F.col(c), INVISIBLE, "") if clean and kinds[c] == "string" else F.col(c)).alias(c) for c in names])
     titles = ['"' + t.replace('"', '""') + '"' if any(x in t for x in ',"\r\n') else t for t in (headings[c] for c in names)]
 
     def headed(batches):
-        yield pa.RecordBatch.from_pydict({"line": [",".join(titles)]})
+        yield pa.RecordBatch.from_pydict({"line": ["\ufeff" * mark + ",".join(titles)]})
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0)], ["line"])
 
