@@ -204,7 +204,7 @@ def edited_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     null ids last; rows of one id by a hash of their text). Returns `id_col`, n_chars, edited_sha256,
     fingerprint, edited_fingerprint, near_edited, near_next. Null is as the empty text; a single row is
     its own next; an empty table gives no rows; texts of any length are parsed whole; other columns are
-    not read. Texts are shuffled once."""
+    not read. Ids are whole numbers, or text of such; others end the job. Texts are shuffled once."""
     n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches):

@@ -495,12 +495,14 @@ class Wrapper:
 
     def _is_left_out(self, path: tuple, root: tuple) -> bool:
         """Whether an element inside a root isn't of the article: an article in an article is a reader's
-        comment; one that is named so must bear it out by texts that are fixed or mostly links, by
-        repeating, or by holding less than half of what varies."""
+        comment unless it has a heading of its own, as parts have; one that is named so must bear it
+        out by texts that are fixed or mostly links, by repeating, or by holding less than half of what
+        varies."""
         if len(path) <= len(root) or path[: len(root)] != root:
             return False
         if _name(path[-1]) == "article" and any(_name(x) == "article" for x in root[-1:]):
-            return True
+            if not any(p[: len(path)] == path and _name(p[-1]) in ("h1", "h2", "h3", "hgroup") for p in self.slots):
+                return True
         if not _is_named(path[-1]):
             return False
         inside = [s for p, slots in self.slots.items() if p[: len(path)] == path for s in slots]
@@ -595,7 +597,8 @@ def host_of(url: Column) -> Column:
 
 def infer_wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(host, wrapper) for each host: its pages folded in the tasks that read them, then in PARTS
-    groups a host, then together. A host's rows in one task are at most PARTS."""
+    groups a host, then together. A host's rows in one task are at most PARTS. Null pages teach nothing,
+    repeated ones nothing new; an empty table has no wrappers; other columns are not read."""
 
     def fold(batches):
         held: dict[str, list] = {}
@@ -643,16 +646,19 @@ def _row(host: str, nodes: list) -> pa.RecordBatch:
 def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per input row: `id_col`, `url_col`, text, n_chars. Null and empty pages, and pages
     without an article, give the empty text; pages without a host share one wrapper; repeated rows
-    give equal rows; an empty table gives no rows."""
+    give equal rows; an empty table gives no rows; other columns are not read. An id or address column of
+    a result's name gives way to the result."""
     wrappers = written(infer_wrappers(pages, url_col, html_col), "wrappers")
     size = wrappers.agg(F.sum(F.octet_length("wrapper"))).first()[0] or 0
-    keyed = pages.select(F.col(id_col), F.col(url_col), F.col(html_col).alias("html"), host_of(F.col(url_col)).alias("host"))
+    keyed = pages.select(F.col(id_col).alias("k"), F.col(url_col).alias("u"), F.col(html_col).alias("html"), host_of(F.col(url_col)).alias("host"))
     joined = keyed.join(F.broadcast(wrappers) if size <= BROADCAST_BYTES else wrappers, "host", "left")
     key, url = (pages.schema[c].dataType.simpleString() for c in (id_col, url_col))
 
     def run(batches):
         for batch in slices(batches, "html"):
             texts = [main_text(p or "", w) for p, w in zip(batch.column("html").to_pylist(), batch.column("wrapper").to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(id_col), batch.column(url_col), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], [id_col, url_col, "text", "n_chars"])
+            yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("u"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["k", "u", "text", "n_chars"])
 
-    return joined.select(id_col, url_col, "html", "wrapper").mapInArrow(run, f"`{id_col}` {key}, `{url_col}` {url}, text string, n_chars long")
+    out = joined.select("k", "u", "html", "wrapper").mapInArrow(run, f"k {key}, u {url}, text string, n_chars long")
+    carried = [F.col(x).alias(c) for x, c in (("k", id_col), ("u", url_col)) if c not in ("text", "n_chars")]
+    return out.select(*carried, "text", "n_chars")

@@ -509,7 +509,8 @@ def ngram_components(
     is the smallest id that links reach. Null and empty texts, and texts without words, have 0
     shingles, no links and their own id; null ids come after all others; repeated rows share a
     component; an empty table gives no rows; texts of any length count whole; other columns are not
-    read. Shingles and sets are compared by 64-bit hashes."""
+    read. Ids are whole numbers, or text of such; others end the job. Shingles and sets are compared by
+    64-bit hashes."""
     out = labelled_rows(docs, id_col, text_col, words, percent, chunk)
     component = F.when(F.col("label").isNull(), F.col("k")).otherwise(F.col("label.k"))
     return out.select(F.col("k").alias(id_col), F.col("n").cast("long").alias("n_shingles"), component.alias("component_id"), F.col("key").alias("set_key"))

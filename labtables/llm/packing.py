@@ -142,8 +142,8 @@ def write_packed(
     """Tokenize each whole text, append `end_id`, and write the ids under `folder` in ascending order
     of `id_col` (nulls first, equal ids by a hash of their text). Null and empty texts have the end id
     alone; an empty table gives an empty folder of frames; texts of any length are one run of ids;
-    other columns are not read. One range shuffle of the rows; every file is written by the
-    task that holds its range, frame by frame."""
+    other columns are not read. Ids are whole numbers, or text of such; others end the job. One range
+    shuffle of the rows; every file is written by the task that holds its range, frame by frame."""
     at = path or tokenizer_path(DEFAULT_FILE)
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
@@ -195,7 +195,8 @@ def read_frames(spark: SparkSession, folder: str) -> DataFrame:
 
 def read_packed(spark: SparkSession, folder: str, id_col: str = "doc_id", with_ids: bool = False) -> DataFrame:
     """One row per document of a packed folder: `id_col`, start, n_tokens, ids_crc32 (of its ids as
-    little-endian unsigned 32-bit integers), and the ids themselves if asked for."""
+    little-endian unsigned 32-bit integers), and the ids themselves if asked for. Null and repeated ids
+    have rows of their own; a folder of an empty table gives no rows."""
     schema = f"`{id_col}` long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids
 
     def run(batches):
@@ -216,7 +217,7 @@ def read_packed(spark: SparkSession, folder: str, id_col: str = "doc_id", with_i
 
 
 def packed_digests(df: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """Write `df` packed, then read the files back."""
+    """Write `df` packed, then read the files back: a row per row of `df`, cases as in write_packed."""
     write_packed(df, folder, id_col, text_col, **options)
     return read_packed(df.sparkSession, folder, id_col)
 

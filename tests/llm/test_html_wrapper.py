@@ -190,3 +190,34 @@ def test_common_subsequences():
 def test_short_words_on_few_pages_are_no_evidence():
     pages = [f"<article><h1>T {i}</h1><p>A longer paragraph {i}</p><p>The.</p><p>Another of the paragraphs {i}</p></article>" for i in range(4)]
     assert w.main_text(pages[1], wrapped(pages)) == "T 1\nA longer paragraph 1\nThe.\nAnother of the paragraphs 1"
+
+
+def test_parts_of_an_article_stay():
+    """An article in an article that has a heading is a part; one without is a reader's comment."""
+    def page(i):
+        words = lambda tag, n: " ".join(f"{tag}{i}w{k}" for k in range(n))
+        return (
+            f"<html><body><nav>menu</nav><article><h1>Title {i}</h1><p>{words('a', 40)}</p><article class='part'><h2>Part {i}</h2><p>{words('b', 60)}</p></article>"
+            f"<article><p>{words('c', 9)}</p></article><article><p>{words('d', 7)}</p></article></article></body></html>"
+        )
+
+    shapes = None
+    for i in range(10):
+        nodes = w.page_shape(w.parse(page(i)))
+        shapes = nodes if shapes is None else w.bounded(w.aligned(shapes, nodes))
+    import json
+
+    text = w.main_text(page(3), json.dumps(shapes))
+    assert "Part 3" in text and "b3w59" in text and "c3w0" not in text and "d3w0" not in text and text.startswith("Title 3")
+
+
+def test_columns_of_any_name(spark):
+    page = "<html><body><article><h1>T</h1><p>some words here</p></article></body></html>"
+    rows = [(1, "http://a.b/x", page, "w", "c"), (2, None, None, "w", "c")]
+    for id_col, url_col, html_col in (("k", "host", "wrapper"), ("html", "u", "text"), ("page", "url", "html")):
+        df = spark.createDataFrame(rows, f"`{id_col}` long, `{url_col}` string, `{html_col}` string, extra string, more string")
+        out = w.extract_main_text(df, id_col, url_col, html_col)
+        assert out.columns == [id_col, url_col, "text", "n_chars"]
+        assert sorted((r[0], r[2]) for r in out.collect()) == [(1, "T\nsome words here"), (2, "")]
+    clash = spark.createDataFrame([(1, "http://a.b/x", page)], "text long, url string, html string")
+    assert w.extract_main_text(clash, "text").columns == ["url", "text", "n_chars"]
