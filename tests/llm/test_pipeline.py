@@ -1,5 +1,7 @@
+import hashlib
 import re
 
+import numpy as np
 import pytest
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
@@ -64,3 +66,87 @@ def test_odd_rows(spark):
     coded = last(spark, rows, SF).collect()
     assert len(coded) == n and {r.n_tokens for r in coded if r.doc_id in (9001, 9002, 9003)} == {0}
     assert last(spark, rows.limit(0), SF).count() == 0
+
+
+def plain_language(model, text):
+    """Whether a document goes, by a forward pass with loops."""
+    from .test_langid import plain_scores
+
+    return not any(c.isalpha() for c in text or "") or max(plain_scores(model, text).values()) < model.bound
+
+
+def plain_redacted(text):
+    from .test_secret_scan import base_spans, entropy_spans
+
+    if text is None:
+        return None
+    out, at = [], 0
+    covered = []
+    for start, _, _, end in sorted(base_spans(text) + entropy_spans(text)):
+        if covered and start <= covered[-1][1]:
+            covered[-1][1] = max(covered[-1][1], end)
+        else:
+            covered.append([start, end])
+    for start, end in covered:
+        out += [text[at:start], "[secret]"]
+        at = end
+    return "".join([*out, text[at:]])
+
+
+def plain_mix(rows):
+    """(id, text) as often as weighted fair queueing takes them, copy by copy."""
+    size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    sources = sorted({s for _, _, s in rows}, key=lambda s: (s is None, s or ""))
+    total = {s: sum(size(t) for _, t, x in rows if x == s) for s in sources}
+    left, open_, target = 1.5 * sum(total.values()), {s: (5.0, 2.0, 1.0)[i % 3] for i, s in enumerate(sources)}, {}
+    while open_:
+        level = left / sum(open_.values())
+        full = [s for s, w in open_.items() if w * level >= 2 * total[s]]
+        for s in full or list(open_):
+            target[s] = 2.0 * total[s] if full else open_[s] * level
+        left -= sum(target[s] for s in full)
+        open_ = {s: w for s, w in open_.items() if s not in target}
+    copies = []
+    for number, s in enumerate(sources):
+        own = sorted(((hashlib.md5(f"42|{k}".encode()).hexdigest(), k, size(t), t) for k, t, x in rows if x == s), key=lambda r: r[:3])
+        for turn in (0, 1):
+            done = turn * total[s]
+            for h, k, n, t in own:
+                done += n
+                if target[s] > 0:
+                    copies.append((done / target[s], number, h, k, n, t))
+    out, taken = [], 0
+    for *_, k, n, t in sorted(copies, key=lambda c: c[:5]):
+        taken += n
+        if taken > 1.5 * sum(total.values()):
+            break
+        out += [(k, t)] * (n > 0)
+    return out
+
+
+def test_all_stages_as_brute_force(spark):
+    """The rows of run(): each stage by plain loops on what the plain stage before it kept. Only the fitted
+    numbers of the language model are taken from the library."""
+    from tokenizers import Tokenizer
+
+    from labtables.llm import langid
+    from labtables.llm.bpe import DEFAULT_FILE
+    from labtables.llm.common import tokenizer_path
+
+    from .test_ngram_join import brute
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select(*corpus_pipeline.COLUMNS)
+    model = langid.fit_language_model(docs)
+    rows = [(r.doc_id, r.text, r.source) for r in docs.collect() if not plain_language(model, r.text)]
+    assert len({k for k, _, _ in rows}) == len(rows)
+    firsts = {k for _, k, n, component in brute([(k, t) for k, t, _ in rows]) if component == k or not n}
+    rows = [(k, plain_redacted(t), s) for k, t, s in rows if k in firsts]
+    library = Tokenizer.from_file(tokenizer_path(DEFAULT_FILE))
+    want = []
+    for k, text in plain_mix(rows):
+        ids = library.encode(text, add_special_tokens=False).ids
+        decoded = library.decode(ids, skip_special_tokens=False)
+        want.append((k, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()))
+    got = corpus_pipeline.run(spark, SF)
+    assert got.columns[:4] == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+    assert sorted(tuple(r)[:4] for r in got.collect()) == sorted(want) and len(want) > 150
