@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.cells import NUMBER_FORM, natural_key, trim_all
 from ..shared import cut
+from . import categories
 
 
 def with_position(df: DataFrame, order: list, out: str = "position") -> DataFrame:
@@ -133,7 +134,9 @@ def infer_columns(cells: DataFrame, feature: str, value: str, order: str) -> Dat
     form."""
     is_number = trim_all(value).rlike(NUMBER_FORM)
     found = cells.groupBy(feature).agg(F.min(order).alias("first"), F.count(value).alias("filled"), F.coalesce(F.bool_and(F.when(F.col(value).isNotNull(), is_number)), F.lit(False)).alias("numeric"))
-    return found.select(feature, "first", "numeric", F.row_number().over(Window.orderBy("first")).cast("long").alias("position"))
+    minor = F.col("first") if categories.is_number(found, "first") else F.lit(0)
+    placed = categories.in_places(found, F.lit(0), minor, [F.col("first"), F.col(feature)], "position")
+    return placed.select(feature, "first", "numeric", (F.col("position") + 1).alias("position"))
 
 
 def coalesce_check(df: DataFrame, stored: str, inputs: Sequence[str], tolerance: float = 1e-9) -> DataFrame:

@@ -6,7 +6,7 @@ import statistics
 import pytest
 from pyspark.sql import functions as F
 
-from labtables.operators import graph, linkage, reports, stats
+from labtables.operators import categories, explore, graph, linkage, reports, stats
 
 
 def taken(items, budget):
@@ -142,3 +142,27 @@ def test_tolerance_join_of_one_time(spark):
     k = spark.range(500).selectExpr("'g' AS grp", "id AS key_id", "5.0 AS t", "10.0 * pow(1.02, id) AS x")
     out = linkage.match_key(p, k, ["grp"])
     assert out.count() == 100_000 and out.filter("pred_id % 500 <> gold_id").isEmpty()
+
+
+def test_places_of_many_distinct_values(spark):
+    """Ranks as sorted plainly: frequent values, many of one frequency, ties, far ends, and no window over all."""
+    draw = random.Random(9)
+    rows = [(i, f"v{draw.randrange(900)}") for i in range(2_000)] + [(10**9 + i, "hot") for i in range(2_500)] + [(2_000 + i, "warm") for i in range(1_100)] + [(5, "tie"), (5, "tie2"), (7, None)]
+    df = spark.createDataFrame(rows, "i long, v string").repartition(6)
+    first, n = {}, {}
+    for i, v in rows:
+        if v is not None:
+            first[v], n[v] = min(i, first.get(v, i)), n.get(v, 0) + 1
+    want = sorted(n, key=lambda v: (-n[v], first[v], v))
+    ranked = categories.rank_categories(df, "v", "i")
+    assert [r.value for r in ranked.orderBy("rank").collect()] == want and [r[0] for r in ranked.select("rank").orderBy("rank").collect()] == list(range(len(want)))
+    by_text = categories.rank_categories(df.withColumn("s", F.format_string("%012d", "i")), "v", "s")
+    assert [r.value for r in by_text.orderBy("rank").collect()] == want
+    seen = categories.group_order(df, ranked.filter("rank < 50"), "v", "i")
+    assert [r.value for r in seen.orderBy("position").collect()] == want[:50] + sorted(want[50:], key=lambda v: (first[v], v)) + [None]
+    features = explore.infer_columns(df.withColumn("x", F.lit("1")), "v", "x", "i").orderBy("position").collect()
+    assert [r.v for r in features if r.v] == sorted(n, key=lambda v: (first[v], v)) and features[0].position == 1
+    assert categories.rank_categories(df.limit(0), "v", "i").count() == 0
+    wide = spark.range(1_000_000).select("id", F.concat(F.lit("v"), "id").alias("v"))
+    out = categories.rank_categories(wide, "v", "id")
+    assert out.filter("rank <> substring(value, 2)").isEmpty() and out.count() == 1_000_000
