@@ -26,8 +26,8 @@ from .common import bounded_batches, slices, tokenizer_path, written
 
 FILE_A, FILE_B = "byte_bpe_50k.json", "piece_bpe_32k.model"
 MARK = "▁"
-#: Stretches that a worker keeps; beyond it all are forgotten.
-KEPT_STRETCHES = 200_000
+#: Stretches that a worker keeps; beyond it only those of several slices stay, half as many at most.
+KEPT_STRETCHES = 250_000
 #: Bytes of new stretches that are tokenized as one text.
 ALIGNED_BYTES = 1 << 16
 #: A group of more links than this is expanded by its distinct ids.
@@ -67,6 +67,18 @@ class Aligner:
         self.figures = np.zeros((0, 5), np.int64)  # n_a, n_b, n_groups, n_links, and 1 where bytes differ
         self.start, self.length = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.pairs, self.times, self.end = np.zeros(0, np.int64), np.zeros(0, np.int64), 0
+        self.used = np.zeros(0, np.int64)  # slices that had each kept stretch
+
+    def keep_frequent(self) -> None:
+        """Forgets all but the stretches that most slices had, and more than one."""
+        n = len(self.words)
+        often = np.flatnonzero(self.used[:n] > 1)
+        often = np.sort(often[np.argsort(-self.used[often], kind="stable")[: self.kept // 2]])
+        names, words, figures, used, length = list(self.slot), self.words, self.figures[often], self.used[often], self.length[often]
+        pairs, times = (gathered(x, self.start[often], length) for x in (self.pairs, self.times))
+        self.forget()
+        self._keep([names[i] for i in often.tolist()], [words[i] for i in often.tolist()], figures, length, pairs, times)
+        self.used[: len(often)] = used
 
     def tokens(self, text: str) -> tuple[list[int], list[int], bool, bool]:
         """Ids of both sides for a text that begins with a space, and whether each gives its bytes."""
@@ -149,7 +161,8 @@ class Aligner:
         if len(self.figures) < n + len(batch):
             self.figures = np.concatenate([self.figures, np.zeros((max(n, len(batch)), 5), np.int64)])
         self.figures[n : n + len(batch)] = figures
-        self.start, self.length = grown(self.start, n + len(batch)), grown(self.length, n + len(batch))
+        self.start, self.length, self.used = (grown(x, n + len(batch)) for x in (self.start, self.length, self.used))
+        self.used[n : n + len(batch)] = 0
         self.pairs, self.times = grown(self.pairs, end), grown(self.times, end)
         self.start[n : n + len(batch)] = self.end + np.cumsum(length) - length
         self.length[n : n + len(batch)] = length
@@ -160,10 +173,14 @@ class Aligner:
         """Places of distinct stretches among the kept ones."""
         new = [s for s in stretches if s not in self.slot]
         if new and (len(self.slot) + len(new) > self.kept or self.end > 32 * self.kept):
-            self.forget()
-            new = stretches
+            self.keep_frequent()
+            if self.end > 16 * self.kept:
+                self.forget()
+            new = [s for s in stretches if s not in self.slot]
         self.learn(new)
-        return np.fromiter(map(self.slot.__getitem__, stretches), np.int64, len(stretches))
+        slots = np.fromiter(map(self.slot.__getitem__, stretches), np.int64, len(stretches))
+        self.used[slots] += 1
+        return slots
 
     def texts(self, texts: list[str]) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray, np.ndarray]:
         """Figures of each text and the digest of its groups, and the distinct pairs of all: the text's

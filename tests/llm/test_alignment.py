@@ -86,8 +86,9 @@ def test_huge_groups_and_forgetting(monkeypatch):
     """Distinct ids of a group give what expanding its links gives, also when stretches are forgotten."""
     monkeypatch.setattr(al, "EXPANDED_LINKS", 1)
     model = al.Aligner(tokenizer_path(al.FILE_A), tokenizer_path(al.FILE_B))
-    model.kept = 50
+    model.kept = 60
     some = [t or "" for t in texts()]
+    assert al.KEPT_STRETCHES > len(model.slot)
     for start in range(0, len(some), 37):
         part = some[start : start + 37]
         figures, digests, owner, pairs, times = model.texts(part)
