@@ -72,7 +72,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on the documents of `sf_dir`."""
+    """All stages on the documents of `sf_dir`: what bpe_round_trip returns for each copy of a document that
+    the mix takes. Null and empty texts don't pass the first stage; repeated rows are one document after the
+    second; an empty table gives no rows."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name)
