@@ -34,6 +34,9 @@ ROUNDS = (("run", 1), ("pair", 1), ("pair", 2))
 #: Bytes of text of a slice, and names in a bucket, about.
 SLICE_BYTES = 8_000_000
 BUCKET_NAMES = 500_000
+#: Bytes of a slice for each bucket at least. Beyond some terabytes buckets grow with the input, unless
+#: slices do: slices of 64 MB have buckets of some 80 million names at 100 TB.
+BYTES_A_BUCKET = 600
 FAR = 1 << 29
 LAST_ID = (1 << 63) - 1
 SLICE_SCHEMA = "slice long, n_words long, ids binary, nulls binary, counts binary, codes binary, words binary"
@@ -275,9 +278,10 @@ def kept_words(
     each other's words, so repeated rows give equal results. Null and empty texts, and texts of white
     space only, have no words; texts of fewer words than a window stay whole. An empty table gives an empty
     result. Texts of any length are worked on whole; other columns are not read."""
-    bounded_batches(df.sparkSession)
+    bounded_batches(df.sparkSession, f"{max(slice_bytes, SLICE_BYTES)}b")
     parts = written(document_slices(df, id_col, text_col, slice_bytes), "slices")
-    buckets = 1 + (parts.agg(F.sum("n_words")).first()[0] or 0) // (2 * bucket_names)
+    # a slice's part of a bucket is one row, so there are no more buckets than leave some fifty names in each
+    buckets = 1 + min((parts.agg(F.sum("n_words")).first()[0] or 0) // (2 * bucket_names), slice_bytes // BYTES_A_BUCKET)
 
     def send_names(batches):
         for row in each_slice(batches):

@@ -52,7 +52,7 @@ def corpus(seed, n=120, vocabulary=40):
     return [(i, t, "clash", "clash") for i, t in zip(ids, texts)]
 
 
-@pytest.mark.parametrize("seed,slice_bytes,bucket_names", [(1, rc.SLICE_BYTES, rc.BUCKET_NAMES), (2, 2_000, 300), (3, 1, 50)])
+@pytest.mark.parametrize("seed,slice_bytes,bucket_names", [(1, rc.SLICE_BYTES, rc.BUCKET_NAMES), (2, 6_000, 300), (3, 1, 50)])
 def test_as_brute_force(spark, seed, slice_bytes, bucket_names):
     rows = corpus(seed)
     got = rc.kept_words(spark.createDataFrame(rows, SCHEMA).repartition(4), slice_bytes=slice_bytes, bucket_names=bucket_names)
