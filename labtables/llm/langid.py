@@ -207,8 +207,15 @@ def labelled_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str,
     by = Window.partitionBy("part", "l").orderBy("h")
     placed = vectors.withColumns({"nth": F.row_number().over(by), "grams": F.sum(F.length("at") / 4).over(by.rowsBetween(Window.unboundedPreceding, 0))})
     fits = (F.col("nth") == 1) | (F.col("grams") <= SAMPLE_NGRAMS / len({r.l for r in found}))
-    got = sorted(placed.filter((F.col("nth") <= wanted) & fits).drop("grams").collect(), key=lambda r: (r.part, r.l, r.nth))
-    return {name: [(r.l, np.frombuffer(r["at"], np.int32), np.frombuffer(r["share"], np.float32)) for r in got if r.part == name and len(r["at"])] for name in samples}
+    # as Arrow buffers, which go back to the system when the vectors go
+    got = placed.filter((F.col("nth") <= wanted) & fits).select("part", "l", "nth", "at", "share").toArrow().sort_by([("part", "ascending"), ("l", "ascending"), ("nth", "ascending")])
+    out: dict[str, list] = {name: [] for name in samples}
+    for batch in got.to_batches():
+        for i, (name, language) in enumerate(zip(batch.column("part").to_pylist(), batch.column("l").to_pylist())):
+            at, share = (np.frombuffer(batch.column(c)[i].as_buffer(), kind) for c, kind in (("at", np.int32), ("share", np.float32)))
+            if len(at):
+                out[name].append((language, at, share))
+    return out
 
 
 def fit_language_model(
@@ -221,7 +228,10 @@ def fit_language_model(
     cut = fold(id_col)
     other = (held_out + 1) % 4
     got = labelled_sample(docs, id_col, text_col, lang_col, {"train": (~cut.isin(held_out, other), train_rows), "held": (cut == other, calibration_rows)})
-    return train(got["train"] or got["held"], got["held"])
+    model = train(got["train"] or got["held"], got["held"])
+    del got
+    pa.default_memory_pool().release_unused()
+    return model
 
 
 def predict_language(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
