@@ -1,5 +1,6 @@
 """What the smallest tables don't show: joins that go through the driver, odd keys, and slow or wide steps."""
 
+from labtables.functions import cells as c
 from labtables.queries import queries
 
 SF = "/root/testdata/sf0.001"
@@ -14,3 +15,8 @@ def plan(df, capsys):
 def test_points_are_classified_without_broadcast(spark, capsys):
     text = plan(queries()["classify_points"](spark, SF), capsys)
     assert "SortMergeJoin" in text and "Broadcast" not in text
+
+
+def test_year_of_a_file_is_not_its_id(spark):
+    names = ["c2010-Author1910a.pdf", "c1950-x", "linden1988", "a-b-1999", None]
+    assert [r[0] for r in spark.createDataFrame([(n,) for n in names], "v string").select(c.year_of_file("v")).collect()] == [1910, None, 1988, 1999, None]
