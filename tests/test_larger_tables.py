@@ -1,6 +1,9 @@
 """What the smallest tables don't show: joins that go through the driver, odd keys, and slow or wide steps."""
 
+import re
+
 from labtables.functions import cells as c
+from labtables.operators import linkage
 from labtables.queries import queries
 
 SF = "/root/testdata/sf0.001"
@@ -20,3 +23,36 @@ def test_points_are_classified_without_broadcast(spark, capsys):
 def test_year_of_a_file_is_not_its_id(spark):
     names = ["c2010-Author1910a.pdf", "c1950-x", "linden1988", "a-b-1999", None]
     assert [r[0] for r in spark.createDataFrame([(n,) for n in names], "v string").select(c.year_of_file("v")).collect()] == [1910, None, 1988, 1999, None]
+
+
+def test_scoring_is_compiled(spark, capsys):
+    """A generated method of over 8000 bytes is never compiled by the JVM, and runs a cell in 60 times as long."""
+    cells = spark.range(5).selectExpr("'q' as column", "string(id) as pred", "string(id + 1) as gold")
+    classes = spark.createDataFrame([("d", "percent")], "column string, class string")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        capsys.readouterr()
+        linkage.compare_cells(cells, classes).explain("codegen")
+        sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert sizes and max(sizes) < 8000
+
+
+def test_odd_cells_are_read_as_before(spark):
+    texts = [" 5 ", "5\n", "5 ", " 5 °C", "1.", ".5e3", "1e999", "5d", "NaN", "", " ", "+-1", "1 2", "٣", None]
+    rows = spark.createDataFrame([(x,) for x in texts], "v string").select(c.number_with_unit("v"), c.is_blank("v")).collect()
+    assert [r[0] for r in rows] == [5, 5, 5, 5, 1, 500, float("inf"), 5, None, None, None, None, None, None, None]
+    assert [r[1] for r in rows] == [False] * 9 + [True, True] + [False] * 3 + [True]
+
+
+def test_cells_of_linked_and_missed_rows(spark):
+    """One pass gives what pairs and missed rows give: links without a predicted row have no cells."""
+    gold = spark.createDataFrame([("a", 1, "5", None), ("a", 2, "6", "x"), ("b", 1, None, "y"), (None, 1, "7", "z")], "paper string, id long, q string, w string")
+    pred = spark.createDataFrame([("a", 7, "5.1", "w"), ("a", 8, "9", None)], "paper string, id long, q string, w string")
+    links = spark.createDataFrame([("a", 7, 1), ("a", 8, 1), ("a", 9, 2)], "paper string, pred_id long, gold_id long")
+    classes = spark.createDataFrame([("w", "text")], "column string, class string")
+    both = linkage.compare_cells(linkage.pair_cells(pred, gold, links, ["paper"], "id", "id", ["q", "w"]), classes).selectExpr("paper", "gold_id", "column", "outcome", "false as unmatched")
+    missed = linkage.missed_rows(gold, links, ["paper"], "id", ["q", "w"]).selectExpr("paper", "id as gold_id", "column", "outcome", "true as unmatched")
+    key = lambda df: sorted(map(str, df.collect()))
+    assert key(linkage.score_cells(pred, gold, links, ["paper"], "id", "id", ["q", "w"], classes)) == key(both.union(missed))
