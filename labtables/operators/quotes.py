@@ -6,17 +6,21 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import ahocorasick
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.cells import squeeze
+from ..shared import deal, parts_of
 
 #: Quotes that are searched at once; more of one document go in several runs, each with the text.
 RUN_QUOTES = 1_000
 #: Letters of the shortest quote that is evidence of anything, for letters and for pages.
 LEAST_LETTERS, LEAST_PAGE = 8, 12
 NONE, NEAR, EXACT = 0, 1, 2
+#: Letters of a piece by which stretches are told apart before they are compared, and bits of its number.
+PIECE, HASH_BITS = 4, 16
 
 
 def automaton_of(patterns: dict[str, list]) -> ahocorasick.Automaton | None:
@@ -42,10 +46,12 @@ class Like:
         self.full = (1 << self.n) - 1
         # letters of the quote, and as many of a stretch of its length, that may be left out
         self.slack = max(k for k in range(self.n + 1) if self.enough(self.n - k, self.n)) if self.n else 0
-        parts = min(self.n, 2 * self.slack + 1)
-        bounds = [i * self.n // parts for i in range(parts + 1)]
-        # one of these stands whole in any such stretch, at most `slack` from its place in the quote
-        self.pieces = [(quote[a:b], a) for a, b in zip(bounds, bounds[1:])]
+        # a piece of `size` letters of a stretch is one of the quote's unless a letter left out breaks it: each of
+        # the stretch's breaks `size` pieces, each of the quote's one less
+        for self.size in range(min(PIECE, max(self.n, 1)), 0, -1):
+            self.least = self.n - self.size + 1 - self.slack * (2 * self.size - 1)
+            if self.least > 0:
+                break
 
     def enough(self, common: int, size: int) -> bool:
         return 2 * common >= self.cutoff * (self.n + size) - 1e-9
@@ -74,54 +80,76 @@ class Like:
         begins, ends = self.rows(iter(text[: self.n - 1])), back.rows(reversed(text[1 - self.n :]))
         return any(self.enough(common, size) for rows in (begins, ends) for size, common in enumerate(rows, 1))
 
-    def starts(self, at: int, size: int) -> range:
-        """Where a stretch of a text of `size` letters can begin if a piece with offset 0 stands at `at`."""
-        return range(max(0, at - self.slack), min(size - self.n, at + self.slack) + 1)
-
-    def within(self, text: str) -> bool:
-        """Whether any stretch of the text is like the quote."""
-        if self.at_ends(text):
+    def least_at_ends(self) -> float:
+        """How many pieces of the quote a shorter stretch at an end has, at least. Both leave out (1 - cutoff)
+        of their letters at most, and a stretch is no shorter than its letters in common need."""
+        pieces = lambda size: size - self.size + 1 - self.size * (1 - self.cutoff) * (self.n + size)
+        return min(pieces(self.cutoff * self.n / (2 - self.cutoff)), pieces(self.n - 1)) - 1e-6
+
+    def within(self, text: str, pieces: Pieces | None = None) -> bool:
+        """Whether any stretch of the text is like the quote. Exact: only what has too few of the quote's
+        pieces is left out, all other stretches are compared."""
+        pieces = pieces or Pieces(text)
+        sums = pieces.counted(self.quote, self.size)
+        held = lambda begin, end: sums[max(begin, end)] - sums[begin]
+        count, ends = len(sums) - 1, max(self.n - self.size, 0)
+        least = self.least_at_ends()
+        if (held(0, min(ends, count)) >= least or held(max(count - ends, 0), count) >= least) and self.at_ends(text):
             return True
-        tried = set()
-        for piece, offset in self.pieces:
-            at = text.find(piece)
-            while at >= 0:
-                for start in self.starts(at - offset, len(text)):
-                    if start not in tried:
-                        tried.add(start)
-                        if self.at(text, start):
-                            return True
-                at = text.find(piece, at + 1)
-        return False
+        windows = len(text) - self.n + 1
+        if windows <= 0:
+            return False
+        reach = self.n - self.size + 1
+        starts = np.flatnonzero(sums[reach : reach + windows] - sums[:windows] >= self.least)
+        return any(self.at(text, start) for start in starts.tolist())
+
+
+class Pieces:
+    """A text's runs of a few letters, by number, for any number of quotes. Numbers are hashes: two runs
+    that share one by chance only let a stretch be compared that need not be."""
+
+    def __init__(self, text: str):
+        self.letters, self.known = letter_numbers(text), {}
+
+    def counted(self, quote: str, size: int) -> np.ndarray:
+        """How many runs of `size` letters before each place of the text are the quote's too."""
+        if size not in self.known:
+            self.known[size] = runs_of(self.letters, size)
+        own = self.known[size]
+        table = np.zeros(1 << HASH_BITS, dtype=bool)
+        table[runs_of(letter_numbers(quote), size)] = True
+        sums = np.zeros(len(own) + 1, dtype=np.int32)
+        np.cumsum(table[own], out=sums[1:])
+        return sums
+
+
+def letter_numbers(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+
+
+def runs_of(letters: np.ndarray, size: int) -> np.ndarray:
+    """A hash of HASH_BITS of each run of `size` letters."""
+    n = max(len(letters) - size + 1, 0)
+    out = np.zeros(n, dtype=np.uint32)
+    for i in range(size):
+        out = out * np.uint32(0x01000193) + letters[i : i + n]
+    return (out * np.uint32(0x9E3779B1)) >> np.uint32(32 - HASH_BITS)
 
 
 def stands_nearly(quotes: Sequence[str], text: str, cutoff: float) -> set[int]:
     """Which of the quotes have a stretch of the text that is like them, or, if the text is no longer than
-    the quote, have a stretch that is like the text. Exact: pieces of all quotes are found in one pass, and
-    every stretch that a found piece allows is compared."""
-    found, likes, patterns = set(), {}, {}
+    the quote, have a stretch that is like the text. Exact: every stretch that holds enough short pieces of
+    a quote to be like it is compared."""
+    found, pieces = set(), None
     for k, quote in enumerate(quotes):
         if not quote or not text:
             continue
         if len(quote) >= len(text) and Like(text, cutoff).within(quote):
             found.add(k)
         elif len(quote) <= len(text):
-            likes[k] = Like(quote, cutoff)
-            if likes[k].at_ends(text):
+            pieces = pieces or Pieces(text)
+            if Like(quote, cutoff).within(text, pieces):
                 found.add(k)
-                continue
-            for piece, offset in likes[k].pieces:
-                patterns.setdefault(piece, []).append((k, offset))
-    automaton, seen = automaton_of(patterns), {}
-    for last, (size, places) in automaton.iter(text) if automaton else ():
-        for k, offset in places:
-            tried = seen.setdefault(k, set())
-            for start in likes[k].starts(last + 1 - size - offset, len(text)) if k not in found else ():
-                if start not in tried:
-                    tried.add(start)
-                    if likes[k].at(text, start):
-                        found.add(k)
-                        break
     return found
 
 
@@ -155,8 +183,9 @@ def quote_levels(quotes: DataFrame, docs: DataFrame, id_col: str, quote: str, te
     distinct = quotes.select(F.col(id_col).alias("__id"), F.col(quote).alias("quote")).filter("__id is not null and quote is not null").distinct()
     first, rest = F.substring_index(F.trim("quote"), " ", 1), F.regexp_replace(F.trim("quote"), r"^\S*\s*", "")
     part = F.struct("quote", letters(F.col("quote")).alias("q"), letters(first).alias("l"), letters(rest).alias("r"))
-    runs = in_runs(distinct, "__id", part, "quote")
-    texts = docs.select(F.col(id_col).alias("__id"), letters(F.col(text)).alias("__t"))
+    parts = parts_of(quotes, docs)
+    runs = deal(in_runs(distinct, "__id", part, "quote"), parts, "__id")
+    texts = deal(docs.select(F.col(id_col).alias("__id"), letters(F.col(text)).alias("__t")), parts, "__id")
 
     @F.pandas_udf("array<int>")
     def level(asked_q: pd.Series, asked_l: pd.Series, asked_r: pd.Series, t: pd.Series) -> pd.Series:

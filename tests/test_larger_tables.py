@@ -1,9 +1,11 @@
 """What the smallest tables don't show: joins that go through the driver, odd keys, and slow or wide steps."""
 
+import random
 import re
 
 from labtables.functions import cells as c
-from labtables.operators import linkage
+from labtables import shared
+from labtables.operators import linkage, quotes
 from labtables.queries import queries
 
 SF = "/root/testdata/sf0.001"
@@ -56,3 +58,24 @@ def test_cells_of_linked_and_missed_rows(spark):
     missed = linkage.missed_rows(gold, links, ["paper"], "id", ["q", "w"]).selectExpr("paper", "id as gold_id", "column", "outcome", "true as unmatched")
     key = lambda df: sorted(map(str, df.collect()))
     assert key(linkage.score_cells(pred, gold, links, ["paper"], "id", "id", ["q", "w"], classes)) == key(both.union(missed))
+
+
+def test_few_stretches_are_compared(monkeypatch):
+    """A long quote that a long text of the same words lacks is compared with few of its stretches."""
+    draw, tried, at = random.Random(3), [], quotes.Like.at
+    monkeypatch.setattr(quotes.Like, "at", lambda self, text, start: tried.append(start) or at(self, text, start))
+    words = ["".join(draw.choices("abcdefghij", k=6)) for _ in range(60)]
+    text, quote = "".join(draw.choices(words, k=3000)), "".join(draw.choices(words, k=60))
+    near = text[5000:5180] + "zz" + text[5180:5300]
+    assert quotes.stands_nearly([quote, near], text, 0.92) == {1}
+    assert len(tried) < 2000
+
+
+def test_links_and_numbers_are_dealt_by_input_size(spark, capsys, monkeypatch):
+    monkeypatch.setattr(shared, "PART_BYTES", 5000)
+    for name, table in (("link_candidates", "lineitem"), ("exclusive_numbers", "lineitem")):
+        parts = shared.parts_of(spark.read.parquet(f"{SF}/{table}.parquet"))
+        assert parts > 20
+        dealt = [int(n) for n in re.findall(r", (\d+)\), REPARTITION_BY_NUM", plan(queries()[name](spark, SF), capsys))]
+        assert len(dealt) >= 4 and min(dealt) >= parts
+    assert shared.parts_of(spark.range(3)) is None
