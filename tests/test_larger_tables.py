@@ -5,7 +5,7 @@ import re
 
 from labtables.functions import cells as c
 from labtables import shared
-from labtables.operators import linkage, quotes
+from labtables.operators import corpus, linkage, quotes
 from labtables.queries import queries
 
 SF = "/root/testdata/sf0.001"
@@ -79,3 +79,10 @@ def test_links_and_numbers_are_dealt_by_input_size(spark, capsys, monkeypatch):
         dealt = [int(n) for n in re.findall(r", (\d+)\), REPARTITION_BY_NUM", plan(queries()[name](spark, SF), capsys))]
         assert len(dealt) >= 4 and min(dealt) >= parts
     assert shared.parts_of(spark.range(3)) is None
+
+
+def test_lines_are_matched_once(spark, capsys):
+    text = "x\n| curve | 1.5 |\n|---|---|\n| 2 | 3.25 |\n<table><tr><td>1234567</td></tr><tr><td>7</td></tr></table>\n$$x$$"
+    df = corpus.content_metrics(spark.createDataFrame([(1, text), (2, None)], "id long, text string").repartition(2), "text", "id")
+    assert plan(df, capsys).count(corpus.TABLE_ROW) == 1
+    assert [tuple(r) for r in df.orderBy("id").collect()] == [(1, len(text), 2, 2, 5, 1, 1, 5, 1), (2, 0, 0, 0, 0, 0, 0, 0, 0)]
