@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, map_arrow, slices, written
+from .common import bounded_batches, map_arrow, packed, slices, unpacked, written
 
 #: Words of a window.
 WINDOW = 13
@@ -53,13 +53,14 @@ def mixed(x: np.ndarray) -> np.ndarray:
 class Slice:
     """Some documents as word codes, with the hashes of their words."""
 
-    def __init__(self, row: dict):
+    def __init__(self, row: dict, codes: np.ndarray | None = None, words: bytes | None = None):
+        """`codes` and `words` of a row where they are packed; else it has them plainly."""
         self.key: int = row["slice"]
         self.ids, self.nulls = np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["nulls"], np.uint8)
         self.counts = np.frombuffer(row["counts"], "<i8")
-        codes = pa.decompress(row["codes"], 4 * row["n_words"], "zstd", asbytes=True)
-        self.codes = np.frombuffer(codes, "<u4")
-        self.words = row["words"].split(b" ") if row["words"] else []
+        self.codes = np.frombuffer(pa.decompress(row["codes"], 4 * row["n_words"], "zstd", asbytes=True), "<u4") if codes is None else codes
+        words = row["words"] if words is None else words
+        self.words = words.split(b" ") if words else []
         digests = np.frombuffer(b"".join([xxhash.xxh3_128_digest(w) for w in self.words]), "<u8").reshape(-1, 2)
         self.hashes = digests[self.codes]
         self.doc = np.repeat(np.arange(len(self.counts), dtype=np.int32), self.counts)
@@ -155,13 +156,17 @@ class Sending:
         return np.maximum.reduceat(values[self.order], self.first) if len(self.first) else values[:0]
 
     def rows(self, key: int, kind: str, extra: np.ndarray) -> pa.RecordBatch:
-        """A row per bucket: its keys one column after another, and `extra` of each."""
+        """A row per bucket: its keys one column after another, of the first, which ascends, the steps, and
+        `extra` of each."""
         spans = list(zip(self.at[:-1].tolist(), self.at[1:].tolist()))
+        steps = self.keys.astype(kind)
+        steps[0, 1:] -= steps[0, :-1].copy()
+        steps[0, self.at[:-1]] = self.keys[0, self.at[:-1]]
         return pa.RecordBatch.from_arrays(
             [
                 pa.array([key] * len(spans), pa.int64()), pa.array(self.buckets[self.at[:-1]], pa.int32()),
-                pa.array([self.keys[:, i:j].astype(kind).tobytes() for i, j in spans], pa.binary()),
-                pa.array([extra[i:j].tobytes() for i, j in spans], pa.binary()),
+                pa.array([packed(steps[:, i:j]) for i, j in spans], pa.binary()),
+                pa.array([packed(extra[i:j]) for i, j in spans], pa.binary()),
             ],
             ["slice", "bucket", "names", "extra"],
         )
@@ -201,15 +206,21 @@ def document_slices(df: DataFrame, id_col: str, text_col: str, slice_bytes: int
             some = pc.not_equal(words, "").to_numpy(zero_copy_only=False)
             ends = np.append(0, np.cumsum(some))[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
             coded = words.filter(pa.array(some)).dictionary_encode()
-            codes = coded.indices.to_numpy(zero_copy_only=False).astype("<u4")
+            # frequent words have the small codes, and words of one frequency stand in order: both pack well
+            found = coded.indices.to_numpy(zero_copy_only=False)
+            table = pa.table({"n": np.bincount(found, minlength=len(coded.dictionary)), "w": coded.dictionary.cast(pa.binary())})
+            order = pc.sort_indices(table, sort_keys=[("n", "descending"), ("w", "ascending")])
+            place = np.empty(len(order), "<u4")
+            place[order.to_numpy()] = np.arange(len(order))
+            codes = place[found]
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([base + k], pa.int64()), pa.array([len(codes)], pa.int64()),
                     pa.array([ids.fill_null(0).to_numpy(zero_copy_only=False).astype("<i8").tobytes()], pa.binary()),
                     pa.array([ids.is_null().to_numpy(zero_copy_only=False).astype(np.uint8).tobytes()], pa.binary()),
                     pa.array([np.diff(ends).astype("<i8").tobytes()], pa.binary()),
-                    pa.array([pa.compress(codes.tobytes(), "zstd", asbytes=True)], pa.binary()),
-                    pa.array([b" ".join(coded.dictionary.cast(pa.binary()).to_pylist())], pa.binary()),
+                    pa.array([packed(codes)], pa.binary()),
+                    pa.array([packed(np.frombuffer(b" ".join(table.column("w").take(order).to_pylist()), np.uint8))], pa.binary()),
                 ],
                 ["slice", "n_words", "ids", "nulls", "counts", "codes", "words"],
             )
@@ -225,6 +236,10 @@ def each_slice(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
             yield batch.slice(i, 1).to_pylist()[0]
 
 
+def stored(row: dict) -> Slice:
+    return Slice(row, unpacked(row["codes"], "<u4"), unpacked(row["words"], "u1").tobytes())
+
+
 def exchanged(sent: DataFrame, decide) -> DataFrame:
     """slice, replies: for each bucket that the slice sent to, a bit per entry. `decide` takes a bucket's
     names, extras and rows' sizes and gives a bit for each entry."""
@@ -242,8 +257,9 @@ def exchanged(sent: DataFrame, decide) -> DataFrame:
 
 def in_two_documents(names: list[bytes], extras: list[bytes]) -> tuple[np.ndarray, list[int]]:
     """Whether more than one slice sent the name, or one that holds it in two documents."""
-    sizes = [len(n) // 4 for n in names]
-    keys, twice = np.frombuffer(b"".join(names), "<u4"), np.frombuffer(b"".join(extras), np.uint8)
+    each = [np.cumsum(unpacked(n, "<u4"), dtype=np.uint32) for n in names]
+    sizes = [len(x) for x in each]
+    keys, twice = np.concatenate(each), np.concatenate([unpacked(x, "u1") for x in extras])
     order = np.argsort(keys, kind="stable")
     first = np.flatnonzero(np.append(True, keys[order[1:]] != keys[order[:-1]]))
     shared = np.add.reduceat(1 + twice[order].astype(np.int64), first) > 1
@@ -254,10 +270,10 @@ def in_two_documents(names: list[bytes], extras: list[bytes]) -> tuple[np.ndarra
 
 def has_smaller(names: list[bytes], extras: list[bytes]) -> tuple[np.ndarray, list[int]]:
     """Whether another slice has the window in a smaller document than the slice's own smallest."""
-    sizes = [len(n) // 16 for n in names]
-    sides = [np.frombuffer(n, "<u8").reshape(2, -1) for n in names]
-    one, two = (np.concatenate([s[k] for s in sides]) for k in (0, 1))
-    least = np.frombuffer(b"".join(extras), "<i8")
+    sides = [unpacked(n, "<u8").reshape(2, -1) for n in names]
+    sizes = [s.shape[1] for s in sides]
+    one, two = np.concatenate([np.cumsum(s[0], dtype=np.uint64) for s in sides]), np.concatenate([s[1] for s in sides])
+    least = np.concatenate([unpacked(x, "<i8") for x in extras])
     order = np.lexsort((two, one))
     first = np.flatnonzero(np.append(True, (one[order[1:]] != one[order[:-1]]) | (two[order[1:]] != two[order[:-1]])))
     smallest = np.minimum.reduceat(least[order], first)
@@ -285,21 +301,21 @@ def kept_words(
 
     def send_names(batches):
         for row in each_slice(batches):
-            part = Slice(row)
+            part = stored(row)
             sending, (_, _, _, doc) = names_sent(part, buckets)
             if len(sending.first):
                 yield sending.rows(part.key, "<u4", (sending.least(doc) < sending.most(doc)).astype(np.uint8))
 
     def send_windows(batches):
         for row in each_slice(batches):
-            part = Slice(row)
+            part = stored(row)
             sending, at = windows_sent(part, buckets, row["names"])
             if len(sending.first):
                 yield sending.rows(part.key, "<u8", sending.least(part.ranks[part.doc[at]]).astype("<i8"))
 
     def finish(batches):
         for row in each_slice(batches):
-            part = Slice(row)
+            part = stored(row)
             sending, at = windows_sent(part, buckets, row["names"])
             smaller = sending.replied(row["windows"])
             ranks = part.ranks[part.doc[at]]
