@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import packed, slices, unpacked
 
 BUCKET_BITS = 18
 BUCKETS = 1 << BUCKET_BITS
@@ -197,22 +197,26 @@ def labelled_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str,
         for batch in slices(batches, "t", 200_000):
             pairs = [text_features(t) for t in batch.column("t").to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("part"), batch.column("l"), batch.column("h"), pa.array([a.tobytes() for a, _ in pairs], pa.binary()), pa.array([s.tobytes() for _, s in pairs], pa.binary())],
-                ["part", "l", "h", "at", "share"],
-            )
+                [
+                    batch.column("part"), batch.column("l"), batch.column("h"), pa.array([len(a) for a, _ in pairs], pa.int64()),
+                    pa.array([packed(np.diff(a, prepend=np.int32(0))) for a, _ in pairs], pa.binary()), pa.array([packed(s) for _, s in pairs], pa.binary()),
+                ],
+                ["part", "l", "h", "n", "steps", "share"],
+            )
 
     # vectors are made where texts are read, so that no text is shuffled
-    vectors = some.select("part", "l", "h", "t").mapInArrow(run, "part string, l string, h long, at binary, share binary").dropDuplicates(["part", "l", "h"])
+    vectors = some.select("part", "l", "h", "t").mapInArrow(run, "part string, l string, h long, n long, steps binary, share binary").dropDuplicates(["part", "l", "h"])
     wanted = F.coalesce(*[F.when(F.col("part") == name, F.lit(rows)) for name, (_, rows) in samples.items()])
     by = Window.partitionBy("part", "l").orderBy("h")
-    placed = vectors.withColumns({"nth": F.row_number().over(by), "grams": F.sum(F.length("at") / 4).over(by.rowsBetween(Window.unboundedPreceding, 0))})
+    placed = vectors.withColumns({"nth": F.row_number().over(by), "grams": F.sum("n").over(by.rowsBetween(Window.unboundedPreceding, 0))})
     fits = (F.col("nth") == 1) | (F.col("grams") <= SAMPLE_NGRAMS / len({r.l for r in found}))
-    # as Arrow buffers, which go back to the system when the vectors go
-    got = placed.filter((F.col("nth") <= wanted) & fits).select("part", "l", "nth", "at", "share").toArrow().sort_by([("part", "ascending"), ("l", "ascending"), ("nth", "ascending")])
+    # packed, so that the driver's heap gets a third of the bytes, as Arrow buffers, which go back to the system
+    got = placed.filter((F.col("nth") <= wanted) & fits).select("part", "l", "nth", "steps", "share").toArrow().sort_by([("part", "ascending"), ("l", "ascending"), ("nth", "ascending")])
     out: dict[str, list] = {name: [] for name in samples}
     for batch in got.to_batches():
         for i, (name, language) in enumerate(zip(batch.column("part").to_pylist(), batch.column("l").to_pylist())):
-            at, share = (np.frombuffer(batch.column(c)[i].as_buffer(), kind) for c, kind in (("at", np.int32), ("share", np.float32)))
+            at = np.cumsum(unpacked(batch.column("steps")[i].as_py(), "<i4"), dtype=np.int32)
+            share = unpacked(batch.column("share")[i].as_py(), "<f4")
             if len(at):
                 out[name].append((language, at, share))
     return out

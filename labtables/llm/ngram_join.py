@@ -431,17 +431,23 @@ def _search(rows: DataFrame, by: list[str], percent: int) -> DataFrame:
     return rows.repartition(*by).sortWithinPartitions(*by, "key").mapInArrow(run, "a long, b long")
 
 
+def turned(rows: DataFrame, *ways: Column) -> DataFrame:
+    """(a, b) of each of the structures that `ways` make of a row, but for null ones."""
+    return rows.select(F.explode(F.filter(F.array(*ways), lambda x: x.isNotNull())).alias("x")).select("x.a", "x.b")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(key, root) of every node with a link: the least node that links reach. Large and small stars
     alternate until nothing changes; each round is written, and no round leaves the cluster."""
     stars, before = links.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), None
     while True:
-        both = stars.union(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        # rows are turned in place: a union would double the plan, and the next steps would double it again
+        both = turned(stars, F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         stars = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b").distinct()
         low = stars.groupBy("a").agg(F.min("b").alias("m"))
-        joined = stars.join(low, "a")
-        stars = joined.filter("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(joined.select("a", F.col("m").alias("b"))).distinct()
+        least = F.struct("a", F.col("m").alias("b"))
+        stars = turned(stars.join(low, "a"), least, F.when(F.col("b") != F.col("m"), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).distinct()
         stars = written(stars, "stars")
         now = tuple(stars.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(a, b))"), F.expr("sum(cast(xxhash64(b, a) as decimal(38, 0)))")).first())
         if now == before:

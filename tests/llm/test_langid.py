@@ -99,6 +99,18 @@ def test_bounded_sample(spark, monkeypatch):
     assert [r[0] for r in take()] == ["a", "b"]
 
 
+def test_sample_holds_the_features(spark):
+    """Vectors come to the driver packed, in half of their plain bytes at most, and are the texts' features to the bit."""
+    draw = np.random.default_rng(2)
+    rows = [(i, " ".join("".join(draw.choice(list("etaoinshr"), 6)) for _ in range(300)), "ab"[i % 2]) for i in range(30)]
+    pack = langid.packed
+    texts = {t: langid.text_features(t) for _, t, _ in rows}
+    assert all(2 * (len(pack(np.diff(a, prepend=np.int32(0)))) + len(pack(s))) < 8 * len(a) for a, s in texts.values())
+    got = langid.labelled_sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "doc_id", "text", "lang", {"all": (langid.F.lit(True), 50)})["all"]
+    assert len(got) == 30 and {str(a.dtype) + str(s.dtype) for _, a, s in got} == {"int32float32"}
+    assert sorted((a.tolist(), s.tolist()) for _, a, s in got) == sorted((a.tolist(), s.tolist()) for a, s in texts.values())
+
+
 def test_calibrated_rejection(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
     model = langid.fit_language_model(docs)

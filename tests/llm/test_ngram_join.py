@@ -96,6 +96,22 @@ def test_prefixes_connect_what_links(seed):
     assert all(find(a) == find(b) for a, b in j.spanning_links(sets))
 
 
+def test_rounds_have_small_plans(spark, monkeypatch):
+    """A round of stars joins three times; with unions of what it had joined it did six times."""
+    joins, write = [], j.written
+
+    def seen(df, what):
+        if what == "stars":
+            joins.append(df._jdf.queryExecution().optimizedPlan().toString().count("Join "))
+        return write(df, what)
+
+    monkeypatch.setattr(j, "written", seen)
+    links = [(k, k + 1) for k in range(40)] + [(60, 50), (70, 60), (80, 80)]
+    got = sorted(map(tuple, j.components(spark.createDataFrame(links, "a long, b long")).collect()))
+    assert got == [(k, 0) for k in range(1, 41)] + [(60, 50), (70, 50)]
+    assert len(joins) > 2 and max(joins) <= 3
+
+
 def test_stars():
     assert sorted(j.stars(6, [(0, 1), (2, 1), (4, 5)], [30, 20, 10, 5, 7, 9])) == [(9, 7), (20, 10), (30, 10)]
 
