@@ -27,7 +27,7 @@ from .common import bounded_batches, slices, tokenizer_path, written
 FILE_A, FILE_B = "byte_bpe_50k.json", "piece_bpe_32k.model"
 MARK = "▁"
 #: Stretches that a worker keeps; beyond it only those of several slices stay, half as many at most.
-KEPT_STRETCHES = 250_000
+KEPT_STRETCHES = 500_000
 #: Bytes of new stretches that are tokenized as one text.
 ALIGNED_BYTES = 1 << 16
 #: A group of more links than this is expanded by its distinct ids.
@@ -57,6 +57,10 @@ class Aligner:
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(MARK, " ").encode() for i, p in enumerate(pieces)]
         self.size_a, self.size_b = (np.array([len(x) for x in side], np.int64) for side in (self.bytes_a, self.bytes_b))
+        # ids as they stand in groups: each with the sign after it inside its side of a group, then each with that at its end
+        signs = ((len(names), ",|"), (len(pieces), ",;"))
+        self.signed = [np.array([f"{i}{sign}" for sign in both for i in range(n)], object) for n, both in signs]
+        self.signed_size = [np.array([len(x) for x in side], np.int64) for side in self.signed]
         # stretches stand alone only if no piece goes on into a space
         self.parted = not any(MARK in p.lstrip(MARK) for p in pieces)
         self.forget()
@@ -120,26 +124,20 @@ class Aligner:
                 self._keep(batch, [b""], np.array([[0, 0, 0, 0, 1]]), np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))
             return
         common, cut_a, cut_b = self.cuts(ids_a, ids_b)
-        ends = np.cumsum([len(t.encode()) for t in batch])
+        ends = np.cumsum(list(map(len, map(str.encode, batch))))
         first_a, first_b = np.append(0, cut_a[:-1]), np.append(0, cut_b[:-1])
         n_a, n_b = cut_a - first_a, cut_b - first_b
         owner = np.searchsorted(ends, common)  # the stretch of each group
         at = np.searchsorted(owner, np.arange(len(batch) + 1))
         if (common[at[1:] - 1] != ends).any():
             raise ValueError("a token of one of the tokenizers goes on into the space after a word")
-        names_a, names_b = list(map(str, ids_a)), list(map(str, ids_b))
-        groups = [
-            ",".join(names_a[i:j]) + "|" + ",".join(names_b[k:m])
-            for i, j, k, m in zip(first_a.tolist(), cut_a.tolist(), first_b.tolist(), cut_b.tolist())
-        ]
-        bounds = at.tolist()
-        words = [";".join(groups[i:j]).encode() for i, j in zip(bounds, bounds[1:])]
+        ids_a, ids_b = np.array(ids_a, np.int64), np.array(ids_b, np.int64)
+        words = self.written(ids_a, ids_b, cut_a, cut_b, at)
         links = n_a * n_b
         figures = np.zeros((len(batch), 5), np.int64)
         for k, values in enumerate((n_a, n_b, np.ones(len(links), np.int64), links)):
             figures[:, k] = np.add.reduceat(values, at[:-1])
         # each group's links, all at once; of huge groups the distinct ids with how often they stand there
-        ids_a, ids_b = np.array(ids_a, np.int64), np.array(ids_b, np.int64)
         small = np.flatnonzero(links <= EXPANDED_LINKS)
         of = np.repeat(small, links[small])
         within = np.arange(len(of)) - np.repeat(np.cumsum(links[small]) - links[small], links[small])
@@ -154,6 +152,19 @@ class Aligner:
         owners, pairs, times = summed(np.concatenate(owners), np.concatenate(pairs), np.concatenate(times))
         self._keep(batch, words, figures, np.bincount(owners, minlength=len(batch)), pairs, times)
 
+    def written(self, ids_a: np.ndarray, ids_b: np.ndarray, cut_a: np.ndarray, cut_b: np.ndarray, at: np.ndarray) -> list[bytes]:
+        """The groups that end at the cuts as text, joined for each stretch; `at`: the stretches' first groups, and their number."""
+        parts, sizes = np.empty(len(ids_a) + len(ids_b), object), np.empty(len(ids_a) + len(ids_b), np.int64)
+        # a group's ids of A stand after all groups before it, its ids of B after those of A
+        for ids, cut, before, signed, size in zip((ids_a, ids_b), (cut_a, cut_b), (np.append(0, cut_b[:-1]), cut_a), self.signed, self.signed_size):
+            place = np.arange(len(ids)) + np.repeat(before, np.diff(cut, prepend=0))
+            which = ids.copy()
+            which[cut - 1] += len(signed) // 2
+            parts[place], sizes[place] = signed[which], size[which]
+        text = "".join(parts.tolist()).encode()
+        ends = np.append(0, np.cumsum(sizes))[np.append(0, cut_a + cut_b)[at]].tolist()
+        return [text[i : j - 1] for i, j in zip(ends, ends[1:])]
+
     def _keep(self, batch: list[str], words: list[bytes], figures: np.ndarray, length: np.ndarray, pairs: np.ndarray, times: np.ndarray) -> None:
         n, end = len(self.words), self.end + len(pairs)
         self.slot.update(zip(batch, range(n, n + len(batch))))

@@ -3,6 +3,7 @@ import os
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from sentencepiece import SentencePieceProcessor
 from tokenizers import Tokenizer
@@ -100,6 +101,18 @@ def test_huge_groups_and_forgetting(monkeypatch):
             assert figures[i].tolist() == [sum(len(a) for a, _ in g), sum(len(b) for _, b in g), len(g), sum(want.values())]
 
 
+def test_groups_written_at_once():
+    """A batch's groups as text are what joining each group's ids gives."""
+    model, draw = al.Aligner(tokenizer_path(al.FILE_A), tokenizer_path(al.FILE_B)), np.random.default_rng(6)
+    for groups, stretches in ((1, 1), (7, 3), (400, 60)):
+        cut_a, cut_b = np.cumsum(draw.integers(1, 5, groups)), np.cumsum(draw.integers(1, 5, groups))
+        ids_a, ids_b = draw.integers(0, len(model.bytes_a), cut_a[-1]), draw.integers(0, len(model.bytes_b), cut_b[-1])
+        at = np.sort(np.append([0, groups], 1 + draw.choice(groups - 1, stretches - 1, replace=False) if groups > 1 else []).astype(np.int64))
+        side = lambda ids, cut: [",".join(map(str, x)) for x in np.split(ids, cut[:-1])]
+        plain = list(map("|".join, zip(side(ids_a, cut_a), side(ids_b, cut_b))))
+        assert model.written(ids_a, ids_b, cut_a, cut_b, at) == [";".join(plain[i:j]).encode() for i, j in zip(at.tolist(), at[1:].tolist())]
+
+
 def test_whole_texts_where_tokenizers_need_them():
     cells, counts = al.stretches_of(["a b", "", "c d e"], parted=False)
     assert cells.to_pylist() == [" a b", " c d e"] and counts.tolist() == [1, 0, 1]
