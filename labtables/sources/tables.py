@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.cells import INVISIBLE, header_unit, is_junk_number, normal_header, parse_number, parse_text
 from ..operators.categories import snap_category
+from ..shared import SPARE, settings
 
 
 def read_strict_csv(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
@@ -163,6 +164,7 @@ def write_csv(df: DataFrame, path: str, headings: dict[str, str], clean: bool =
 
 def write_scores(cells: DataFrame, papers: DataFrame, totals: DataFrame, path: str) -> None:
     """A run's result tables: cells by group, papers, totals."""
-    cells.write.partitionBy("group").parquet(f"{path}/cells")
-    papers.write.parquet(f"{path}/papers")
-    totals.write.json(f"{path}/totals")
+    with settings(cells.sparkSession, SPARE):
+        cells.write.option("compression", "zstd").partitionBy("group").parquet(f"{path}/cells")
+        papers.write.option("compression", "zstd").parquet(f"{path}/papers")
+        totals.write.json(f"{path}/totals")

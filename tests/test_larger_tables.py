@@ -6,7 +6,7 @@ import re
 from labtables.functions import cells as c
 from labtables import shared
 from labtables.operators import corpus, linkage, quotes
-from labtables.queries import queries
+from labtables.queries import linking, queries
 
 SF = "/root/testdata/sf0.001"
 
@@ -86,3 +86,12 @@ def test_lines_are_matched_once(spark, capsys):
     df = corpus.content_metrics(spark.createDataFrame([(1, text), (2, None)], "id long, text string").repartition(2), "text", "id")
     assert plan(df, capsys).count(corpus.TABLE_ROW) == 1
     assert [tuple(r) for r in df.orderBy("id").collect()] == [(1, len(text), 2, 2, 5, 1, 1, 5, 1), (2, 0, 0, 0, 0, 0, 0, 0, 0)]
+
+
+def test_scored_cells_stay_where_they_are(spark, capsys):
+    """Cells were dealt by the name of their field, and wide rows three times by paper and id."""
+    assert "hashpartitioning(column" not in plan(linking._cells(spark, SF), capsys)
+    key, before = "spark.sql.requireAllClusterKeysForCoPartition", spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition")
+    with shared.settings(spark, shared.SPARE):
+        dealt = re.findall(r"Exchange hashpartitioning\((\w+)#", plan(linking._cells(spark, SF), capsys))
+    assert set(dealt) == {"l_orderkey"} and spark.conf.get(key) == before
