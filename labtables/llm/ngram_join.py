@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import slices, utf8, written
+from .common import released, slices, squeezed, unsqueezed, utf8, written
 from .fingerprint import ODD, mixed
 
 #: Words of a shingle; similarity in hundredths.
@@ -51,7 +51,8 @@ CHUNK_ROOTS = 8
 #: Tokens whose slot counts this binary logarithm or more may be too many for one task's window.
 HEAVY_CLASS = 14
 SALTS = 64
-#: Bytes of ids up to which they are broadcast to filter the documents; more are joined by a shuffle.
+#: Bytes of ids up to which they are broadcast to filter the documents; more are joined by a shuffle, of
+#: compressed texts.
 BROADCAST_BYTES = 32 << 20
 #: Weight of a probe against a merge step in choosing how many lists are long.
 MU = 0.02
@@ -332,9 +333,9 @@ def prefix_tokens(docs: DataFrame, id_col: str, text_col: str, words: int, perce
     return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "token long, size byte, key long, n int, stop int, heavy boolean")
 
 
-def shared_tokens(prefix: DataFrame) -> DataFrame:
-    """Rows (token, size, key, n, stop, hub) of the tokens that several nodes of a size class have; hub is
-    the least of them. One shuffle and a window per token; heavy tokens are dealt into SALTS windows
+def shared_tokens(prefix: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows (token, size, key, n, stop, hub) of the tokens that several nodes of a size class have, and the
+    table that they are read from; hub is the least of them. One shuffle and a window per token; heavy tokens are dealt into SALTS windows
     first, whose least nodes meet by an aggregate and a join, which Spark splits where they are
     skewed."""
     salt = F.when(F.col("heavy"), F.pmod(F.xxhash64("key"), F.lit(SALTS))).otherwise(0)
@@ -344,28 +345,54 @@ def shared_tokens(prefix: DataFrame) -> DataFrame:
     names = ["token", "size", "key", "n", "stop"]
     light, heavy = some.filter("not heavy").select(*names, "hub"), some.filter("heavy")
     hubs = heavy.groupBy("token", "size").agg(F.min("hub").alias("hub"), F.max("last").alias("last")).filter("hub != last").drop("last")
-    return light.unionByName(heavy.select(*names).join(hubs, ["token", "size"]).select(*names, "hub")) if not heavy.isEmpty() else light
+    return light.unionByName(heavy.select(*names).join(hubs, ["token", "size"]).select(*names, "hub")) if not heavy.isEmpty() else light, some
 
 
-def node_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """Rows (key, tokens): the sets of the wanted nodes, each from the document (k, d) that `wanted` (key,
-    k, d) names. A task gives a set once; several tasks may repeat it where rows repeat the document."""
-    small = _sized(wanted.select("key", F.col("k").alias("k_"), F.col("d").alias("d_")), 24)
-    some = _named(docs, id_col, text_col).join(small, F.col("k").eqNullSafe(F.col("k_")) & (F.col("d") == F.col("d_")))
-
-    def run(batches):
-        seen: set[int] = set()
-        for batch in slices(batches, "text", SLICE_BYTES):
-            keys, sets = [], []
-            for s, key in zip(shingle_sets(utf8(batch.column("text")), words), batch.column("key").to_pylist()):
-                if len(s) and key not in seen and set_key(s) == key:
-                    if len(seen) < SEEN_KEYS:
-                        seen.add(key)
-                    keys.append(key)
-                    sets.append(s.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sets, pa.binary())], ["key", "tokens"])
+def node_texts(docs: DataFrame, places: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Rows of `places` (key, k, d and others) with, in place of k and d, the text as a zstd frame of each
+    document (k, d), which other texts may have too. Texts are shorter than the sets of their shingles.
+    They are shuffled only if `places` are too many to be broadcast, and compressed before. A task gives a
+    row once; several tasks may repeat it where rows repeat the document."""
+    others = [c for c in places.columns if c not in ("k", "d")]
+    named = places.select(*others, F.col("k").alias("k_"), F.col("d").alias("d_"))
+    small = _sized(named, 8 * len(named.columns) + 16)
+    same = F.col("k").eqNullSafe(F.col("k_")) & (F.col("d") == F.col("d_"))
 
-    return some.select("text", "key").mapInArrow(run, "key long, tokens binary")
+    def run(names: list[str]):
+        def squeeze(batches):
+            seen: set[tuple] = set()
+            for batch in slices(batches, "text", SLICE_BYTES):
+                rows = list(zip(*[batch.column(c).to_pylist() for c in names]))
+                fresh = []
+                for i, row in enumerate(rows):
+                    if row not in seen:
+                        fresh.append(i)
+                        if len(seen) < SEEN_KEYS:
+                            seen.add(row)
+                kept = batch.take(pa.array(fresh, pa.int64()))
+                yield pa.RecordBatch.from_arrays([*[kept.column(c) for c in names], pa.array(squeezed(utf8(kept.column("text"))), pa.binary())], [*names, "text"])
+
+        return squeeze
+
+    def frames(df: DataFrame, names: list[str]) -> DataFrame:
+        types = dict(df.dtypes)
+        return df.select(*names, "text").mapInArrow(run(names), ", ".join(f"`{c}` {types[c]}" for c in names) + ", text binary")
+
+    texts = _named(docs, id_col, text_col)
+    if small is not named:
+        return frames(texts.join(small, same), others)
+    return frames(texts, ["k", "d"]).join(small, same).select(*others, "text")
+
+
+def with_sets(batches: Iterable[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
+    """The batches with the set of each text (a zstd frame), tokens, in its place, without texts whose set is
+    not the one that key names."""
+    for batch in slices(batches, "text", SLICE_BYTES // 2):
+        sets = shingle_sets(unsqueezed(batch.column("text").to_pylist()), words)
+        fits = [i for i, (s, key) in enumerate(zip(sets, batch.column("key").to_pylist())) if len(s) and set_key(s) == key]
+        kept = batch.take(pa.array(fits, pa.int64()))
+        names = [c for c in batch.schema.names if c != "text"]
+        yield pa.RecordBatch.from_arrays([*[kept.column(c) for c in names], pa.array([sets[i].tobytes() for i in fits], pa.binary())], [*names, "tokens"])
 
 
 def _groups(batches: Iterable[pa.RecordBatch], by: list[str]) -> Iterator[list[dict]]:
@@ -403,9 +430,9 @@ def stars(n: int, links: list[tuple[int, int]], keys: list[int]) -> list[tuple[i
     return [(keys[x], keys[find(x)]) for x in range(n) if find(x) != x]
 
 
-def _search(rows: DataFrame, by: list[str], percent: int) -> DataFrame:
-    """Pairs (a, b) of a node and the least one it is connected to, from each group of rows: key and tokens
-    (a set's bytes, or a prefix's array beside n and stop). Rows with component and asked are those of
+def _search(rows: DataFrame, by: list[str], percent: int, words: int) -> DataFrame:
+    """Pairs (a, b) of a node and the least one it is connected to, from each group of rows: key and text
+    (a zstd frame, of which the set is made here), or tokens (a prefix's array beside n and stop). Rows with component and asked are those of
     two chunks: of them only what the asked ones reach is searched for."""
 
     def links_of(group: list[dict]) -> list[tuple[int, int]]:
@@ -416,9 +443,11 @@ def _search(rows: DataFrame, by: list[str], percent: int) -> DataFrame:
             return crossing_links(sets, [r["component"] for r in group], [r["asked"] for r in group], percent, sizes, ends)
         return spanning_links(sets, percent, sizes, ends)
 
+    texts = "text" in rows.columns
+
     def run(batches):
         a, b = [], []
-        for group in _groups(batches, by):
+        for group in _groups(with_sets(batches, words) if texts else batches, by):
             group = sorted({r["key"]: r for r in group}.values(), key=lambda r: (len(r["tokens"]), r["key"]))
             for x, y in stars(len(group), links_of(group), [r["key"] for r in group]) if len(group) > 1 else ():
                 a.append(x)
@@ -439,7 +468,8 @@ def turned(rows: DataFrame, *ways: Column) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """(key, root) of every node with a link: the least node that links reach. Large and small stars
     alternate until nothing changes; each round is written, and no round leaves the cluster."""
-    stars, before = links.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), None
+    last, before = None, None
+    stars = links.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     while True:
         # rows are turned in place: a union would double the plan, and the next steps would double it again
         both = turned(stars, F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -449,6 +479,9 @@ def components(links: DataFrame) -> DataFrame:
         least = F.struct("a", F.col("m").alias("b"))
         stars = turned(stars.join(low, "a"), least, F.when(F.col("b") != F.col("m"), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).distinct()
         stars = written(stars, "stars")
+        if last is not None:
+            released(last)
+        last = stars
         now = tuple(stars.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(a, b))"), F.expr("sum(cast(xxhash64(b, a) as decimal(38, 0)))")).first())
         if now == before:
             return stars.select(F.col("a").alias("key"), F.col("b").alias("root"))
@@ -459,32 +492,37 @@ def candidate_groups(docs: DataFrame, id_col: str, text_col: str, words: int, pe
     """Rows (key, n, root): the nodes that may link, by group. A block's nodes are searched by their
     shared prefix tokens."""
     prefix = prefix_tokens(docs, id_col, text_col, words, percent, classes)
-    shared = shared_tokens(prefix)
-    nodes = written(shared.groupBy("key", "size").agg(F.max("n").alias("n"), F.max("stop").alias("stop"), F.collect_list("token").alias("tokens"), F.collect_set("hub").alias("hubs")), "shared")
+    shared, table = shared_tokens(prefix)
+    # rows that repeat a set in several tasks repeat its tokens
+    tokens = F.array_distinct(F.collect_list("token")).alias("tokens")
+    nodes = written(shared.groupBy("key", "size").agg(F.max("n").alias("n"), F.max("stop").alias("stop"), tokens, F.collect_set("hub").alias("hubs")), "shared")
+    released(table)
     blocks = nodes.select("key", "size", "n", "stop", "tokens", F.size("tokens").alias("weight"), F.explode("hubs").alias("hub"))
-    links = searched(blocks, ["hub", "size"], lambda where: nodes.drop("hubs").join(where, ["key", "size"]), percent, chunk, True)
+    links = searched(blocks, ["hub", "size"], lambda where: nodes.drop("hubs").join(where, ["key", "size"]), percent, chunk, words, True)
     roots = components(links)
     roots = roots.union(roots.select("root", "root").distinct())
-    return written(roots.join(nodes.groupBy("key").agg(F.max("n").alias("n")), "key"), "groups")
+    groups = written(roots.join(nodes.groupBy("key").agg(F.max("n").alias("n")), "key"), "groups")
+    released(nodes)
+    return groups
 
 
-def searched(groups: DataFrame, by: list[str], attach: Callable[[DataFrame], DataFrame], percent: int, chunk: int, ready: bool = False) -> DataFrame:
+def searched(groups: DataFrame, by: list[str], attach: Callable[[DataFrame], DataFrame], percent: int, chunk: int, words: int, ready: bool = False) -> DataFrame:
     """Links (a, b) that span the components of each group. `groups` has rows (key, weight) with the columns
-    `by`, of which the first is the group's least node; `attach` gives such rows their sets, unless they
-    are `ready`."""
+    `by`, of which the first is the group's least node; `attach` gives such rows their sets or texts,
+    unless they are `ready`."""
     rows = F.count(F.lit(1))
     chunks = F.greatest(F.ceil(F.sum("weight") / chunk), F.when(rows > WHOLE_NODES, F.ceil(F.sqrt(rows.cast("double")) / CHUNK_ROOTS)).otherwise(1))
     cuts = written(groups.groupBy(*by).agg(chunks.cast("int").alias("chunks")).filter("chunks > 1"), "cuts")
     none = cuts.isEmpty()
     small = groups if none else groups.join(_sized(cuts.select(*by), 24), by, "left_anti")
-    links = written(_search(small if ready else attach(small.select(*by, "key")), by, percent), "links")
+    links = written(_search(small if ready else attach(small.select(*by, "key")), by, percent, words), "links")
     if none:
         return links
     least = F.col("key") == F.col(by[0])
     # the least node stands in every chunk, so that chunks of one group of near copies are connected
     place = F.when(least, F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("key"), F.col("chunks")).cast("int")))
     placed = written(groups.select(*by, "key").join(_sized(cuts, 24), by).select(*by, "key", F.explode(place).alias("chunk")), "placed")
-    inside = written(_search(attach(placed), [*by, "chunk"], percent), "inside")
+    inside = written(_search(attach(placed), [*by, "chunk"], percent, words), "inside")
     # nodes with a link to the least node are done; the others, dealt into parts like the chunks, meet every chunk
     joined = inside.select(F.col("a").alias("key"), F.col("b").alias(by[0]), F.lit(True).alias("done"))
     named = inside.groupBy(F.col("a").alias("key")).agg(F.min("b").alias("component"))
@@ -496,15 +534,15 @@ def searched(groups: DataFrame, by: list[str], attach: Callable[[DataFrame], Dat
     asked = pairs.join(rest, [*by, "part"]).withColumn("asked", F.lit(True))
     met = written(own.unionByName(asked).groupBy(*by, "chunk", "part", "key").agg(F.max("component").alias("component"), F.max("asked").alias("asked")), "met")
     links = links.union(inside)
-    return links if met.isEmpty() else links.union(written(_search(attach(met), [*by, "chunk", "part"], percent), "crossing"))
+    return links if met.isEmpty() else links.union(written(_search(attach(met), [*by, "chunk", "part"], percent, words), "crossing"))
 
 
 def similarity_links(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, words: int, percent: int, chunk: int) -> DataFrame:
     """Links (a, b) between nodes that span every component of the similarity graph."""
     groups = candidate_groups(docs, id_col, text_col, words, percent, chunk, rarity_classes(nodes))
     wanted = written(nodes.filter("key is not null").groupBy("key").agg(_least().alias("w")).join(groups.select("key"), "key", "left_semi").select("key", "w.k", "w.d"), "wanted")
-    sets = node_sets(docs, wanted, id_col, text_col, words)
-    return searched(groups.select("root", "key", F.col("n").alias("weight")), ["root"], lambda where: sets.join(_sized(where, 32), "key"), percent, chunk)
+    attach = lambda where: node_texts(docs, where.join(wanted, "key"), id_col, text_col)
+    return searched(groups.select("root", "key", F.col("n").alias("weight")), ["root"], attach, percent, chunk, words)
 
 
 def ngram_components(

@@ -1,4 +1,6 @@
+import os
 import random
+import time
 
 import pytest
 
@@ -177,3 +179,34 @@ def test_a_compilation_meets_no_quoted_text(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     got = {r.doc_id: r.component_id for r in j.ngram_components(df).collect()}
     assert got == {i: i for i in range(300)} | {1000: 1000, 1001: 1000}
+
+
+def test_disk_follows_what_is_still_read(spark, monkeypatch):
+    """Too many documents of groups for a broadcast: their texts cross compressed, sets don't, and tables
+    and shuffle files that nothing reads any more are gone."""
+    tables, write = {}, j.written
+
+    def seen(df, what):
+        out = write(df, what)
+        tables.setdefault(what, []).append(out.written_at)
+        return out
+
+    sent, search = [], j._search
+    monkeypatch.setattr(j, "written", seen)
+    monkeypatch.setattr(j, "_search", lambda rows, *more: sent.append(dict(rows.dtypes)) or search(rows, *more))
+    monkeypatch.setattr(j, "BROADCAST_BYTES", 0)
+    files = lambda: spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles().mkString(" ").count("shuffle_")
+    before = files()
+    write(spark.range(1000).repartition(7, "id"), "dealt")
+    for _ in range(50):
+        if files() <= before:
+            break
+        time.sleep(0.2)
+    assert files() <= before
+    rows = corpus(11)
+    df = spark.createDataFrame(rows + rows[:9], "doc_id long, text string").repartition(5)
+    got = sorted(((r.doc_id is None, r.doc_id, r.n_shingles, r.component_id) for r in j.ngram_components(df).collect()), key=str)
+    assert got == brute(rows + rows[:9])
+    assert [x["text"] for x in sent if "text" in x] and not [x for x in sent if "tokens" in x and "stop" not in x]
+    exists = lambda path: os.path.exists(path.removeprefix("file:").replace("//", "/"))
+    assert exists(tables["nodes"][0]) and not [x for what in ("tokens", "shared") for x in tables[what] if exists(x)]
