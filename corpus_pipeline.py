@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labtables.llm.bpe import bpe_round_trip
-from labtables.llm.common import bounded_batches, table, written
+from labtables.llm.common import bounded_batches, released, table, written
 from labtables.llm.langid import fit_language_model, predict_language
 from labtables.llm.mixing import mix_documents
 from labtables.llm.ngram_join import near_duplicates_removed
@@ -75,7 +75,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages on the documents of `sf_dir`: what bpe_round_trip returns for each copy of a document that
     the mix takes. Null and empty texts don't pass the first stage; repeated rows are one document after the
     second; an empty table gives no rows."""
-    docs = table(spark, sf_dir, "documents")
+    docs, read = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name)
+        released(*read)  # the disk holds two stages' documents at most
+        read = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)

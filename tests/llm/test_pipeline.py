@@ -150,3 +150,20 @@ def test_all_stages_as_brute_force(spark):
     got = corpus_pipeline.run(spark, SF)
     assert got.columns[:4] == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
     assert sorted(tuple(r)[:4] for r in got.collect()) == sorted(want) and len(want) > 150
+
+
+def test_documents_of_earlier_stages_go(spark, monkeypatch):
+    """A stage's documents are removed when the next one's are written; the last ones stay for the result."""
+    import os
+
+    made, write = [], corpus_pipeline.written
+
+    def seen(df, what):
+        made.append(write(df, what))
+        return made[-1]
+
+    monkeypatch.setattr(corpus_pipeline, "written", seen)
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [(f"stage{k}", lambda s, docs, d: docs.select("doc_id", "text")) for k in range(4)])
+    out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+    assert [os.path.exists(df.written_at.removeprefix("file://")) for df in made] == [False, False, True]
+    assert out.count() == spark.read.parquet("/root/testdata/sf0.001/documents.parquet").count()
